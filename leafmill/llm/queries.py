@@ -81,8 +81,8 @@ SELECT d.doc_id, coalesce(gone, 0) AS lines_removed,
        CASE WHEN text IS NULL THEN NULL ELSE md5(coalesce(kept, '')) END AS text_md5
 FROM d LEFT JOIN k USING (doc_id)""",
     "op5_url_filter": """
-WITH p AS (SELECT page_id, coalesce(url, '') AS u, position('://' IN coalesce(url, '')) AS at FROM pages),
-r AS (SELECT page_id, CASE WHEN at > 0 THEN substr(u, at + 3) ELSE '' END AS rest FROM p),
+WITH p AS (SELECT page_id, coalesce(url, '') AS u, position('://' IN coalesce(url, '')) AS spot FROM pages),
+r AS (SELECT page_id, CASE WHEN spot > 0 THEN substr(u, spot + 3) ELSE '' END AS rest FROM p),
 h AS (SELECT page_id, regexp_extract(rest, '^([^/?#]*)', 1) AS raw, rest FROM r),
 x AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
              regexp_extract(substr(rest, length(raw) + 1), '^([^?#]*)', 1) AS path FROM h),

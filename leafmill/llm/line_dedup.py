@@ -1,9 +1,9 @@
 """Line dedup by the distinct-site spread of lines.
 
-A line that stands on many sites is boilerplate. Lines are keyed by a 64-bit hash; those
-with too few occurrences to be on `min_sites` sites drop out by a combining count; for the
-rest HyperLogLog sketches of their sites merge by aggregation. Where the estimate is within the
-sketch's error of the threshold, sites are counted exactly, by the line's own text. A
+A line that stands on many sites is boilerplate. Lines are keyed by 128 bits of hashes, so that
+no text is shuffled; those with too few occurrences to be on `min_sites` sites drop out by a
+combining count; for the rest HyperLogLog sketches of their sites merge by aggregation. Where
+the estimate is within the sketch's error of the threshold, sites are counted exactly. A
 boilerplate line stays once, in its first place (smallest id, then position), so that content
 which every site copied whole isn't lost.
 
@@ -25,35 +25,34 @@ LG_K, BAND = 10, 0.15
 
 
 def _lines(df: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
-    """(line_hash, line, id, pos, site) of the non-blank lines, without their outer white space."""
-    lines = df.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_doc"), F.coalesce(F.concat(F.lit("s"), F.col(site_col).cast("string")), F.lit("")).alias("_site"), F.posexplode(F.split(text_col, "\n")).alias("_pos", "_raw"))
-    lines = lines.withColumn("_line", F.trim("_raw")).where("_line <> ''")
-    return lines.select(F.xxhash64("_line").alias("_hash"), "_line", "_id", "_doc", "_pos", "_site")
+    """(h1, h2, id, doc, pos, site) of the non-blank lines without their outer spaces; the text itself isn't shuffled."""
+    lines = df.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_doc"), F.xxhash64(site_col).alias("_site"), F.posexplode(F.split(text_col, "\n")).alias("_pos", "_raw"))
+    line = F.trim("_raw")
+    return lines.where(line != "").select(F.xxhash64(line).alias("_h1"), F.xxhash64(F.lit(1), line).alias("_h2"), "_id", "_doc", "_pos", "_site")
 
 
-def spread_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 5) -> DataFrame:
-    """(line, sites, first): the lines on at least `min_sites` distinct sites and their first place (id, document hash, position)."""
+def spread_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 5) -> tuple[DataFrame, DataFrame]:
+    """The lines on at least `min_sites` distinct sites as (h1, h2, sites, first place), and where all often-seen lines stand."""
     lines = _lines(df, id_col, text_col, site_col)
-    often = lines.groupBy("_hash").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_sites)
-    often = materialize(often.select(F.col("_hash").alias("_h")), "often")
-    placed = lines.join(often, F.col("_hash") == F.col("_h"))
-    sketches = placed.groupBy("_hash", "_line").agg(F.hll_sketch_agg("_site", LG_K).alias("_sketch"), F.min(F.struct("_id", "_doc", "_pos")).alias("first"))
-    estimated = materialize(sketches.select("_hash", "_line", "first", F.hll_sketch_estimate("_sketch").cast("double").alias("_sites")), "spread")
+    often = lines.groupBy("_h1").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_sites)
+    often = materialize(often.select(F.col("_h1").alias("_o1")), "often")
+    placed = materialize(lines.join(often, F.col("_h1") == F.col("_o1")).drop("_o1"), "placed")
+    sketches = placed.groupBy("_h1", "_h2").agg(F.hll_sketch_agg("_site", LG_K).alias("_sketch"), F.min(F.struct("_id", "_doc", "_pos")).alias("first"))
+    estimated = materialize(sketches.select(F.col("_h1").alias("_s1"), F.col("_h2").alias("_s2"), "first", F.hll_sketch_estimate("_sketch").cast("double").alias("_sites")), "spread")
     near = F.col("_sites").between(min_sites * (1 - BAND) - 1, min_sites * (1 + BAND) + 1)
-    doubtful = estimated.where(near).select(F.col("_line").alias("_l"), F.col("_hash").alias("_h"))
-    counted = lines.join(doubtful, (F.col("_hash") == F.col("_h")) & (F.col("_line") == F.col("_l")), "left_semi")
-    counted = counted.groupBy("_hash", "_line", "_site").agg(F.lit(1).alias("_one")).groupBy("_hash", "_line").agg(F.count("*").cast("double").alias("_exact"))
-    both = estimated.join(counted.withColumnRenamed("_line", "_l").withColumnRenamed("_hash", "_h"), (F.col("_hash") == F.col("_h")) & (F.col("_line") == F.col("_l")), "left")
-    both = both.withColumn("sites", F.coalesce("_exact", "_sites"))
-    return both.where(F.col("sites") >= min_sites).select("_hash", F.col("_line").alias("line"), F.round("sites").cast("long").alias("sites"), "first")
+    same = (F.col("_h1") == F.col("_s1")) & (F.col("_h2") == F.col("_s2"))
+    counted = placed.groupBy("_h1", "_h2", "_site").agg(F.lit(1).alias("_one")).join(estimated.where(near).select("_s1", "_s2"), same, "left_semi")
+    counted = counted.groupBy("_h1", "_h2").agg(F.count("*").cast("double").alias("_exact"))
+    both = estimated.join(counted, same, "left").withColumn("sites", F.coalesce("_exact", "_sites"))
+    found = both.where(F.col("sites") >= min_sites).select("_s1", "_s2", F.round("sites").cast("long").alias("sites"), "first")
+    return materialize(found, "boilerplate"), placed
 
 
 def remove_spread_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 5) -> DataFrame:
     """The input with boilerplate lines removed from `text_col`, and `lines_removed`, their number, added."""
     names = df.columns
-    spread = materialize(spread_lines(df, id_col, text_col, site_col, min_sites).withColumnRenamed("_hash", "_h"), "boilerplate")
-    lines = _lines(df, id_col, text_col, site_col)
-    hits = lines.join(spread, (F.col("_hash") == F.col("_h")) & (F.col("_line") == F.col("line")))
+    spread, placed = spread_lines(df, id_col, text_col, site_col, min_sites)
+    hits = placed.join(spread, (F.col("_h1") == F.col("_s1")) & (F.col("_h2") == F.col("_s2")))
     first = F.col("_id").eqNullSafe(F.col("first._id")) & (F.col("_doc") == F.col("first._doc")) & (F.col("_pos") == F.col("first._pos"))
     # the positions of one document: at most as many as it has lines
     gone = materialize(hits.where(~first).groupBy("_id", "_doc").agg(F.collect_set("_pos").alias("_gone")), "removed")

@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, materialize, prefix_sums, text_or_empty
 
-#: Words that a worker keeps the ids of, at most.
-KEEP = 500_000
-_PLAIN = re.compile(r"([A-Za-z]+)([.,!?;:]*)")
+#: Words, and parts of words, that a worker keeps the ids of, at most.
+KEEP = 600_000
+#: A run of Latin letters and the marks after it, which the tokenizer splits there and nowhere else.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?;:#&%$*]*)")
 
 
 class _WordIds:
@@ -40,31 +41,44 @@ class _WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.ids: dict[str, bytes] = {"": b""}
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(words, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        self.model = self.tokenizer.model
+        plain = [b for r in ((33, 127), (161, 173), (174, 256)) for b in range(*r)]
+        rest = [b for b in range(256) if b not in set(plain)]
+        self.letters = {b: 256 + i for i, b in enumerate(rest)}  # how a byte-level vocabulary writes bytes
+        self.words: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {"": b""}
+
+    def _part(self, part: str) -> bytes:
+        """Ids of one lower-case run of letters or marks."""
+        found = self.parts.get(part)
+        if found is None:
+            tokens = self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))
+            found = self.parts[part] = np.array([t.id for t in tokens], dtype="<u4").tobytes()
+        return found
 
     def learn(self, texts: list[str]) -> None:
         seen: set[str] = set()
         for t in texts:
             seen.update(t.replace("\n", " ").split(" "))
-        missing = seen - self.ids.keys()
-        if len(self.ids) + 2 * len(missing) > KEEP:
-            self.ids.clear()
+        missing = seen - self.words.keys()
+        if len(self.words) + len(missing) > KEEP:
+            self.words.clear()
             missing = seen
-        # a run of ASCII letters and the marks after it are pieces of their own
-        split = {w: m.groups() for w in missing if (m := _PLAIN.fullmatch(w))}
-        single = [w for w in missing if w not in split]
-        parts = list({p for a, b in split.values() for p in (a.lower(), b)} - self.ids.keys())
-        self.ids.update(zip(parts, self._encode(parts)))
-        self.ids.update(zip(single, self._encode(single)))
-        for w, (a, b) in split.items():
-            self.ids[w] = self.ids[a.lower()] + self.ids[b]
+        if len(self.parts) + 2 * len(missing) > 2 * KEEP:
+            self.parts = {"": b""}
+        single = []
+        for w in missing:
+            m = _PLAIN.fullmatch(w)
+            if m:
+                self.words[w] = self._part(m[1].lower()) + self._part(m[2])
+            else:
+                single.append(w)
+        for i in range(0, len(single), 1000):
+            found = self.tokenizer.encode_batch(single[i : i + 1000], add_special_tokens=False)
+            self.words.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(single[i : i + 1000], found))
 
     def of(self, text: str) -> bytes:
-        return b"".join(map(self.ids.__getitem__, text.replace("\n", " ").split(" ")))
+        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 _word_ids: dict[str, _WordIds] = {}

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -30,11 +31,13 @@ from .common import arrow_map, materialize, prefix_sums, text_or_empty
 
 #: Words, and parts of words, that a worker keeps the ids of, at most.
 KEEP = 600_000
+#: Longer words are encoded each time.
+LONG = 200
 #: A run of Latin letters and the marks after it, which the tokenizer splits there and nowhere else.
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?;:#&%$*]*)")
 
 
-class _WordIds:
+class _WordIds(dict):
     """Ids of words between white space, as little-endian bytes; the tokenizer drops white space, so words count apart."""
 
     def __init__(self, name: str):
@@ -45,40 +48,34 @@ class _WordIds:
         plain = [b for r in ((33, 127), (161, 173), (174, 256)) for b in range(*r)]
         rest = [b for b in range(256) if b not in set(plain)]
         self.letters = {b: 256 + i for i, b in enumerate(rest)}  # how a byte-level vocabulary writes bytes
-        self.words: dict[str, bytes] = {"": b""}
         self.parts: dict[str, bytes] = {"": b""}
 
     def _part(self, part: str) -> bytes:
         """Ids of one lower-case run of letters or marks."""
         found = self.parts.get(part)
         if found is None:
-            tokens = self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))
-            found = self.parts[part] = np.array([t.id for t in tokens], dtype="<u4").tobytes()
+            if len(self.parts) > KEEP:
+                self.parts = {"": b""}
+            written = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+            found = array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
+            if len(part) <= LONG:
+                self.parts[part] = found
         return found
 
-    def learn(self, texts: list[str]) -> None:
-        seen: set[str] = set()
-        for t in texts:
-            seen.update(t.replace("\n", " ").split(" "))
-        missing = seen - self.words.keys()
-        if len(self.words) + len(missing) > KEEP:
-            self.words.clear()
-            missing = seen
-        if len(self.parts) + 2 * len(missing) > 2 * KEEP:
-            self.parts = {"": b""}
-        single = []
-        for w in missing:
-            m = _PLAIN.fullmatch(w)
-            if m:
-                self.words[w] = self._part(m[1].lower()) + self._part(m[2])
-            else:
-                single.append(w)
-        for i in range(0, len(single), 1000):
-            found = self.tokenizer.encode_batch(single[i : i + 1000], add_special_tokens=False)
-            self.words.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(single[i : i + 1000], found))
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > KEEP:
+            self.clear()
+        m = _PLAIN.fullmatch(word)
+        if m:
+            found = self._part(m[1].lower()) + self._part(m[2])
+        else:
+            found = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if len(word) <= LONG:
+            self[word] = found
+        return found
 
     def of(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 _word_ids: dict[str, _WordIds] = {}
@@ -94,17 +91,14 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         end = np.array([end_id], dtype="<u4").tobytes()
         out: dict[str, list] = {k: [] for k in (id_col, "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if keep_ids else []))}
         keys, texts = batch.column(0).to_pylist(), text_or_empty(batch.column(1))
-        step = 500  # texts whose words are learned together
-        for at in range(0, len(texts), step):
-            words.learn(texts[at : at + step])
-            for key, text in zip(keys[at : at + step], texts[at : at + step]):
-                ids = words.of(text) + end
-                n = len(ids) // 4
-                for start in range(0, n, length):
-                    own = ids[4 * start : 4 * (start + length)]
-                    row = (key, start, len(own) // 4, zlib.crc32(own), n) + ((np.frombuffer(own, dtype="<u4").astype(np.int64),) if keep_ids else ())
-                    for k, v in zip(out, row):
-                        out[k].append(v)
+        for key, text in zip(keys, texts):
+            ids = words.of(text) + end
+            n = len(ids) // 4
+            for start in range(0, n, length):
+                own = ids[4 * start : 4 * (start + length)]
+                row = (key, start, len(own) // 4, zlib.crc32(own), n) + ((np.frombuffer(own, dtype="<u4").astype(np.int64),) if keep_ids else ())
+                for k, v in zip(out, row):
+                    out[k].append(v)
         return out
 
     kind = df.schema[id_col].dataType.simpleString()

@@ -30,6 +30,8 @@ from .common import arrow_map, text_or_empty
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words, and pieces or token pairs, that a worker keeps at most.
 KEEP_WORDS, KEEP = 1_000_000, 500_000
+#: Longer ones are counted each time.
+LONG = 200
 
 
 def _byte_letters() -> list[str]:
@@ -142,7 +144,7 @@ class PrefixCounter:
                     seen.update(self._units(text[start:end]))
         if len(self.words) + len(seen) > KEEP_WORDS:
             self.words.clear()
-        missing = sorted(seen - self.words.keys())
+        missing = sorted(w for w in seen - self.words.keys() if len(w) <= LONG)
         for i in range(0, len(missing), 20_000):
             self._learn_words(missing[i : i + 20_000])
 
@@ -295,7 +297,9 @@ class _Totals(dict):
     def __missing__(self, piece: str) -> int:
         if len(self) > KEEP:
             self.clear()
-        n = self[piece] = next(self.owner.pieces([piece.encode("utf-8", "surrogatepass")]))[-1]
+        n = next(self.owner.pieces([piece.encode("utf-8", "surrogatepass")]))[-1]
+        if len(piece) <= LONG:
+            self[piece] = n
         return n
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ..config import Config
 from ..functions import text as T
@@ -66,7 +67,7 @@ def atomic_units(units: DataFrame, config: Config) -> DataFrame:
     return a.withColumn("is_boundary", F.col("is_boundary") & ~F.col("_long")).withColumn("tokens", T.token_count(F.col("text"))).drop("content", "_words", "_long")
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(ArrayType(IntegerType()))
 def _greedy(sizes: pd.Series, cap: pd.Series) -> pd.Series:
     """Pack number of each size in order; a pack closes when the next size would exceed the cap."""
 

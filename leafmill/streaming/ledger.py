@@ -17,8 +17,8 @@ def read(spark: SparkSession, folder: str, schema: str, pattern: str = "*.parque
 
 
 def deduplicated(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Replayed events once, within the watermark."""
-    return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
+    """Replayed events once, within the watermark; times without a zone are the session's."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
 def write(rows: DataFrame, path: str, checkpoint: str):

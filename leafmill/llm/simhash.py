@@ -10,6 +10,11 @@ Copies with one fingerprint are one row during the search, so that groups of the
 nothing, and a fingerprint has no more than the 43,744 others of a 3-bit ball as partners:
 links stay in proportion to the fingerprints however large a group is.
 
+`similar_groups` uses the same balls to find texts that share at least a given part of their
+five-word shingles. Fingerprints of such texts may differ in ten bits of 64, so it takes several
+fingerprints of different seeds, gives each half of each two bits (both sides emit all variants
+within one bit), and verifies colliding pairs on the shingles themselves.
+
 Inputs with defined results: a null text counts as empty; texts without words have the zero
 fingerprint and link with each other; repeated rows are copies; an empty table gives an empty
 table; rows with a null id keep their row and never name a component unless alone; other
@@ -97,3 +102,95 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     labels = materialize(named.join(lowest, "_group").select(F.col("fp").alias("_fp"), "component_id"), "labels")
     out = prints.join(labels, prints["fp"] == labels["_fp"], "left")
     return out.select(id_col, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", F.col(id_col)).alias("component_id"))
+
+
+def _reseeded(hashes: np.ndarray, seed: int) -> np.ndarray:
+    """Hashes as another hash function would give them; seed 0 leaves them."""
+    if not seed:
+        return hashes
+    x = hashes ^ np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def _seeded_prints(df: DataFrame, id_col: str, text_col: str, shingle: int, seeds: int) -> DataFrame:
+    """(id, words, f0, f1, ...): a hash of the text's words in order, and a fingerprint for each seed."""
+
+    def prints(batch: pa.RecordBatch) -> dict:
+        from xxhash import xxh64_intdigest
+
+        words, found = [], []
+        for t in batch.column(1):
+            text = t.as_py() or ""
+            h = np.array(_hashes(text, shingle), dtype=np.uint64)
+            words.append(xxh64_intdigest(b" ".join(text.encode("utf-8", "surrogatepass").lower().split()), 7))
+            found.append([fingerprint_of(_reseeded(h, s)) for s in range(seeds)])
+        table = np.array(found, dtype=np.uint64).reshape(-1, seeds).view(np.int64)
+        return {"id": batch.column(0), "words": np.array(words, dtype=np.uint64).view(np.int64)} | {f"f{s}": table[:, s] for s in range(seeds)}
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return arrow_map(df.select(id_col, text_col), prints, f"id {kind}, words long, " + ", ".join(f"f{s} long" for s in range(seeds)))
+
+
+def half_pairs(nodes: DataFrame, seeds: int) -> DataFrame:
+    """(a, b), a < b: the nodes that differ in at most two bits of one half of one of their fingerprints.
+
+    Both sides emit their halves with no bit and with each one bit changed. A pair meets in one
+    row for each such half: the smaller node gives the half itself, or the lower of two bits.
+    """
+    half = [h for s in range(seeds) for h in (F.col(f"f{s}").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(f"f{s}", 32))]
+    half = [h.bitwiseOR(F.lit(i << 32)) for i, h in enumerate(half)]
+    masks = F.array(*[F.lit(m).cast("long") for m in [0] + [1 << i for i in range(32)]])
+    halves = nodes.select("node", F.explode(F.array(*half)).alias("half"))
+    ball = halves.select("node", F.posexplode(F.transform(masks, lambda m: F.col("half").bitwiseXOR(m))).alias("bit", "variant"))
+    a, b = ball.alias("a"), ball.alias("b")
+    once = (F.col("a.bit") == 0) | ((F.col("a.bit") < F.col("b.bit")) & (F.col("a.bit") > 0))
+    met = a.join(b, (F.col("a.variant") == F.col("b.variant")) & (F.col("a.node") < F.col("b.node")) & once)
+    return met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have at least that Jaccard similarity."""
+    a, b = sets.select(F.col("node").alias("a"), F.col("shingles").alias("_sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("_sb"))
+    common = F.size(F.array_intersect("_sa", "_sb"))
+    alike = common / (F.size("_sa") + F.size("_sb") - common) >= similarity
+    return pairs.select("a", "b").join(a, "a").join(b, "b").where(alike).select("a", "b").distinct()
+
+
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, words: int = 5, shingle: int = 3, seeds: int = 4) -> DataFrame:
+    """One row per input row: id and component_id, the smallest id reachable by links between texts whose sets of
+    `words`-word shingles have at least that Jaccard similarity.
+
+    Texts of the same words are one node. Pairs over a quarter of whose fingerprint bits differ
+    are far below any useful similarity and aren't verified. Each node's nearest pair is verified
+    first, and then all pairs that this leaves in different components; the others can't change one.
+    """
+    prints = materialize(_seeded_prints(df, id_col, text_col, shingle, seeds), "seeded")
+    more = [f"f{s}" for s in range(1, seeds)]
+    nodes = prints.where("id IS NOT NULL").groupBy("words", "f0").agg(F.min("id").alias("node"), *[F.first(f).alias(f) for f in more])
+    nodes = materialize(nodes, "nodes")
+    met = materialize(half_pairs(nodes, seeds), "met")
+    for side in "ab":
+        met = met.join(nodes.select(F.col("node").alias(side), *[F.col(f"f{s}").alias(f"_{side}{s}") for s in range(seeds)]), side)
+    bits = sum((F.bit_count(F.col(f"_a{s}").bitwiseXOR(F.col(f"_b{s}"))) for s in range(seeds)), F.lit(0))
+    pairs = materialize(met.select("a", "b", bits.alias("bits")).where(F.col("bits") <= 16 * seeds), "pairs")
+
+    def shingles(batch: pa.RecordBatch) -> dict:
+        found = [np.unique(np.array(_hashes(t.as_py(), words), dtype=np.uint64)).view(np.int64) for t in batch.column(1)]
+        return {"node": batch.column(0), "shingles": found}
+
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("_node")).distinct(), "wanted")
+    texts = df.select(id_col, text_col).join(wanted, F.col(id_col) == F.col("_node"), "left_semi")
+    sets = materialize(arrow_map(texts, shingles, f"node {df.schema[id_col].dataType.simpleString()}, shingles array<long>"), "sets")
+    nearest = pairs.groupBy("b").agg(F.min_by("a", F.struct("bits", "a")).alias("a"))
+    links = materialize(_verified(nearest, sets, similarity), "links")
+    part = materialize(connected_components(links), "components")
+    left, right = (part.select(F.col("node").alias(side), F.col("component").alias(f"_{side}")) for side in "ab")
+    apart = pairs.select("a", "b").join(left, "a", "left").join(right, "b", "left").where(F.coalesce("_a", "a") != F.coalesce("_b", "b"))
+    links = links.unionByName(materialize(_verified(apart, sets, similarity), "links"))
+    part = materialize(connected_components(links), "components")
+    named = nodes.join(part, "node", "left").select("words", "f0", F.coalesce("component", "node").alias("component_id"))
+    named = materialize(named.withColumnsRenamed({"words": "_words", "f0": "_f0"}), "named")
+    out = prints.join(named, (F.col("words") == F.col("_words")) & (F.col("f0") == F.col("_f0")), "left")
+    return out.select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))

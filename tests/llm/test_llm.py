@@ -182,6 +182,34 @@ def test_simhash(spark):
     assert [got[i]["component_id"] for i in range(len(texts))] == reach(np.bitwise_count(f[:, None] ^ f[None]) <= 3, range(len(texts)))
 
 
+def jaccard(a, b, k=5):
+    wa, wb = ((x or "").lower().split() for x in (a, b))
+    sa, sb = ({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (wa, wb))
+    return len(sa & sb) / len(sa | sb)
+
+
+def test_similar_groups(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(900)]
+    texts = list(ODD)
+    for _ in range(25):
+        base = rng.choices(words, k=300)
+        for changes in (0, 0, 1, 3, 12, 40):
+            own = list(base)
+            for at in rng.sample(range(300), changes):
+                own[at] = rng.choice(words)
+            texts.append(" ".join(own))
+    got = by_id(simhash.similar_groups(docs(spark, texts)))
+    alike = np.array([[jaccard(a, b) >= 0.8 for b in texts] for a in texts])
+    want = reach(alike, range(len(texts)))
+    own = [got[i]["component_id"] for i in range(len(texts))]
+    assert np.mean([a == b for a, b in zip(own, want)]) > 0.97
+    assert all(want[a] == want[i] for i, a in enumerate(own))  # nothing below the similarity is linked
+    nulls = docs(spark, ["some words here"] * 3).withColumn("doc_id", F.when(F.col("doc_id") > 0, F.col("doc_id")))
+    assert sorted(simhash.similar_groups(nulls).collect(), key=str) == [(1, 1), (2, 1), (None, None)]
+    assert simhash.similar_groups(nulls.limit(0)).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(60)] + [(100 + rng.randrange(80), 100 + rng.randrange(80)) for _ in range(60)] + [(500, 500)]
@@ -241,7 +269,7 @@ def test_pipeline(spark):
         out = stage(spark, docs_in, DATA)
         assert out.columns == docs_in.columns, name
         if name == "simhash_near_dedup":
-            groups = simhash.simhash_groups(docs_in)
+            groups = simhash.similar_groups(docs_in)
             assert {r[0] for r in out.select("doc_id").collect()} == {r[0] for r in groups.where("doc_id = component_id").select("doc_id").collect()}
         spark_rows = out.collect()
         docs_in = spark.createDataFrame(spark_rows, docs_in.schema)

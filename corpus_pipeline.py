@@ -31,8 +31,8 @@ def remove_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near copies the document with the smallest id."""
-    groups = simhash.simhash_groups(docs)
+    """Keeps of each group of near copies (five words, similarity 0.8 or more) the document with the smallest id."""
+    groups = simhash.similar_groups(docs)
     kept = materialize(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct(), "kept")
     # nearly as many ids as documents are kept, so they are never broadcast
     return docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")

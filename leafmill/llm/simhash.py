@@ -13,7 +13,9 @@ links stay in proportion to the fingerprints however large a group is.
 `similar_groups` uses the same balls to find texts that share at least a given part of their
 five-word shingles. Fingerprints of such texts may differ in ten bits of 64, so it takes several
 fingerprints of different seeds, gives each half of each two bits (both sides emit all variants
-within one bit), and verifies colliding pairs on the shingles themselves.
+within one bit), and verifies colliding pairs on the shingles themselves. Groups of different near
+copies give links in proportion to their texts: only texts that one round of comparisons with a
+bucket's centre leaves apart are compared among themselves.
 
 Inputs with defined results: a null text counts as empty; texts without words have the zero
 fingerprint and link with each other; repeated rows are copies; an empty table gives an empty
@@ -27,7 +29,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, connected_components, materialize
@@ -133,21 +135,25 @@ def _seeded_prints(df: DataFrame, id_col: str, text_col: str, shingle: int, seed
     return arrow_map(df.select(id_col, text_col), prints, f"id {kind}, words long, " + ", ".join(f"f{s} long" for s in range(seeds)))
 
 
-def half_pairs(nodes: DataFrame, seeds: int) -> DataFrame:
-    """(a, b), a < b: the nodes that differ in at most two bits of one half of one of their fingerprints.
+def half_buckets(nodes: DataFrame, seeds: int) -> DataFrame:
+    """(variant, node): for each variant within one bit of halves of at least two nodes, the nodes of these halves.
 
-    Both sides emit their halves with no bit and with each one bit changed. A pair meets in one
-    row for each such half: the smaller node gives the half itself, or the lower of two bits.
+    Nodes that differ in at most two bits of one half of one of their fingerprints meet in a bucket.
+    Balls of distinct halves are only counted, by a combining aggregation; the halves of the few shared
+    variants are the variants' own balls, and bring the nodes.
     """
     half = [h for s in range(seeds) for h in (F.col(f"f{s}").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(f"f{s}", 32))]
     half = [h.bitwiseOR(F.lit(i << 32)) for i, h in enumerate(half)]
     masks = F.array(*[F.lit(m).cast("long") for m in [0] + [1 << i for i in range(32)]])
-    halves = nodes.select("node", F.explode(F.array(*half)).alias("half"))
-    ball = halves.select("node", F.posexplode(F.transform(masks, lambda m: F.col("half").bitwiseXOR(m))).alias("bit", "variant"))
-    a, b = ball.alias("a"), ball.alias("b")
-    once = (F.col("a.bit") == 0) | ((F.col("a.bit") < F.col("b.bit")) & (F.col("a.bit") > 0))
-    met = a.join(b, (F.col("a.variant") == F.col("b.variant")) & (F.col("a.node") < F.col("b.node")) & once)
-    return met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    halves = materialize(nodes.select("node", F.explode(F.array(*half)).alias("half")), "halves")
+    own = halves.groupBy("half").agg(F.least(F.count("*"), F.lit(2)).alias("n"))
+    # a few bytes a half become 33 rows: dealt out before that
+    own = own.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ball = own.select("n", F.posexplode(F.transform(masks, lambda m: F.col("half").bitwiseXOR(m))).alias("bit", "variant"))
+    met = ball.groupBy("variant").agg(F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(F.lit(1))).alias("n")).where("n > 1")
+    met = materialize(met.select("variant"), "met")
+    reach = met.select("variant", F.explode(F.transform(masks, lambda m: F.col("variant").bitwiseXOR(m))).alias("half"))
+    return materialize(reach.join(halves, "half").select("variant", "node"), "buckets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -163,32 +169,56 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     `words`-word shingles have at least that Jaccard similarity.
 
     Texts of the same words are one node. Pairs over a quarter of whose fingerprint bits differ
-    are far below any useful similarity and aren't verified. Each node's nearest pair is verified
-    first, and then all pairs that this leaves in different components; the others can't change one.
+    are far below any useful similarity and aren't verified. First each bucket's nodes are compared
+    with one of them; buckets whose nodes are then in one component drop out, as no link in them
+    can change a component. In the others all nodes of different components are compared, and pairs
+    emitted where parities of their shingles allow the similarity, which loses none that has it.
     """
     prints = materialize(_seeded_prints(df, id_col, text_col, shingle, seeds), "seeded")
     more = [f"f{s}" for s in range(1, seeds)]
     nodes = prints.where("id IS NOT NULL").groupBy("words", "f0").agg(F.min("id").alias("node"), *[F.first(f).alias(f) for f in more])
     nodes = materialize(nodes, "nodes")
-    met = materialize(half_pairs(nodes, seeds), "met")
-    for side in "ab":
-        met = met.join(nodes.select(F.col("node").alias(side), *[F.col(f"f{s}").alias(f"_{side}{s}") for s in range(seeds)]), side)
-    bits = sum((F.bit_count(F.col(f"_a{s}").bitwiseXOR(F.col(f"_b{s}"))) for s in range(seeds)), F.lit(0))
-    pairs = materialize(met.select("a", "b", bits.alias("bits")).where(F.col("bits") <= 16 * seeds), "pairs")
+    buckets = half_buckets(nodes, seeds)
 
     def shingles(batch: pa.RecordBatch) -> dict:
-        found = [np.unique(np.array(_hashes(t.as_py(), words), dtype=np.uint64)).view(np.int64) for t in batch.column(1)]
-        return {"node": batch.column(0), "shingles": found}
+        found = [np.unique(np.array(_hashes(t.as_py(), words), dtype=np.uint64)) for t in batch.column(1)]
+        odd = [np.packbits(np.bincount((h >> np.uint64(56)).astype(np.int64), minlength=256) & 1).view(np.int64) for h in found]
+        table = np.array(odd, dtype=np.int64).reshape(-1, 4)
+        return {"node": batch.column(0), "shingles": [h.view(np.int64) for h in found], "n": [len(h) for h in found]} | {f"o{i}": table[:, i] for i in range(4)}
 
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("_node")).distinct(), "wanted")
+    wanted = materialize(buckets.select(F.col("node").alias("_node")).distinct(), "wanted")
     texts = df.select(id_col, text_col).join(wanted, F.col(id_col) == F.col("_node"), "left_semi")
-    sets = materialize(arrow_map(texts, shingles, f"node {df.schema[id_col].dataType.simpleString()}, shingles array<long>"), "sets")
-    nearest = pairs.groupBy("b").agg(F.min_by("a", F.struct("bits", "a")).alias("a"))
-    links = materialize(_verified(nearest, sets, similarity), "links")
+    kind = df.schema[id_col].dataType.simpleString()
+    sets = materialize(arrow_map(texts, shingles, f"node {kind}, shingles array<long>, n long, o0 long, o1 long, o2 long, o3 long"), "sets")
+    marks = ["n", *[f"o{i}" for i in range(4)]]
+    bits = sum((F.bit_count(F.col(f"_a_f{s}").bitwiseXOR(F.col(f"_b_f{s}"))) for s in range(seeds)), F.lit(0))
+
+    def alike(a: str, b: str) -> Column:
+        """False where parities of shingle counts differ in more of 256 places than sets of that similarity can."""
+        differ = sum((F.bit_count(F.col(f"{a}o{i}").bitwiseXOR(F.col(f"{b}o{i}"))) for i in range(4)), F.lit(0))
+        return differ <= (F.col(f"{a}n") + F.col(f"{b}n")) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(pairs.distinct(), "pairs")
+        known = nodes.drop("words").join(sets.select("node", *marks), "node")
+        for side in "ab":
+            pairs = pairs.join(known.select(F.col("node").alias(side), *[F.col(c).alias(f"_{side}_{c}") for c in known.columns if c != "node"]), side)
+        pairs = materialize(pairs.where((bits <= 16 * seeds) & alike("_a_", "_b_")).select("a", "b"), "near")
+        return materialize(_verified(pairs, sets, similarity), "links")
+
+    # one node of each bucket is compared with the others
+    centre = buckets.groupBy("variant").agg(F.min_by("node", F.xxhash64("node")).alias("_centre"))
+    links = linked(buckets.join(centre, "variant").where(F.col("node") != F.col("_centre")).select(F.least("node", "_centre").alias("a"), F.greatest("node", "_centre").alias("b")))
     part = materialize(connected_components(links), "components")
-    left, right = (part.select(F.col("node").alias(side), F.col("component").alias(f"_{side}")) for side in "ab")
-    apart = pairs.select("a", "b").join(left, "a", "left").join(right, "b", "left").where(F.coalesce("_a", "a") != F.coalesce("_b", "b"))
-    links = links.unionByName(materialize(_verified(apart, sets, similarity), "links"))
+    placed = buckets.join(part, "node", "left").select("variant", "node", F.coalesce("component", "node").alias("component"))
+    placed = materialize(placed, "placed")
+    mixed = placed.groupBy("variant").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low != _high").select("variant")
+    members = placed.join(materialize(mixed, "mixed"), "variant", "left_semi").join(sets.select("node", *marks), "node")
+    members = materialize(members, "members")
+    a, b = (members.select(*[F.col(c).alias(f"_{side}_{c}") for c in members.columns]) for side in "ab")
+    apart = (F.col("_a_variant") == F.col("_b_variant")) & (F.col("_a_node") < F.col("_b_node")) & (F.col("_a_component") != F.col("_b_component"))
+    rest = a.join(b, apart & alike("_a_", "_b_")).select(F.col("_a_node").alias("a"), F.col("_b_node").alias("b"))
+    links = links.unionByName(linked(rest))
     part = materialize(connected_components(links), "components")
     named = nodes.join(part, "node", "left").select("words", "f0", F.coalesce("component", "node").alias("component_id"))
     named = materialize(named.withColumnsRenamed({"words": "_words", "f0": "_f0"}), "named")

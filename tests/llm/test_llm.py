@@ -210,6 +210,26 @@ def test_similar_groups(spark):
     assert simhash.similar_groups(nulls.limit(0)).count() == 0
 
 
+def groups_by_jaccard(texts):
+    return reach(np.array([[jaccard(a, b) >= 0.8 for b in texts] for a in texts]), range(len(texts)))
+
+
+def test_similar_groups_at_the_similarity(spark):
+    rng = random.Random(8)
+    words, texts = [f"w{i}" for i in range(5000)], []
+    for k in range(40):
+        base = rng.choices(words, k=300)
+        texts.append(" ".join(base))
+        texts.append(" ".join(base[:242]))  # a cut tail
+        texts.append(" ".join(base[:270] + rng.choices(words, k=30)) if k % 2 else " ".join(rng.choices(words, k=55) + base))  # a replaced tail, a new head
+        own = list(base)
+        for at in rng.sample(range(300), 6):
+            own[at] = "x"
+        texts.append(" ".join(own))
+    got = by_id(simhash.similar_groups(docs(spark, texts)))
+    assert [got[i]["component_id"] for i in range(len(texts))] == groups_by_jaccard(texts)
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(60)] + [(100 + rng.randrange(80), 100 + rng.randrange(80)) for _ in range(60)] + [(500, 500)]

@@ -13,7 +13,8 @@ returns its best k.
 
 Inputs with defined results: vectors that are null, empty, zero, of unusual length or with null
 or non-finite components take no part, nor do rows without id; rows with one id count as one
-vector (see valid_vectors); ties go to the smaller id; fewer candidates than k give them all; an
+vector (see valid_vectors); equal vectors are searched as one, which stands for its smallest k + 1
+ids (no query needs more of them), so that ties go to the smaller id; fewer candidates than k give them all; an
 empty table gives an empty result; other columns of the input are ignored.
 """
 
@@ -89,14 +90,17 @@ def encode(model: IvfPq, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _search(model: IvfPq, queries: pa.Table, rows: pa.Table, k: int, rerank: int) -> pa.Table:
-    """The k best rows of a shard for each query of a block: lists probed, tables added up, the best reranked exactly."""
+    """The k best rows of a shard for each query of a block: lists probed, tables added up, the best reranked exactly.
+
+    A row is a vector with the ids that it stands for. Rows that tie with the last one reranked are reranked too.
+    """
     q, ids = matrix(queries["vec"]), queries["id"].to_numpy()
     if not len(q) or not rows.num_rows:
         return pa.table({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-    x, row_ids, lists = matrix(rows["vec"]), rows["id"].to_numpy(), rows["list"].to_numpy()
+    x, row_ids, lists = matrix(rows["vec"]), rows["ids"].to_pylist(), rows["list"].to_numpy()
     codes = np.frombuffer(b"".join(rows["codes"].to_pylist()), dtype=np.uint8).reshape(len(x), -1)
     order = np.argsort(lists, kind="stable")
-    x, row_ids, lists, codes = x[order], row_ids[order], lists[order], codes[order]
+    x, row_ids, lists, codes = x[order], [np.array(row_ids[i]) for i in order], lists[order], codes[order]
     edges = np.searchsorted(lists, np.arange(len(model.coarse) + 1))
     to_coarse = q @ model.coarse.T
     probes = min(model.probes, len(model.coarse))
@@ -117,17 +121,30 @@ def _search(model: IvfPq, queries: pa.Table, rows: pa.Table, k: int, rerank: int
                 for j in range(len(tables)):
                     near += tables[j, start + asking][:, codes[rows_in, j]]
                 scores[asking, rows_in] = near
-        scores[ids[block][:, None] == row_ids[None, :]] = -np.inf
-        depth = min(rerank, len(x))
-        best = np.argpartition(-scores, depth - 1, axis=1)[:, :depth]
-        for i, at in enumerate(best):
-            at = at[scores[i, at] > -np.inf]
+        depth = min(rerank + 1, len(x))  # one more, as the query's own vector may be among them
+        last = -np.partition(-scores, depth - 1, axis=1)[:, depth - 1]
+        for i, low in enumerate(last):
+            at = np.flatnonzero((scores[i] >= low) & (scores[i] > -np.inf))
             exact = x[at] @ q[start + i]
-            first = np.lexsort((row_ids[at], -exact))[:k]
-            out.append((np.full(len(first), ids[start + i]), row_ids[at][first], exact[first]))
+            kept = np.argsort(-exact, kind="stable")
+            kept = kept[exact[kept] >= exact[kept[min(k, len(kept) - 1)]]] if len(kept) else kept
+            each = [row_ids[j] for j in at[kept]]
+            found = np.concatenate([*each, np.zeros(0, np.int64)])
+            score = np.repeat(exact[kept], [len(e) for e in each])
+            found, score = found[found != ids[start + i]], score[found != ids[start + i]]
+            first = np.lexsort((found, -score))[:k]
+            out.append((np.full(len(first), ids[start + i]), found[first], score[first]))
     return pa.table({n: np.concatenate([o[i] for o in out]) for i, n in enumerate(("query_id", "vec_id", "score"))})
 
 
+def _distinct(rows: DataFrame, most: int) -> DataFrame:
+    """(ids, vec): each vector once, with at most its `most` smallest ids; many copies are ranked in parts first."""
+    vec = F.transform("vec", lambda x: x + F.lit(0).cast(dict(rows.dtypes)["vec"][6:-1]))  # -0.0 is 0.0
+    least = lambda ids: F.slice(F.array_sort(ids), 1, most)
+    parts = rows.groupBy(vec.alias("vec"), F.pmod(F.xxhash64("id", F.lit(5)), F.lit(256)).alias("_part")).agg(least(F.collect_list("id")).alias("ids"))
+    return parts.groupBy("vec").agg(least(F.flatten(F.collect_list("ids"))).alias("ids")).select("ids", "vec")
+
+
 def nearest(df: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, rerank: int = 100, shard_rows: int = 8192, block_queries: int = 4096, max_sample: int = 20_000) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of largest inner product found for each row that `queries` selects."""
     spark = df.sparkSession
@@ -142,16 +159,17 @@ def nearest(df: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str
         if not batch.num_rows:
             return None
         at, codes = encode(model.value, matrix(batch.column(1)))
-        return {"id": batch.column(0), "vec": batch.column(1), "list": at, "codes": [c.tobytes() for c in codes]}
+        return {"ids": batch.column(0), "vec": batch.column(1), "list": at, "codes": [c.tobytes() for c in codes]}
 
     kinds = dict(rows.dtypes)
-    indexed = materialize(arrow_map(rows, index, f"id {kinds['id']}, vec {kinds['vec']}, list int, codes binary"), "index")
+    distinct = materialize(_distinct(rows, k + 1), "distinct")
+    indexed = materialize(arrow_map(distinct, index, f"ids array<{kinds['id']}>, vec {kinds['vec']}, list int, codes binary"), "index")
     asking = rows.withColumnRenamed("id", id_col).where(queries).withColumnRenamed(id_col, "id")
     shards, blocks = -(-total // shard_rows), -(-asking.count() // block_queries)
     if not blocks:
         return spark.createDataFrame([], empty)
     left = asking.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    right = indexed.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    right = indexed.withColumn("shard", F.pmod(F.xxhash64(F.col("ids")[0], F.lit(2)), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     found = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInArrow(lambda a, b: _search(model.value, a, b, k, rerank), "query_id long, vec_id long, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

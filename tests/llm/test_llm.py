@@ -265,6 +265,20 @@ def test_nearest(spark):
     assert few.count() == 4
 
 
+def test_nearest_among_copies(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((3000, 16)).astype(np.float32)
+    x[rng.choice(3000, 1500, replace=False)] = x[0]
+    x[rng.choice(3000, 60, replace=False)] = x[1] = x[0] * np.float32(0.999)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    got = vector_search.nearest(df, F.col("vec_id") % 20 == 0).collect()
+    copies = [q for q in range(0, 3000, 20) if (x[q] == x[0]).all()]
+    assert len(copies) > 50
+    want = np.flatnonzero((x == x[0]).all(1)).tolist()
+    for q in copies:
+        assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == [i for i in want if i != q][:20]
+
+
 def test_mixing(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     a, b = (mixing.mix_counts(df).collect() for _ in range(2))

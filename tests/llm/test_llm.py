@@ -230,6 +230,16 @@ def test_similar_groups_at_the_similarity(spark):
     assert [got[i]["component_id"] for i in range(len(texts))] == groups_by_jaccard(texts)
 
 
+def test_similar_groups_with_repeated_passages(spark):
+    rng = random.Random(9)
+    words, texts = [f"w{i}" for i in range(5000)], []
+    for k in (2, 3, 10, 30) * 5:
+        p, q = rng.choices(words, k=200), rng.choices(words, k=200)
+        texts += [" ".join(p * k + q), " ".join(p + q)]
+    got = by_id(simhash.similar_groups(docs(spark, texts)))
+    assert [got[i]["component_id"] for i in range(len(texts))] == [i - i % 2 for i in range(len(texts))] == groups_by_jaccard(texts)
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(60)] + [(100 + rng.randrange(80), 100 + rng.randrange(80)) for _ in range(60)] + [(500, 500)]
@@ -297,6 +307,7 @@ def test_mixing(spark):
     assert odd[1]["size"] == 0 and odd[1]["taken"] == 0 and mixing.mix_counts(docs(spark).limit(0)).count() == 0
 
 
+
 def test_pipeline(spark):
     docs_in, names = spark.read.parquet(f"{DATA}/documents.parquet"), None
     for name, stage in corpus_pipeline.STAGES[:-1]:

@@ -1,7 +1,7 @@
 """Mixing sources to target weights, in fixed-length blocks.
 
 The words of each source, in the order of its documents' ids, are cut into blocks of
-`block_words`. Each output shard draws its block slots for the sources from a multinomial
+`block_words`, the last of them as short as what is left. Each output shard draws its block slots for the sources from a multinomial
 whose probabilities are what the sources still lack, so that all shards together meet the
 targets to a block. A source's slots run through its blocks by a keyed pseudorandom permutation
 of the block indexes, epoch by epoch, and slots meet blocks by a join on source and index: how
@@ -89,6 +89,22 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
+def _quota(aim: float, n: int, block: int, key: int) -> int:
+    """The slots whose words come nearest to `aim`: whole epochs of n words, then blocks in permuted order, the last of which may be shorter."""
+    if not n:
+        return 0
+    n_blocks = -(-n // block)
+    epochs = int(aim / n + 1e-9)
+    rest = max(0.0, aim - epochs * n)
+    place, short = int(permuted(np.array([n_blocks - 1]), n_blocks, key)[0]), n_blocks * block - n
+    some = range(int(rest / block), min(n_blocks, int(rest / block) + 2) + 1)
+    return epochs * n_blocks + min(some, key=lambda k: abs(k * block - (short if k > place else 0) - rest))
+
+
+def _key(seed: int, source: int) -> int:
+    return seed * 1_000_003 + source
+
+
 def _planned(df: DataFrame, id_col: str, text_col: str, source_col: str, block_words: int, most: int, shards: int, seed: int, keep_text: bool) -> tuple[DataFrame, list[tuple]]:
     """Documents with their place in their source, and (source, size, target, slots, block) by source."""
     sized = df.withColumns({"_size": word_count(text_col), "_tie": F.xxhash64(text_col)})
@@ -98,7 +114,7 @@ def _planned(df: DataFrame, id_col: str, text_col: str, source_col: str, block_w
     aims = targets([n for _, n in sums], most=float(most))
     # small sources get smaller blocks, so that a block is under a thousandth of the target
     blocks = [max(1, min(block_words, int(a / 1000))) for a in aims]
-    quota = [min(int(a / b + 0.5), n // b * most) for a, b, (_, n) in zip(aims, blocks, sums)]
+    quota = [_quota(a, n, b, _key(seed, i)) for i, (a, b, (_, n)) in enumerate(zip(aims, blocks, sums))]
     slots = draw_slots(quota, shards, seed).sum(0)
     placed = prefix_sums(sized, [source_col], [id_col, "_tie"], F.col("_size"), "_at")
     return placed, [(s, n, a, int(k), b) for (s, n), a, k, b in zip(sums, aims, slots, blocks)]
@@ -118,10 +134,9 @@ def _mixed(df: DataFrame, names: list[str], id_col: str, source_col: str, plan:
         taken, texts = [], []
         for row, (source, at, size) in enumerate(zip(cols["_source"], cols["_at"], cols["_size"])):
             i, total, _, slots, block = by_source.value[source]
-            n_blocks = total // block
+            n_blocks = -(-total // block)
             own = np.arange(at // block, (at + size - 1) // block + 1) if size else np.zeros(0, dtype=np.int64)
-            own = own[own < n_blocks]  # the rest of a source that fills no block
-            times = _times(own, n_blocks, slots, seed * 1_000_003 + i)
+            times = _times(own, n_blocks, slots, _key(seed, i))
             lo, hi = np.maximum(own * block, at) - at, np.minimum((own + 1) * block, at + size) - at
             taken.append(int(((hi - lo) * times).sum()))
             if keep_text:

@@ -307,6 +307,16 @@ def test_mixing(spark):
     assert odd[1]["size"] == 0 and odd[1]["taken"] == 0 and mixing.mix_counts(docs(spark).limit(0)).count() == 0
 
 
+def test_mixing_takes_the_last_block(spark):
+    rows = [(i, " ".join(f"w{i}" for _ in range(n)), "a") for i, n in enumerate([1500, 2, 700, 1296, 3])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r["doc_id"]: r["taken"] for r in mixing.mix_counts(df).collect()} == {0: 1500, 1: 2, 2: 700, 3: 1296, 4: 3}
+    for n, aim in ((3501, 3501 * 3), (3501, 2000), (3501, 5000.4), (999, 1998), (1, 3), (257, 256)):
+        for block in (1, 3, 256):
+            blocks = -(-n // block)
+            times = mixing._times(np.arange(blocks), blocks, mixing._quota(aim, n, block, 5), 5)
+            assert abs(int((times * np.minimum(block, n - np.arange(blocks) * block)).sum()) - aim) <= block / 2 + 1
+
 
 def test_pipeline(spark):
     docs_in, names = spark.read.parquet(f"{DATA}/documents.parquet"), None

@@ -330,3 +330,15 @@ def test_pipeline(spark):
         docs_in = spark.createDataFrame(spark_rows, docs_in.schema)
     packed = corpus_pipeline.STAGES[-1][1](spark, docs_in, DATA)
     assert {r[0] for r in packed.select("doc_id").distinct().collect()} == {r["doc_id"] for r in spark_rows}
+
+
+def test_pipeline_keeps_one_of_each_group_by_jaccard(spark):
+    rng = random.Random(10)
+    words, texts = [f"w{i}" for i in range(3000)], list(ODD)
+    for k in range(30):
+        base = rng.choices(words, k=300)
+        texts += [" ".join(base), " ".join(base[: 240 + k % 5]), " ".join(base[:266] + rng.choices(words, k=34)), " ".join(base[:100] * 4 + base)]
+    sims = [jaccard(texts[i], texts[j]) for i in range(len(texts)) for j in range(i)]
+    assert sum(0.8 <= s < 0.85 for s in sims) > 30
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs(spark, texts), DATA).collect()}
+    assert kept == {i for i, c in enumerate(groups_by_jaccard(texts)) if i == c}

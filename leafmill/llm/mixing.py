@@ -1,12 +1,11 @@
 """Mixing sources to target weights, in fixed-length blocks.
 
 The words of each source, in the order of its documents' ids, are cut into blocks of
-`block_words`, the last of them as short as what is left. Each output shard draws its block slots for the sources from a multinomial
-whose probabilities are what the sources still lack, so that all shards together meet the
-targets to a block. A source's slots run through its blocks by a keyed pseudorandom permutation
-of the block indexes, epoch by epoch, and slots meet blocks by a join on source and index: how
-often a block is taken follows from its place in the permutation, so the join has a row per
-block, not per slot.
+`block_words`, the last of them as short as what is left. A source's slots, as many as bring its target nearest, run through its
+blocks by a keyed pseudorandom permutation of the block indexes, epoch by epoch: how often a
+block is taken follows from its place in the permutation, so there is a row per document, not
+per slot. `draw_slots` deals the slots to shards, but only its sums, which are the quotas, are
+used: output shards and a join of slots and blocks aren't built.
 
 Tables with a row per source are handled on the driver (sources are the components of a mix;
 shards are a fixed number). Documents get their place in a source by range-partitioned prefix

@@ -1,42 +1,87 @@
-"""What the operators of this package share: shared-folder tables, Arrow maps, graph components."""
+"""What the operators of this package share: shared-folder tables, Arrow maps, prefix sums, graph components."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """Folder that driver and executors share: spark.checkpoint.dir; a temporary one where that is unset and everything runs in one process."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="leafmill-")
-        sc.setCheckpointDir(found)
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="leafmill-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back.
+_scope: ContextVar[list | None] = ContextVar("leafmill_scope", default=None)
 
-    This cuts the lineage with files that survive the loss of any executor, and gives
-    the reader real sizes for its join choice.
+
+@contextmanager
+def scratch_scope() -> Iterator[None]:
+    """Removes, at its end, all tables that operators called inside have left: for callers that have written the result by then."""
+    opened: list[Scratch] = []
+    token = _scope.set(opened)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        for s in opened:
+            s.remove(s.folder)
+
+
+class Scratch:
+    """Tables of one operator's run, in the shared folder.
+
+    A table cuts the lineage with files that survive the loss of any executor, and gives the
+    reader real sizes for its join choice. `drop` removes tables that no later step reads; those
+    that the operator's own result reads stay until a scratch_scope around it ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/leafmill/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.folder = f"{shared_dir(spark)}/leafmill/{name}-{uuid.uuid4().hex}"
+        self.made: list[str] = []
+        if (opened := _scope.get()) is not None:
+            opened.append(self)
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.folder}/{len(self.made):03d}-{name}"
+        df.write.parquet(path)
+        self.made.append(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._leafmill_path = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            self.remove(t._leafmill_path)
+
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Drops all other tables."""
+        for path in {*self.made} - {t._leafmill_path for t in tables}:
+            self.remove(path)
+
+    def remove(self, path: str) -> None:
+        jvm, sc = self.spark._jvm, self.spark.sparkContext
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: StructType | str) -> DataFrame:
-    """Maps each Arrow batch to a dict of columns; all columns of `schema`, in any order."""
+    """Maps each Arrow batch to a dict of columns; all columns of `schema`, in any order. Arrow columns are passed on as they are."""
     schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     names = schema.fieldNames()
 
@@ -44,10 +89,14 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
+
+        def column(x: object, kind: pa.DataType) -> pa.Array:
+            return x.cast(kind) if isinstance(x, pa.Array) else pa.array(x, type=kind)
+
         for batch in batches:
             out = fn(batch)
             if out is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(out[n], type=arrow.field(n).type) for n in names], schema=arrow)
+                yield pa.RecordBatch.from_arrays([column(out[n], arrow.field(n).type) for n in names], schema=arrow)
 
     return df.mapInArrow(run, schema)
 
@@ -57,34 +106,32 @@ def text_or_empty(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def prefix_sums(df: DataFrame, keys: list[str], order: list[str], amount: Column, out: str, parts: int | None = None) -> DataFrame:
+def prefix_sums(df: DataFrame, keys: list[str], order: list[str], amount: str, out: str, scratch: Scratch) -> DataFrame:
     """Adds `out`: the sum of `amount` over the rows before this one, among equal `keys`, in the order of `order`.
 
-    Rows are range-partitioned on keys and order together, so that a key with a third of all
-    rows spreads over many partitions; each sorted
-    partition adds up its own rows in one pass, and the totals of and key (at most partitions + keys rows) are added up once more. `order` has to
-    be unique within a key for a result that reruns repeat.
+    df is a table of the caller's own columns, so that names never clash, and slim: its rows are
+    range-partitioned on keys and order together, so that a key with a third of all rows spreads
+    over many partitions. Each sorted partition adds up its own rows in one pass, and the totals
+    of partitions and keys are added up once more. `order` has to be unique within a key for a
+    result that reruns repeat.
     """
-    from pyspark.sql import Window
-
-    spark = df.sparkSession
-    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.withColumn("_amount", amount.cast("long")).repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order)
-    dealt = materialize(_running(dealt.withColumn("_part", F.spark_partition_id()), keys), "ranges")
-    totals = dealt.groupBy("_part", *keys).agg(F.sum("_amount").alias("_total"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order)
+    dealt = scratch.table(_running(dealt.withColumn("_part", F.spark_partition_id()), keys, amount), "ranges")
+    totals = dealt.groupBy("_part", *keys).agg(F.sum(amount).alias("_total"))
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(F.col("_part").alias("_p"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))
-    starts = materialize(starts, "starts")
+    starts = scratch.table(starts, "starts")
     same = F.col("_part") == F.col("_p")
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    # starts has at most partitions + keys rows
-    joined = dealt.join(F.broadcast(starts), same, "left")
-    return joined.withColumn(out, F.col("_inside") + F.col("_before")).drop("_inside", "_before", "_p", "_part", "_amount", *[f"_k{i}" for i in range(len(keys))])
+    # a row for each key and partition that has it: Spark broadcasts it below its own limit and else splits the join
+    joined = dealt.join(starts, same, "left")
+    return joined.select(*df.columns, (F.col("_inside") + F.col("_before")).alias(out))
 
 
-def _running(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds `_inside`, the sum of `_amount` over earlier rows of the partition with equal keys; rows come sorted by keys."""
+def _running(df: DataFrame, keys: list[str], amount_col: str) -> DataFrame:
+    """Adds `_inside`, the sum of the amounts of earlier rows of the partition with equal keys; rows come sorted by keys."""
     schema = StructType.fromJson(df.schema.jsonValue()).add("_inside", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +139,7 @@ def _running(df: DataFrame, keys: list[str]) -> DataFrame:
         for batch in batches:
             inside = []
             rows = zip(*(batch.column(k).to_pylist() for k in keys))
-            for key, amount in zip(rows, batch.column("_amount").to_pylist()):
+            for key, amount in zip(rows, batch.column(amount_col).to_pylist()):
                 if key != last:
                     last, total = key, 0
                 inside.append(total)
@@ -102,16 +149,16 @@ def _running(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) for every node of edges(a, b); component is the smallest node reachable.
 
     Alternates large-star and small-star steps until the edges form stars, the number of
     rounds growing with the logarithm of the longest path. Every step is a combining
     aggregation and an equi-join of two tables, which adaptive execution may split where one
-    node has very many edges.
+    node has very many edges. Edges from a node to itself don't count.
     """
     e = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e = materialize(e, "edges")
+    e = scratch.table(e, "edges")
 
     def mark(x: DataFrame) -> tuple:
         return tuple(x.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
@@ -119,13 +166,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
     seen = mark(e)
     while seen[0]:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "large")
-        e = materialize(both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "edges")
-        least = materialize(e.groupBy("a").agg(F.min("b").alias("m")), "small")
-        moved = e.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = materialize(moved.unionAll(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        large = scratch.table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "large")
+        wide = scratch.table(both.join(large, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "edges")
+        scratch.drop(e, large)
+        small = scratch.table(wide.groupBy("a").agg(F.min("b").alias("m")), "small")
+        moved = wide.join(small, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        e = scratch.table(moved.unionAll(small.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        scratch.drop(wide, small)
         now = mark(e)
         if now == seen:
             break
         seen = now
-    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    found = e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out = scratch.table(found, "components")
+    scratch.drop(e)
+    return out

@@ -3,29 +3,31 @@
 The n-grams of lower-cased letters (runs of anything else are one space) are hashed to a
 fixed number of buckets. Workers count buckets per language over labelled texts; the summed
 counts, of a size fixed by buckets and languages, become a matrix of log-probabilities that is
-broadcast, and whole batches are scored by adding up its rows.
+broadcast. A batch of texts becomes a sparse matrix of (text, bucket, count), which is multiplied
+with it in one product for all its texts; only very long texts go in several parts.
 
 Inputs with defined results: a null text, an empty one or one without a letter gets language
 "und" and score 0; a text in n-grams never seen is scored by the smoothed matrix; with no
-labelled rows every text is "und"; repeated rows give repeated rows; an empty table gives an
-empty table; other columns of the input are ignored.
+labelled rows every text is "und"; more than `max_languages` distinct labels are an error;
+repeated rows give repeated rows; an empty table gives an empty table; other columns of the input
+are ignored or, where asked for, carried along whatever their names.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import arrow_map, text_or_empty
 
-#: Code points that are hashed at a time, to bound a worker's memory on long texts.
+#: Code points that are hashed at a time, to bound a worker's memory.
 CHUNK = 1 << 20
-_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 @dataclass(frozen=True)
@@ -38,25 +40,61 @@ class LanguageModel:
     sizes: tuple[int, ...]
 
 
-def _buckets(text: str, sizes: tuple[int, ...], n_buckets: int):
-    """Yields arrays of the buckets of a text's n-grams; nothing for a text without letters."""
-    words = _LETTERS.findall(text.lower())
-    if not words:
-        return
-    codes = np.frombuffer((" " + " ".join(words) + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    reach = max(sizes) - 1
-    for start in range(0, len(codes), CHUNK):
-        c = codes[start : start + CHUNK + reach].astype(np.uint32)
-        h = np.zeros(len(c), dtype=np.uint32)
-        for n in range(1, reach + 2):
-            h = (h[: len(c) - n + 1] if n > 1 else h) * np.uint32(0x9E3779B1) + c[n - 1 :]
-            if n in sizes:
-                mixed = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B + 2 * n)
-                # an n-gram belongs to the chunk that it starts in
-                yield ((mixed >> np.uint32(7)) & np.uint32(n_buckets - 1))[:CHUNK].astype(np.int64)
-
-
-def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", where: Column | None = None, max_docs: int = 20_000, n_buckets: int = 1 << 16, sizes: tuple[int, ...] = (2, 3)) -> LanguageModel:
+def _letters(text: str) -> str:
+    """The lower-cased letters of a text (Unicode's letter classes; numerals aren't), other runs as one space."""
+    import regex
+
+    global _not_letters
+    if _not_letters is None:
+        _not_letters = regex.compile(r"[^\p{L}]+")
+    return _not_letters.sub(" ", text.lower()).strip()
+
+
+_not_letters = None
+
+
+def _ngrams(codes: np.ndarray, rows: np.ndarray, sizes: tuple[int, ...], n_buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, bucket) of each n-gram that lies within one row's stretch of code points."""
+    h = np.zeros(len(codes), dtype=np.uint32)
+    for n in range(1, max(sizes) + 1):
+        if len(codes) < n:
+            return
+        h = (h[: len(codes) - n + 1] if n > 1 else h) * np.uint32(0x9E3779B1) + codes[n - 1 :]
+        if n in sizes:
+            inside = np.flatnonzero(rows[: len(h)] == rows[n - 1 :])
+            mixed = (h[inside] ^ (h[inside] >> np.uint32(15))) * np.uint32(0x85EBCA6B + 2 * n)
+            yield rows[inside], ((mixed >> np.uint32(7)) & np.uint32(n_buckets - 1)).astype(np.int64)
+
+
+def _parts(texts: Iterable[str], reach: int) -> Iterator[tuple[list[int], list[str]]]:
+    """Runs of texts of at most about CHUNK code points together, by number; a longer text in parts that overlap by `reach`."""
+    numbers, held, size = [], [], 0
+    for i, text in enumerate(texts):
+        for start in range(0, max(1, len(text) - reach), CHUNK):
+            part = text[start : start + CHUNK + reach]
+            if size and size + len(part) > CHUNK:
+                yield numbers, held
+                numbers, held, size = [], [], 0
+            numbers.append(i)
+            held.append(part)
+            size += len(part)
+    if held:
+        yield numbers, held
+
+
+def counts_by_row(texts: list[str], sizes: tuple[int, ...], n_buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Sparse counts (row, bucket, count) of the n-grams of texts, in runs of rows; the n-grams of a long row may come in several runs."""
+    padded = (f" {own} " if (own := _letters(t)) else "" for t in texts)
+    for numbers, held in _parts(padded, max(sizes) - 1):
+        codes = np.frombuffer("".join(held).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        # parts of one long text are told apart, as no n-gram spans two
+        places = np.repeat(np.arange(len(held)), [len(x) for x in held])
+        found = [places_ * n_buckets + b for places_, b in _ngrams(codes, places, sizes, n_buckets)]
+        keys, n = np.unique(np.concatenate([*found, np.zeros(0, np.int64)]), return_counts=True)
+        yield np.array(numbers, dtype=np.int64)[keys // n_buckets], keys % n_buckets, n
+
+
+def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", where: Column | None = None, max_docs: int = 20_000, n_buckets: int = 1 << 16, sizes: tuple[int, ...] = (2, 3), max_languages: int = 1000) -> LanguageModel:
     """Fits on labelled rows for which `where` holds.
 
     At most about `max_docs` rows are used, drawn by a hash of their text with one rate for
@@ -70,21 +108,26 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", where: Co
         rows = rows.where(F.pmod(F.xxhash64(text_col), F.lit(1 << 30)) < int(rate * (1 << 30)))
 
     def counts(batch: pa.RecordBatch) -> dict:
-        by: dict[str, np.ndarray] = {}
-        docs: dict[str, int] = {}
-        for text, lang in zip(text_or_empty(batch.column(0)), batch.column(1).to_pylist()):
-            own = by.setdefault(lang, np.zeros(n_buckets, dtype=np.int64))
-            docs[lang] = docs.get(lang, 0) + 1
-            for b in _buckets(text, sizes, n_buckets):
-                own += np.bincount(b, minlength=n_buckets)
-        out = [(lang, int(i), int(own[i])) for lang, own in by.items() for i in np.flatnonzero(own)]
-        out += [(lang, -1, n) for lang, n in docs.items()]
-        return {"lang": [x[0] for x in out], "bucket": [x[1] for x in out], "n": [x[2] for x in out]}
-
-    found = arrow_map(rows.select(text_col, lang_col), counts, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+        labels = batch.column(1).to_pylist()
+        names = sorted(set(labels))
+        at = np.array([names.index(x) for x in labels], dtype=np.int64)
+        sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for rows_, buckets, n in counts_by_row(text_or_empty(batch.column(0)), sizes, n_buckets):
+            keys, places = np.unique(np.concatenate([sums[0], at[rows_] * n_buckets + buckets]), return_inverse=True)
+            sums = keys, np.bincount(places, np.concatenate([sums[1], n]), len(keys)).astype(np.int64)
+        docs = np.bincount(at, minlength=len(names))
+        lang = [names[i] for i in sums[0] // n_buckets] + names
+        return {"lang": lang, "bucket": np.concatenate([sums[0] % n_buckets, np.full(len(names), -1)]), "n": np.concatenate([sums[1], docs])}
+
+    counted = arrow_map(rows.select(text_col, lang_col), counts, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    # at most a row for each language and bucket
+    found = counted.limit(max_languages * (n_buckets + 1) + 1).toArrow()
     lang, bucket, n = found["lang"].to_pylist(), found["bucket"].to_numpy(), found["n"].to_numpy()
     languages = tuple(sorted(set(lang)))
-    at = np.array([languages.index(x) for x in lang], dtype=np.int64)
+    if len(languages) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
+    place = {x: i for i, x in enumerate(languages)}
+    at = np.array([place[x] for x in lang], dtype=np.int64)
     table, docs = np.zeros((n_buckets, len(languages))), np.zeros(len(languages))
     inside = bucket >= 0
     table[bucket[inside], at[inside]] = n[inside]
@@ -99,23 +142,30 @@ def predict(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
 
     def score(batch: pa.RecordBatch) -> dict:
         m = shared.value
-        langs, scores = [], []
-        for text in text_or_empty(batch.column(1)):
-            total, seen = m.log_prior.astype(np.float64), 0
-            for b in _buckets(text, m.sizes, len(m.log_prob)) if m.languages else ():
-                own = np.bincount(b, minlength=0)
-                used = np.flatnonzero(own)
-                total = total + own[used] @ m.log_prob[used].astype(np.float64)
-                seen += len(b)
-            if not seen:
-                langs.append("und")
-                scores.append(0.0)
+        texts = text_or_empty(batch.column(1))
+        total, seen = np.tile(m.log_prior.astype(np.float64), (len(texts), 1)), np.zeros(len(texts), dtype=np.int64)
+        for rows, buckets, n in counts_by_row(texts, m.sizes, len(m.log_prob)) if m.languages else ():
+            if not len(rows):
                 continue
-            share = np.exp(total - total.max())
-            langs.append(m.languages[int(total.argmax())])
-            scores.append(float(1 / share.sum()))
+            first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])  # rows come in order
+            for k in range(len(m.languages)):
+                total[rows[first], k] += np.add.reduceat(n * m.log_prob[buckets, k].astype(np.float64), first)
+            seen[rows[first]] += np.add.reduceat(n, first)
+        told = seen > 0
+        langs, scores = np.full(len(texts), "und", dtype=object), np.zeros(len(texts))
+        if told.any():
+            best = total[told].max(1, keepdims=True)
+            scores[told] = 1 / np.exp(total[told] - best).sum(1)
+            langs[told] = np.array(m.languages, dtype=object)[total[told].argmax(1)]
         return {id_col: batch.column(0), **{c: batch.column(2 + i) for i, c in enumerate(carry)}, "lang_pred": langs, "score": scores}
 
-    kinds = {c: df.schema[c].dataType.simpleString() for c in (id_col, *carry)}
-    schema = ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + ", lang_pred string, score double"
+    fields = [df.schema[c] for c in (id_col, *carry)]
+    schema = StructType([*fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     return arrow_map(df.select(id_col, text_col, *carry), score, schema)
+
+
+def keep_known(df: DataFrame, model: LanguageModel, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of df, with all their columns, whose language is told with a score of at least `least`."""
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(text_col).alias("text"))
+    found = predict(packed, model, "row", "text")
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*[F.col("row")[c].alias(c) for c in df.columns])

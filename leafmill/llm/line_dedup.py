@@ -10,7 +10,8 @@ which every site copied whole isn't lost.
 Inputs with defined results: a null text stays null; blank lines are never boilerplate; a null
 site counts as one site of its own; a text all of whose lines go becomes empty; rows of
 one id are told apart by their texts, and repeated rows are treated alike; an empty table
-gives an empty table; all columns of the input are kept.
+gives an empty table; all columns of the input are kept, whatever their names, but for one named
+`lines_removed`, which is replaced.
 """
 
 from __future__ import annotations
@@ -18,46 +19,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Scratch
 
 #: Sketch size (2^10 registers) and the half-width of the band that is counted exactly: over 3 standard errors.
 LG_K, BAND = 10, 0.15
 
 
-def _lines(df: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
+def _lines(docs: DataFrame) -> DataFrame:
     """(h1, h2, id, doc, pos, site) of the non-blank lines without their outer spaces; the text itself isn't shuffled."""
-    lines = df.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_doc"), F.xxhash64(site_col).alias("_site"), F.posexplode(F.split(text_col, "\n")).alias("_pos", "_raw"))
-    line = F.trim("_raw")
-    return lines.where(line != "").select(F.xxhash64(line).alias("_h1"), F.xxhash64(F.lit(1), line).alias("_h2"), "_id", "_doc", "_pos", "_site")
-
-
-def spread_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 5) -> tuple[DataFrame, DataFrame]:
-    """The lines on at least `min_sites` distinct sites as (h1, h2, sites, first place), and where all often-seen lines stand."""
-    lines = _lines(df, id_col, text_col, site_col)
-    often = lines.groupBy("_h1").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_sites)
-    often = materialize(often.select(F.col("_h1").alias("_o1")), "often")
-    placed = materialize(lines.join(often, F.col("_h1") == F.col("_o1")).drop("_o1"), "placed")
-    sketches = placed.groupBy("_h1", "_h2").agg(F.hll_sketch_agg("_site", LG_K).alias("_sketch"), F.min(F.struct("_id", "_doc", "_pos")).alias("first"))
-    estimated = materialize(sketches.select(F.col("_h1").alias("_s1"), F.col("_h2").alias("_s2"), "first", F.hll_sketch_estimate("_sketch").cast("double").alias("_sites")), "spread")
-    near = F.col("_sites").between(min_sites * (1 - BAND) - 1, min_sites * (1 + BAND) + 1)
-    same = (F.col("_h1") == F.col("_s1")) & (F.col("_h2") == F.col("_s2"))
-    counted = placed.groupBy("_h1", "_h2", "_site").agg(F.lit(1).alias("_one")).join(estimated.where(near).select("_s1", "_s2"), same, "left_semi")
-    counted = counted.groupBy("_h1", "_h2").agg(F.count("*").cast("double").alias("_exact"))
-    both = estimated.join(counted, same, "left").withColumn("sites", F.coalesce("_exact", "_sites"))
-    found = both.where(F.col("sites") >= min_sites).select("_s1", "_s2", F.round("sites").cast("long").alias("sites"), "first")
-    return materialize(found, "boilerplate"), placed
+    lines = docs.select("id", F.xxhash64("text").alias("doc"), F.xxhash64("site").alias("site"), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
+    line = F.trim("raw")
+    return lines.where(line != "").select(F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"), "id", "doc", "pos", "site")
+
+
+def spread_lines(docs: DataFrame, scratch: Scratch, min_sites: int) -> tuple[DataFrame, DataFrame]:
+    """Of docs(id, text, site): the lines on at least `min_sites` distinct sites as (s1, s2, sites, first place), and where all often-seen lines stand."""
+    lines = _lines(docs)
+    often = lines.groupBy("h1").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites)
+    often = scratch.table(often.select(F.col("h1").alias("o1")), "often")
+    placed = scratch.table(lines.join(often, F.col("h1") == F.col("o1")).drop("o1"), "placed")
+    sketches = placed.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"), F.min(F.struct("id", "doc", "pos")).alias("first"))
+    estimated = scratch.table(sketches.select(F.col("h1").alias("s1"), F.col("h2").alias("s2"), "first", F.hll_sketch_estimate("sketch").cast("double").alias("estimate")), "spread")
+    near = F.col("estimate").between(min_sites * (1 - BAND) - 1, min_sites * (1 + BAND) + 1)
+    same = (F.col("h1") == F.col("s1")) & (F.col("h2") == F.col("s2"))
+    counted = placed.groupBy("h1", "h2", "site").agg(F.lit(1).alias("one")).join(estimated.where(near).select("s1", "s2"), same, "left_semi")
+    counted = counted.groupBy("h1", "h2").agg(F.count("*").cast("double").alias("exact"))
+    both = estimated.join(counted, same, "left").withColumn("sites", F.coalesce("exact", "estimate"))
+    found = scratch.table(both.where(F.col("sites") >= min_sites).select("s1", "s2", F.round("sites").cast("long").alias("sites"), "first"), "boilerplate")
+    scratch.drop(often, estimated)
+    return found, placed
 
 
 def remove_spread_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 5) -> DataFrame:
-    """The input with boilerplate lines removed from `text_col`, and `lines_removed`, their number, added."""
-    names = df.columns
-    spread, placed = spread_lines(df, id_col, text_col, site_col, min_sites)
-    hits = placed.join(spread, (F.col("_h1") == F.col("_s1")) & (F.col("_h2") == F.col("_s2")))
-    first = F.col("_id").eqNullSafe(F.col("first._id")) & (F.col("_doc") == F.col("first._doc")) & (F.col("_pos") == F.col("first._pos"))
+    """The input with boilerplate lines removed from `text_col`, and `lines_removed`, their number, added or replaced."""
+    names = [c for c in df.columns if c != "lines_removed"]
+    scratch = Scratch(df.sparkSession, "lines")
+    spread, placed = spread_lines(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(site_col).alias("site")), scratch, min_sites)
+    hits = placed.join(spread, (F.col("h1") == F.col("s1")) & (F.col("h2") == F.col("s2")))
+    first = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("doc") == F.col("first.doc")) & (F.col("pos") == F.col("first.pos"))
     # the positions of one document: at most as many as it has lines
-    gone = materialize(hits.where(~first).groupBy("_id", "_doc").agg(F.collect_set("_pos").alias("_gone")), "removed")
-    joined = df.withColumn("_key", F.xxhash64(text_col)).join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_doc")), "left")
-    kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)
-    removed = F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone")).cast("long")
-    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in names], removed.alias("lines_removed"))
+    gone = scratch.table(hits.where(~first).groupBy("id", "doc").agg(F.collect_set("pos").alias("gone")), "removed")
+    scratch.keep_only(gone)
+    # the caller's columns travel in one struct, so that no name clashes
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(id_col).alias("own_id"), F.xxhash64(text_col).alias("own_doc"))
+    joined = rows.join(gone, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_doc") == F.col("doc")), "left")
+    whole = F.col("row")[text_col]
+    kept = F.array_join(F.filter(F.split(whole, "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    text = F.when(F.col("gone").isNull(), whole).otherwise(kept)
+    removed = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long")
+    return joined.select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names], removed.alias("lines_removed"))

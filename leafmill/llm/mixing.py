@@ -1,20 +1,23 @@
 """Mixing sources to target weights, in fixed-length blocks.
 
 The words of each source, in the order of its documents' ids, are cut into blocks of
-`block_words`, the last of them as short as what is left. A source's slots, as many as bring its target nearest, run through its
-blocks by a keyed pseudorandom permutation of the block indexes, epoch by epoch: how often a
-block is taken follows from its place in the permutation, so there is a row per document, not
-per slot. `draw_slots` deals the slots to shards, but only its sums, which are the quotas, are
-used: output shards and a join of slots and blocks aren't built.
-
-Tables with a row per source are handled on the driver (sources are the components of a mix;
-shards are a fixed number). Documents get their place in a source by range-partitioned prefix
-sums, which spread a source with a third of all rows.
+`block_words`, the last of them as short as what is left. The mix is a number of output shards
+of equal size. For each shard, multinomial counts say how many block slots each source gets
+there, drawn by what the source still lacks of its quota, so that all shards together bring every
+source to its target. A source's slots run through its blocks by a keyed pseudorandom
+permutation of the block indexes, epoch by epoch, and a shard's slots come in a permuted order
+of their own. Slots meet blocks by a join on source and block index: that gives the mix as
+(shard, position, piece of a document), from which counts by document, or their texts, are taken.
+
+Sources are the components of a mix, and a table with a row for each of them is handled on the
+driver: at most `max_sources`, more are an error. Shards are at most MAX_SHARDS (larger beyond).
+Documents get their place in their source by range-partitioned prefix sums over ids and sizes
+alone, which spread a source with a third of all rows; texts are shuffled once, to their plan.
 
 Inputs with defined results: a null or empty text has size 0 and nothing taken; null is a
 source of its own, last in order; a source without words has target 0; repeated rows are mixed
-each; an empty table gives an empty table; other columns of the input are kept where documents
-are returned and ignored where counts are.
+each; an empty table gives an empty table; the input's columns may have any names, and are kept
+where documents are returned (one named `taken` is replaced) and ignored where counts are.
 """
 
 from __future__ import annotations
@@ -23,18 +26,20 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import arrow_map, materialize, prefix_sums
+from .common import Scratch, arrow_map, prefix_sums
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Slots of a shard where there are few shards, most shards, and slots that a row spells out at a time.
+SHARD_SLOTS, MAX_SHARDS, RUN = 4096, 10_000, 1024
 
 
-def word_count(text_col: str) -> Column:
+def word_count(text: Column) -> Column:
     """Number of runs of anything but ASCII white space; 0 for null."""
-    return F.coalesce(F.regexp_count(text_col, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = (5, 2, 1), most: float = 3.0) -> list[float]:
@@ -69,8 +74,8 @@ def draw_slots(quota: list[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
-    """The place of each index under a keyed permutation of range(n): a four-round Feistel network, walked into the range."""
+def permuted(index: np.ndarray, n: int, key: int, back: bool = False) -> np.ndarray:
+    """The place of each index under a keyed permutation of range(n), or the index of each place: a four-round Feistel network, walked into the range."""
     if n <= 1:
         return np.zeros_like(index)
     half = (max(2, int(n - 1).bit_length()) + 1) // 2
@@ -79,10 +84,12 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
     todo = np.ones(len(x), dtype=bool)
     while todo.any():
         left, right = x[todo] >> np.uint64(half), x[todo] & mask
-        for r in range(4):
-            f = (right + np.uint64((key * 0x9E3779B97F4A7C15 + r * 0xD1B54A32D192ED03) % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
+        for r in reversed(range(4)) if back else range(4):
+            seen = left if back else right
+            f = (seen + np.uint64((key * 0x9E3779B97F4A7C15 + r * 0xD1B54A32D192ED03) % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
             f = (f ^ (f >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-            left, right = right, left ^ ((f >> np.uint64(31)) & mask)
+            f = (f >> np.uint64(31)) & mask
+            left, right = (right ^ f, left) if back else (right, left ^ f)
         x[todo] = (left << np.uint64(half)) | right
         todo &= x >= np.uint64(n)
     return x.astype(np.int64)
@@ -95,7 +102,7 @@ def _quota(aim: float, n: int, block: int, key: int) -> int:
     n_blocks = -(-n // block)
     epochs = int(aim / n + 1e-9)
     rest = max(0.0, aim - epochs * n)
-    place, short = int(permuted(np.array([n_blocks - 1]), n_blocks, key)[0]), n_blocks * block - n
+    place, short = int(permuted(np.array([n_blocks - 1]), n_blocks, key, back=True)[0]), n_blocks * block - n
     some = range(int(rest / block), min(n_blocks, int(rest / block) + 2) + 1)
     return epochs * n_blocks + min(some, key=lambda k: abs(k * block - (short if k > place else 0) - rest))
 
@@ -104,85 +111,142 @@ def _key(seed: int, source: int) -> int:
     return seed * 1_000_003 + source
 
 
-def _planned(df: DataFrame, id_col: str, text_col: str, source_col: str, block_words: int, most: int, shards: int, seed: int, keep_text: bool) -> tuple[DataFrame, list[tuple]]:
-    """Documents with their place in their source, and (source, size, target, slots, block) by source."""
-    sized = df.withColumns({"_size": word_count(text_col), "_tie": F.xxhash64(text_col)})
-    sized = sized if keep_text else materialize(sized.drop(text_col), "sizes")
-    sums = sized.groupBy(source_col).agg(F.sum("_size").alias("n")).collect()  # a row per source
-    sums = sorted(((r[0], r["n"]) for r in sums), key=lambda x: (x[0] is None, str(x[0])))
-    aims = targets([n for _, n in sums], most=float(most))
-    # small sources get smaller blocks, so that a block is under a thousandth of the target
-    blocks = [max(1, min(block_words, int(a / 1000))) for a in aims]
-    quota = [_quota(a, n, b, _key(seed, i)) for i, (a, b, (_, n)) in enumerate(zip(aims, blocks, sums))]
-    slots = draw_slots(quota, shards, seed).sum(0)
-    placed = prefix_sums(sized, [source_col], [id_col, "_tie"], F.col("_size"), "_at")
-    return placed, [(s, n, a, int(k), b) for (s, n), a, k, b in zip(sums, aims, slots, blocks)]
-
-
-def _mixed(df: DataFrame, names: list[str], id_col: str, source_col: str, plan: list[tuple], keep_text: str | None, seed: int, counts: bool) -> DataFrame:
-    by_source = df.sparkSession.sparkContext.broadcast({s: (i, n, a, k, b) for i, (s, n, a, k, b) in enumerate(plan)})
-    fields = [f for f in df.schema.fields if f.name in names]
-    if counts:
-        extra = "size long, source_size long, target double, taken long"
-    else:
-        extra = "taken long"
-    schema = StructType(fields + StructType.fromDDL(extra).fields)
-
-    def mix(batch: pa.RecordBatch) -> dict:
-        cols = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
-        taken, texts = [], []
-        for row, (source, at, size) in enumerate(zip(cols["_source"], cols["_at"], cols["_size"])):
-            i, total, _, slots, block = by_source.value[source]
-            n_blocks = -(-total // block)
-            own = np.arange(at // block, (at + size - 1) // block + 1) if size else np.zeros(0, dtype=np.int64)
-            times = _times(own, n_blocks, slots, _key(seed, i))
-            lo, hi = np.maximum(own * block, at) - at, np.minimum((own + 1) * block, at + size) - at
-            taken.append(int(((hi - lo) * times).sum()))
-            if keep_text:
-                texts.append(_taken_text(cols[keep_text][row], lo, hi, times) if taken[-1] else "")
-        out = {n: cols[n] for n in names} | {"taken": taken}
-        if keep_text:
-            out[keep_text] = texts
-        if counts:
-            info = [by_source.value[s] for s in cols["_source"]]
-            out |= {"size": cols["_size"], "source_size": [x[1] for x in info], "target": [x[2] for x in info]}
-        return out
-
-    return arrow_map(df.select(*names, F.col(source_col).alias("_source"), "_at", "_size"), mix, schema)
-
-
-def _times(own: np.ndarray, n_blocks: int, slots: int, key: int) -> np.ndarray:
-    """How often each block is taken: once an epoch of slots, and once more if the last epoch gets to it."""
-    if not len(own):
-        return np.zeros(0, dtype=np.int64)
-    whole, rest = divmod(slots, n_blocks)
-    return whole + (permuted(own, n_blocks, key) < rest)
-
-
-def _taken_text(text: str, lo: np.ndarray, hi: np.ndarray, times: np.ndarray) -> str:
-    """The taken runs of words in order, epoch after epoch, with the white space between them as it is."""
+class _Plan:
+    """Per source its number, name, size, target, block length and slots; and the slots of each shard by source."""
+
+    def __init__(self, sums: list[tuple[str | None, int]], block_words: int, most: int, shards: int | None, seed: int):
+        self.sources = sorted(sums, key=lambda x: (x[0] is None, str(x[0])))
+        sizes = [n for _, n in self.sources]
+        self.aims = targets(sizes, most=float(most))
+        # small sources get smaller blocks, so that a block is under a thousandth of the target
+        self.blocks = [max(1, min(block_words, int(a / 1000))) for a in self.aims]
+        self.quota = [_quota(a, n, b, _key(seed, i)) for i, (a, b, n) in enumerate(zip(self.aims, self.blocks, sizes))]
+        self.seed = seed
+        self.draws = draw_slots(self.quota, shards or min(MAX_SHARDS, max(1, -(-sum(self.quota) // SHARD_SLOTS))), seed)
+
+    def sources_table(self, spark) -> DataFrame:
+        rows = [(i, s, n, a, b) for i, ((s, n), a, b) in enumerate(zip(self.sources, self.aims, self.blocks))]
+        return spark.createDataFrame(rows, "k int, name string, source_size long, target double, block int")
+
+    def slots(self, spark) -> DataFrame:
+        """(k, block_no, shard, position, epoch): every slot of the mix and the block that stands there."""
+        before = np.cumsum(self.draws, axis=0) - self.draws  # a source's slots in earlier shards
+        inside = np.cumsum(self.draws, axis=1) - self.draws  # a shard's slots of earlier sources
+        full = self.draws.sum(1)
+        at = np.argwhere(self.draws)
+        rows = pa.table({"shard": at[:, 0], "k": at[:, 1], "n": self.draws[tuple(at.T)], "first": before[tuple(at.T)], "place": inside[tuple(at.T)], "full": full[at[:, 0]]})
+        runs = spark.createDataFrame(rows.to_pandas()) if len(at) else spark.createDataFrame([], "shard long, k long, n long, first long, place long, full long")
+        runs = runs.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RUN).cast("long"))))
+        blocks = {i: (-(-n // b), _key(self.seed, i)) for i, ((_, n), b) in enumerate(zip(self.sources, self.blocks))}
+        seed = self.seed
+
+        def spell(batch: pa.RecordBatch) -> dict:
+            out: dict[str, list] = {c: [] for c in ("k", "block_no", "shard", "position", "epoch")}
+            for r in batch.to_pylist():
+                i = np.arange(r["from"], min(r["n"], r["from"] + RUN))
+                n_blocks, key = blocks[r["k"]]
+                epoch, rest = divmod(r["first"] + i, n_blocks)
+                for c, x in zip(out, (np.full(len(i), r["k"]), permuted(rest, n_blocks, key), np.full(len(i), r["shard"]), permuted(r["place"] + i, r["full"], seed + 31 * r["shard"] + 17), epoch)):
+                    out[c].append(x)
+            return {c: np.concatenate([*x, np.zeros(0, np.int64)]) for c, x in out.items()}
+
+        # as many partitions as shuffles have: one run may be a large part of the mix
+        runs = runs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+        return arrow_map(runs, spell, "k int, block_no long, shard int, position long, epoch int")
+
+
+def _keys(id_col: str, text_col: str) -> list[Column]:
+    """128 bits of hashes that tell rows apart by id and text."""
+    return [F.xxhash64(F.lit(n), F.col(id_col), F.isnull(id_col), F.col(text_col)).alias(f"h{n}") for n in (1, 2)]
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    """Numbers the rows that are equal in id and text."""
+    return df.withColumn("copy", F.row_number().over(Window.partitionBy("h1", "h2").orderBy(F.lit(1))))
+
+
+def _same_row() -> Column:
+    """Rows of one number, without making the number a key: the rows are where their own numbering put them already."""
+    return (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & (F.col("copy") - F.col("c") == 0)
+
+
+def _pieces(sized: DataFrame, source_col: str, scratch: Scratch, block_words: int, most: int, shards: int | None, max_sources: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """sized(h1, h2, copy, id, source, size) to the mix's pieces (h1, h2, copy, id, lo, hi, shard, position, epoch), and sources(k, name, ...)."""
+    spark = sized.sparkSession
+    sums = sized.groupBy("source").agg(F.sum("size").alias("n")).limit(max_sources + 1).collect()
+    if len(sums) > max_sources:
+        raise ValueError(f"more than {max_sources} sources")
+    plan = _Plan([(r[0], r["n"]) for r in sums], block_words, most, shards, seed)
+    sources = plan.sources_table(spark)
+    placed = prefix_sums(sized.where("size > 0"), ["source"], ["id", "h1", "h2", "copy"], "size", "at", scratch)
+    placed = placed.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("name")))  # at most max_sources rows
+    b = F.col("block").cast("long")
+    first, last = F.floor(F.col("at") / b), F.floor((F.col("at") + F.col("size") - 1) / b)
+    inside = placed.select("h1", "h2", "copy", "id", "k", "at", "size", "block", F.explode(F.sequence(first, last)).alias("no"))
+    start = F.col("no") * b - F.col("at")
+    inside = inside.select("h1", "h2", "copy", "id", F.col("k").alias("of_k"), "no", F.greatest(start, F.lit(0)).alias("lo"), F.least(start + b, F.col("size")).alias("hi"))
+    slots = plan.slots(spark)
+    joined = inside.join(slots, (F.col("of_k") == F.col("k")) & (F.col("no") == F.col("block_no")))
+    return joined.select("h1", "h2", "copy", "id", "lo", "hi", "shard", "position", "epoch"), sources
+
+
+def _sized(df: DataFrame, id_col: str, text_col: str, source_col: str, scratch: Scratch) -> DataFrame:
+    slim = df.select(*_keys(id_col, text_col), F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    return scratch.table(_numbered(slim), "sizes")
+
+
+def mix_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = 256, most: int = 3, shards: int | None = None, max_sources: int = 100_000, seed: int = 7) -> DataFrame:
+    """The mix itself: (shard, position, id, lo, hi, epoch), the words lo to hi of a document that stand in a slot; a slot holds one block, so pieces of documents that follow each other."""
+    scratch = Scratch(df.sparkSession, "mix")
+    found, _ = _pieces(_sized(df, id_col, text_col, source_col, scratch), source_col, scratch, block_words, most, shards, max_sources, seed)
+    return found.select("shard", "position", F.col("id").alias(id_col), "lo", "hi", "epoch")
+
+
+def mix_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = 256, most: int = 3, shards: int | None = None, max_sources: int = 100_000, seed: int = 7) -> DataFrame:
+    """One row per input row: id, size, source_size, target (its source's), taken, the words that the mix takes, the slots that hold some of them, and the first of these by shard and position."""
+    scratch = Scratch(df.sparkSession, "mix")
+    sized = _sized(df, id_col, text_col, source_col, scratch)
+    found, sources = _pieces(sized, source_col, scratch, block_words, most, shards, max_sources, seed)
+    sums = found.groupBy("h1", "h2", "copy").agg(F.sum(F.col("hi") - F.col("lo")).alias("taken"), F.count("*").alias("n_slots"), F.min(F.struct("shard", "position")).alias("first"))
+    sums = sums.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("copy").alias("c"), "taken", "n_slots", "first")
+    out = sized.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("name")))  # at most max_sources rows
+    out = out.join(sums, _same_row(), "left")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", zero("taken"), zero("n_slots"), F.col("first.shard").alias("first_shard"), F.col("first.position").alias("first_position"))
+
+
+def _taken_text(text: str, pieces: list[dict]) -> str:
+    """The taken runs of words in order, epoch after epoch, with the white space between them as it is; pieces come by epoch and place."""
     spans = [m.span() for m in _WORD.finditer(text)]
-    out = []
-    for epoch in range(int(times.max())):
-        run: list[int] | None = None
-        for a, b, t in zip(lo.tolist(), hi.tolist(), times.tolist()):
-            if t > epoch and run and run[1] == a:
-                run[1] = b
-            elif t > epoch:
-                out += [text[spans[run[0]][0] : spans[run[1] - 1][1]]] if run else []
-                run = [a, b]
-        out += [text[spans[run[0]][0] : spans[run[1] - 1][1]]] if run else []
+    out: list[str] = []
+    run: list[int] | None = None
+    for p in [*pieces, None]:
+        if p and run and run[2] == p["epoch"] and run[1] == p["lo"]:
+            run[1] = p["hi"]
+            continue
+        if run:
+            out.append(text[spans[run[0]][0] : spans[run[1] - 1][1]])
+        run = [p["lo"], p["hi"], p["epoch"]] if p else None
     return "\n".join(out)
 
 
-def mix_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = 256, most: int = 3, shards: int = 64, seed: int = 7) -> DataFrame:
-    """One row per input row: id, size, source_size, target (its source's) and taken, the words that the mix takes."""
-    sized = df.select(id_col, source_col, text_col)
-    slim, plan = _planned(sized, id_col, text_col, source_col, block_words, most, shards, seed, False)
-    return _mixed(slim, [id_col], id_col, source_col, plan, None, seed, True)
-
-
-def mix_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = 256, most: int = 3, shards: int = 64, seed: int = 7) -> DataFrame:
+def mix_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = 256, most: int = 3, shards: int | None = None, max_sources: int = 100_000, seed: int = 7) -> DataFrame:
     """The documents of the mix: those with words taken, their text the taken words (repeats after one another), and `taken`."""
-    placed, plan = _planned(df, id_col, text_col, source_col, block_words, most, shards, seed, True)
-    return _mixed(placed, df.columns, id_col, source_col, plan, text_col, seed, False).where("taken > 0")
+    scratch = Scratch(df.sparkSession, "mix")
+    found, _ = _pieces(_sized(df, id_col, text_col, source_col, scratch), source_col, scratch, block_words, most, shards, max_sources, seed)
+    # a document's own pieces: as many as it has blocks, times its epochs
+    plan = found.groupBy("h1", "h2", "copy").agg(F.array_sort(F.collect_list(F.struct("epoch", "lo", "hi"))).alias("pieces"), F.sum(F.col("hi") - F.col("lo")).alias("taken"))
+    plan = scratch.table(plan.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("copy").alias("c"), "pieces", "taken"), "plan")
+    scratch.keep_only(plan)
+    names = [c for c in df.columns if c != "taken"]
+    rows = _numbered(df.select(*_keys(id_col, text_col), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")))
+    joined = rows.join(plan, _same_row())
+    schema = StructType([*df.select(*names).schema.fields, StructField("taken", LongType())])
+    at = names.index(text_col)
+
+    def cut(batch: pa.RecordBatch) -> dict:
+        rows, pieces = batch.column(0), batch.column(1)
+        out = {n: rows.field(i) for i, n in enumerate(names)}
+        return out | {text_col: [_taken_text(t.as_py(), p.as_py()) for t, p in zip(rows.field(at), pieces)], "taken": batch.column(2)}
+
+    return arrow_map(joined.select("row", "pieces", "taken"), cut, schema)

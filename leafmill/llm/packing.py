@@ -26,11 +26,12 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
-from .common import arrow_map, materialize, prefix_sums, text_or_empty
+from .common import Scratch, arrow_map, prefix_sums
 
-#: Words, and parts of words, that a worker keeps the ids of, at most.
-KEEP = 600_000
+#: Words that a worker keeps the ids of, twice: those of late and those before. About 75 MB at most.
+KEEP = 150_000
 #: Longer words are encoded each time.
 LONG = 200
 #: A run of Latin letters and the marks after it, which the tokenizer splits there and nowhere else.
@@ -38,39 +39,45 @@ _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?;:#
 
 
 class _WordIds(dict):
-    """Ids of words between white space, as little-endian bytes; the tokenizer drops white space, so words count apart."""
+    """Ids of words between white space, as little-endian bytes; the tokenizer drops white space, so words count apart.
+
+    Words in use stay, as those that are looked up move from the older to the newer half.
+    """
 
     def __init__(self, name: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.model = self.tokenizer.model
+        self.split = self.tokenizer.model.tokenize
         plain = [b for r in ((33, 127), (161, 173), (174, 256)) for b in range(*r)]
         rest = [b for b in range(256) if b not in set(plain)]
         self.letters = {b: 256 + i for i, b in enumerate(rest)}  # how a byte-level vocabulary writes bytes
-        self.parts: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
-    def _part(self, part: str) -> bytes:
+    def _run(self, part: str) -> bytes:
         """Ids of one lower-case run of letters or marks."""
-        found = self.parts.get(part)
-        if found is None:
-            if len(self.parts) > KEEP:
-                self.parts = {"": b""}
-            written = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
-            found = array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
-            if len(part) <= LONG:
-                self.parts[part] = found
-        return found
+        written = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.split(written)]).tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > KEEP:
-            self.clear()
+    def _encode(self, word: str) -> bytes:
+        if not word:
+            return b""
         m = _PLAIN.fullmatch(word)
-        if m:
-            found = self._part(m[1].lower()) + self._part(m[2])
-        else:
-            found = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if not m:
+            return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        letters = m[1].lower()
+        if letters == word:
+            return self._run(word)
+        return self[letters] + (self._run(m[2]) if m[2] else b"")
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            found = self._encode(word)
         if len(word) <= LONG:
+            if len(self) >= KEEP:
+                self.older = dict(self)
+                self.clear()
             self[word] = found
         return found
 
@@ -90,9 +97,8 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         words = _word_ids[tokenizer]
         end = np.array([end_id], dtype="<u4").tobytes()
         out: dict[str, list] = {k: [] for k in (id_col, "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if keep_ids else []))}
-        keys, texts = batch.column(0).to_pylist(), text_or_empty(batch.column(1))
-        for key, text in zip(keys, texts):
-            ids = words.of(text) + end
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            ids = words.of(text.as_py() or "") + end
             n = len(ids) // 4
             for start in range(0, n, length):
                 own = ids[4 * start : 4 * (start + length)]
@@ -157,11 +163,10 @@ def _places(patterns: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray
     return {k: np.array([r[i] for r in rows], dtype=np.int64) for i, k in enumerate(("length", "rank", "base", "times", "offset"))}
 
 
-def pack(found: DataFrame, id_col: str = "doc_id", length: int = 2048) -> DataFrame:
-    """Adds sequence_id and offset to pieces (id, start, length, ...)."""
-    from pyspark.sql.types import LongType, StructType
-
-    ranked = prefix_sums(found, ["length"], [id_col, "start", "ids_crc32"], F.lit(1), "_rank")
+def pack(found: DataFrame, scratch: Scratch, length: int = 2048) -> DataFrame:
+    """Adds sequence_id and offset to a table of pieces (id, start, length, ids_crc32, ...)."""
+    # equal pieces of one document id are alike wherever they go
+    ranked = prefix_sums(found.withColumn("one", F.lit(1).cast("long")), ["length"], ["id", "start", "ids_crc32"], "one", "rank", scratch)
     histogram = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `length` rows
     places = found.sparkSession.sparkContext.broadcast(_places(pack_histogram(histogram, length)))
     names = found.columns
@@ -175,10 +180,14 @@ def pack(found: DataFrame, id_col: str = "doc_id", length: int = 2048) -> DataFr
         inside = rank - p["rank"][at]
         return {n: batch.column(i) for i, n in enumerate(names)} | {"sequence_id": p["base"][at] + inside // p["times"][at], "offset": p["offset"][at] + inside % p["times"][at] * size}
 
-    return arrow_map(ranked.select(*names, "_rank"), place, schema)
+    return arrow_map(ranked.select(*names, "rank"), place, schema)
 
 
 def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "word_bpe_49k.json", length: int = 2048, end_id: int = 1, keep_ids: bool = False) -> DataFrame:
     """One row per piece of every document: id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids)."""
-    found = materialize(pieces(df, id_col, text_col, tokenizer, length, end_id, keep_ids), "pieces")
-    return pack(found, id_col, length)
+    scratch = Scratch(df.sparkSession, "packing")
+    slim = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    found = scratch.table(pieces(slim, "id", "text", tokenizer, length, end_id, keep_ids), "pieces")
+    out = pack(found, scratch, length)
+    scratch.drop(found)  # the result reads the ranked ones
+    return out.select(F.col("id").alias(id_col), *out.columns[1:])

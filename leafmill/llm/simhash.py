@@ -10,14 +10,6 @@ Copies with one fingerprint are one row during the search, so that groups of the
 nothing, and a fingerprint has no more than the 43,744 others of a 3-bit ball as partners:
 links stay in proportion to the fingerprints however large a group is.
 
-`similar_groups` finds all texts that share at least a given part of their five-word shingles, by
-a prefix filter: in one order of all shingles, two sets of that similarity share a shingle among
-the first n - ceil(similarity * n) + 1 of each. Any order gives all pairs; shingles that a sample
-of the texts shows to be common come last, by their count, so that few texts meet. Pairs that meet
-are verified on the sets themselves. Groups of different near copies give links in proportion to
-their texts: only texts that one round of comparisons with a bucket's centre leaves apart are
-compared among themselves.
-
 Inputs with defined results: a null text counts as empty; texts without words have the zero
 fingerprint and link with each other; repeated rows are copies; an empty table gives an empty
 table; rows with a null id keep their row and never name a component unless alone; other
@@ -30,16 +22,16 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, connected_components, materialize
+from .common import Scratch, arrow_map, connected_components
 
 #: Hash values that a worker turns into bits at a time.
 BLOCK = 1 << 18
 
 
-def _hashes(text: str | None, shingle: int) -> list[int]:
+def shingle_hashes(text: str | None, shingle: int) -> list[int]:
     """XXH64 (seed 42) of each run of `shingle` words; of the whole sequence where it is shorter."""
     from xxhash import xxh64_intdigest
 
@@ -72,7 +64,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def prints(batch: pa.RecordBatch) -> dict:
         texts = batch.column(1)
-        found = [fingerprint_of(np.array(_hashes(t.as_py(), shingle), dtype=np.uint64)) for t in texts]
+        found = [fingerprint_of(np.array(shingle_hashes(t.as_py(), shingle), dtype=np.uint64)) for t in texts]
         return {id_col: batch.column(0), "fp": np.array(found, dtype=np.uint64).view(np.int64)}
 
     kind = df.schema[id_col].dataType.simpleString()
@@ -96,132 +88,13 @@ def near_pairs(prints: DataFrame, radius: int = 3) -> DataFrame:
 
 def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
     """One row per input row: id, fp, fingerprint (16 hex digits) and component_id, the smallest id reachable by links."""
-    prints = materialize(fingerprints(df, id_col, text_col, shingle), "fingerprints")
-    first = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("_first")), "distinct")
-    found = materialize(connected_components(near_pairs(first, radius)), "components")
-    named = first.join(found, first["fp"] == found["node"], "left").select("fp", "_first", F.coalesce("component", "fp").alias("_group"))
-    named = materialize(named, "named")
-    lowest = materialize(named.groupBy("_group").agg(F.min("_first").alias("component_id")), "lowest")
-    labels = materialize(named.join(lowest, "_group").select(F.col("fp").alias("_fp"), "component_id"), "labels")
-    out = prints.join(labels, prints["fp"] == labels["_fp"], "left")
-    return out.select(id_col, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", F.col(id_col)).alias("component_id"))
-
-
-def _sets(texts: pa.Array, words: int) -> list[np.ndarray]:
-    """The distinct hashes of each text's runs of `words` words, ascending."""
-    return [np.unique(np.array(_hashes(t.as_py(), words), dtype=np.uint64)) for t in texts]
-
-
-def common_shingles(df: DataFrame, id_col: str, text_col: str, words: int, max_sample: int = 20_000, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of at least three texts of a bounded sample, ascending, and how many texts of it have them; the most common ones if many.
-
-    This only decides the order of shingles, on which the time depends and no result does.
-    """
-    n = df.count()
-    rate = min(1.0, max_sample / max(1, n))
-    drawn = df.where(F.pmod(F.xxhash64(id_col, F.lit(13)), F.lit(1 << 30)) < int(rate * (1 << 30)))
-    found = arrow_map(drawn.select(text_col), lambda b: {"shingle": np.concatenate([*_sets(b.column(0), words), np.zeros(0, np.uint64)]).view(np.int64)}, "shingle long")
-    counts = found.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "shingle").limit(most).toArrow()
-    known = counts["shingle"].to_numpy().view(np.uint64)
-    order = np.argsort(known)
-    return known[order], counts["n"].to_numpy()[order]
-
-
-def _prefixes(df: DataFrame, id_col: str, text_col: str, similarity: float, words: int) -> DataFrame:
-    """(id, words, check, n, o0 to o3, prefix): two hashes of the text's words in order, the size of its set of shingles,
-    parities of their counts by 256 values of a byte, and the shingles by which it meets others."""
-    common = df.sparkSession.sparkContext.broadcast(common_shingles(df, id_col, text_col, words))
-
-    def prefix(h: np.ndarray) -> np.ndarray:
-        known, counts = common.value
-        rank = np.zeros(len(h), dtype=np.int64)
-        if len(known):
-            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            rank = np.where(known[at] == h, counts[at], 0)
-        return h[np.lexsort((h, rank))[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]].view(np.int64)
-
-    def prints(batch: pa.RecordBatch) -> dict:
-        from xxhash import xxh64_intdigest
-
-        sets = _sets(batch.column(1), words)
-        joined = [b" ".join((t.as_py() or "").encode("utf-8", "surrogatepass").lower().split()) for t in batch.column(1)]
-        both = [np.array([xxh64_intdigest(j, seed) for j in joined], dtype=np.uint64).view(np.int64) for seed in (7, 8)]
-        odd = [np.packbits(np.bincount((h >> np.uint64(56)).astype(np.int64), minlength=256) & 1).view(np.int64) for h in sets]
-        table = np.array(odd, dtype=np.int64).reshape(-1, 4)
-        out = {"id": batch.column(0), "words": both[0], "check": both[1], "n": [len(h) for h in sets], "prefix": [prefix(h) for h in sets]}
-        return out | {f"o{i}": table[:, i] for i in range(4)}
-
-    kind = df.schema[id_col].dataType.simpleString()
-    return arrow_map(df.select(id_col, text_col), prints, f"id {kind}, words long, check long, n long, o0 long, o1 long, o2 long, o3 long, prefix array<long>")
-
-
-def prefix_buckets(nodes: DataFrame) -> DataFrame:
-    """(variant, node): for each shingle in the prefixes of at least two nodes, these nodes."""
-    own = nodes.select("node", F.explode("prefix").alias("variant"))
-    met = materialize(own.groupBy("variant").agg(F.count("*").alias("n")).where("n > 1").select("variant"), "met")
-    return materialize(own.join(met, "variant").select("variant", "node"), "buckets")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have at least that Jaccard similarity."""
-    a, b = sets.select(F.col("node").alias("a"), F.col("shingles").alias("_sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("_sb"))
-    common = F.size(F.array_intersect("_sa", "_sb"))
-    alike = common / (F.size("_sa") + F.size("_sb") - common) >= similarity
-    return pairs.select("a", "b").join(a, "a").join(b, "b").where(alike).select("a", "b").distinct()
-
-
-def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, words: int = 5) -> DataFrame:
-    """One row per input row: id and component_id, the smallest id reachable by links between texts whose sets of
-    `words`-word shingles have at least that Jaccard similarity.
-
-    Texts of the same words are one node. First each bucket's nodes are compared
-    with one of them; buckets whose nodes are then in one component drop out, as no link in them
-    can change a component. In the others all nodes of different components are compared, and pairs
-    emitted where sizes and parities of their shingles allow the similarity, which loses none that has it.
-    """
-    prints = materialize(_prefixes(df, id_col, text_col, similarity, words), "prefixes")
-    marks = ["n", *[f"o{i}" for i in range(4)]]
-    nodes = prints.where("id IS NOT NULL").groupBy("words", "check").agg(F.min(F.struct("id", *marks, "prefix")).alias("_x"))
-    nodes = materialize(nodes.select("words", "check", F.col("_x.id").alias("node"), *[f"_x.{m}" for m in marks], "_x.prefix"), "nodes")
-    buckets = prefix_buckets(nodes)
-
-    def shingles(batch: pa.RecordBatch) -> dict:
-        return {"node": batch.column(0), "shingles": [h.view(np.int64) for h in _sets(batch.column(1), words)]}
-
-    wanted = materialize(buckets.select(F.col("node").alias("_node")).distinct(), "wanted")
-    texts = df.select(id_col, text_col).join(wanted, F.col(id_col) == F.col("_node"), "left_semi")
-    kind = df.schema[id_col].dataType.simpleString()
-    sets = materialize(arrow_map(texts, shingles, f"node {kind}, shingles array<long>"), "sets")
-    known = materialize(nodes.select("node", *marks).join(wanted, F.col("node") == F.col("_node"), "left_semi"), "known")
-
-    def alike(a: str, b: str) -> Column:
-        """False where sizes, or parities of shingle counts in 256 places, differ by more than sets of that similarity can."""
-        differ = sum((F.bit_count(F.col(f"{a}o{i}").bitwiseXOR(F.col(f"{b}o{i}"))) for i in range(4)), F.lit(0))
-        differ = F.greatest(differ, F.abs(F.col(f"{a}n") - F.col(f"{b}n")))
-        return differ <= (F.col(f"{a}n") + F.col(f"{b}n")) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6)
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs.distinct(), "pairs")
-        for side in "ab":
-            pairs = pairs.join(known.select(F.col("node").alias(side), *[F.col(c).alias(f"_{side}_{c}") for c in marks]), side)
-        pairs = materialize(pairs.where(alike("_a_", "_b_")).select("a", "b"), "near")
-        return materialize(_verified(pairs, sets, similarity), "links")
-
-    # one node of each bucket is compared with the others
-    centre = buckets.groupBy("variant").agg(F.min_by("node", F.xxhash64("node")).alias("_centre"))
-    links = linked(buckets.join(centre, "variant").where(F.col("node") != F.col("_centre")).select(F.least("node", "_centre").alias("a"), F.greatest("node", "_centre").alias("b")))
-    part = materialize(connected_components(links), "components")
-    placed = buckets.join(part, "node", "left").select("variant", "node", F.coalesce("component", "node").alias("component"))
-    placed = materialize(placed, "placed")
-    mixed = placed.groupBy("variant").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low != _high").select("variant")
-    members = placed.join(materialize(mixed, "mixed"), "variant", "left_semi").join(known, "node")
-    members = materialize(members, "members")
-    a, b = (members.select(*[F.col(c).alias(f"_{side}_{c}") for c in members.columns]) for side in "ab")
-    apart = (F.col("_a_variant") == F.col("_b_variant")) & (F.col("_a_node") < F.col("_b_node")) & (F.col("_a_component") != F.col("_b_component"))
-    rest = a.join(b, apart & alike("_a_", "_b_")).select(F.col("_a_node").alias("a"), F.col("_b_node").alias("b"))
-    links = links.unionByName(linked(rest))
-    part = materialize(connected_components(links), "components")
-    named = nodes.join(part, "node", "left").select("words", "check", F.coalesce("component", "node").alias("component_id"))
-    named = materialize(named.withColumnsRenamed({"words": "_words", "check": "_check"}), "named")
-    out = prints.join(named, (F.col("words") == F.col("_words")) & (F.col("check") == F.col("_check")), "left")
-    return out.select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+    scratch = Scratch(df.sparkSession, "simhash")
+    prints = scratch.table(fingerprints(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text", shingle), "fingerprints")
+    first = scratch.table(prints.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
+    found = connected_components(near_pairs(first, radius), scratch)
+    named = scratch.table(first.join(found, first["fp"] == found["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("part")), "named")
+    lowest = scratch.table(named.groupBy("part").agg(F.min("first").alias("component_id")), "lowest")
+    labels = scratch.table(named.join(lowest, "part").select(F.col("fp").alias("of_fp"), "component_id"), "labels")
+    scratch.drop(first, found, named, lowest)
+    out = prints.join(labels, prints["fp"] == labels["of_fp"], "left")
+    return out.select(F.col("id").alias(id_col), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "id").alias("component_id"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, connected_components, materialize
+from .common import Scratch, arrow_map, connected_components
 from .vectors import matrix, sample, valid_vectors
 
 
@@ -139,12 +139,13 @@ def _compare(group: pa.Table, threshold: float) -> pa.Table:
 def vector_groups(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, trees: int = 4, leaf_rows: int = 1500, margin: float = 0.015, max_sample: int = 20_000, seed: int = 5) -> DataFrame:
     """One row per id: id, n_links (other vectors linked directly), component_id and kept (whether it is its component's smallest)."""
     spark = df.sparkSession
+    scratch = Scratch(spark, "vectors")
     rows = valid_vectors(df.where(F.col(label_col).isNotNull()), id_col, vec_col, label_col)
     rows = rows.withColumnRenamed(label_col, "label").withColumns({"d1": F.xxhash64("label", "vec"), "d2": F.xxhash64(F.lit(1), "label", "vec")})
-    rows = materialize(rows, "vectors")
+    rows = scratch.table(rows, "vectors")
     # equal vectors of a label are one row with a weight, known by 128 bits of hashes
     alone = rows.groupBy("d1", "d2").agg(F.min(F.struct("id", "vec", "label")).alias("r"), F.count("*").alias("weight")).select("r.*", "weight", "d1", "d2")
-    alone = materialize(alone, "distinct")
+    alone = scratch.table(alone, "distinct")
     points, total = sample(alone, max_sample)
     points = points / np.linalg.norm(points, axis=1, keepdims=True) if len(points) else points
     forest = spark.sparkContext.broadcast(grow(points, total, trees, leaf_rows, margin, seed))
@@ -164,21 +165,21 @@ def vector_groups(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddi
 
     kinds = dict(alone.dtypes)
     routed = arrow_map(alone.select("id", "weight", "vec", "label"), route, f"leaf int, leaves array<int>, id {kinds['id']}, weight long, vec {kinds['vec']}, label {kinds['label']}")
-    routed = materialize(routed, "routed")
+    routed = scratch.table(routed, "routed")
     large = routed.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > 2 * leaf_rows)
-    large = materialize(large.select(F.col("leaf").alias("_leaf"), F.ceil(F.col("n") / leaf_rows).cast("int").alias("_blocks")), "large")
+    large = scratch.table(large.select(F.col("leaf").alias("_leaf"), F.ceil(F.col("n") / leaf_rows).cast("int").alias("_blocks")), "large")
     blocks = F.coalesce("_blocks", F.lit(1))
     dealt = routed.join(large, F.col("leaf") == F.col("_leaf"), "left").withColumn("side", F.pmod(F.xxhash64("id"), blocks).cast("int"))
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("leaf", F.least("side", "_other").alias("lo"), F.greatest("side", "_other").alias("hi"), "side", "id", "weight", "vec", "label", "leaves")
     found = dealt.groupBy("leaf", "lo", "hi").applyInArrow(lambda g: _compare(g, threshold), "id long, links long, root long")
-    found = materialize(found, "links")
+    found = scratch.table(found, "links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    groups = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    groups = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), scratch)
     labels = alone.select("id", "weight", "d1", "d2").join(links, "id", "left").join(groups, F.col("id") == F.col("node"), "left")
     labels = labels.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    labels = materialize(labels, "labels")
-    known = materialize(rows.select("id", "d1", "d2").join(labels, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2"))).select("id", "n_links", "component_id"), "known")
+    labels = scratch.table(labels, "labels")
+    known = scratch.table(rows.select("id", "d1", "d2").join(labels, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2"))).select("id", "n_links", "component_id"), "known")
     every = df.select(F.col(id_col).alias("_own")).distinct()
     out = every.join(known, F.col("_own") == F.col("id"), "left").select(
         F.col("_own").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "_own").alias("component_id")

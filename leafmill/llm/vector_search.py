@@ -4,12 +4,13 @@ Coarse centroids divide the rows into lists; what a row's centroid leaves over i
 byte per subspace. A query scores the rows of its nearest lists by asymmetric distance tables
 (its products with every codeword), and the best of them are reranked exactly on the original
 vectors, in double precision. Centroids, codewords and the number of lists to probe come from
-a bounded sample, the last such that the sample's own searches meet a recall; every row is
-indexed.
+a bounded sample, the last such that the sample's own searches, quantisation and reranking
+included, meet a recall; every row is indexed.
 
-Rows are dealt to shards by a hash of their id, so that a list with a third of all rows is
-spread over all shards; a block of queries meets a shard in one group of bounded size, which
-returns its best k.
+The index is dealt to shards by list: neighbouring small lists share a shard, large ones have
+several, with a part of their rows each. A query goes only to shards with a list that it probes,
+once to each, and scores only the lists it probes there. Queries of a shard come in blocks of
+bounded size, for each of which the shard's rows are sent once.
 
 Inputs with defined results: vectors that are null, empty, zero, of unusual length or with null
 or non-finite components take no part, nor do rows without id; rows with one id count as one
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialize
+from .common import Scratch, arrow_map
 from .vectors import matrix, sample, valid_vectors
 
 
@@ -61,25 +62,45 @@ def _subspaces(x: np.ndarray, width: int) -> np.ndarray:
     return np.pad(x, ((0, 0), (0, short))).reshape(len(x), -1, width).transpose(1, 0, 2)
 
 
-def fit(points: np.ndarray, total: int, k: int, recall: float = 0.97, width: int = 2, seed: int = 3) -> IvfPq:
+def fit(points: np.ndarray, total: int, k: int, rerank: int = 100, recall: float = 0.97, width: int = 2, seed: int = 3) -> IvfPq:
     """Fits on a sample that stands for `total` rows."""
     rng = np.random.default_rng(seed)
-    lists = int(np.clip(np.sqrt(total), 1, min(1024, max(1, len(points) // 20))))
+    lists = int(np.clip(2 * np.sqrt(total), 1, min(1024, max(1, len(points) // 20))))
     coarse = _kmeans(points, lists, 8, rng)
     at = _nearest(points, coarse)
     words = []
     for part in _subspaces(points - coarse[at], width):
         found = _kmeans(part, 256, 6, rng)
         words.append(np.pad(found, ((0, 256 - len(found)), (0, 0)), constant_values=1e30))
+    model = IvfPq(coarse, np.stack(words), len(coarse))
+    # the sample's own searches: in which of its nearest lists a query finds its neighbours, if it ranks them high enough
     tried = rng.choice(len(points), min(200, len(points)), replace=False)
     scores = points[tried] @ points.T
     scores[np.arange(len(tried)), tried] = -np.inf
     best = np.argsort(-scores, axis=1)[:, : min(k, max(1, len(points) - 1))]
-    order = np.argsort(-(points[tried] @ coarse.T), axis=1)
-    place = np.empty_like(order)
-    np.put_along_axis(place, order, np.arange(order.shape[1])[None, :], axis=1)
-    needed = np.sort(np.take_along_axis(place, at[best], axis=1).ravel())
-    return IvfPq(coarse, np.stack(words), int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1)
+    to_coarse = points[tried] @ coarse.T
+    place = np.empty(to_coarse.shape, dtype=np.int64)
+    np.put_along_axis(place, np.argsort(-to_coarse, axis=1), np.arange(len(coarse))[None, :], axis=1)
+    guessed = _guessed(model, points[tried], at, encode(model, points)[1])
+    guessed[np.arange(len(tried)), tried] = -np.inf
+    cut = -np.sort(-guessed, axis=1)[:, min(rerank, guessed.shape[1]) - 1]
+    high = np.take_along_axis(guessed, best, axis=1) >= cut[:, None]
+    needed = np.sort(np.where(high, np.take_along_axis(place, at[best], axis=1), len(coarse) - 1).ravel())
+    return IvfPq(coarse, model.words, int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1)
+
+
+def tables(model: IvfPq, q: np.ndarray) -> np.ndarray:
+    """A query's products with every codeword: subspaces x queries x 256."""
+    words = np.where(model.words > 1e29, 0, model.words)
+    return np.stack([p @ w.T for p, w in zip(_subspaces(q, model.words.shape[2]), words)]).astype(np.float32)
+
+
+def _guessed(model: IvfPq, q: np.ndarray, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Asymmetric scores of all rows for all queries."""
+    out = (q @ model.coarse.T).astype(np.float32)[:, lists]
+    for j, t in enumerate(tables(model, q)):
+        out += t[:, codes[:, j]]
+    return out
 
 
 def encode(model: IvfPq, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,6 +110,33 @@ def encode(model: IvfPq, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.stack([_nearest(p, w) for p, w in zip(parts, model.words)], axis=1).astype(np.uint8)
 
 
+def probed_lists(model: IvfPq, q: np.ndarray) -> np.ndarray:
+    """Queries x lists: whether a query probes a list."""
+    to_coarse = q @ model.coarse.T
+    probes = min(model.probes, len(model.coarse))
+    out = np.zeros(to_coarse.shape, dtype=bool)
+    np.put_along_axis(out, np.argpartition(-to_coarse, probes - 1, axis=1)[:, :probes], True, axis=1)
+    return out
+
+
+def deal(coarse: np.ndarray, sizes: np.ndarray, shard_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each list its first shard and how many it has: large lists several of their own, small ones share one with their neighbours."""
+    first, parts = np.zeros(len(sizes), dtype=np.int64), np.maximum(1, -(-sizes // shard_rows))
+    left, at, shard, held = np.ones(len(sizes), dtype=bool), 0, 0, 0
+    for _ in range(len(sizes)):
+        left[at] = False
+        if held and (held + sizes[at] > shard_rows):
+            shard, held = shard + 1, 0
+        first[at] = shard
+        if parts[at] > 1:
+            shard, held = shard + int(parts[at]), 0
+        else:
+            held += sizes[at]
+        if left.any():
+            at = int(np.where(left, ((coarse - coarse[at]) ** 2).sum(1), np.inf).argmin())
+    return first, parts
+
+
 def _search(model: IvfPq, queries: pa.Table, rows: pa.Table, k: int, rerank: int) -> pa.Table:
     """The k best rows of a shard for each query of a block: lists probed, tables added up, the best reranked exactly.
 
@@ -102,13 +150,8 @@ def _search(model: IvfPq, queries: pa.Table, rows: pa.Table, k: int, rerank: int
     order = np.argsort(lists, kind="stable")
     x, row_ids, lists, codes = x[order], [np.array(row_ids[i]) for i in order], lists[order], codes[order]
     edges = np.searchsorted(lists, np.arange(len(model.coarse) + 1))
-    to_coarse = q @ model.coarse.T
-    probes = min(model.probes, len(model.coarse))
-    probed = np.zeros(to_coarse.shape, dtype=bool)
-    np.put_along_axis(probed, np.argpartition(-to_coarse, probes - 1, axis=1)[:, :probes], True, axis=1)
-    parts = _subspaces(q, model.words.shape[2])
-    words = np.where(model.words > 1e29, 0, model.words)
-    tables = np.stack([p @ w.T for p, w in zip(parts, words)]).astype(np.float32)  # subspaces x queries x 256
+    to_coarse, probed = q @ model.coarse.T, probed_lists(model, q)
+    by_word = tables(model, q)
     out = []
     step = max(1, (1 << 23) // len(x))
     for start in range(0, len(q), step):
@@ -118,8 +161,8 @@ def _search(model: IvfPq, queries: pa.Table, rows: pa.Table, k: int, rerank: int
             rows_in, asking = slice(edges[c], edges[c + 1]), np.flatnonzero(probed[block, c])
             if len(asking):
                 near = np.repeat(to_coarse[block][asking, c].astype(np.float32)[:, None], rows_in.stop - rows_in.start, axis=1)
-                for j in range(len(tables)):
-                    near += tables[j, start + asking][:, codes[rows_in, j]]
+                for j in range(len(by_word)):
+                    near += by_word[j, start + asking][:, codes[rows_in, j]]
                 scores[asking, rows_in] = near
         depth = min(rerank + 1, len(x))  # one more, as the query's own vector may be among them
         last = -np.partition(-scores, depth - 1, axis=1)[:, depth - 1]
@@ -148,12 +191,12 @@ def _distinct(rows: DataFrame, most: int) -> DataFrame:
 def nearest(df: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, rerank: int = 100, shard_rows: int = 8192, block_queries: int = 4096, max_sample: int = 20_000) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of largest inner product found for each row that `queries` selects."""
     spark = df.sparkSession
-    rows = materialize(valid_vectors(df, id_col, vec_col), "vectors")
+    scratch = Scratch(spark, "search")
+    rows = scratch.table(valid_vectors(df, id_col, vec_col), "vectors")
     points, total = sample(rows, max_sample)
-    empty = "query_id long, rank int, vec_id long, score double"
     if not total:
-        return spark.createDataFrame([], empty)
-    model = spark.sparkContext.broadcast(fit(points, total, k))
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    model = spark.sparkContext.broadcast(fit(points, total, k, rerank))
 
     def index(batch: pa.RecordBatch) -> dict | None:
         if not batch.num_rows:
@@ -162,14 +205,32 @@ def nearest(df: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str
         return {"ids": batch.column(0), "vec": batch.column(1), "list": at, "codes": [c.tobytes() for c in codes]}
 
     kinds = dict(rows.dtypes)
-    distinct = materialize(_distinct(rows, k + 1), "distinct")
-    indexed = materialize(arrow_map(distinct, index, f"ids array<{kinds['id']}>, vec {kinds['vec']}, list int, codes binary"), "index")
-    asking = rows.withColumnRenamed("id", id_col).where(queries).withColumnRenamed(id_col, "id")
-    shards, blocks = -(-total // shard_rows), -(-asking.count() // block_queries)
-    if not blocks:
-        return spark.createDataFrame([], empty)
-    left = asking.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    right = indexed.withColumn("shard", F.pmod(F.xxhash64(F.col("ids")[0], F.lit(2)), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    found = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard")).applyInArrow(lambda a, b: _search(model.value, a, b, k, rerank), "query_id long, vec_id long, score double")
+    indexed = scratch.table(arrow_map(_distinct(rows, k + 1), index, f"ids array<{kinds['id']}>, vec {kinds['vec']}, list int, codes binary"), "index")
+    sizes = np.zeros(len(model.value.coarse), dtype=np.int64)
+    for r in indexed.groupBy("list").count().collect():  # a row for each list, at most 1,024
+        sizes[r[0]] = r[1]
+    first, parts = deal(model.value.coarse, sizes, shard_rows)
+    dealt = spark.createDataFrame([(i, int(f), int(p)) for i, (f, p) in enumerate(zip(first, parts))], "list int, first long, parts long")
+
+    def route(batch: pa.RecordBatch) -> dict | None:
+        if not batch.num_rows:
+            return None
+        at, shard = [], []
+        for i, lists in enumerate(probed_lists(model.value, matrix(batch.column(1)))):
+            own = np.unique(np.concatenate([np.arange(first[c], first[c] + parts[c]) for c in np.flatnonzero(lists)]))
+            at.append(np.full(len(own), i))
+            shard.append(own)
+        taken = batch.take(pa.array(np.concatenate(at)))
+        return {"id": taken.column(0), "vec": taken.column(1), "shard": np.concatenate(shard)}
+
+    asking = rows.withColumnRenamed("id", id_col).where(queries).withColumnRenamed(id_col, "id").select("id", "vec")
+    asked = scratch.table(arrow_map(asking, route, f"id {kinds['id']}, vec {kinds['vec']}, shard long"), "asked")
+    loads = asked.groupBy("shard").agg(F.ceil(F.count("*") / block_queries).alias("blocks")).select(F.col("shard").alias("of"), "blocks")
+    loads = scratch.table(loads, "loads")
+    left = asked.join(loads, F.col("shard") == F.col("of")).select("id", "vec", "shard", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).alias("block"))
+    placed = indexed.join(F.broadcast(dealt), "list")  # a row for each list
+    placed = placed.select("ids", "vec", "list", "codes", (F.col("first") + F.pmod(F.xxhash64(F.col("ids")[0], F.lit(2)), F.col("parts"))).alias("shard"))
+    right = placed.join(loads, F.col("shard") == F.col("of")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("of", "blocks")
+    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(lambda a, b: _search(model.value, a, b, k, rerank), "query_id long, vec_id long, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from leafmill.llm import language_id, line_dedup, mixing, packing, pii, simhash, token_counts, url_filter, vector_dedup, vector_search
-from leafmill.llm.common import connected_components
+from leafmill.llm import language_id, line_dedup, mixing, packing, pii, similar_texts, simhash, token_counts, url_filter, vector_dedup, vector_search
+from leafmill.llm.common import Scratch, connected_components
 from leafmill.llm.queries import URL_RULES
 
 DATA = "/root/testdata/sf0.001"
@@ -199,15 +199,15 @@ def test_similar_groups(spark):
             for at in rng.sample(range(300), changes):
                 own[at] = rng.choice(words)
             texts.append(" ".join(own))
-    got = by_id(simhash.similar_groups(docs(spark, texts)))
+    got = by_id(similar_texts.similar_groups(docs(spark, texts)))
     alike = np.array([[jaccard(a, b) >= 0.8 for b in texts] for a in texts])
     want = reach(alike, range(len(texts)))
     own = [got[i]["component_id"] for i in range(len(texts))]
     assert np.mean([a == b for a, b in zip(own, want)]) > 0.97
     assert all(want[a] == want[i] for i, a in enumerate(own))  # nothing below the similarity is linked
     nulls = docs(spark, ["some words here"] * 3).withColumn("doc_id", F.when(F.col("doc_id") > 0, F.col("doc_id")))
-    assert sorted(simhash.similar_groups(nulls).collect(), key=str) == [(1, 1), (2, 1), (None, None)]
-    assert simhash.similar_groups(nulls.limit(0)).count() == 0
+    assert sorted(similar_texts.similar_groups(nulls).collect(), key=str) == [(1, 1), (2, 1), (None, None)]
+    assert similar_texts.similar_groups(nulls.limit(0)).count() == 0
 
 
 def groups_by_jaccard(texts):
@@ -226,7 +226,7 @@ def test_similar_groups_at_the_similarity(spark):
         for at in rng.sample(range(300), 6):
             own[at] = "x"
         texts.append(" ".join(own))
-    got = by_id(simhash.similar_groups(docs(spark, texts)))
+    got = by_id(similar_texts.similar_groups(docs(spark, texts)))
     assert [got[i]["component_id"] for i in range(len(texts))] == groups_by_jaccard(texts)
 
 
@@ -236,14 +236,14 @@ def test_similar_groups_with_repeated_passages(spark):
     for k in (2, 3, 10, 30) * 5:
         p, q = rng.choices(words, k=200), rng.choices(words, k=200)
         texts += [" ".join(p * k + q), " ".join(p + q)]
-    got = by_id(simhash.similar_groups(docs(spark, texts)))
+    got = by_id(similar_texts.similar_groups(docs(spark, texts)))
     assert [got[i]["component_id"] for i in range(len(texts))] == [i - i % 2 for i in range(len(texts))] == groups_by_jaccard(texts)
 
 
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(60)] + [(100 + rng.randrange(80), 100 + rng.randrange(80)) for _ in range(60)] + [(500, 500)]
-    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test")).collect()}
     parent = {x: x for e in edges for x in e}
 
     def root(x):
@@ -313,9 +313,10 @@ def test_mixing_takes_the_last_block(spark):
     assert {r["doc_id"]: r["taken"] for r in mixing.mix_counts(df).collect()} == {0: 1500, 1: 2, 2: 700, 3: 1296, 4: 3}
     for n, aim in ((3501, 3501 * 3), (3501, 2000), (3501, 5000.4), (999, 1998), (1, 3), (257, 256)):
         for block in (1, 3, 256):
-            blocks = -(-n // block)
-            times = mixing._times(np.arange(blocks), blocks, mixing._quota(aim, n, block, 5), 5)
+            blocks, slots = -(-n // block), mixing._quota(aim, n, block, 5)
+            times = np.bincount(mixing.permuted(np.arange(slots) % blocks, blocks, 5), minlength=blocks)
             assert abs(int((times * np.minimum(block, n - np.arange(blocks) * block)).sum()) - aim) <= block / 2 + 1
+    assert (mixing.permuted(mixing.permuted(np.arange(77), 77, 5), 77, 5, back=True) == np.arange(77)).all()
 
 
 def test_pipeline(spark):
@@ -324,7 +325,7 @@ def test_pipeline(spark):
         out = stage(spark, docs_in, DATA)
         assert out.columns == docs_in.columns, name
         if name == "simhash_near_dedup":
-            groups = simhash.similar_groups(docs_in)
+            groups = similar_texts.similar_groups(docs_in)
             assert {r[0] for r in out.select("doc_id").collect()} == {r[0] for r in groups.where("doc_id = component_id").select("doc_id").collect()}
         spark_rows = out.collect()
         docs_in = spark.createDataFrame(spark_rows, docs_in.schema)

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import CORPUS, SMALL_CHUNKS, Config
+from .config import CORPUS, LEGACY_DOMAINS, SMALL_CHUNKS, Config
 from .functions import text as T
-from .operators import chunking, extraction, facts, ledger, retrieval, tree, triage, validation
+from .operators import chunking, extraction, facts, ledger, retrieval, tree, triage, units, validation
 from .plans import qa
 from .sources import tables as S
 from .streaming import ledger as stream
@@ -165,9 +165,12 @@ def ocr_word_confidence(spark, d):
 
 @query
 def metadata_codec(spark, d):
+    """Pages as stored and as read back; some stored texts hold what isn't a page."""
     p = S.doc_pages(spark, d).where("text <> ''").groupBy("doc_id").agg(F.array_sort(F.collect_set("page_number")).alias("pages"))
     m = p.withColumn("m", retrieval.to_metadata(F.col("pages"), F.lit("Unknown"), F.lit(1)))
-    return m.select("doc_id", F.col("m.page_numbers").alias("page_numbers"), (retrieval.from_metadata(F.col("m.page_numbers")) == F.col("pages")).alias("same"))
+    stored = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("x, -2,"), "m.page_numbers")).when(F.col("doc_id") % 7 == 1, F.lit("0,none")).otherwise(F.col("m.page_numbers"))
+    back = retrieval.from_metadata(stored)
+    return m.select("doc_id", stored.alias("page_numbers"), F.array_join(back.cast("array<string>"), ";").alias("read_back"), (back == F.col("pages")).alias("same"))
 
 
 @query
@@ -284,8 +287,23 @@ def attempt_costs(spark, d):
 
 @query
 def budget_stop_loss(spark, d):
-    s = extraction.stop_loss(S.attempts(spark, d), 0.2)
-    return s.select("file_id", "page_number", F.round("cost", 6).alias("cost"), F.round("spend_before", 6).alias("spend_before"), "skipped")
+    """Attempts as they are made under a budget that some documents reach."""
+    s = extraction.stop_loss(S.attempts(spark, d), 0.05)
+    return s.select("file_id", "page_number", "attempt_no", "status", F.round("cost", 6).alias("cost"), F.round("spend_before", 6).alias("spend_before"), "skipped")
+
+
+@query
+def budget_page_results(spark, d):
+    """What a reached budget changes in pages' results."""
+    r = extraction.page_results(extraction.stop_loss(S.attempts(spark, d), 0.05))
+    return r.select("file_id", "page_number", "attempts", "final_strategy", "final_status", "total_cost", "escalation_path")
+
+
+@query
+def circuit_breaker(spark, d):
+    """An error of a vision attempt with a high value stands for one that disables the strategy."""
+    a = extraction.circuit_breaker(S.attempts(spark, d), (F.col("status") == "fail") & (F.col("cost") > 0.1))
+    return a.groupBy("strategy").agg(F.count("*").alias("n"), F.count_if("disabled").alias("disabled"))
 
 
 @query
@@ -331,17 +349,197 @@ def bbox_validation(spark, d):
 
 @query
 def attempt_validation(spark, d):
-    return validation.violations(S.attempts(spark, d))
+    """Attempts with every check violated somewhere."""
+    a = S.attempts(spark, d)
+    k = F.col("event_id") % 20
+    broken = a.withColumns({
+        "page_number": F.when(k == 0, 0).otherwise(F.col("page_number")), "confidence": F.when(k == 1, 1.5).when(k == 2, None).otherwise(F.col("confidence")), "cost": F.when(k == 3, -0.5).otherwise(F.col("cost")),
+        "processing_time_ms": F.when(k == 4, -1.0).otherwise(F.col("processing_time_ms")), "status": F.when(k == 5, "maybe").otherwise(F.col("status")), "strategy": F.when(k == 6, "STRATEGY_D").otherwise(F.col("strategy")),
+        "content": F.when(k == 7, "  ").otherwise(F.col("status")), "token_count": F.when(k < 9, 0).otherwise(1), "unit_type": F.when(k == 8, "chart").otherwise("table"),
+    })
+    return validation.violations(broken)
 
 
 @query
 def hash_validation(spark, d):
-    """Recomputes stored hashes; counts those that differ."""
-    c = S.section_chunks(spark, d)
+    """Recomputes stored hashes of chunks and of provenance; some of the stored ones are spoilt."""
+    c = S.section_chunks(spark, d).withColumn("no", F.regexp_extract("content", "(\\d+)", 1).cast("long"))
+    stored = F.when(F.col("no") % 17 == 0, F.reverse("content_hash")).otherwise(F.col("content_hash"))
     again = T.content_hash(F.col("content"), F.col("page_number"), F.lit(0), F.lit(0), F.lit(1), F.lit(1))
-    return c.groupBy("page_number").agg(F.count("*").alias("chunks"), F.count_if(again != F.col("content_hash")).alias("bad"))
+    stamp, path = F.lit("2024-01-01T00:00:00Z"), F.array(F.lit("STRATEGY_A"), F.lit("STRATEGY_B"))
+    made = T.provenance_hash(F.col("section_context"), F.col("page_number"), F.when(F.col("no") % 11 == 0, "STRATEGY_C").otherwise("STRATEGY_B"), stamp, path)
+    right = T.provenance_hash(F.col("section_context"), F.col("page_number"), F.lit("STRATEGY_B"), stamp, path)
+    return c.groupBy("page_number").agg(F.count("*").alias("chunks"), F.count_if(again != stored).alias("bad"), F.count_if(made != right).alias("bad_provenance"))
 
 
 @query
 def safe_names(spark, d):
     return S.table(spark, d, "customer").select("c_custkey", T.safe_name(F.concat("c_name", F.lit(" / "), "c_mktsegment", F.lit("."))).alias("name"), T.slug(F.col("c_name")).alias("slug"))
+
+
+@query
+def styled_sections(spark, d):
+    """Headings told by their style."""
+    return chunking.sections(S.styled_units(spark, d), SMALL_CHUNKS).select("doc_id", "page_number", "uid", "section", "is_boundary")
+
+
+def _plan(spark, d):
+    pages = S.doc_pages(spark, d)
+    totals = pages.groupBy("doc_id").agg(F.count("*").cast("int").alias("total_pages"))
+    claimed = pages.where("doc_id % 4 <> 0").select("doc_id", (F.col("page_number") * (F.col("doc_id") % 3 + 1) - 1).cast("int").alias("page_number"))
+    return pages, units.page_plan(totals, claimed, 3)
+
+
+@query
+def page_plan(spark, d):
+    """Pages to process: those claimed within range, in order, three at most; all where none is."""
+    return _plan(spark, d)[1].select("doc_id", "place", "page_number")
+
+
+@query
+def planned_strategies(spark, d):
+    """Planned pages with their profiles, made up where there is none."""
+    pages, plan = _plan(spark, d)
+    profiles = triage.page_profiles(pages, CORPUS).where("page_number % 2 = 1")
+    return units.with_profiles(plan, profiles, triage.doc_profiles(pages, CORPUS)).select("doc_id", "page_number", "dominant_strategy", "synthesized")
+
+
+@query
+def page_judgements(spark, d):
+    """Confidence and success of each page by its strategy and its units; a geometry that lacks pages counts them as 1 by 1."""
+    pages = S.doc_pages(spark, d)
+    docs = triage.doc_profiles(pages, CORPUS).select("doc_id", "origin_type")
+    profiles = triage.page_profiles(pages, CORPUS)
+    p = profiles.join(docs, "doc_id").select("doc_id", "page_number", F.col("dominant_strategy").alias("strategy"), "origin_type", "char_density", (F.col("rect_count") % 2 == 0).alias("has_fonts"), F.when(F.col("image_count") == 1, (F.col("rect_count") % 10) / 10).alias("engine"))
+    u = S.line_units(spark, d).withColumn("unit_type", F.when(F.length("content") % 7 == 3, "table").when(F.length("content") % 7 == 4, "figure").otherwise("text"))
+    j = units.judged_pages(p, u, CORPUS)
+    return j.select("doc_id", "page_number", "strategy", "n_units", F.round("confidence", 6).alias("confidence"), "required", "success")
+
+
+@query
+def piece_rows(spark, d):
+    """Pieces of documents' JSON, from their own fields or else from their pages."""
+    h = S.html_units(spark, d).select("page_id", "n", "content", F.element_at(F.array(*[F.lit(x) for x in ("Data_Table", "SectionHeader", "figure", "page-image", "paragraph")]), (F.col("n") % 5 + 1).cast("int")).alias("type"), (F.col("n") % 3).cast("int").alias("page_no"))
+    piece = F.struct("n", "type", F.col("content").alias("text"), "page_no")
+    g = h.groupBy("page_id").agg(F.array_sort(F.collect_list(piece)).alias("p"))
+    texts, tables = F.filter("p", lambda x: x["n"] % 2 == 0), F.filter("p", lambda x: x["n"] % 2 == 1)
+    own, paged = F.to_json(F.struct(texts.alias("texts"), tables.alias("tables"))), F.to_json(F.struct(F.array(F.struct(texts.alias("items"), tables.alias("elements"))).alias("pages")))
+    docs = g.select("page_id", F.when(F.col("page_id") % 5 == 0, F.lit("no object")).when(F.col("page_id") % 2 == 0, own).otherwise(paged).alias("doc"))
+    return units.pieces(docs, "page_id", "doc", [1]).select(F.col("id").alias("page_id"), "n", "page_number", "unit_type", "content")
+
+
+@query
+def search_rows(spark, d):
+    """Units as search rows."""
+    u = S.html_units(spark, d)
+    odd = F.col("n") % 4
+    u = u.select("page_id", "n", F.when(odd == 0, F.lit("")).otherwise(F.col("content")).alias("content_markdown"), F.when(odd == 1, F.lit(None)).otherwise(F.concat(F.lit(" raw "), "content")).alias("content_raw"), F.when(odd == 2, None).otherwise((F.col("n") - 3).cast("int")).alias("page_number"), F.when(odd == 3, " ").otherwise(F.col("unit_type")).alias("unit_type"), *[F.lit(None).cast("double").alias(k) for k in ("x1", "y1", "x2", "y2")])
+    file = F.concat(F.lit("page_"), "page_id")
+    return units.to_chunks(u, file).select("file_id", "content", "page_number", "section_context", "token_count", "x2")
+
+
+@query
+def normalized_units(spark, d):
+    u = S.line_units(spark, d).withColumn("x2", F.when(F.col("page_number") % 2 == 0, F.col("x2") / 2))
+    n = units.normalized(u, F.col("page_number"), F.lit("STRATEGY_B"), F.array(F.lit("STRATEGY_A"), F.lit("STRATEGY_B")))
+    return n.select("doc_id", "page_number", "uid", "x2", "strategy_used", F.array_join("escalation_path", ">").alias("path"))
+
+
+@query
+def payload_rows(spark, d):
+    """Chunk rows of JSON payloads that lack some fields."""
+    c = S.table(spark, d, "customer")
+    k = F.col("c_custkey") % 5
+    chunk = F.struct(F.when(k != 0, F.concat(F.lit(" "), "c_name", F.lit(" "))).alias("content"), F.when(k > 1, F.array((k + 1).cast("int"), F.lit(9))).alias("page_numbers"), F.when(k != 2, F.struct((k / 4).alias("x1"))).alias("bbox_bounds"), F.when(k != 3, F.col("c_mktsegment")).alias("section_context"), F.when(k != 4, (k * 2).cast("int")).alias("token_count"), F.col("c_mktsegment").alias("content_hash"))
+    p = c.select("c_custkey", F.when(k == 1, F.to_json(F.struct(F.array(chunk, chunk).alias("chunks")))).otherwise(F.to_json(F.struct(F.array(chunk).alias("chunks")))).alias("payload"))
+    r = units.payload_chunks(p, "c_custkey", "payload")
+    return r.select(F.col("id").alias("c_custkey"), "n", "content", F.array_join(F.col("page_numbers").cast("array<string>"), ",").alias("pages"), "section_context", "token_count", "content_hash", F.round("x1", 4).alias("x1"), "x2")
+
+
+@query
+def origin_names(spark, d):
+    """Origins by their synonyms, over three columns of which the first that says something counts."""
+    e = S.table(spark, d, "events")
+    names = ["Image_Scan", "scanned", "digital", "mixed", "unknown", "", "hybrid", "paper"]
+    pick = lambda n: F.element_at(F.array(*[F.lit(x) for x in names]), (n % len(names) + 1).cast("int"))
+    a, b, c = pick(F.col("event_id")), pick(F.col("event_id") + F.col("user_id")), pick(F.col("user_id"))
+    return e.select("event_id", extraction.origin_of(a, b, c).alias("origin"))
+
+
+@query
+def attempt_labels(spark, d):
+    return S.attempts(spark, d).groupBy(extraction.label(F.col("strategy")).alias("label")).agg(F.count("*").alias("n"))
+
+
+@query
+def vision_models(spark, d):
+    """The model for each document's cost tier."""
+    p = triage.doc_profiles(S.doc_pages(spark, d), CORPUS)
+    return p.select("doc_id", "cost_tier", extraction.vision_model(F.col("cost_tier"), CORPUS.with_(models={"LOW": "FastText", "MEDIUM": "vendor/medium-model"})).alias("model"))
+
+
+@query
+def metadata_hints(spark, d):
+    """Domains of texts, or else of their metadata; and by the older keywords."""
+    meta = F.create_map(F.lit("source"), F.coalesce("source", F.lit("")), F.lit("lang"), F.coalesce("lang", F.lit("")), F.lit("note"), F.when(F.col("doc_id") % 5 == 0, "From the Ministry").when(F.col("doc_id") % 7 == 0, "Bank paper").otherwise("none"))
+    return S.table(spark, d, "documents").select("doc_id", triage.resolved_hint(F.col("text"), meta, Config()).alias("hint"), triage.domain_hint(F.col("text"), Config(domains=LEGACY_DOMAINS)).alias("legacy_hint"))
+
+
+@query
+def display_names(spark, d):
+    c = S.table(spark, d, "customer")
+    k = F.col("c_custkey") % 4
+    file = F.when(k == 0, F.concat(F.lit("/data/in/"), F.regexp_replace("c_name", "#", "_"), F.lit(".pdf"))).when(k == 1, F.lit("  ")).otherwise(F.lit(None))
+    title = F.when(k == 2, F.lit("Document Root")).when(k == 1, F.concat(F.lit(" "), "c_mktsegment"))
+    return c.select("c_custkey", units.display_name(file, title).alias("name"))
+
+
+@query
+def ledger_progress(spark, d):
+    e = ledger.with_progress(ledger.entries(extraction.page_results(extraction.escalate(S.attempts(spark, d)))))
+    return e.select("file_name", "page_number", "pages_processed")
+
+
+@query
+def page_lists(spark, d):
+    """Page lists sorted and without repeats; none where there is no page or an odd one."""
+    i = S.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list((F.col("l_quantity") % 5 - F.when(F.col("l_orderkey") % 3 == 0, 1).otherwise(-1)).cast("int")).alias("p"))
+    return i.select("l_orderkey", F.array_join(units.page_list(F.col("p")).cast("array<string>"), ",").alias("pages"))
+
+
+def _boxed_chunks(spark, d):
+    k = F.regexp_extract("content", r"(\d+)", 1).cast("long")
+    return S.section_chunks(spark, d).withColumns({"x1": (k % 8) / 16, "y1": (k % 4) / 8, "x2": 0.5 + (k % 8) / 16, "y2": 0.5 + (k % 4) / 8})
+
+
+@query
+def section_rollup(spark, d):
+    r = tree.section_rollup(_boxed_chunks(spark, d))
+    return r.select("title", "x1", "y1", "x2", "y2", "chunk_count", "total_pages_covered", F.md5(F.array_join("chunk_hashes", ",").cast("binary")).alias("hashes_md5"), F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"))
+
+
+@query
+def chunk_nodes(spark, d):
+    return tree.chunk_nodes(S.section_chunks(spark, d)).select("node_id", "parent_id", "node_type", "title", "page_number")
+
+
+@query
+def section_summaries(spark, d):
+    """Summaries of the sections of found chunks, each once."""
+    c = S.section_chunks(spark, d)
+    return tree.summaries_of(c, c.where("page_number = 7 AND content LIKE '%BUILDING%'"))
+
+
+@query
+def evidence_lines(spark, d):
+    return S.section_chunks(spark, d).select("content_hash", retrieval.evidence(F.col("content"), F.col("content_hash"), F.col("page_number")).alias("line"))
+
+
+@query
+def cited_hashes(spark, d):
+    """Hashes that an answer names, in its text or in its list, and that stand among the valid ones."""
+    docs = S.table(spark, d, "documents").select("doc_id", _md5("text").alias("h"))
+    answer = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("As "), "h", F.lit(" says."))).otherwise(F.concat(F.lit("USED_HASHES: ['"), "h", F.lit("', deadbeef]")))
+    named = F.array_union(T.used_hashes(answer), F.regexp_extract_all(answer, F.lit("([0-9a-f]{32})"), 1))
+    cited = docs.select("doc_id", F.explode(named).alias("content_hash"))
+    return cited.join(docs.select(F.col("h").alias("content_hash")).distinct(), "content_hash", "left_semi").select("doc_id", "content_hash")

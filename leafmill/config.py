@@ -46,12 +46,50 @@ class Config:
     min_font: float = 12.0
     bold_weight: int = 600
     markers: tuple = MARKERS
+    default_model: str = "openai/gpt-4o-mini"
     models: dict = field(default_factory=lambda: {"LOW": "FastText", "MEDIUM": "LayoutExtractor", "HIGH": "openai/gpt-4o-mini"})
 
     def with_(self, **changes) -> Config:
         return replace(self, **changes)
 
 
+#: The keywords by domain that older profiles used.
+LEGACY_DOMAINS = (("Banking/Security", ("bank", "cbe", "disclosure", "vulnerability")), ("Public_Sector", ("ministry", "fta", "woreda", "survey")))
+#: Names in a mapping of settings, by section, and what they set.
+_SETTINGS = {
+    "triage": {"min_digital_density": "min_digital", "table_rect_threshold": "table_high", "confidence_gate": "confidence_gate"},
+    "extraction": {"budget_cap_usd": "budget", "strategy_b_confidence": "b_confidence", "min_text_clarity": "min_clarity"},
+    "chunking": {"max_chunk_size": "max_chunk", "min_chunk_size": "min_chunk", "header_min_font_size": "min_font", "bold_weight_threshold": "bold_weight", "semantic_boundaries": "markers"},
+}
+
+
+def positive(value: object, default: float) -> float:
+    """A positive number, or the default for anything else."""
+    try:
+        found = float(value)
+    except (TypeError, ValueError):
+        return default
+    return found if found > 0 and found != float("inf") else default
+
+
+def from_mapping(settings: dict, base: Config = Config()) -> Config:
+    """Settings read from a mapping of sections, as a YAML file gives it; what it lacks, or isn't a positive number, stays as in `base`."""
+    changes: dict = {}
+    for section, names in _SETTINGS.items():
+        given = settings.get(section) or {}
+        for name, attribute in names.items():
+            if name in given:
+                old = getattr(base, attribute)
+                changes[attribute] = tuple(given[name]) if isinstance(old, tuple) else type(old)(positive(given[name], old))
+    rules = settings.get("rules") or ()
+    if rules:
+        changes["rules"] = tuple((int(r.get("priority", i)), r.get("condition", r.get("if", "")), r.get("action", r.get("then", "")), str(r.get("reason", DEFAULT_REASON))) for i, r in enumerate(rules, 1) if isinstance(r, dict))
+    domains = settings.get("domains") or ()
+    if domains:
+        changes["domains"] = tuple((str(d.get("domain_hint", "General")), tuple(map(str, d.get("domain_keywords", ())))) for d in domains if isinstance(d, dict))
+    return base.with_(**changes)
+
+
 #: Frequent words of the supplied documents, since the default keywords hardly occur there.
 CORPUS = Config(domains=(("Banking/Security", ("bank", "licensed", "token")), ("Public_Sector", ("rights", "und ", "les "))))
 #: Chunk sizes at which packing, splitting and merging all occur in the supplied documents.

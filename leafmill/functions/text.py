@@ -84,11 +84,13 @@ def short_summary(title: Column, text: Column) -> Column:
     first = F.split(collapse(text), r"(?<=[.!?])\s+", 2)[0]
     cut = F.when(F.length(first) > 220, F.concat(F.rtrim(F.left(first, F.lit(217))), F.lit("..."))).otherwise(first)
     closed = F.when(F.right(cut, F.lit(1)).isin(".", "!", "?"), cut).otherwise(F.concat(cut, F.lit(".")))
+    # Fixed value: the sentence for a section without text.
     return F.when(collapse(text) == "", F.concat(F.lit("Section '"), title, F.lit("' has no extracted content yet."))).otherwise(closed)
 
 
 def facts(text: Column) -> Column:
     """array<struct<fact_key, fact_value>>: amounts of money, percentages and years, in this order."""
+    # The kinds of facts and their patterns.
     found = [
         ("currency_amount", r"(?i)((?:\$|USD\s?)\d[\d,]*(?:\.\d+)?)"),
         ("percentage", r"\b(\d+(?:\.\d+)?%)"),

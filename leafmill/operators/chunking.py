@@ -6,10 +6,8 @@ packs sizes sees one segment's sizes at a time.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
 
 from ..config import Config
 from ..functions import text as T
@@ -26,16 +24,25 @@ def table_islands(units: DataFrame) -> DataFrame:
     return u.withColumn("_start", (~joins).cast("int")).withColumn("island", F.sum("_start").over(doc)).drop("_start")
 
 
-def _static_boundary(config: Config) -> Column:
-    """Header units, bold large styles, and texts with a marker."""
+def _style(raw: Column, *names: str) -> Column:
+    """The first of the named values at the top level of a JSON object; null elsewhere."""
+    return F.coalesce(*[F.get_json_object(F.when(F.trim(raw).rlike(r"(?s)^\{.*\}$"), raw), f"$.{n}") for n in names])
+
+
+def styled_heading(raw: Column, config: Config) -> Column:
+    """Whether a unit's own style, as its raw content says, is that of a heading: large, and bold or heavy."""
+    size, weight, bold = (_style(raw, *names) for names in (("font_size", "size"), ("font_weight", "weight"), ("bold", "is_bold")))
+    is_bold = bold.isNotNull() & ~F.lower(bold).isin("false", "0", "0.0", "")
+    return F.coalesce((size.try_cast("double") >= config.min_font) & (F.coalesce(is_bold, F.lit(False)) | F.coalesce(weight.try_cast("double") >= config.bold_weight, F.lit(False))), F.lit(False))
+
+
+def _static_boundary(units: DataFrame, config: Config) -> Column:
+    """Header units, styled headings (by content_raw where units have it), and texts with a marker."""
     text = F.col("content")
-    style = lambda k: F.get_json_object(text, f"$.style.{k}")
-    bold = (F.lower(style("bold")) == "true") | (style("font_weight").try_cast("double") >= config.bold_weight)
-    styled = F.coalesce((style("font_size").try_cast("double") >= config.min_font) & bold, F.lit(False))
     marked = F.lit(False)
     for m in config.markers:
         marked = marked | F.lower(text).contains(m.lower())
-    return (F.col("unit_type") == "header") | styled | marked
+    return (F.col("unit_type") == "header") | styled_heading(F.col("content_raw") if "content_raw" in units.columns else text, config) | marked
 
 
 def sections(units: DataFrame, config: Config) -> DataFrame:
@@ -44,7 +51,7 @@ def sections(units: DataFrame, config: Config) -> DataFrame:
     is_table = F.col("unit_type") == "table"
     text = F.trim("content")
     doc = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    u = u.withColumn("_static", ~is_table & _static_boundary(config))
+    u = u.withColumn("_static", ~is_table & _static_boundary(u, config))
     candidate = F.col("_static") | (~is_table & text.startswith("#"))
     u = u.withColumn("section", F.coalesce(F.last(F.when(candidate, F.left(text, F.lit(200))), ignorenulls=True).over(doc), F.lit(ROOT)))
     before = F.coalesce(F.lag("section").over(Window.partitionBy("doc_id").orderBy("ord")), F.lit(ROOT))
@@ -67,35 +74,37 @@ def atomic_units(units: DataFrame, config: Config) -> DataFrame:
     return a.withColumn("is_boundary", F.col("is_boundary") & ~F.col("_long")).withColumn("tokens", T.token_count(F.col("text"))).drop("content", "_words", "_long")
 
 
-@F.pandas_udf(ArrayType(IntegerType()))
-def _greedy(sizes: pd.Series, cap: pd.Series) -> pd.Series:
-    """Pack number of each size in order; a pack closes when the next size would exceed the cap."""
+def _pack_starts(sizes: Column, cap: int) -> Column:
+    """Where packs start in an array of sizes: at 0, and wherever the next size would bring the pack over the cap."""
+    zero = F.lit(0)
+    start = F.struct(F.array().cast("array<int>").alias("starts"), zero.alias("held"), zero.alias("i"))
 
-    def fold(values: list[int], most: int) -> list[int]:
-        out, pack, held = [], 0, 0
-        for i, v in enumerate(values):
-            if i and held + v > most:
-                pack, held = pack + 1, 0
-            held += v
-            out.append(pack)
-        return out
+    def step(acc: Column, size: Column) -> Column:
+        opens = (acc["i"] == 0) | (acc["held"] + size > cap)
+        return F.struct(F.when(opens, F.concat(acc["starts"], F.array(acc["i"]))).otherwise(acc["starts"]).alias("starts"), F.when(opens, size).otherwise(acc["held"] + size).alias("held"), (acc["i"] + 1).alias("i"))
 
-    return pd.Series([fold(s, c) for s, c in zip(sizes, cap)])
+    return F.aggregate(sizes, start, step, lambda acc: acc["starts"])
 
 
 def pack(units: DataFrame, config: Config) -> DataFrame:
-    """Chunks: boundaries start a segment, and a segment's units are packed greedily up to the size limit."""
+    """Chunks: boundaries start a segment, and a segment's units are packed greedily up to the size limit.
+
+    The fold runs inside the segment's row; packs are slices of its units.
+    """
     a = atomic_units(units, config)
     doc = Window.partitionBy("doc_id").orderBy("island", "piece").rowsBetween(Window.unboundedPreceding, 0)
     a = a.withColumn("segment", F.sum(F.col("is_boundary").cast("int")).over(doc))
     row = F.struct("island", "piece", "tokens", "text", "pages", "x1", "y1", "x2", "y2", "section")
     s = a.groupBy("doc_id", "segment").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    s = s.withColumn("packs", _greedy(F.transform("rows", lambda r: r["tokens"]), F.lit(config.max_chunk)))
-    s = s.select("doc_id", "segment", F.explode(F.arrays_zip("packs", "rows")).alias("z")).select("doc_id", "segment", F.col("z.packs").alias("pack"), "z.rows.*")
-    c = s.groupBy("doc_id", "segment", "pack").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("island", "piece", "text"))), lambda x: x["text"]), "\n\n").alias("content"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("pages")))).alias("pages"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"),
-        F.min_by("section", F.struct("island", "piece")).alias("section"), F.sum("tokens").cast("int").alias("tokens"),
+    s = s.withColumn("starts", _pack_starts(F.transform("rows", lambda r: r["tokens"]), config.max_chunk))
+    s = s.select("doc_id", "segment", "rows", "starts", F.posexplode("starts").alias("pack", "start"))
+    following = F.coalesce(F.get("starts", F.col("pack") + 1), F.size("rows"))
+    s = s.select("doc_id", "segment", "pack", F.slice("rows", F.col("start") + 1, following - F.col("start")).alias("part"))
+    all_of = lambda name: F.transform("part", lambda r: r[name])
+    c = s.select(
+        "doc_id", "segment", "pack", F.array_join(all_of("text"), "\n\n").alias("content"), F.array_sort(F.array_distinct(F.flatten(all_of("pages")))).alias("pages"),
+        F.array_min(all_of("x1")).alias("x1"), F.array_min(all_of("y1")).alias("y1"), F.array_max(all_of("x2")).alias("x2"), F.array_max(all_of("y2")).alias("y2"),
+        F.col("part")[0]["section"].alias("section"), F.aggregate(all_of("tokens"), F.lit(0), lambda x, y: x + y).alias("tokens"),
     )
     return c.withColumn("chunk_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("segment", "pack")))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +20,8 @@ def strategy_chain(origin: Column, dominant: Column) -> Column:
 
 def origin_of(origin_type: Column, overall: Column, document_type: Column) -> Column:
     """Origin under its usual name, from the first of three columns that says one ("unknown" says none)."""
-    said = F.coalesce(*[F.when(F.lower(c).isin("unknown", ""), None).otherwise(F.lower(c)) for c in (origin_type, overall, document_type)], F.lit("unknown"))
-    return F.when(said.isin("scanned", "scanned_image"), "scanned_image").when(said.isin("hybrid", "mixed"), "hybrid").when(said.isin("born_digital", "digital", "native_digital"), "born_digital").otherwise(F.lit("unknown"))
+    said = F.coalesce(*[F.when(F.lower(c).isin("unknown", ""), None).otherwise(F.lower(c)) for c in (F.trim(origin_type), F.trim(overall), F.trim(document_type))], F.lit("unknown"))
+    return F.when(said.isin("scanned", "scanned_image", "image_scan"), "scanned_image").when(said.isin("hybrid", "mixed"), "hybrid").when(said.isin("born_digital", "digital"), "born_digital").otherwise(F.lit("unknown"))
 
 
 def fast_confidence(density: Column, has_fonts: Column, config: Config) -> Column:
@@ -53,7 +55,26 @@ def vision_tokens(text: Column, width: Column, height: Column, config: Config) -
 
 
 def vision_cost(text: Column, image: Column, out: Column, config: Config) -> Column:
-    return F.round(text / 1000 * config.price_in + image / 1000 * config.price_image + out / 1000 * config.price_out, 6)
+    """Price of a call, in decimals and rounded once, as binary fractions would fall on either side of a tie."""
+    price = lambda n, each: n.cast("decimal(18,0)") * F.lit(Decimal(str(each)) / 1000)
+    return F.round(price(text, config.price_in) + price(image, config.price_image) + price(out, config.price_out), 6).cast("double")
+
+
+def dispatch_confidence(strategy: Column, fast: Column, layout: Column, no_units: Column) -> Column:
+    """The confidence by which an attempt of a strategy is judged."""
+    return F.when(strategy == "STRATEGY_A", fast).when(strategy == "STRATEGY_B", layout).otherwise(vision_confidence(no_units))
+
+
+def succeeded(n_units: Column, confidence: Column, required: Column) -> Column:
+    """An attempt succeeds with units and enough confidence."""
+    return F.coalesce((n_units > 0) & (confidence >= required), F.lit(False))
+
+
+def vision_model(tier: Column, config: Config) -> Column:
+    """The model for a cost tier; only names with a slash are vision models, others fall back to the default."""
+    known = F.create_map(*[F.lit(x) for pair in config.models.items() for x in pair])
+    mapped = F.element_at(known, F.upper(F.coalesce(F.when(tier != "", tier), F.lit("HIGH"))))
+    return F.when(mapped.contains("/"), mapped).otherwise(F.lit(config.default_model))
 
 
 def escalate(attempts: DataFrame) -> DataFrame:
@@ -71,31 +92,45 @@ def page_results(tried: DataFrame, origin: str = "born_digital") -> DataFrame:
     """One row per page: final attempt, cost and time sums, and the path of attempts."""
     good = F.col("status") == "success"
     steps = F.array_sort(F.collect_list(F.struct("attempt_no", F.concat(label(F.col("strategy")), F.lit(" ("), F.initcap("status"), F.lit(")")).alias("step"))))
+    money = lambda c: c.cast("decimal(20,9)")  # noqa: E731  sums of decimals don't depend on the order
     agg = tried.groupBy("file_id", "page_number").agg(
         F.max("attempt_no").cast("int").alias("attempts"), F.max_by("strategy", "attempt_no").alias("final_strategy"), F.max_by("status", "attempt_no").alias("final_status"),
-        F.round(F.sum(F.greatest(F.lit(0.0), "cost")), 6).alias("total_cost"), F.round(F.sum("processing_time_ms"), 3).alias("total_time_ms"),
-        F.round(F.coalesce(F.max_by("cost", F.when(good, F.col("attempt_no"))), F.lit(0.0)), 6).alias("last_success_cost"),
-        F.round(F.coalesce(F.max_by("cost", F.when(good & (F.col("strategy") == "STRATEGY_C"), F.col("attempt_no"))), F.lit(0.0)), 6).alias("last_vlm_cost"),
+        F.round(F.sum(F.greatest(F.lit(0), money(F.col("cost")))), 6).cast("double").alias("total_cost"), F.round(F.sum(money(F.col("processing_time_ms"))), 3).cast("double").alias("total_time_ms"),
+        F.round(F.coalesce(F.max_by(money(F.col("cost")), F.when(good, F.col("attempt_no"))), F.lit(0)), 6).cast("double").alias("last_success_cost"),
+        F.round(F.coalesce(F.max_by(money(F.col("cost")), F.when(good & (F.col("strategy") == "STRATEGY_C"), F.col("attempt_no"))), F.lit(0)), 6).cast("double").alias("last_vlm_cost"),
         steps.alias("_steps"),
     )
     path = F.concat_ws(" -> ", F.lit(origin), F.transform("_steps", lambda s: s["step"]))
     return agg.withColumn("escalation_path", path).drop("_steps")
 
 
-def stop_loss(tried: DataFrame, budget: float) -> DataFrame:
-    """Running VLM spend before each page of a document, and whether its C attempt is skipped.
+def stop_loss(attempts: DataFrame, budget: float) -> DataFrame:
+    """The attempts that are made (see escalate), with `spend_before`, a document's vision spend before each page, and `skipped`.
 
-    A skipped page adds nothing, so spending stays once it has reached the budget: the sum of
-    all earlier pages' costs answers the question without feeding back.
+    A vision attempt is skipped once the spend has reached the budget: it fails, costs nothing and
+    takes no time. A skipped page adds nothing, so spending stays once it has reached the budget: the
+    sum of all earlier pages' costs answers the question without feeding back.
     """
-    c = tried.where(F.col("strategy") == "STRATEGY_C")
-    order = Window.partitionBy("file_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("cost").over(order), F.lit(0.0))
-    return c.select("file_id", "page_number", F.col("cost"), before.alias("spend_before")).withColumn("skipped", F.col("spend_before") >= budget)
+    tried = escalate(attempts)
+    vision = F.col("strategy") == "STRATEGY_C"
+    order = Window.partitionBy("file_id").orderBy("page_number", "attempt_no").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.when(vision, F.col("cost").cast("decimal(20,9)"))).over(order), F.lit(0))
+    out = tried.withColumn("spend_before", before.cast("double")).withColumn("skipped", vision & (before >= F.lit(Decimal(str(budget)))))
+    nothing = lambda c: F.when(F.col("skipped"), F.lit(0.0)).otherwise(F.col(c))
+    return out.withColumns({"status": F.when(F.col("skipped"), "fail").otherwise(F.col("status")), **{c: nothing(c) for c in ("cost", "processing_time_ms", "confidence")}})
+
+
+def circuit_breaker(attempts: DataFrame, breaks: Column) -> DataFrame:
+    """Adds `disabled`: vision attempts of any document after the first one (by ts, event_id) for which `breaks` holds; they aren't made."""
+    vision = F.col("strategy") == "STRATEGY_C"
+    first = attempts.where(vision & breaks).agg(F.min(F.struct("ts", "event_id")).alias("_first"))  # one row
+    after = F.coalesce(vision & (F.struct("ts", "event_id") > F.col("_first")), F.lit(False))
+    return attempts.crossJoin(F.broadcast(first)).withColumn("disabled", after).drop("_first")
 
 
 def doc_totals(pages: DataFrame) -> DataFrame:
+    exact = lambda c, n: F.sum(F.col(c).cast(f"decimal(20,{n})"))
     return pages.groupBy("file_id").agg(
         F.count("*").alias("pages"), F.sum("attempts").cast("long").alias("attempts"), F.count_if(F.col("attempts") > 1).alias("escalated_pages"),
-        F.count_if(F.col("final_status") == "fail").alias("failed_pages"), F.round(F.sum("total_cost"), 4).alias("total_cost"), F.round(F.sum("total_time_ms"), 1).alias("total_time_ms"),
+        F.count_if(F.col("final_status") == "fail").alias("failed_pages"), F.round(exact("total_cost", 6), 4).cast("double").alias("total_cost"), F.round(exact("total_time_ms", 3), 1).cast("double").alias("total_time_ms"),
     )

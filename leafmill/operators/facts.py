@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -24,10 +24,10 @@ def distinct(facts: DataFrame) -> DataFrame:
 
 
 def append(facts: DataFrame, path: str) -> int:
-    """Appends facts to a table's folder; returns how many."""
-    n = facts.count()
-    facts.select(*COLUMNS).write.mode("append").parquet(path)
-    return n
+    """Appends facts to a table's folder; returns how many were written, as observed while writing."""
+    seen = Observation()
+    facts.select(*COLUMNS).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    return seen.get["n"]
 
 
 def select_plan(facts: DataFrame, plan: dict) -> DataFrame:
@@ -67,7 +67,7 @@ def check_select(sql: str) -> str:
     """What is wrong with a statement, or nothing: one SELECT from document_facts and no word that changes data."""
     plain = " ".join(sql.lower().split())
     if not plain.startswith("select"):
-        return "Only SELECT statements are allowed."
+        return "A statement has to be a SELECT."
     if set(re.findall(r"[a-z_]+", plain)) & set(FORBIDDEN):
         return "The statement holds a forbidden word."
     if ";" in plain[:-1]:
@@ -81,5 +81,14 @@ def run_select(spark: SparkSession, facts: DataFrame, sql: str, args: list | Non
     """Runs a guarded statement over the facts, named document_facts."""
     if wrong := check_select(sql):
         raise ValueError(wrong)
+    plain = sql.rstrip().rstrip(";")
+    if others := relations(spark, plain) - {"document_facts"}:
+        raise ValueError(f"The statement reads {', '.join(sorted(others))}.")
     facts.createOrReplaceTempView("document_facts")
-    return spark.sql(sql.rstrip().rstrip(";"), args=args or [])
+    return spark.sql(plain, args=args or [])
+
+
+def relations(spark: SparkSession, sql: str) -> set[str]:
+    """The tables that a statement names, wherever in it, by Spark's own parser."""
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql).toString()
+    return {x.strip().lower() for x in re.findall(r"'UnresolvedRelation \[([^\]]*)\]", plan)} | {f"{x}()" for x in re.findall(r"'UnresolvedTableValuedFunction \[([^\]]*)\]", plan)}

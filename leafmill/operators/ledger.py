@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 EVENT_SCHEMA = "event_type string, file_name string, page_number int, strategy_selected string, confidence_score double, cost_estimate double, processing_time_ms double, logged_at timestamp"
@@ -16,9 +16,14 @@ def entries(results: DataFrame) -> DataFrame:
     )
 
 
+def with_progress(rows: DataFrame) -> DataFrame:
+    """Adds `pages_processed`: a document's pages so far, in their order."""
+    return rows.withColumn("pages_processed", F.row_number().over(Window.partitionBy("file_name").orderBy("page_number")))
+
+
 def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
 def run_totals(docs: DataFrame) -> DataFrame:
-    return docs.agg(F.count("*").alias("documents"), F.sum("pages").alias("pages"), F.round(F.sum("total_cost"), 2).alias("total_cost"), F.sum("failed_pages").alias("failed_pages"))
+    return docs.agg(F.count("*").alias("documents"), F.sum("pages").alias("pages"), F.round(F.sum(F.col("total_cost").cast("decimal(20,4)")), 2).cast("double").alias("total_cost"), F.sum("failed_pages").alias("failed_pages"))

@@ -48,6 +48,25 @@ def citation(content: Column, content_hash: Column, page: Column) -> Column:
     return F.concat(F.lit("- "), content, F.lit(" (content_hash="), content_hash, F.lit(", page="), page.cast("string"), F.lit(")"))
 
 
+def evidence(content: Column, content_hash: Column, page: Column) -> Column:
+    """A chunk as a line of evidence for a prompt."""
+    return F.concat(F.lit("[hash="), content_hash, F.lit(" page="), page.cast("string"), F.lit("] "), content)
+
+
+def upsert(rows: DataFrame, path: str, key: str = "row_id") -> None:
+    """Replaces rows of a table's folder by key and adds the others; the first call makes the table. The new state is written beside the old one and then taken for it."""
+    spark = rows.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(where):
+        old = spark.read.parquet(path)
+        rows = rows.unionByName(old.join(rows.select(key), key, "left_anti").select(*rows.columns))
+    beside = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + ".next")
+    rows.write.mode("overwrite").parquet(beside.toString())
+    fs.delete(where, True)
+    fs.rename(beside, where)
+
+
 def add_new(known: DataFrame, found: DataFrame) -> DataFrame:
     """Known rows and those found rows whose hash isn't known."""
     return known.unionByName(found.join(known.select("content_hash"), "content_hash", "left_anti").select(*known.columns))

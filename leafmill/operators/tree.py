@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -29,12 +31,42 @@ def outline(tree: DataFrame) -> DataFrame:
     return tree.select("node_id", "depth", F.concat(F.repeat(F.lit("  "), F.col("depth")), F.lit("- "), "title").alias("line"))
 
 
-def section_summaries(chunks: DataFrame) -> DataFrame:
-    """Top sections with the first chunk's sentence as a summary, and its place for ties."""
+def section_summaries(chunks: DataFrame, summarize: Callable[[Column, Column], Column] = T.short_summary) -> DataFrame:
+    """Top sections with a summary of the first chunk, and its place for ties; `summarize(title, text)` may be a model's UDF."""
     c = chunks.withColumn("title", T.section_path(F.col("section_context"))[0])
     first = F.struct("page_number", "section_context", "content_hash")
     s = c.groupBy("title").agg(F.min_by("content", first).alias("content"), F.min(first).alias("ord"))
-    return s.select("title", T.short_summary(F.col("title"), F.col("content")).alias("summary"), "ord")
+    return s.select("title", summarize(F.col("title"), F.col("content")).alias("summary"), "ord")
+
+
+def section_rollup(chunks: DataFrame) -> DataFrame:
+    """Top sections with their box, pages, chunk hashes in order, and counts, of chunks with boxes (x1 to y2)."""
+    c = chunks.withColumn("title", T.section_path(F.col("section_context"))[0])
+    r = c.groupBy("title").agg(
+        F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.array_sort(F.collect_set("page_number")).alias("pages"), F.count("*").alias("chunk_count"),
+        F.transform(F.array_sort(F.collect_list(F.struct("page_number", "section_context", "content_hash"))), lambda x: x["content_hash"]).alias("chunk_hashes"),
+    )
+    return r.withColumn("total_pages_covered", F.size("pages"))
+
+
+def chunk_nodes(chunks: DataFrame) -> DataFrame:
+    """Leaves of the tree: one node per chunk under its section's."""
+    slugs = F.transform(T.section_path(F.col("section_context")), T.slug)
+    return chunks.select(F.concat(F.lit("chunk/"), F.left("content_hash", F.lit(16))).alias("node_id"), F.array_join(slugs, "/").alias("parent_id"), F.lit("chunk").alias("node_type"), F.concat(F.lit("Chunk "), F.left("content_hash", F.lit(8))).alias("title"), "page_number", "content_hash")
+
+
+def summaries_of(chunks: DataFrame, found: DataFrame) -> DataFrame:
+    """(title, line): the summaries of the sections that found chunks stand in, each once."""
+    key = F.trim(F.regexp_replace(F.trim(F.split("section_context", ">")[0]), "^#+", ""))
+    wanted = found.select(key.alias("title")).where("title <> ''").distinct()
+    return section_summaries(chunks).join(wanted, "title", "left_semi").select("title", F.concat("title", F.lit(": "), "summary").alias("line"))
+
+
+def export(nodes_: DataFrame, path: str) -> None:
+    """The adjacency table as JSON lines; an error without nodes."""
+    if nodes_.isEmpty():
+        raise ValueError("there is no tree to export")
+    nodes_.write.mode("overwrite").json(path)
 
 
 def search(chunks: DataFrame, query: str, top: int = 3) -> DataFrame:

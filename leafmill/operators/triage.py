@@ -39,6 +39,12 @@ def domain_hint(text: Column, config: Config) -> Column:
     return F.lit("General") if out is None else out.otherwise("General")
 
 
+def resolved_hint(text: Column, metadata: Column, config: Config) -> Column:
+    """The text's domain, or else that of the values of a metadata map, which count as one text; else General."""
+    blob = F.concat_ws(" ", F.map_values(metadata))
+    return F.coalesce(F.nullif(domain_hint(text, config), F.lit("General")), F.nullif(domain_hint(blob, config), F.lit("General")), F.lit("General"))
+
+
 def sampled(index: Column, n: Column, most: int) -> Column:
     """Whether a page (index from 0) is in the sample: all of up to `most` pages, else every step-th, the last one's place going to the last page."""
     step = F.floor(n / most)

@@ -87,17 +87,28 @@ attempts AS (SELECT user_id AS file_id, k // 3 + 1 AS page_number, k % 3 + 1 AS
   CASE WHEN event_type = 'error' THEN 'fail' ELSE 'success' END AS status, abs(value) AS processing_time_ms, abs(value) % 1000 / 1000 AS confidence, abs(value) / 1000 AS cost FROM ev)"""
 TRIED = ATTEMPTS + """,
 tried AS (SELECT a.* FROM attempts a LEFT JOIN (SELECT file_id, page_number, min(attempt_no) AS ok FROM attempts WHERE status = 'success' GROUP BY ALL) f USING (file_id, page_number) WHERE ok IS NULL OR attempt_no <= ok)"""
-RESULTS = TRIED + """,
-results AS (SELECT file_id, page_number, max(attempt_no) AS attempts, arg_max(strategy, attempt_no) AS final_strategy, arg_max(status, attempt_no) AS final_status, round(sum(cost), 6) AS total_cost, round(sum(processing_time_ms), 3) AS total_time_ms,
-  round(coalesce(arg_max(cost, attempt_no) FILTER (WHERE status = 'success'), 0), 6) AS last_success_cost, round(coalesce(arg_max(cost, attempt_no) FILTER (WHERE status = 'success' AND strategy = 'STRATEGY_C'), 0), 6) AS last_vlm_cost,
-  'born_digital -> ' || string_agg(replace(strategy, 'STRATEGY_', 'Strategy ') || CASE WHEN status = 'fail' THEN ' (Fail)' ELSE ' (Success)' END, ' -> ' ORDER BY attempt_no) AS escalation_path FROM tried GROUP BY file_id, page_number)"""
+RESULT_COLUMNS = """file_id, page_number, max(attempt_no) AS attempts, arg_max(strategy, attempt_no) AS final_strategy, arg_max(status, attempt_no) AS final_status, round(sum(cost::DECIMAL(20,9)), 6)::DOUBLE AS total_cost, round(sum(processing_time_ms::DECIMAL(20,9)), 3)::DOUBLE AS total_time_ms,
+  round(coalesce(arg_max(cost::DECIMAL(20,9), attempt_no) FILTER (WHERE status = 'success'), 0), 6)::DOUBLE AS last_success_cost, round(coalesce(arg_max(cost::DECIMAL(20,9), attempt_no) FILTER (WHERE status = 'success' AND strategy = 'STRATEGY_C'), 0), 6)::DOUBLE AS last_vlm_cost,
+  'born_digital -> ' || string_agg(replace(strategy, 'STRATEGY_', 'Strategy ') || CASE WHEN status = 'fail' THEN ' (Fail)' ELSE ' (Success)' END, ' -> ' ORDER BY attempt_no) AS escalation_path"""
+RESULTS = TRIED + f""",
+results AS (SELECT {RESULT_COLUMNS} FROM tried GROUP BY file_id, page_number)"""
 TOTALS = RESULTS + """,
-totals AS (SELECT file_id, count(*) AS pages, sum(attempts)::BIGINT AS attempts, count_if(attempts > 1) AS escalated_pages, count_if(final_status = 'fail') AS failed_pages, round(sum(total_cost), 4) AS total_cost, round(sum(total_time_ms), 1) AS total_time_ms FROM results GROUP BY file_id)"""
+totals AS (SELECT file_id, count(*) AS pages, sum(attempts)::BIGINT AS attempts, count_if(attempts > 1) AS escalated_pages, count_if(final_status = 'fail') AS failed_pages, round(sum(total_cost::DECIMAL(20,6)), 4)::DOUBLE AS total_cost, round(sum(total_time_ms::DECIMAL(20,3)), 1)::DOUBLE AS total_time_ms FROM results GROUP BY file_id)"""
+BUDGET = TRIED + """,
+spent AS (SELECT *, coalesce(sum(CASE WHEN strategy = 'STRATEGY_C' THEN cost::DECIMAL(20,9) ELSE 0 END) OVER (PARTITION BY file_id ORDER BY page_number, attempt_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM tried),
+made AS (SELECT file_id, page_number, attempt_no, strategy, strategy = 'STRATEGY_C' AND b >= 0.05 AS skipped, b::DOUBLE AS spend_before, CASE WHEN strategy = 'STRATEGY_C' AND b >= 0.05 THEN 'fail' ELSE status END AS status,
+  CASE WHEN strategy = 'STRATEGY_C' AND b >= 0.05 THEN 0 ELSE cost END AS cost, CASE WHEN strategy = 'STRATEGY_C' AND b >= 0.05 THEN 0 ELSE processing_time_ms END AS processing_time_ms FROM spent)"""
 ORDER_UNITS = """ou AS (SELECT o_orderkey AS doc_id, 'a' AS uid, 'header' AS unit_type, 'Order ' || o_orderkey AS content, 0 AS n FROM orders
   UNION ALL SELECT o_orderkey, 'b', 'text', 'Status ' || o_orderstatus || ' priority ' || o_orderpriority, 0 FROM orders
   UNION ALL SELECT l_orderkey, 'c' || l_linenumber, 'table', '| ' || l_partkey || ' | ' || l_quantity::BIGINT || ' |', l_linenumber FROM lineitem),
 oi AS (SELECT *, row_number() OVER w AS ord, CASE WHEN unit_type = 'table' AND lag(unit_type) OVER w = 'table' THEN 0 ELSE 1 END AS starts FROM ou WINDOW w AS (PARTITION BY doc_id ORDER BY uid, content)),
 islands AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS island FROM oi)"""
+PLAN = PAGES + """,
+totals AS (SELECT doc_id, count(*)::INT AS total_pages FROM doc_pages GROUP BY doc_id),
+claimed AS (SELECT doc_id, (page_number * (doc_id % 3 + 1) - 1)::INT AS page_number FROM doc_pages WHERE doc_id % 4 <> 0),
+valid AS (SELECT c.doc_id, page_number, row_number() OVER (PARTITION BY c.doc_id ORDER BY page_number) - 1 AS place FROM claimed c JOIN totals t ON t.doc_id = c.doc_id WHERE page_number BETWEEN 1 AND total_pages),
+planned AS (SELECT doc_id, place, page_number FROM valid WHERE place < 3
+  UNION ALL SELECT doc_id, p - 1, p FROM (SELECT doc_id, unnest(range(1, least(total_pages, 3) + 1)) AS p FROM totals WHERE doc_id NOT IN (SELECT doc_id FROM valid)))"""
 TOKENS = "list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]+'))"
 DISTANCE = "list_sum(list_transform(range(1, len(e.embedding) + 1), lambda i: pow(e.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE, 2)))"
 
@@ -124,7 +135,7 @@ ORACLE_SQL: dict[str, str] = {
     "layout_counters": f"WITH {HTML} SELECT page_id, count_if(unit_type = 'header') AS headers, count_if(unit_type = 'text') AS texts, count_if(tag = 'li') AS items, sum(len({WORDS.format('content')}))::BIGINT AS tokens FROM html_units GROUP BY page_id",
     "page_lines": f"WITH s AS (SELECT doc_id, {WORDS.format('text')} AS w FROM documents), w AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM s) SELECT doc_id, round_even(pos * 0.4, 0)::INT AS line_key, string_agg(word, ' ' ORDER BY pos) AS line FROM w GROUP BY ALL",
     "ocr_word_confidence": "SELECT user_id, round(greatest(0.0, least(1.0, avg(value) FILTER (WHERE value >= 0) / 100))::DOUBLE, 6) AS confidence FROM events GROUP BY user_id",
-    "metadata_codec": f"WITH {PAGES} SELECT doc_id, string_agg(page_number::VARCHAR, ',' ORDER BY page_number) AS page_numbers, true AS same FROM doc_pages WHERE text <> '' GROUP BY doc_id",
+    "metadata_codec": f"WITH {PAGES}, m AS (SELECT doc_id, list_sort(list(page_number)) AS pages, string_agg(page_number::VARCHAR, ',' ORDER BY page_number) AS t FROM doc_pages WHERE text <> '' GROUP BY doc_id), s AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN 'x, -2,' || t WHEN doc_id % 7 = 1 THEN '0,none' ELSE t END AS page_numbers FROM m), b AS (SELECT *, list_filter(list_transform(string_split(page_numbers, ','), lambda x: try_cast(trim(x) AS INT)), lambda x: x > 0) AS r FROM s), c AS (SELECT *, CASE WHEN len(r) > 0 THEN r ELSE [1] END AS k FROM b) SELECT doc_id, page_numbers, array_to_string(k, ';') AS read_back, k::BIGINT[] = pages::BIGINT[] AS same FROM c",
     "section_tree": f"WITH {NODES} SELECT node_id, parent_id, depth, node_type, title, min_page, max_page, chunk_count, pages_covered FROM nodes",
     "tree_root": f"WITH {SECTIONS} SELECT count(*) AS total_chunks, count(DISTINCT page_number) AS total_pages_covered, min(page_number) AS min_page, max(page_number) AS max_page FROM sc",
     "doc_outline": f"WITH {NODES} SELECT node_id, depth, repeat('  ', depth) || '- ' || title AS line FROM nodes",
@@ -144,15 +155,37 @@ ORACLE_SQL: dict[str, str] = {
     "json_blocks": "SELECT event_id, props ->> '$.k' AS k FROM events",
     "escalation": f"WITH {TRIED} SELECT file_id, page_number, attempt_no, strategy, status FROM tried",
     "attempt_costs": f"WITH {RESULTS} SELECT * FROM results",
-    "budget_stop_loss": f"WITH {ATTEMPTS}, c AS (SELECT file_id, page_number, cost, coalesce(sum(cost) OVER (PARTITION BY file_id ORDER BY page_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM attempts WHERE strategy = 'STRATEGY_C') SELECT file_id, page_number, round(cost, 6) AS cost, round(b, 6) AS spend_before, b >= 0.2 AS skipped FROM c",
-    "vlm_cost": f"WITH {PAGES}, t AS (SELECT doc_id, page_number, greatest(1, length(text) // 4) AS text_tokens, (ceil(width / 512) * ceil(height / 512) * 85)::BIGINT AS image_tokens FROM doc_pages) SELECT *, round((text_tokens / 1000 * 0.0003 + image_tokens / 1000 * 0.0012 + 1.2 * 0.0006)::DOUBLE, 6) AS cost FROM t",
+    "budget_stop_loss": f"WITH {BUDGET} SELECT file_id, page_number, attempt_no, status, round(cost, 6) AS cost, round(spend_before, 6) AS spend_before, skipped FROM made",
+    "vlm_cost": f"WITH {PAGES}, t AS (SELECT doc_id, page_number, greatest(1, length(text) // 4) AS text_tokens, (ceil(width / 512) * ceil(height / 512) * 85)::BIGINT AS image_tokens FROM doc_pages) SELECT *, round(text_tokens::DECIMAL(18,0) * 0.0000003::DECIMAL(8,7) + image_tokens::DECIMAL(18,0) * 0.0000012::DECIMAL(8,7) + 1200 * 0.0000006::DECIMAL(8,7), 6)::DOUBLE AS cost FROM t",
     "ledger_rollup": f"WITH {TOTALS} SELECT * FROM totals",
     "ledger_entries": f"WITH {RESULTS} SELECT 'extraction_page_metrics' AS event_type, file_id::VARCHAR AS file_name, page_number, final_strategy AS strategy_selected, total_cost AS cost_estimate, total_time_ms AS processing_time_ms FROM results",
-    "run_totals": f"WITH {TOTALS} SELECT count(*) AS documents, sum(pages)::BIGINT AS pages, round(sum(total_cost), 2) AS total_cost, sum(failed_pages)::BIGINT AS failed_pages FROM totals",
+    "run_totals": f"WITH {TOTALS} SELECT count(*) AS documents, sum(pages)::BIGINT AS pages, round(sum(total_cost::DECIMAL(20,4)), 2)::DOUBLE AS total_cost, sum(failed_pages)::BIGINT AS failed_pages FROM totals",
     "ledger_hourly": "SELECT date_trunc('hour', ts) AS hour_start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL",
     "router_classify": "SELECT conv_id, turn, regexp_matches(lower(text), 'total|sum|compare|list all|revenue|metric|amount|percentage') AS is_metric, CASE WHEN regexp_matches(lower(text), 'outline|structure|table of contents') THEN 'document_outline' WHEN regexp_matches(lower(text), 'section|chapter|summar|overview') THEN 'pageindex_navigate' ELSE 'semantic_search' END AS tool FROM conversations WHERE role = 'user'",
     "bbox_validation": "SELECT l_returnflag, l_linestatus, count(*) AS boxes, count_if(NOT (l_quantity / 50 >= l_discount AND l_tax * 2 - 0.02::DOUBLE >= l_tax AND least(l_discount, l_tax, l_quantity / 50, l_tax * 2 - 0.02::DOUBLE) >= 0)) AS bad_boxes FROM lineitem GROUP BY ALL",
-    "attempt_validation": f"WITH {ATTEMPTS}, n AS (SELECT count(*) AS row_count FROM attempts) SELECT c AS check_name, row_count, 0::BIGINT AS bad_rows FROM n, (VALUES ('page_number'), ('confidence'), ('cost'), ('processing_time_ms'), ('status'), ('strategy')) v(c)",
-    "hash_validation": f"WITH {SECTIONS} SELECT page_number, count(*) AS chunks, 0::BIGINT AS bad FROM sc GROUP BY page_number",
+    "attempt_validation": f"WITH {ATTEMPTS}, e AS (SELECT count(*) AS n, count_if(event_id % 20 = 0) AS b0, count_if(event_id % 20 IN (1, 2)) AS b1, count_if(event_id % 20 = 3) AS b3, count_if(event_id % 20 = 4) AS b4, count_if(event_id % 20 = 5) AS b5, count_if(event_id % 20 = 6) AS b6, count_if(event_id % 20 = 7) AS b7, count_if(event_id % 20 < 9) AS b9, count_if(event_id % 20 = 8) AS b8 FROM events) SELECT unnest(['page_number', 'confidence', 'cost', 'processing_time_ms', 'status', 'strategy', 'content', 'token_count', 'unit_type']) AS check_name, n AS row_count, unnest([b0, b1, b3, b4, b5, b6, b7, b9, b8]) AS bad_rows FROM e",
+    "hash_validation": f"WITH {SECTIONS} SELECT page_number, count(*) AS chunks, count_if(no % 17 = 0) AS bad, count_if(no % 11 = 0) AS bad_provenance FROM (SELECT *, regexp_extract(content, '(\\d+)', 1)::BIGINT AS no FROM sc) GROUP BY page_number",
     "safe_names": f"SELECT c_custkey, regexp_replace(regexp_replace(c_name || ' / ' || c_mktsegment || '.', '[^A-Za-z0-9._-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g') AS name, {SLUG.format('c_name')} AS slug FROM customer",
+    "budget_page_results": f"WITH {BUDGET}, results AS (SELECT {RESULT_COLUMNS} FROM made GROUP BY file_id, page_number) SELECT file_id, page_number, attempts, final_strategy, final_status, total_cost, escalation_path FROM results",
+    "circuit_breaker": f"WITH {ATTEMPTS.replace('abs(value) AS processing_time_ms', 'ts, event_id, abs(value) AS processing_time_ms')}, f AS (SELECT min((ts, event_id)) AS first FROM attempts WHERE strategy = 'STRATEGY_C' AND status = 'fail' AND cost > 0.1) SELECT strategy, count(*) AS n, count_if(strategy = 'STRATEGY_C' AND coalesce((ts, event_id) > first, false)) AS disabled FROM attempts, f GROUP BY strategy",
+    "styled_sections": f"WITH {UNITS.replace('FROM units),', 'FROM styled),').replace('marked AS (SELECT *,', 'styled AS (SELECT *, (doc_id + page_number + length(content)) % 9 AS look FROM units), marked AS (SELECT *, look < 3 OR')} SELECT doc_id, page_number, uid, section, is_boundary FROM placed",
+    "page_plan": f"WITH {PLAN} SELECT doc_id, place, page_number FROM planned",
+    "planned_strategies": f"WITH {DOCS}, {PLAN.replace(PAGES + ',', '')} SELECT p.doc_id, p.page_number, CASE WHEN f.doc_id IS NOT NULL THEN f.dominant_strategy WHEN origin_type = 'scanned_image' THEN 'STRATEGY_B' ELSE 'STRATEGY_A' END AS dominant_strategy, f.doc_id IS NULL AS synthesized FROM planned p JOIN docs d ON p.doc_id = d.doc_id LEFT JOIN (SELECT * FROM profiles WHERE page_number % 2 = 1) f ON f.doc_id = p.doc_id AND f.page_number = p.page_number",
+    "page_judgements": f"WITH {DOCS}, pl AS (SELECT doc_id, page_number, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM doc_pages), un AS (SELECT *, 'p' || page_number || '_' || n AS uid, CASE length(content) % 7 WHEN 3 THEN 'table' WHEN 4 THEN 'figure' ELSE 'text' END AS unit_type FROM pl WHERE trim(content, ' ') <> ''), ag AS (SELECT doc_id, page_number, count(*) AS n_units, count_if(unit_type = 'table') AS tables, count_if(unit_type = 'text') AS texts, coalesce(string_agg(content, chr(10) ORDER BY uid) FILTER (WHERE unit_type <> 'figure'), '') AS txt FROM un GROUP BY ALL), j AS (SELECT p.doc_id, p.page_number, dominant_strategy AS strategy, origin_type, char_density, rect_count, image_count, coalesce(n_units, 0) AS n_units, coalesce(tables, 0) AS tables, coalesce(texts, 0) AS texts, coalesce(({CLARITY.format('txt')})::DOUBLE, 0) AS clarity FROM profiles p JOIN docs d ON p.doc_id = d.doc_id LEFT JOIN ag ON ag.doc_id = p.doc_id AND ag.page_number = p.page_number), k AS (SELECT *, CASE WHEN tables > 0 THEN 1.0 WHEN texts > 0 THEN 0.65 ELSE 0.2 END AS t, least(1.0, char_density / 0.00075) AS dn FROM j), c AS (SELECT *, CASE strategy WHEN 'STRATEGY_A' THEN (0.75 * least(1.0, char_density / 0.002) + CASE WHEN rect_count % 2 = 0 THEN 0.25 ELSE 0.0875 END) * CASE WHEN char_density < 0.0005 THEN 0.35 ELSE 1 END WHEN 'STRATEGY_B' THEN CASE WHEN image_count = 1 THEN 0.5 * (rect_count % 10) / 10 + 0.3 * clarity + 0.15 * t + 0.05 * dn ELSE 0.6 * clarity + 0.25 * t + 0.15 * dn END * CASE WHEN n_units > 0 THEN 1 ELSE 0.5 END * CASE WHEN clarity < 0.35 THEN 0.7 ELSE 1 END ELSE CASE WHEN n_units = 0 THEN 0.7 ELSE 0.95 END END AS confidence, (CASE WHEN strategy = 'STRATEGY_C' THEN 0 WHEN strategy = 'STRATEGY_B' AND origin_type = 'scanned_image' THEN 0.75 ELSE 0.7 END)::DOUBLE AS required FROM k) SELECT doc_id, page_number, strategy, n_units, round(confidence::DOUBLE, 6) AS confidence, required, n_units > 0 AND confidence >= required AS success FROM c",
+    "piece_rows": f"WITH {HTML}, t AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY n % 2, n) - 1 AS k, n, content FROM html_units WHERE page_id % 5 <> 0) SELECT page_id, k AS n, 1 AS page_number, CASE n % 5 WHEN 0 THEN 'table' WHEN 1 THEN 'header' WHEN 4 THEN 'text' ELSE 'figure' END AS unit_type, content FROM t WHERE n % 3 <> 2",
+    "search_rows": f"WITH {HTML}, u AS (SELECT 'page_' || page_id AS file_id, n, CASE n % 4 WHEN 0 THEN 'raw ' || content ELSE content END AS content, CASE WHEN n % 4 = 2 OR n <= 3 THEN 1 ELSE n - 3 END AS page_number, CASE WHEN n % 4 = 3 THEN 'text' ELSE unit_type END AS kind FROM html_units) SELECT file_id, content, page_number, file_id || ' > ' || kind AS section_context, len({WORDS.format('content')}) AS token_count, 1.0::DOUBLE AS x2 FROM u",
+    "normalized_units": f"WITH {UNITS} SELECT doc_id, page_number, uid, CASE WHEN page_number % 2 = 0 THEN 0.5 ELSE 1.0 END::DOUBLE AS x2, 'STRATEGY_B' AS strategy_used, 'STRATEGY_A>STRATEGY_B' AS path FROM units",
+    "payload_rows": "WITH c AS (SELECT *, c_custkey % 5 AS k, unnest(CASE WHEN c_custkey % 5 = 1 THEN [0, 1] ELSE [0] END) AS n FROM customer) SELECT c_custkey, n, CASE WHEN k = 0 THEN '' ELSE c_name END AS content, CASE WHEN k > 1 THEN (k + 1) || ',9' ELSE '1' END AS pages, CASE WHEN k = 3 THEN 'Unknown' ELSE c_mktsegment END AS section_context, CASE WHEN k IN (0, 4) THEN 1 ELSE k * 2 END AS token_count, c_mktsegment AS content_hash, CASE WHEN k = 2 THEN 0 ELSE k / 4 END::DOUBLE AS x1, 1.0::DOUBLE AS x2 FROM c",
+    "origin_names": "WITH n AS (SELECT ['image_scan', 'scanned', 'digital', 'mixed', NULL, NULL, 'hybrid', 'paper'] AS v), e AS (SELECT event_id, coalesce(v[event_id % 8 + 1], v[(event_id + user_id) % 8 + 1], v[user_id % 8 + 1], 'unknown') AS s FROM events, n) SELECT event_id, CASE WHEN s IN ('image_scan', 'scanned') THEN 'scanned_image' WHEN s IN ('mixed', 'hybrid') THEN 'hybrid' WHEN s = 'digital' THEN 'born_digital' ELSE 'unknown' END AS origin FROM e",
+    "attempt_labels": f"WITH {ATTEMPTS} SELECT replace(strategy, 'STRATEGY_', 'Strategy ') AS label, count(*) AS n FROM attempts GROUP BY ALL",
+    "vision_models": f"WITH {DOCS} SELECT doc_id, cost_tier, CASE cost_tier WHEN 'MEDIUM' THEN 'vendor/medium-model' ELSE 'openai/gpt-4o-mini' END AS model FROM docs",
+    "metadata_hints": "WITH b AS (SELECT doc_id, text, lower(coalesce(source, '') || ' ' || coalesce(lang, '') || ' ' || CASE WHEN doc_id % 5 = 0 THEN 'From the Ministry' WHEN doc_id % 7 = 0 THEN 'Bank paper' ELSE 'none' END) AS m FROM documents) SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'cbe|bank|disclosure|vulnerability|security') THEN 'Banking/Security' WHEN regexp_matches(lower(text), 'ministry|fta|woreda|survey|government') THEN 'Public_Sector' WHEN regexp_matches(m, 'cbe|bank|disclosure|vulnerability|security') THEN 'Banking/Security' WHEN regexp_matches(m, 'ministry|fta|woreda|survey|government') THEN 'Public_Sector' ELSE 'General' END AS hint, CASE WHEN regexp_matches(lower(text), 'bank|cbe|disclosure|vulnerability') THEN 'Banking/Security' WHEN regexp_matches(lower(text), 'ministry|fta|woreda|survey') THEN 'Public_Sector' ELSE 'General' END AS legacy_hint FROM b",
+    "display_names": "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN replace(c_name, '#', '_') || '.pdf' WHEN 1 THEN c_mktsegment ELSE 'Indexed Document' END AS name FROM customer",
+    "ledger_progress": f"WITH {RESULTS} SELECT file_id::VARCHAR AS file_name, page_number, row_number() OVER (PARTITION BY file_id ORDER BY page_number) AS pages_processed FROM results",
+    "page_lists": "WITH p AS (SELECT l_orderkey, (l_quantity % 5 - CASE WHEN l_orderkey % 3 = 0 THEN 1 ELSE -1 END)::INT AS n FROM lineitem) SELECT l_orderkey, CASE WHEN min(n) > 0 THEN string_agg(DISTINCT n::VARCHAR, ',' ORDER BY n::VARCHAR) END AS pages FROM p GROUP BY l_orderkey",
+    "section_rollup": f"WITH {SECTIONS}, b AS (SELECT *, regexp_extract(content, '([0-9]+)', 1)::BIGINT AS k FROM sc) SELECT r_name AS title, min(k % 8 / 16)::DOUBLE AS x1, min(k % 4 / 8)::DOUBLE AS y1, max(0.5 + k % 8 / 16)::DOUBLE AS x2, max(0.5 + k % 4 / 8)::DOUBLE AS y2, count(*) AS chunk_count, count(DISTINCT page_number) AS total_pages_covered, md5(string_agg(content_hash, ',' ORDER BY page_number, section_context, content_hash)) AS hashes_md5, array_to_string(list_sort(list_distinct(list(page_number))), ',') AS pages FROM b GROUP BY r_name",
+    "chunk_nodes": f"WITH {NODES} SELECT 'chunk/' || left(content_hash, 16) AS node_id, s1 || '/' || s2 || '/' || s3 AS parent_id, 'chunk' AS node_type, 'Chunk ' || left(content_hash, 8) AS title, page_number FROM named",
+    "section_summaries": f"WITH {SECTIONS}, f AS (SELECT r_name AS title, first(content ORDER BY page_number, section_context, content_hash) AS summary FROM sc GROUP BY r_name) SELECT title, title || ': ' || summary AS line FROM f WHERE title IN (SELECT r_name FROM sc WHERE page_number = 7 AND contains(content, 'BUILDING'))",
+    "evidence_lines": f"WITH {SECTIONS} SELECT content_hash, '[hash=' || content_hash || ' page=' || page_number || '] ' || content AS line FROM sc",
+    "cited_hashes": "SELECT doc_id, md5(text) AS content_hash FROM documents",
 }

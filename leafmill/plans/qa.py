@@ -27,6 +27,10 @@ def is_metric(question: Column) -> Column:
     return out
 
 
+def is_metric_question(question: str) -> bool:
+    return any(w in question.lower() for w in METRIC_WORDS)
+
+
 def tool_for(question: Column) -> Column:
     """First tool for a question, for tables of questions."""
     low = F.lower(question)
@@ -57,8 +61,8 @@ class Engine:
     score. Evidence is a top-k, so what reaches the driver is bounded.
     """
 
-    def __init__(self, chunks: DataFrame, search: Callable[[str, int], DataFrame] | None = None, generate: Callable[[str, list[dict]], str] | None = None, top: int = 20):
-        self.chunks, self.top, self.generate = chunks, top, generate
+    def __init__(self, chunks: DataFrame, search: Callable[[str, int], DataFrame] | None = None, generate: Callable[[str, list[dict]], str] | None = None, top: int = 20, plan_sql: Callable[[str], dict] | None = None, max_lines: int = 1000):
+        self.chunks, self.top, self.generate, self.plan_sql, self.max_lines = chunks, top, generate, plan_sql, max_lines
         self.find = search or self._lexical
 
     def _lexical(self, question: str, k: int) -> DataFrame:
@@ -73,20 +77,40 @@ class Engine:
         return self.find(question, self.top).select(*self.chunks.columns)
 
     def ask(self, question: str, max_calls: int = 2) -> Answer:
+        if is_metric_question(question):
+            return self.ask_facts(question)
         used: list[str] = []
         rows: list[dict] = []
         while len(used) < max_calls and not rows:
-            tool = next_tool(question, used)
+            tool = "document_outline" if not question.strip() else next_tool(question, used)
             used.append(tool)
-            found = [r.asDict() for r in self.run_tool(tool, question).collect()]  # a top-k
             if tool == "document_outline":
-                return Answer("\n".join(r["line"] for r in sorted(found, key=lambda r: r["node_id"])), [], used)
-            rows = found
+                lines = self.run_tool(tool, question).orderBy("node_id").limit(self.max_lines).collect()  # max_lines at most
+                return Answer("\n".join(r["line"] for r in lines), [], used)
+            rows = [r.asDict() for r in self.run_tool(tool, question).collect()]  # a top-k
         if not rows:
             return Answer(NOTHING, [], used)
         text = self.generate(question, rows) if self.generate else "\n".join(f"- {r['content']} (content_hash={r['content_hash']}, page={r['page_number']})" for r in rows[:5])
         return Answer(text, rows[:5], used)
 
+    def ask_facts(self, question: str) -> Answer:
+        """Questions of amounts: chunks are searched, their facts extracted, and the facts asked by a plan or by the question's words."""
+        used = ["semantic_search"]
+        found = self.run_tool("semantic_search", question)
+        rows = [r.asDict() for r in found.collect()]  # a top-k
+        facts = self.facts()
+        if rows:
+            used.append("extract_and_store_facts")
+            facts = facts_ops.distinct(facts_ops.extract(found))
+        used.append("sql_query_tool")
+        asked = facts_ops.select_plan(facts, self.plan_sql(question)) if self.plan_sql else facts_ops.select_words(facts, question).orderBy(*facts_ops.COLUMNS)
+        lines = [r.asDict() for r in asked.limit(25).collect()]
+        if not lines and not rows:
+            return Answer(NOTHING, [], used)
+        if not lines:
+            return Answer("\n".join(f"- {r['content']} (content_hash={r['content_hash']}, page={r['page_number']})" for r in rows[:5]), rows[:5], used)
+        return Answer("\n".join("- " + ", ".join(f"{k}={v}" for k, v in r.items()) for r in lines), [r for r in lines if "content_hash" in r][:5], used)
+
     def facts(self) -> DataFrame:
         return facts_ops.distinct(facts_ops.extract(self.chunks))
 

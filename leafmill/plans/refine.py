@@ -16,7 +16,19 @@ def refine(pages: DataFrame, units: DataFrame, config: Config) -> dict[str, Data
     return {"page_profiles": triage.page_profiles(pages, config), "doc_profiles": triage.doc_profiles(pages, config), "chunks": chunks, "nodes": tree.nodes(flat), "facts": facts.extract(flat)}
 
 
-def write(tables: dict[str, DataFrame], folder: str) -> None:
-    """Writes each table as Parquet; a failed table leaves the others, and rerunning replaces it."""
+def write(tables: dict[str, DataFrame], folder: str) -> dict[str, str]:
+    """Writes each table as Parquet, replacing what an earlier run wrote; a table that fails leaves the others. Returns the failures by name."""
+    failures: dict[str, str] = {}
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        try:
+            df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        except Exception as e:  # whatever a table's plug-ins raise
+            failures[name] = str(e)
+    return failures
+
+
+def write_documents(units: DataFrame, folder: str) -> None:
+    """A JSON line per document with its units in order, as sources.tables.refined_units reads them."""
+    row = F.struct("page_number", "uid", "unit_type", "content")
+    docs = units.groupBy(F.col("doc_id").cast("string").alias("file_id")).agg(F.array_sort(F.collect_list(row)).alias("units"))
+    docs.write.mode("overwrite").json(folder)

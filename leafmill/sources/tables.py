@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +20,14 @@ def binary_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path).select("path", "length", "content")
 
 
-def refined_units(spark: SparkSession, path: str) -> DataFrame:
-    """Units of refined document files (*_refined.json)."""
-    docs = spark.read.option("multiLine", True).option("pathGlobFilter", "*_refined.json").json(path)
+def parse_files(files: DataFrame, parser: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """Files through a plugged-in parser, batch by batch; `parser` yields rows of `schema` (pages, pieces or units)."""
+    return files.mapInPandas(parser, schema)
+
+
+def refined_units(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
+    """Units of refined documents' JSON lines; lines that are no object have no units."""
+    docs = spark.read.option("pathGlobFilter", pattern).schema("file_id string, units array<struct<page_number int, uid string, unit_type string, content string>>").json(path)
     return docs.select("file_id", F.explode("units").alias("unit")).select("file_id", "unit.*")
 
 
@@ -74,6 +82,14 @@ def html_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "n", tag.alias("tag"), kind.alias("unit_type"), text.alias("content")).where("content <> ''")
 
 
+def styled_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line units, some with a style as their raw content: sizes, weights and bold under either of their names."""
+    kind = (F.col("doc_id") + F.col("page_number") + F.length("content")) % 9
+    styles = ['{"font_size": 14, "bold": true}', '{"size": 12, "is_bold": true}', '{"font_size": 13.5, "font_weight": 700}', '{"size": 16, "weight": 400}', '{"font_size": 11, "bold": true}', '{"font_size": 18, "bold": false}', "not a style"]
+    raw = F.element_at(F.array(*[F.lit(x) for x in styles]), (kind + 1).cast("int"))
+    return line_units(spark, sf_dir).withColumn("content_raw", F.when(kind < len(styles), raw).otherwise(F.col("content")))
+
+
 def section_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One chunk per customer, in the section region > nation > segment."""
     c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
@@ -104,5 +120,5 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         F.col("user_id").alias("file_id"), (F.floor(F.col("k") / 3) + 1).cast("int").alias("page_number"), no.cast("int").alias("attempt_no"),
         F.element_at(F.array(*[F.lit(s) for s in ("STRATEGY_A", "STRATEGY_B", "STRATEGY_C")]), no.cast("int")).alias("strategy"),
-        status.alias("status"), (F.abs("value") % 1000 / 1000).alias("confidence"), F.abs("value").alias("processing_time_ms"), (F.abs("value") / 1000).alias("cost"), "ts", "event_id",
+        "event_type", status.alias("status"), (F.abs("value") % 1000 / 1000).alias("confidence"), F.abs("value").alias("processing_time_ms"), (F.abs("value") / 1000).alias("cost"), "ts", "event_id",
     )

@@ -5,9 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from leafmill.config import Config, compile_condition, strategy_of
+from leafmill.config import Config, compile_condition, from_mapping, strategy_of
 from leafmill.functions import text as T
-from leafmill.operators import chunking, extraction, facts, ledger, retrieval, triage
+from leafmill.operators import chunking, extraction, facts, ledger, retrieval, tree, triage
 from leafmill.plans import qa, refine
 from leafmill.sources import tables as S
 from leafmill.streaming import ledger as stream
@@ -104,7 +104,7 @@ def test_facts_and_guard(spark):
     f = facts.extract(c)
     assert sorted((r["fact_key"], r["fact_value"]) for r in f.collect()) == [("currency_amount", "$1,234.50"), ("currency_amount", "USD 7"), ("percentage", "5%"), ("year", "2019")]
     assert facts.run_select(spark, f, "SELECT count(*) AS n FROM document_facts WHERE fact_key = ?", ["year"]).first()["n"] == 1
-    for bad in ("DELETE FROM document_facts", "SELECT 1", "SELECT * FROM document_facts; DROP TABLE x", "SELECT * FROM document_facts WHERE replace(fact_key, 'a', '') = ''"):
+    for bad in ("SELECT d.* FROM document_facts d JOIN orders o ON true", "SELECT fact_key FROM document_facts UNION SELECT x FROM other", "SELECT * FROM document_facts WHERE fact_key IN (SELECT a FROM `parquet`.`/etc`)", "DELETE FROM document_facts", "SELECT 1", "SELECT * FROM document_facts; DROP TABLE x", "SELECT * FROM document_facts WHERE replace(fact_key, 'a', '') = ''"):
         with pytest.raises(ValueError):
             facts.run_select(spark, f, bad)
 
@@ -120,6 +120,65 @@ def test_answers_cite_their_evidence(spark):
     assert engine.audit("revenue improved").status == "UNVERIFIABLE"
 
 
+def test_questions_of_amounts_go_to_the_facts(spark):
+    c = spark.createDataFrame([("Revenue > North", 1, "Revenue was $5 in 2020.", "a" * 64), ("Costs", 2, "Costs were $3.", "b" * 64)], "section_context string, page_number int, content string, content_hash string")
+    engine = qa.Engine(c)
+    a = engine.ask("What is the total revenue?")
+    assert a.tools == ["semantic_search", "extract_and_store_facts", "sql_query_tool"] and "$5" in a.text and "$3" not in a.text
+    assert engine.ask("list all amounts").text.count("fact_key=") >= 2
+    planned = qa.Engine(c, plan_sql=lambda q: {"select_mode": "count", "fact_key_like": "currency"})
+    assert "total_rows=" in planned.ask("sum of revenue").text
+    assert qa.Engine(c, max_lines=1).ask("").text == "- Costs"
+
+
+def test_styles_make_headings(spark):
+    look = lambda raw: one(spark, chunking.styled_heading(F.lit(raw), Config()))
+    assert look('{"font_size": 14, "bold": true}') and look('{"size": 12, "weight": 600}') and look('{"size": "13", "is_bold": "yes"}')
+    assert not look('{"font_size": 11, "bold": true}') and not look('{"font_size": 14}') and not look("plain") and not look('{"style": {"font_size": 14, "bold": true}}')
+
+
+def test_budget_changes_results(spark):
+    rows = [(1, p, n, f"STRATEGY_{s}", ok, 0.5, 10.0, 0.4) for p in (1, 2, 3, 4) for n, s, ok in ((1, "A", "fail"), (2, "C", "success"))] + [(1, 5, 1, "STRATEGY_A", "success", 0.5, 1.0, 0.0)]
+    a = spark.createDataFrame(rows, "file_id long, page_number int, attempt_no int, strategy string, status string, confidence double, processing_time_ms double, cost double")
+    got = {r["page_number"]: r for r in extraction.page_results(extraction.stop_loss(a, 0.8)).collect()}
+    assert [got[p]["final_status"] for p in range(1, 6)] == ["success", "success", "fail", "fail", "success"]
+    assert [got[p]["total_cost"] for p in range(1, 6)] == [0.8, 0.8, 0.4, 0.4, 0.0]
+
+
+def test_mappings(spark):
+    c = from_mapping({"chunking": {"max_chunk_size": 30, "min_chunk_size": -1, "semantic_boundaries": ["x"]}, "rules": [{"if": "rects > 3", "then": {"strategy": "B"}}], "extraction": {"budget_cap_usd": "7"}})
+    assert (c.max_chunk, c.min_chunk, c.markers, c.budget, c.rules[0][1]) == (30, 50, ("x",), 7.0, "rects > 3")
+
+
+def test_sinks_and_hooks(spark, tmp_path):
+    u = units(spark, [("text", "one"), ("header", "two")])
+    refine.write_documents(u, str(tmp_path / "docs"))
+    assert sorted(r["content"] for r in S.refined_units(spark, str(tmp_path / "docs")).collect()) == ["one", "two"]
+    (tmp_path / "odd").mkdir()
+    (tmp_path / "odd/a.json").write_text('[1]\n"x"\n{"file_id": "f", "units": [{"content": "c"}]}\n')
+    assert S.refined_units(spark, str(tmp_path / "odd")).count() == 1
+    failures = refine.write({"bad": spark.range(3).select(F.raise_error(F.lit("no"))), "good": spark.range(3)}, str(tmp_path / "run"))
+    assert list(failures) == ["bad"] and spark.read.parquet(str(tmp_path / "run/good")).count() == 3
+    rows = lambda *xs: spark.createDataFrame(xs, "row_id string, v int")
+    retrieval.upsert(rows(("a", 1), ("b", 1)), str(tmp_path / "vectors"))
+    retrieval.upsert(rows(("b", 2), ("c", 2)), str(tmp_path / "vectors"))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "vectors")).collect())) == [("a", 1), ("b", 2), ("c", 2)]
+    (tmp_path / "x.pdf").write_bytes(b"p1\np2")
+
+    def parse(batches):
+        for b in batches:
+            for path, content in zip(b["path"], b["content"]):
+                lines = content.decode().split("\n")
+                yield b.iloc[:0].reindex(columns=["path", "page_number", "text"]).assign(path=[path] * len(lines), page_number=range(1, len(lines) + 1), text=lines)
+
+    assert [r["text"] for r in S.parse_files(S.binary_pages(spark, str(tmp_path)), parse, "path string, page_number int, text string").collect()] == ["p1", "p2"]
+    chunks = spark.createDataFrame([("A", 1, "text", "h")], "section_context string, page_number int, content string, content_hash string")
+    assert tree.section_summaries(chunks, lambda t, c: F.upper(c)).first()["summary"] == "TEXT"
+    tree.export(tree.nodes(chunks), str(tmp_path / "tree"))
+    with pytest.raises(ValueError):
+        tree.export(tree.nodes(chunks.limit(0)), str(tmp_path / "none"))
+
+
 def test_metadata_and_paths(spark):
     assert one(spark, retrieval.from_metadata(F.lit("3, x, -1,7"))) == [3, 7]
     assert one(spark, retrieval.from_metadata(F.lit(""))) == [1]

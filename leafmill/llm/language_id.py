@@ -53,43 +53,45 @@ def _letters(text: str) -> str:
 _not_letters = None
 
 
-def _ngrams(codes: np.ndarray, rows: np.ndarray, sizes: tuple[int, ...], n_buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row, bucket) of each n-gram that lies within one row's stretch of code points."""
+def _ngrams(codes: np.ndarray, rows: np.ndarray, starts: np.ndarray, sizes: tuple[int, ...], n_buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, bucket) of each n-gram that lies within one row's stretch of code points, and starts where one may."""
     h = np.zeros(len(codes), dtype=np.uint32)
     for n in range(1, max(sizes) + 1):
         if len(codes) < n:
             return
         h = (h[: len(codes) - n + 1] if n > 1 else h) * np.uint32(0x9E3779B1) + codes[n - 1 :]
         if n in sizes:
-            inside = np.flatnonzero(rows[: len(h)] == rows[n - 1 :])
+            inside = np.flatnonzero(starts[: len(h)] & (rows[: len(h)] == rows[n - 1 :]))
             mixed = (h[inside] ^ (h[inside] >> np.uint32(15))) * np.uint32(0x85EBCA6B + 2 * n)
             yield rows[inside], ((mixed >> np.uint32(7)) & np.uint32(n_buckets - 1)).astype(np.int64)
 
 
-def _parts(texts: Iterable[str], reach: int) -> Iterator[tuple[list[int], list[str]]]:
-    """Runs of texts of at most about CHUNK code points together, by number; a longer text in parts that overlap by `reach`."""
-    numbers, held, size = [], [], 0
+def _parts(texts: Iterable[str], reach: int) -> Iterator[list[tuple[int, str, int]]]:
+    """Runs of texts of at most about CHUNK code points together, as (number, part, places where n-grams may start); a longer text in parts that overlap by `reach`."""
+    held: list[tuple[int, str, int]] = []
+    size = 0
     for i, text in enumerate(texts):
         for start in range(0, max(1, len(text) - reach), CHUNK):
             part = text[start : start + CHUNK + reach]
             if size and size + len(part) > CHUNK:
-                yield numbers, held
-                numbers, held, size = [], [], 0
-            numbers.append(i)
-            held.append(part)
+                yield held
+                held, size = [], 0
+            held.append((i, part, len(part) if start + CHUNK >= len(text) - reach else CHUNK))
             size += len(part)
     if held:
-        yield numbers, held
+        yield held
 
 
 def counts_by_row(texts: list[str], sizes: tuple[int, ...], n_buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Sparse counts (row, bucket, count) of the n-grams of texts, in runs of rows; the n-grams of a long row may come in several runs."""
     padded = (f" {own} " if (own := _letters(t)) else "" for t in texts)
-    for numbers, held in _parts(padded, max(sizes) - 1):
-        codes = np.frombuffer("".join(held).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    for held in _parts(padded, max(sizes) - 1):
+        codes = np.frombuffer("".join(x for _, x, _ in held).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        numbers, lengths = [i for i, _, _ in held], [len(x) for _, x, _ in held]
         # parts of one long text are told apart, as no n-gram spans two
-        places = np.repeat(np.arange(len(held)), [len(x) for x in held])
-        found = [places_ * n_buckets + b for places_, b in _ngrams(codes, places, sizes, n_buckets)]
+        places = np.repeat(np.arange(len(held)), lengths)
+        starts = np.arange(len(codes)) - np.repeat(np.cumsum([0, *lengths[:-1]]), lengths) < np.repeat([k for _, _, k in held], lengths)
+        found = [at * n_buckets + b for at, b in _ngrams(codes, places, starts, sizes, n_buckets)]
         keys, n = np.unique(np.concatenate([*found, np.zeros(0, np.int64)]), return_counts=True)
         yield np.array(numbers, dtype=np.int64)[keys // n_buckets], keys % n_buckets, n
 

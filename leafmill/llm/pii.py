@@ -1,21 +1,27 @@
 """Personal data: candidate generators and gradient-boosted trees.
 
 Four formats (email, ip, card, phone) with their validity checks give the base spans, which
-always stay. High-recall generators propose further, overlapping spans of digits and address
-signs. Boosted trees score them on format and context features; they are fitted on a bounded
-sample of candidates, where those that are base spans count as personal and the others don't.
-A threshold calibrated on held-out candidates selects further spans, of kind "other", where
-they touch no base span: those that look to the trees as base spans do, in spellings that the
-base formats don't allow.
-
-Inputs with defined results: a null or empty text has no spans; a table without candidates, or
-whose candidates are all of one sort, adds no spans; repeated rows give repeated rows; an empty
-table gives an empty table; other columns of the input are ignored.
+always stay. High-recall generators propose further, overlapping spans: runs of digits with any
+usual separators, words around an at sign or its spellings, and strings that may be keys or
+passwords. Boosted trees score them on format and context features, and a threshold calibrated
+on held-out candidates selects those of kind "other" or "secret" that touch no base span.
+
+No labels exist, so the trees learn from values set into texts of the corpus itself, at places
+drawn by a hash of the text: values in spellings that the base formats don't cover (addresses
+spelled out, local phone numbers, other separators) and keys, tokens and passwords as personal;
+look-alikes (dates, prices, versions, file names, numbers with a wrong checksum) as not. The
+corpus's own candidates count as not personal, but for those that a first fit on all takes for
+personal: these are left out of the second, as they may well be.
+
+Inputs with defined results: a null or empty text has no spans; a table without texts adds no
+spans; repeated rows give repeated rows; an empty table gives an empty table; other columns of
+the input are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from bisect import bisect_left
 from dataclasses import dataclass
@@ -29,18 +35,22 @@ from pyspark.sql import functions as F
 from .common import arrow_map, text_or_empty
 
 #: The base formats, in the order in which kinds are listed.
-KINDS = ("email", "ip", "card", "phone", "other")
+KINDS = ("email", "ip", "card", "phone", "other", "secret")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-#: Generators of further candidates: runs with many digits, and words around an at sign or its spellings.
-_MANY_DIGITS = re.compile(r"[+(]?[0-9](?:[\x20().\-/]{0,3}[0-9]){5,40}")
-_AROUND_AT = re.compile(r"[^\s@]{1,64}[\x20]?(?:@|\(at\)|\[at\])[\x20]?[^\s@]{1,200}")
+#: Generators of further candidates: runs with many digits, words around an at sign or its spellings, strings of letters and digits, and what follows a word for secrets.
+_MANY_DIGITS = re.compile(r"[+(]?[0-9](?:[\x20().\-/\n\[\]]{0,3}[0-9]){5,40}")
+_AROUND_AT = re.compile(r"[\w.+%-]{1,64}[\x20]?(?:@|[(\[]at[)\]]|(?<=\x20)at(?=\x20))[\x20]?[\w-]{1,63}(?:(?:\.|\x20\.\x20|\x20?[(\[]dot[)\]]\x20?|\x20dot\x20)[\w-]{1,63}){1,4}", re.I)
+_KEY = re.compile(r"[A-Za-z0-9_+/=-]{12,200}")
+_AFTER_CUE = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|credentials?)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"',;]{6,200})")
+_AT_SIGNS = re.compile(r"@|[(\[]at[)\]]| at ", re.I)
 #: Words that often stand before personal data.
 _CUES = re.compile(r"(?i)(phone|tel|call|mobile|fax|mail|contact|card|visa|account|host|server|addr|login|user|ssn|born)")
+_SECRET_CUES = re.compile(r"(?i)(password|passwd|pwd|secret|token|key|credential|auth|bearer)\W{0,6}$")
 
 
 def _luhn(digits: str) -> bool:
@@ -85,30 +95,99 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
-def candidates(text: str) -> list[tuple[int, int]]:
-    """Spans that may be personal data, overlapping ones included."""
-    found = {m.span() for m in _MANY_DIGITS.finditer(text)} if _DIGIT.search(text) else set()
-    if "@" in text or "at)" in text or "at]" in text:
-        found |= {m.span() for m in _AROUND_AT.finditer(text)}
-    return sorted(found)
+def candidates(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of spans that may be personal data or secrets, overlapping ones included."""
+    found: dict[tuple[int, int], str] = {}
+    if _DIGIT.search(text):
+        found |= {m.span(): "other" for m in _MANY_DIGITS.finditer(text)}
+        for m in _KEY.finditer(text):
+            if _DIGIT.search(m[0]) and any(c.isalpha() for c in m[0]):
+                found[m.span()] = "secret"
+    if _AT_SIGNS.search(text):
+        found |= {m.span(): "other" for m in _AROUND_AT.finditer(text)}
+    found |= {m.span(1): "secret" for m in _AFTER_CUE.finditer(text)}
+    return sorted((s, e, k) for (s, e), k in found.items())
 
 
 def features(text: str, start: int, end: int) -> list[float]:
     """Format and context of a span."""
     s = text[start:end]
     plain = re.sub(r"[^0-9]", "", s)
-    digits = sum("0" <= c <= "9" for c in s)
-    letters = sum(c.isalpha() for c in s)
+    digits, letters = len(plain), sum(c.isalpha() for c in s)
+    upper, lower = sum("A" <= c <= "Z" for c in s), sum("a" <= c <= "z" for c in s)
     groups = [len(g) for g in re.findall(r"[0-9]+", s)] or [0]
     before, after = text[max(0, start - 1) : start], text[end : end + 1]
     context = text[max(0, start - 40) : start]
+    turns = sum(x.isdigit() != y.isdigit() for x, y in zip(s, s[1:]))
     return [
         len(s), digits, letters, digits / len(s), len(groups), max(groups), min(groups), groups[0], groups[-1],
         s.count("."), s.count("-"), s.count(" "), s.count("(") + s.count(")"), s.count("@"), s.count("/"),
         float(before.isalnum()), float(after.isalnum()), float(not before or before.isspace()), float(not after or after.isspace()),
         float(before in "\"'=:#" and before != ""), float(bool(_CUES.search(context))), sum("0" <= c <= "9" for c in context), len(set(s)),
         float(s[0] == "+"), float(12 <= digits <= 19 and _luhn(plain)), float(s.count(".") == 3 and max(groups) <= 3),
+        upper, lower, float(upper > 0 and lower > 0), turns, turns / len(s), float(not re.search(r"[^0-9a-fA-F]", s)), float(bool(_SECRET_CUES.search(context))),
+        s.count("_") + s.count("+") + s.count("="), s.count("\n"), float(bool(_AT_SIGNS.search(s))), float(bool(re.search(r"(?i)[ (\[]dot[ )\]]|\.[a-z]{2,6}$", s))), s.count("["), len(set(s)) / len(s),
+        max((len(x) for x in re.split(r"[^A-Za-z]+", s)), default=0),
+    ]
+
+
+_LOWER, _HEX, _MIXED = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def _with_checksum(digits: str) -> str:
+    return next(digits[:-1] + d for d in "0123456789" if _luhn(digits[:-1] + d))
+
+
+def planted(rng: random.Random) -> tuple[str, str, str, bool]:
+    """(what stands before, value, what stands after, personal or not) for one value to set into a text."""
+    word = lambda a, b: "".join(rng.choices(_LOWER, k=rng.randint(a, b)))
+    num = lambda k: "".join(rng.choices("0123456789", k=k))
+    quote = rng.choice(["", "", "\"", "'"])
+    cue = rng.choice(["password", "secret", "token", "api_key", "access_key", "auth token", "Password", "TOKEN"]) + rng.choice(["=", " = ", ": ", ":"])
+    card, sep = _with_checksum(num(16)), rng.choice([".", "/", "\n", " - "])
+    ip = ".".join(str(rng.randint(1, 254)) for _ in range(4))
+    user, host, top = word(2, 9) + rng.choice(["", ".", "_"]) + word(2, 8), word(3, 10), rng.choice(["com", "org", "net", "de", "fr", "es", "io"])
+    call = rng.choice(["", "", "call ", "phone: ", "tel. ", "fax "])
+    key = lambda letters, a, b: "".join(rng.choices(letters, k=rng.randint(a, b)))
+    yes = [
+        ("", f"{user}{rng.choice([' (at) ', ' [at] ', '(at)', '[at]', ' at '])}{host}{rng.choice([' (dot) ', ' [dot] ', ' dot '])}{top}", ""),
+        ("", f"{user}{rng.choice([' (at) ', ' [at] ', ' @ ', '[at]'])}{host}.{top}", ""),
+        (call, f"({num(3)}) {num(3)}-{num(4)}", ""), (call, f"{num(3)}-{num(3)}-{num(4)}", ""), (call, f"{num(3)}.{num(3)}.{num(4)}", ""), (call, f"0{num(2)}/{num(7)}", ""),
+        ("", sep.join(card[i : i + 4] for i in range(0, 16, 4)), ""), ("", ip.replace(".", rng.choice(["[.]", " . ", "(.)"])), ""),
+        (cue + quote, key(_HEX, 32, 64), quote), (cue + quote, key(_MIXED, 16, 48), quote), (cue + quote, key(_LOWER, 3, 8) + num(rng.randint(2, 6)), quote), (cue + quote, key(_HEX, 12, 24), quote),
+        ("", key(_LOWER.upper(), 4, 4) + key(_LOWER.upper() + "0123456789", 16, 16), ""), (rng.choice(["key ", "key: ", ""]), key(_MIXED, 32, 48), ""), ("\"", key(_HEX, 40, 40), "\""),
+    ]
+    wrong = next(c for c in iter(lambda: num(16), None) if not _luhn(c))
+    no = [
+        ("", f"{rng.randint(1900, 2099)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}", ""), ("", f"{rng.randint(1, 28):02d}/{rng.randint(1, 12):02d}/{rng.randint(1900, 2099)}", ""),
+        ("", f"{rng.randint(1900, 2099)}-01-01T{num(2)}:00:00Z", ""), ("$", f"{rng.randint(1, 99)} {num(3)} {num(3)}.{num(2)}", ""), ("", f"{rng.randint(0, 9)}.{num(rng.randint(6, 12))}", ""),
+        ("", wrong, ""), ("", " ".join(wrong[i : i + 4] for i in range(0, 16, 4)), ""), ("", num(rng.randint(6, 11)), ""), ("No. ", num(rng.randint(6, 9)), ""), ("", f"{rng.randint(256, 999)}.{num(2)}.{num(3)}.{num(1)}", ""),
+        ("version ", f"{num(1)}.{num(1)}.{num(2)}-{num(6)}", ""), ("pages ", f"{num(3)}-{num(3)} {num(3)}", ""), ("", f"IMG_{num(8)}_{num(6)}", rng.choice([".jpg", ".png", ""])), ("", f"{word(4, 9)}-{word(4, 9)}-{word(3, 9)}-{num(rng.choice([1, 2, 4]))}", ""),
+        ("", f"{word(4, 8).title()}{word(4, 8).title()}{num(1)}{word(3, 8).title()}", ""), ("", f"{word(4, 8)}_{word(4, 8)}_{num(2)}", rng.choice([".py", ".txt", "()"])), ("https://x.org/", f"{word(4, 8)}/{num(4)}/{word(4, 9)}-{word(4, 9)}", ""),
+        ("", f"{word(3, 8)} at {word(3, 8)}.{word(4, 8).title()}", ""), ("", f"{num(2)} @ {num(2)}.{num(2)}", ""), (rng.choice(["token", "password", "secret"]) + ": ", word(7, 12), ""), (rng.choice(["key", "token"]) + " = ", rng.choice(["undefined", "settings.get", "required", "changes"]), ""),
     ]
+    personal = rng.random() < 0.5
+    return (*rng.choice(yes if personal else no), personal)
+
+
+def example_rows(text: str, values: int) -> list[tuple[list[float], int]]:
+    """(features, sort) of a text's own candidates (sort -1) and of `values` set into it (0 or 1 for look-alike or personal)."""
+    covered = _Covered(base_spans(text))
+    out = [(features(text, s, e), -1) for s, e, _ in candidates(text) if not covered.touches(s, e)]
+    rng = random.Random(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest())
+    for _ in range(values):
+        before, value, after, personal = planted(rng)
+        at = text.find(" ", rng.randrange(len(text) + 1))
+        head, tail = (text[:at], text[at:]) if at >= 0 else (text, "")
+        head, tail = head[-200:], tail[:200]
+        near = f"{head} {before}{value}{after}{tail if tail.startswith(' ') else ' ' + tail}"
+        s, e = len(head) + 1 + len(before), len(head) + 1 + len(before) + len(value)
+        base = _Covered(base_spans(near))
+        for cs, ce, _ in candidates(near):
+            share = max(0, min(e, ce) - max(s, cs)) / (max(e, ce) - min(s, cs))
+            if share >= 0.5 and not base.touches(cs, ce):
+                out.append((features(near, cs, ce), int(personal and share >= 0.8)))
+    return out
 
 
 class _Covered:
@@ -122,14 +201,6 @@ class _Covered:
         k = bisect_left(self.starts, end)
         return k > 0 and self.reach[k - 1] > start
 
-    def mostly(self, start: int, end: int) -> bool:
-        """Whether at least four fifths of the stretch are covered."""
-        at, inside = start, 0
-        for k in range(max(0, bisect_left(self.reach, start + 1)), bisect_left(self.starts, end)):
-            s, e = max(self.starts[k], at), min(self.reach[k], end)
-            inside, at = inside + max(0, e - s), max(at, e)
-        return inside >= 0.8 * (end - start)
-
 
 @dataclass(frozen=True)
 class BoostedTrees:
@@ -138,6 +209,8 @@ class BoostedTrees:
     start: float
     trees: tuple[tuple, ...]
     threshold: float
+    precision: float = 0.0  # on held-out planted values, as calibrated
+    recall: float = 0.0
 
     def log_odds(self, x: np.ndarray) -> np.ndarray:
         out = np.full(len(x), self.start)
@@ -148,74 +221,84 @@ class BoostedTrees:
         return out
 
 
-def _best_cut(x: np.ndarray, cuts: list[np.ndarray], g: np.ndarray, h: np.ndarray, rows: np.ndarray) -> tuple[int, float]:
-    """The feature and cut with the largest gain in the second-order approximation of the loss."""
+def _best_cut(bins: np.ndarray, cuts: list[np.ndarray], g: np.ndarray, h: np.ndarray, rows: np.ndarray) -> tuple[int, float]:
+    """The feature and cut with the largest gain in the second-order approximation of the loss; bins: for each feature and row how many cuts are below."""
     best, at = 0.0, (0, np.inf)
     gs, hs = g[rows], h[rows]
-    whole = gs.sum() ** 2 / (hs.sum() + 1.0)
+    g_all, h_all = gs.sum(), hs.sum()
+    whole = g_all**2 / (h_all + 1.0)
     for f, values in enumerate(cuts):
-        bins = np.searchsorted(values, x[rows, f], "left")
-        gl, hl = np.bincount(bins, gs, len(values) + 1).cumsum()[:-1], np.bincount(bins, hs, len(values) + 1).cumsum()[:-1]
-        gain = gl**2 / (hl + 1) + (gs.sum() - gl) ** 2 / (hs.sum() - hl + 1) - whole
+        own = bins[f, rows]
+        gl, hl = np.bincount(own, gs, len(values) + 1).cumsum()[:-1], np.bincount(own, hs, len(values) + 1).cumsum()[:-1]
+        gain = gl**2 / (hl + 1) + (g_all - gl) ** 2 / (h_all - hl + 1) - whole
         if len(gain) and gain.max() > best:
             best, at = gain.max(), (f, float(values[gain.argmax()]))
     return at
 
 
-def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 40, rate: float = 0.3, precision: float = 0.99) -> BoostedTrees | None:
-    """Boosts trees on three quarters of the rows; on the rest, takes the lowest threshold that holds the precision."""
-    held = np.arange(len(y)) % 4 == 3
-    if min(y[~held].sum(), (~y[~held]).sum(), y[held].sum()) < 5:
-        return None
-    a, b = x[~held], y[~held].astype(float)
-    cuts = [np.unique(np.quantile(a[:, f], np.linspace(0.02, 0.98, 25))) for f in range(x.shape[1])]
+def _boost(x: np.ndarray, y: np.ndarray, rounds: int, rate: float) -> BoostedTrees:
+    b = y.astype(float)
+    cuts = [np.unique(np.quantile(x[:, f], np.linspace(0.02, 0.98, 25))) for f in range(x.shape[1])]
+    bins = np.stack([np.searchsorted(c, x[:, f], "left") for f, c in enumerate(cuts)])
     start = float(np.log(b.mean() / (1 - b.mean())))
     score, trees, everything = np.full(len(b), start), [], np.arange(len(b))
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-score))
         g, h = b - p, p * (1 - p)
-        f, c = _best_cut(a, cuts, g, h, everything)
-        sides = [everything[a[:, f] <= c], everything[a[:, f] > c]]
-        lower = [_best_cut(a, cuts, g, h, s) if len(s) else (0, np.inf) for s in sides]
+        f, c = _best_cut(bins, cuts, g, h, everything)
+        sides = [everything[x[:, f] <= c], everything[x[:, f] > c]]
+        lower = [_best_cut(bins, cuts, g, h, s) if len(s) else (0, np.inf) for s in sides]
         leaves = []
         for s, (lf, lc) in zip(sides, lower):
-            for part in (s[a[s, lf] <= lc], s[a[s, lf] > lc]):
+            for part in (s[x[s, lf] <= lc], s[x[s, lf] > lc]):
                 leaves.append(float(rate * g[part].sum() / (h[part].sum() + 1.0)))
         trees.append((f, c, lower[0], lower[1], tuple(leaves)))
-        score = BoostedTrees(start, tuple(trees[-1:]), 0.0).log_odds(a) - start + score
-    model = BoostedTrees(start, tuple(trees), 0.0)
-    held_score, truth = model.log_odds(x[held]), y[held]
-    order = np.argsort(-held_score, kind="stable")
-    right = np.cumsum(truth[order]) / np.arange(1, len(order) + 1)
-    good = np.flatnonzero(right >= precision)
-    return BoostedTrees(start, tuple(trees), float(held_score[order][good[-1]])) if len(good) else None
+        score = BoostedTrees(start, tuple(trees[-1:]), 0.0).log_odds(x) - start + score
+    return BoostedTrees(start, tuple(trees), 0.0)
 
 
-def fit(df: DataFrame, text_col: str = "text", max_docs: int = 20_000, max_candidates: int = 20_000) -> BoostedTrees | None:
+def fit_trees(x: np.ndarray, sort: np.ndarray, rounds: int = 80, rate: float = 0.3, precision: float = 0.99) -> BoostedTrees | None:
+    """Boosts trees on three quarters of the rows; on the rest, takes the lowest threshold that holds the precision.
+
+    sort: 1 personal, 0 not, -1 a text's own candidate. Of these, those that a first fit ranks with the personal ones are left out.
+    """
+    held = np.arange(len(sort)) % 4 == 3
+    if min((sort[~held] == 1).sum(), (sort[~held] == 0).sum(), (sort[held] == 1).sum()) < 5:
+        return None
+    first = _boost(x[~held], sort[~held] == 1, rounds // 2, rate).log_odds(x)
+    keep = (sort >= 0) | (first < np.quantile(first[held & (sort == 1)], 0.1))
+    model = _boost(x[~held & keep], sort[~held & keep] == 1, rounds, rate)
+    score, truth = model.log_odds(x[held & keep]), sort[held & keep] == 1
+    order = np.argsort(-score, kind="stable")
+    right = np.cumsum(truth[order])
+    good = np.flatnonzero(right / np.arange(1, len(order) + 1) >= precision)
+    if not len(good):
+        return None
+    at = good[-1]
+    return BoostedTrees(model.start, model.trees, float(score[order][at]), float(right[at] / (at + 1)), float(right[at] / truth.sum()))
+
+
+def fit(df: DataFrame, text_col: str = "text", max_docs: int = 20_000, max_candidates: int = 40_000) -> BoostedTrees | None:
     """Fits on candidates of at most about `max_docs` texts, drawn by a hash of the text; `max_candidates` bounds what reaches the driver."""
-    rows = df.where(F.col(text_col).isNotNull())
-    rate = min(1.0, max_docs / max(1, rows.count()))
+    rows = df.where(F.length(text_col) > 0)
+    n = rows.count()
+    rate, values = min(1.0, max_docs / max(1, n)), max(2, min(20, 10_000 // max(1, n)))
     if rate < 1:
         rows = rows.where(F.pmod(F.xxhash64(text_col), F.lit(1 << 30)) < int(rate * (1 << 30)))
 
     def examples(batch: pa.RecordBatch) -> dict:
-        x, y, at = [], [], []
-        for text in text_or_empty(batch.column(0)):
-            covered = _Covered(base_spans(text))
-            for span in candidates(text):
-                x.append(features(text, *span))
-                y.append(covered.mostly(*span))
-                at.append(int.from_bytes(hashlib.blake2b(f"{text[max(0, span[0] - 30) : span[1] + 30]}".encode("utf-8", "replace"), digest_size=7).digest(), "big"))
-        return {"x": x, "y": y, "at": at}
-
-    found = arrow_map(rows.select(text_col), examples, "x array<double>, y boolean, at long").orderBy("at", "x").limit(max_candidates).toArrow()
+        found = [(x, sort, i) for t in text_or_empty(batch.column(0)) for i, (x, sort) in enumerate(example_rows(t, values))]
+        at = [int.from_bytes(hashlib.blake2b(repr((x, i)).encode(), digest_size=7).digest(), "big") for x, _, i in found]
+        return {"x": [x for x, _, _ in found], "sort": [s for _, s, _ in found], "at": at}
+
+    found = arrow_map(rows.select(text_col), examples, "x array<double>, sort int, at long").orderBy("at", "x", "sort").limit(max_candidates).toArrow()
     if not found.num_rows:
         return None
-    return fit_trees(np.array(found["x"].to_pylist()), np.array(found["y"].to_pylist(), dtype=bool))
+    return fit_trees(np.array(found["x"].to_pylist()), found["sort"].to_numpy())
 
 
 def find_spans(df: DataFrame, model: BoostedTrees | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, counts by base kind and n_other, base_sha256, and spans (kind:start:end, comma-joined)."""
+    """One row per input row: id, counts by base kind, n_other and n_secret, base_sha256, and spans (kind:start:end, comma-joined)."""
 
     def spans(batch: pa.RecordBatch) -> dict:
         all_base, all_spans = [], []
@@ -223,15 +306,17 @@ def find_spans(df: DataFrame, model: BoostedTrees | None, id_col: str = "doc_id"
             base = base_spans(text)
             more: list[tuple[str, int, int]] = []
             covered = _Covered(base)
-            tried = [c for c in candidates(text) if not covered.touches(*c)] if model else []
+            tried = [c for c in candidates(text) if not covered.touches(*c[:2])] if model else []
             if tried:
-                score = model.log_odds(np.array([features(text, *c) for c in tried]))
+                score = model.log_odds(np.array([features(text, s, e) for s, e, _ in tried]))
+                taken: list[tuple[int, int]] = []
                 for i in np.argsort(-score, kind="stable"):
-                    s, e = tried[i]
-                    k = bisect_left(more, ("other", s, e))
-                    free = (k == 0 or more[k - 1][2] <= s) and (k == len(more) or more[k][1] >= e)
+                    s, e, kind = tried[i]
+                    k = bisect_left(taken, (s, e))
+                    free = (k == 0 or taken[k - 1][1] <= s) and (k == len(taken) or taken[k][0] >= e)
                     if score[i] >= model.threshold and free:
-                        more.insert(k, ("other", s, e))
+                        taken.insert(k, (s, e))
+                        more.append((kind, s, e))
             all_base.append(base)
             all_spans.append(sorted(base + more, key=lambda x: (x[1], KINDS.index(x[0]))))
         written = lambda found: ",".join(f"{k}:{s}:{e}" for k, s, e in found)
@@ -239,7 +324,7 @@ def find_spans(df: DataFrame, model: BoostedTrees | None, id_col: str = "doc_id"
         return out | {id_col: batch.column(0), "base_sha256": [hashlib.sha256(written(b).encode()).hexdigest() for b in all_base], "spans": [written(s) for s in all_spans]}
 
     kind = df.schema[id_col].dataType.simpleString()
-    return arrow_map(df.select(id_col, text_col), spans, f"`{id_col}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_other long")
+    return arrow_map(df.select(id_col, text_col), spans, f"`{id_col}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_other long, n_secret long")
 
 
 def redact(text: str, spans: str) -> str:

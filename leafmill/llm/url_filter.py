@@ -2,9 +2,11 @@
 
 A rule's key is its host and path prefix. The 64-bit xxhash digests of all keys are written
 sorted to one file, the keys themselves to another; Spark ships both to every executor, whose
-workers map them into memory. A URL is probed with every suffix of its host and every prefix
-of its path that has the length of some rule's, by one vectorised binary search a batch, and
-each hit is confirmed on the stored string, so that colliding digests do no harm.
+workers map them into memory. A URL is probed with those suffixes of its host that have as many
+labels, and those prefixes of its path that have the length, of some rule's, by one vectorised
+binary search a batch, and each hit is confirmed on the stored string, so that colliding digests
+do no harm. Rules come as a list or as a table (verdict, host, path) of at most `max_rules` rows,
+as the digests of all of them are kept on every executor's disk.
 
 Inputs with defined results: a null URL or one without "://" has empty host and path and meets
 no rule; an empty rule list gives the default verdict everywhere; repeated rows give repeated
@@ -47,9 +49,10 @@ def write_digests(spark: SparkSession, rules: list[tuple[str, str, str]]) -> str
     order = np.argsort(digests, kind="stable")
     ends = np.cumsum([0, *(len(strings[i]) for i in order)]).astype(np.uint64)
     lengths = np.unique(np.array([len(p) for _, _, p in rules], dtype=np.uint64))
+    labels = np.unique(np.array([h.count(".") + 1 for _, h, _ in rules], dtype=np.uint64))
     name = f"digests-{uuid.uuid4().hex}"
     folder = tempfile.mkdtemp()
-    np.save(f"{folder}/{name}.npy", np.concatenate([np.array([len(rules), len(lengths)], dtype=np.uint64), digests[order], ends, lengths]))
+    np.save(f"{folder}/{name}.npy", np.concatenate([np.array([len(rules), len(lengths), len(labels)], dtype=np.uint64), digests[order], ends, lengths, labels]))
     with open(f"{folder}/{name}.txt", "wb") as f:
         f.write(b"".join(strings[i] for i in order))
     for kind in ("npy", "txt"):
@@ -62,8 +65,9 @@ class _Digests:
 
     def __init__(self, name: str):
         mapped = np.load(SparkFiles.get(f"{name}.npy"), mmap_mode="r")
-        n, k = int(mapped[0]), int(mapped[1])
-        self.digests, self.ends, self.lengths = mapped[2 : 2 + n], mapped[2 + n : 3 + 2 * n], sorted(map(int, mapped[3 + 2 * n : 3 + 2 * n + k]))
+        n, k, m = map(int, mapped[:3])
+        self.digests, self.ends, rest = mapped[3 : 3 + n], mapped[3 + n : 4 + 2 * n], mapped[4 + 2 * n : 4 + 2 * n + k + m].tolist()
+        self.lengths, self.labels = rest[:k], rest[k:]
         self.text = np.memmap(SparkFiles.get(f"{name}.txt"), dtype=np.uint8, mode="r") if n else None
 
     def find(self, keys: list[bytes]) -> list[str | None]:
@@ -87,16 +91,28 @@ class _Digests:
 _open: dict[str, _Digests] = {}
 
 
-def _candidates(host: str, path: str, lengths: list[int]) -> list[tuple[str, str]]:
-    """Host suffixes at label borders with path prefixes of the rules' lengths, longest first."""
-    labels = host.split(".")
-    hosts = [".".join(labels[i:]) for i in range(len(labels))]
+def _candidates(host: str, path: str, labels: list[int], lengths: list[int]) -> list[tuple[str, str]]:
+    """Host suffixes of the rules' numbers of labels with path prefixes of the rules' lengths, longest first."""
+    hosts, at, n = [], len(host), 0
+    for k in labels:
+        while n < k and at >= 0:
+            at, n = host.rfind(".", 0, at), n + 1
+        if n < k:
+            break
+        hosts.append(host[at + 1 :])
+        if at < 0:
+            break
     paths = [path[:n] for n in lengths if n <= len(path)]
     return sorted(((h, p) for h in hosts for p in paths), key=lambda x: -len(x[0]) - len(x[1]))
 
 
-def filter_urls(df: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
+def filter_urls(df: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", max_rules: int = 20_000_000) -> DataFrame:
     """One row per input row: id, host, path, rule (host and path of the longest rule that fits, else null) and verdict."""
+    if isinstance(rules, DataFrame):
+        found = rules.select("verdict", "host", "path").distinct().limit(max_rules + 1).toArrow()
+        rules = list(zip(*(found[c].to_pylist() for c in ("verdict", "host", "path"))))
+    if len(rules) > max_rules:
+        raise ValueError(f"more than {max_rules} rules")
     name = write_digests(df.sparkSession, rules)
 
     def judge(batch: pa.RecordBatch) -> dict:
@@ -105,7 +121,7 @@ def filter_urls(df: DataFrame, rules: list[tuple[str, str, str]], id_col: str =
             _open[name] = _Digests(name)
         digests = _open[name]
         parts = [host_and_path(u) for u in batch.column(1).to_pylist()]
-        tried = [_candidates(h, p, digests.lengths) if h else [] for h, p in parts]
+        tried = [_candidates(h, p, digests.labels, digests.lengths) if h else [] for h, p in parts]
         found = iter(digests.find([f"{h}\n{p}".encode("utf-8", "surrogatepass") for c in tried for h, p in c]))
         hits = [next(((h + p, v) for (h, p), v in [(x, next(found)) for x in c] if v), (None, default)) for c in tried]
         return {id_col: batch.column(0), "host": [h for h, _ in parts], "path": [p for _, p in parts], "rule": [r for r, _ in hits], "verdict": [v for _, v in hits]}

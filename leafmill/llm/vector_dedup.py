@@ -3,7 +3,9 @@
 Each tree halves the space at the median projection on a random direction, again and again
 until a leaf is expected to hold few enough rows; rows within a margin of a cut go to both
 sides (spill). Pairs are compared only within leaves, by cosine in double precision, and links
-of all trees are united. Cuts are fitted on a bounded sample; every row is routed.
+of all trees are united. Cuts are fitted on a bounded sample; every row is routed. Where the
+sample was too small to cut a leaf down to size, a tree is grown for that leaf from a sample of
+its own rows, in a task, and its rows are routed on, for as many levels as LEVELS.
 
 A pair that shares several leaves counts in the first of them, so link counts need no table
 of pairs; for components a leaf reports, for each row, the smallest row it reaches there. Equal
@@ -18,17 +20,23 @@ component; an empty table gives an empty table; other columns of the input are i
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import Scratch, arrow_map, connected_components
 from .vectors import matrix, sample, valid_vectors
 
 
+#: Further levels of trees for large leaves, the rows of one that its tree is grown from, and those routed in one task.
+LEVELS, LEAF_SAMPLE, PART = 3, 4096, 50_000
+
+
 @dataclass(frozen=True)
 class Forest:
     """Nodes as (direction, cut, left, right), or a leaf number; and the roots."""
@@ -87,6 +95,49 @@ def grow(points: np.ndarray, total: int, trees: int, leaf_rows: int, margin: flo
     return Forest(tuple(nodes), tuple(roots), margin)
 
 
+def _split_large(routed: DataFrame, leaf_rows: int, margin: float, seed: int, scratch: Scratch) -> DataFrame:
+    """Routes the rows of leaves over twice their size on, by a tree for each such leaf; leaves that no cut divides, as of near copies, stay as they are."""
+    schema, names = routed.schema, [c for c in routed.columns if c not in ("leaf", "leaves")]
+    tried = None
+    for level in range(LEVELS):
+        large = routed.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > 2 * leaf_rows).select(F.col("leaf").alias("big"), "n")
+        large = scratch.table(large if tried is None else large.join(tried, F.col("big") == F.col("uncut"), "left_anti"), "large")
+        if large.isEmpty():
+            break
+        inside = routed.join(large, F.col("leaf") == F.col("big"))
+        drawn = inside.where(F.pmod(F.xxhash64("id", F.lit(17 + level)), F.lit(1 << 30)) < F.least(F.lit(1.0), LEAF_SAMPLE / F.col("n")) * (1 << 30)).select("leaf", "vec", "n")
+
+        def grown(group: pa.Table) -> pa.Table:
+            x = matrix(group["vec"])
+            tree = grow(x / np.linalg.norm(x, axis=1, keepdims=True), group["n"][0].as_py(), 1, leaf_rows, margin, seed + level)
+            return pa.table({"leaf": group["leaf"][:1], "tree": pa.array([pickle.dumps(tree)], pa.binary())})
+
+        def route(rows: pa.Table, trees: pa.Table) -> pa.Table:
+            kept = rows.select(["leaf", *names])
+            if not rows.num_rows or not trees.num_rows:
+                return kept
+            x = matrix(rows["vec"])
+            found = pickle.loads(trees["tree"][0].as_py()).leaves(x / np.linalg.norm(x, axis=1, keepdims=True))
+            leaf, at = rows["leaf"][0].as_py(), np.concatenate([i for i, _ in found])
+            own = np.concatenate([np.full(len(i), ((leaf + 1) << 20) + n) for i, n in found])
+            return kept.take(pa.array(at)).set_column(0, "leaf", pa.array(own))
+
+        trees = drawn.groupBy("leaf").applyInArrow(grown, "leaf long, tree binary")
+        parts = F.ceil(F.col("n") / PART)
+        left = inside.withColumn("part", F.pmod(F.xxhash64("id"), parts)).select("leaf", "part", *names)
+        right = trees.join(large, F.col("leaf") == F.col("big")).select("leaf", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "tree")
+        flat = StructType([schema["leaf"], *[schema[c] for c in names]])
+        split = left.groupBy("leaf", "part").cogroup(right.groupBy("leaf", "part")).applyInArrow(route, flat)
+        following = scratch.table(routed.join(large, F.col("leaf") == F.col("big"), "left_anti").select("leaf", *names).unionByName(split), "split")
+        # one piece of a tree is the leaf that it was
+        uncut = following.groupBy("leaf").agg(F.count("*").alias("m")).join(large.select((F.shiftleft(F.col("big") + 1, 20)).alias("leaf"), "n"), "leaf").where("m = n").select(F.col("leaf").alias("uncut"))
+        tried = scratch.table(uncut if tried is None else uncut.unionByName(tried), "uncut")
+        lists = following.groupBy("id").agg(F.array_sort(F.collect_set("leaf")).alias("leaves"))
+        routed = scratch.table(following.join(lists, "id").select(*schema.names), "routed")
+        scratch.drop(following)
+    return routed
+
+
 def _first_shared(a: list[list[int]], b: list[list[int]], leaf: int) -> np.ndarray:
     """Whether rows of a and b share a leaf before this one."""
     earlier = {x: i for i, x in enumerate(sorted({x for row in a for x in row if x < leaf} & {x for row in b for x in row if x < leaf}))}
@@ -164,8 +215,8 @@ def vector_groups(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddi
         return {"leaf": [leaf for o in own for leaf in o], "leaves": [sorted(own[i]) for i in every.tolist()]} | {n: taken.column(i) for i, n in enumerate(("id", "weight", "vec", "label"))}
 
     kinds = dict(alone.dtypes)
-    routed = arrow_map(alone.select("id", "weight", "vec", "label"), route, f"leaf int, leaves array<int>, id {kinds['id']}, weight long, vec {kinds['vec']}, label {kinds['label']}")
-    routed = scratch.table(routed, "routed")
+    routed = arrow_map(alone.select("id", "weight", "vec", "label"), route, f"leaf long, leaves array<long>, id {kinds['id']}, weight long, vec {kinds['vec']}, label {kinds['label']}")
+    routed = _split_large(scratch.table(routed, "routed"), leaf_rows, margin, seed, scratch)
     large = routed.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > 2 * leaf_rows)
     large = scratch.table(large.select(F.col("leaf").alias("_leaf"), F.ceil(F.col("n") / leaf_rows).cast("int").alias("_blocks")), "large")
     blocks = F.coalesce("_blocks", F.lit(1))

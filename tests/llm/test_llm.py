@@ -128,6 +128,174 @@ def test_urls(spark):
     assert (got[0]["host"], got[0]["path"], got[6]["host"]) == ("www.example.com", "/en/x", "")
 
 
+def test_urls_odd(spark):
+    page = lambda rows: spark.createDataFrame(rows, "page_id long, url string, host string, rule string")
+    long = "http://" + "a." * 20_000 + "net/es/x"
+    got = url_filter.filter_urls(page([(1, long, "clash", "clash"), (2, long, None, None), (2, long, None, None)]), URL_RULES).collect()
+    assert [(r["rule"], r["verdict"]) for r in got] == [("net/es/", "block")] * 3
+    assert url_filter.filter_urls(page([]), URL_RULES).count() == 0
+    assert {r["verdict"] for r in url_filter.filter_urls(page([(1, "http://x.net/es/", "", "")]), []).collect()} == {"allow"}
+    table = spark.createDataFrame([("block", "net", "/es/")], "verdict string, host string, path string")
+    assert url_filter.filter_urls(page([(1, "http://x.net/es/", "", "")]), table).first()["verdict"] == "block"
+
+
+def test_colliding_digests(spark, monkeypatch):
+    name = url_filter.write_digests(spark, URL_RULES)
+    d = url_filter._Digests(name)
+    d.digests = np.full(len(d.digests), d.digests[0])  # as if all keys had one digest
+    keys = [f"{h}\n{p}".encode() for _, h, p in URL_RULES]
+    monkeypatch.setattr(xxhash, "xxh64_intdigest", lambda k: int(d.digests[0]))
+    assert d.find([*keys, b"other\n/"]) == [v for v, _, _ in URL_RULES] + [None]
+
+
+NAMES = ["_key", "_id", "_doc", "_gone", "_tie", "_size", "_at", "_source", "taken", "lines_removed", "_p", "_before", "_k0", "_amount", "_part", "_inside", "row", "id", "size", "copy", "pieces", "name", "node", "component", "h1", "rank", "one"]
+
+
+def test_clashing_names_travel_along(spark):
+    texts = [f"unique {i}\nAll rights reserved." for i in range(6)] + ["a word " * 40] * 2 + [None, ""]
+    df = docs(spark, texts, "abcdefgh").withColumns({n: F.concat(F.lit(n), "doc_id") for n in NAMES})
+    kept = line_dedup.remove_spread_lines(df)
+    assert sorted(set(kept.columns)) == sorted({*df.columns}) and len(kept.columns) == len(df.columns)
+    mixed = mixing.mix_documents(df)
+    for out, added in ((kept, "lines_removed"), (mixed, "taken")):
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in NAMES if n != added)
+    assert sum(r["lines_removed"] for r in kept.collect()) == 5
+    counts, groups, packed = mixing.mix_counts(df), similar_texts.similar_groups(df), packing.pack_documents(df)
+    assert counts.count() == groups.count() == len(texts) and {r[0] for r in packed.select("doc_id").collect()} == set(range(len(texts)))
+    for found in (token_counts.token_counts(df), simhash.simhash_groups(df), pii.find_spans(df, None), language_id.predict(df, language_id.fit(df))):
+        assert found.count() == len(texts)
+    known = language_id.keep_known(df, language_id.fit(df), 0.5)
+    assert known.columns == df.columns and known.count() >= 8 and all(r["row"] == f"row{r['doc_id']}" for r in known.collect())
+
+
+def test_empty_tables(spark):
+    none = docs(spark).limit(0)
+    for found in (token_counts.token_counts(none), line_dedup.remove_spread_lines(none), pii.find_spans(none, pii.fit(none)), language_id.predict(none, language_id.fit(none)), packing.pack_documents(none), simhash.simhash_groups(none), mixing.mix_counts(none), mixing.mix_documents(none)):
+        assert found.count() == 0
+    vectors = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
+    assert vector_search.nearest(vectors, F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_line_dedup_by_the_sketch_alone(spark):
+    rows = [(i, f"own {i}\nspread\nrare", f"s{i}") for i in range(60)] + [(60 + i, "near\nnear", None if i == 0 else f"t{i}") for i in range(5)] + [(70, "four", f"s{i}") for i in range(4)]
+    got = line_dedup.remove_spread_lines(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_sites=5).collect()
+    assert sum("spread" in r["text"] for r in got) == 1 and [r["text"] for r in got if r["doc_id"] == 60] == ["near"]  # the place of a line counts, not the line
+    assert all(r["text"] == "" for r in got if 60 < r["doc_id"] < 70) and all(r["text"] == "four" for r in got if r["doc_id"] == 70)
+
+
+def test_pii_adds_what_formats_miss(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = pii.fit(df)
+    assert model.precision >= 0.99 and model.recall >= 0.9
+    rng, rows = random.Random(5), []
+    for i, r in enumerate(df.where("text <> ''").orderBy("doc_id").limit(600).collect()):
+        before, value, after, personal = pii.planted(rng)
+        head = r["text"][:300].rsplit(" ", 1)[0]
+        rows.append((i, f"{head} {before}{value}{after} {r['text'][300:600]}", len(head) + 1 + len(before), len(value), personal))
+    got = by_id(pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string, at int, n int, personal boolean"), model))
+    hit = {True: [], False: []}
+    for i, text, at, n, personal in rows:
+        spans = [x.split(":") for x in filter(None, got[i]["spans"].split(","))]
+        hit[personal].append(any(int(s) < at + n and int(e) > at for _, s, e in spans))
+        written = ",".join(f"{k}:{s}:{e}" for k, s, e in base_brute(text))
+        assert got[i]["base_sha256"] == hashlib.sha256(written.encode()).hexdigest()
+    assert np.mean(hit[True]) > 0.95 and np.mean(hit[False]) < 0.05
+
+
+def language_brute(model, text):
+    """Scores n-gram by n-gram, by the definition of the hash."""
+    words = re.findall(r"[^\W\d_]+", "".join(c if c.isalpha() else " " for c in (text or "").lower()))
+    s, total = f" {' '.join(words)} ", model.log_prior.astype(float).copy()
+    if not words:
+        return "und", 0.0
+    for n in model.sizes:
+        for i in range(len(s) - n + 1):
+            h = 0
+            for c in s[i : i + n]:
+                h = (h * 0x9E3779B1 + ord(c)) % (1 << 32)
+            h = (h ^ (h >> 15)) * (0x85EBCA6B + 2 * n) % (1 << 32)
+            total += model.log_prob[(h >> 7) % len(model.log_prob)]
+    share = np.exp(total - total.max())
+    return model.languages[int(total.argmax())], 1 / share.sum()
+
+
+def test_language_id_by_brute_force(spark, monkeypatch):
+    df = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = language_id.fit(df)
+    texts = ["½ ² Ⅷ 12", None, "", "a", "é", "the and of in the", "la de que el en los", "𝔘𝔫𝔦 漢字"] + [r["text"] for r in df.orderBy("doc_id").limit(12).collect()]
+    got = by_id(language_id.predict(docs(spark, texts * 2), model))
+    for i, t in enumerate(texts * 2):
+        want = language_brute(model, t)
+        assert got[i]["lang_pred"] == want[0] and got[i]["score"] == pytest.approx(want[1], abs=1e-6), t
+    monkeypatch.setattr(language_id, "CHUNK", 50)  # long texts come in parts
+    parts = list(language_id.counts_by_row([texts[-1], "", texts[-2]], (2, 3), 1 << 16))
+    monkeypatch.undo()
+    whole = list(language_id.counts_by_row([texts[-1], "", texts[-2]], (2, 3), 1 << 16))
+    total = lambda ps: {(r, b): n for r, b, n in zip(*(np.concatenate(x).tolist() for x in zip(*ps)))} if len(ps) == 1 else sum_up(ps)
+    assert sum_up(parts) == total(whole)
+
+
+def sum_up(parts):
+    out = {}
+    for rows, buckets, n in parts:
+        for r, b, k in zip(rows.tolist(), buckets.tolist(), n.tolist()):
+            out[r, b] = out.get((r, b), 0) + k
+    return out
+
+
+def test_vector_groups_split_large_leaves(spark):
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((4000, 16))
+    x[3000:] = x[:1000] + 0.02 * rng.standard_normal((1000, 16))
+    df = spark.createDataFrame([(i, [float(v) for v in r], 0) for i, r in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = by_id(vector_dedup.vector_groups(df, leaf_rows=25, max_sample=300), "vec_id")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.98).sum(1) - 1
+    assert all(got[i]["n_links"] <= want[i] for i in range(4000))
+    assert sum(got[i]["n_links"] for i in range(4000)) / want.sum() > 0.95
+
+
+def mix_brute(rows, seed=7, block_words=256):
+    """Words taken by document: sources laid out word by word, blocks taken slot by slot."""
+    sources = sorted({r[2] for r in rows}, key=lambda s: (s is None, str(s)))
+    words = {s: [i for i, t, x in sorted(rows, key=lambda r: r[0]) if x == s for _ in re.findall(r"[^\x20\x09-\x0D]+", t or "")] for s in sources}
+    aims, taken = mixing.targets([len(words[s]) for s in sources]), {}
+    for k, s in enumerate(sources):
+        block = max(1, min(block_words, int(aims[k] / 1000)))
+        blocks = [words[s][i : i + block] for i in range(0, len(words[s]), block)]
+        best, held, slots = abs(aims[k]), [], []
+        while blocks and len(slots) < 4 * len(blocks):
+            no = int(mixing.permuted(np.array([len(slots) % len(blocks)]), len(blocks), seed * 1_000_003 + k)[0])
+            slots.append(no)
+            held += blocks[no]
+            if abs(len(held) - aims[k]) < best - 1e-9:
+                best, right = abs(len(held) - aims[k]), list(held)
+        for i in right if blocks else []:
+            taken[i] = taken.get(i, 0) + 1
+    return taken
+
+
+def test_mixing_by_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices("abcdef", k=rng.choice([0, 1, 5, 40, 700]))), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["taken"] for r in mixing.mix_counts(df).collect()}
+    want = mix_brute(rows)
+    assert got == {i: want.get(i, 0) for i, _, _ in rows}
+    pieces = [r.asDict() for r in mixing.mix_pieces(df, shards=5).collect()]
+    other = [r.asDict() for r in mixing.mix_pieces(df, shards=5, seed=8).collect()]
+    assert {p["shard"] for p in pieces} == set(range(5))
+    places = {(p["shard"], p["position"]) for p in pieces}
+    for s in range(5):  # positions are without gaps
+        assert sorted(q for t, q in places if t == s) == list(range(sum(t == s for t, _ in places)))
+    assert sorted(map(str, pieces)) == sorted(str(r.asDict()) for r in mixing.mix_pieces(df, shards=5).collect()) != sorted(map(str, other))
+    sums = lambda ps: sum(p["hi"] - p["lo"] for p in ps)
+    assert abs(sums(pieces) - sums(other)) < 20
+    repeated = df.unionAll(df)
+    assert mixing.mix_counts(repeated).count() == 240
+
+
 def test_language_id(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0

@@ -80,6 +80,32 @@ class Scratch:
         where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Bits of the bitmaps that thin out rows before a join, as a power of two.
+BITS = 24
+
+
+def maybe_in(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """Adds `maybe` to rows: false only where the id isn't in the one column of `ids`.
+
+    The ids become a bitmap of fixed size, 2^BITS bits in at most 2^BITS / 64 rows, which is
+    broadcast. So only few rows that a join wouldn't find have to be shuffled to it.
+    """
+    spot = lambda c: F.pmod(F.xxhash64(F.lit(3), c), F.lit(1 << BITS))
+    word = lambda c: F.shiftright(spot(c), 6).cast("int")
+    bit = lambda c: F.pmod(spot(c), F.lit(64)).cast("int")
+    own = F.col(ids.columns[0])
+    bits = ids.groupBy(word(own).alias("_w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(own))).alias("_bits"))
+    found = F.call_function("shiftrightunsigned", F.col("_bits"), bit(F.col(id_col))).bitwiseAND(F.lit(1)) == 1
+    return rows.join(F.broadcast(bits), word(F.col(id_col)) == F.col("_w"), "left").withColumn("maybe", F.coalesce(found, F.lit(False))).drop("_w", "_bits")
+
+
+def without(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The rows of df whose id isn't in the one column of `ids`, a table; only rows whose id may be there are shuffled. Rows without an id stay."""
+    rows = maybe_in(df.select(F.col(id_col).alias("id"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")), "id", ids)
+    checked = rows.where("maybe").join(ids.select(F.col(ids.columns[0]).alias("gone")), F.col("id") == F.col("gone"), "left_anti")
+    return rows.where("NOT maybe").unionByName(checked).select(*[F.col("row")[c].alias(c) for c in df.columns])
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: StructType | str) -> DataFrame:
     """Maps each Arrow batch to a dict of columns; all columns of `schema`, in any order. Arrow columns are passed on as they are."""
     schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema

@@ -32,15 +32,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, connected_components
+from .common import Scratch, arrow_map, connected_components, maybe_in, without
 from .simhash import fingerprint_of, near_pairs, shingle_hashes
 
 #: Shingles that a task counts at a time, keeps, and hands over; and how many common ones there are at most.
 SLICE, KEEP, HAND_OVER, MOST = 1 << 20, 1 << 20, 1 << 15, 1 << 18
 #: Texts with a shingle from which on its bucket counts as hot.
 HOT = 256
-#: Bits of the bitmap that thins out texts before a join, as a power of two.
-BITS = 24
 
 
 def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -171,12 +169,7 @@ class _Search:
     def wanted_texts(self, pairs: DataFrame) -> DataFrame:
         """The texts of nodes in pairs. A bitmap of fixed size thins them out, so that few others are shuffled to the join."""
         nodes = self.scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
-        spot = lambda c: F.pmod(F.xxhash64(F.lit(3), c), F.lit(1 << BITS))
-        word = lambda c: F.shiftright(spot(c), 6).cast("int")
-        bit = lambda c: F.pmod(spot(c), F.lit(64)).cast("int")
-        # at most 2^BITS / 64 rows
-        bits = nodes.groupBy(word(F.col("node")).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("node")))).alias("bits"))
-        thin = self.texts.join(F.broadcast(bits), word(F.col("id")) == F.col("w")).where(F.call_function("shiftrightunsigned", F.col("bits"), bit(F.col("id"))).bitwiseAND(F.lit(1)) == 1)
+        thin = maybe_in(self.texts, "id", nodes).where("maybe")
         return thin.join(nodes, F.col("id") == F.col("node"), "left_semi").select("id", "text")
 
     def linked(self, pairs: DataFrame) -> DataFrame:
@@ -249,3 +242,15 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     out = scratch.table(out.select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id")), "groups")
     scratch.keep_only(out)
     return out
+
+
+def without_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, words: int = 5) -> DataFrame:
+    """The rows of df without those of a group of similar texts other than the one with the smallest id.
+
+    Rows with a null id name no group and stay; of rows with one id all stay if one of them is its
+    group's first.
+    """
+    scratch = Scratch(df.sparkSession, "copies")
+    groups = similar_groups(df, id_col, text_col, similarity, words).select(F.col(id_col).alias("id"), "component_id")
+    gone = groups.where("id IS NOT NULL").groupBy("id").agg(F.max(F.col("id") == F.col("component_id")).alias("first")).where("NOT first").select("id")
+    return without(df, id_col, scratch.table(gone, "gone"))

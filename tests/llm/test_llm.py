@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from leafmill.llm import language_id, line_dedup, mixing, packing, pii, similar_texts, simhash, token_counts, url_filter, vector_dedup, vector_search
+from leafmill.llm import common, language_id, line_dedup, mixing, packing, pii, similar_texts, simhash, token_counts, url_filter, vector_dedup, vector_search
 from leafmill.llm.common import Scratch, connected_components
 from leafmill.llm.queries import URL_RULES
 
@@ -408,6 +408,13 @@ def test_similar_groups_with_repeated_passages(spark):
     assert [got[i]["component_id"] for i in range(len(texts))] == [i - i % 2 for i in range(len(texts))] == groups_by_jaccard(texts)
 
 
+def test_rows_without_ids(spark):
+    df = spark.createDataFrame([(i % 50 if i else None, f"x{i}") for i in range(200)], "id long, maybe string")
+    gone = spark.createDataFrame([(i,) for i in range(0, 50, 3)], "gone long")
+    got = sorted((r["id"] is None, r["id"], r["maybe"]) for r in common.without(df, "id", gone).collect() if r["id"] is not None)
+    assert got == sorted((False, i % 50, f"x{i}") for i in range(1, 200) if i % 50 % 3) and common.without(df, "id", gone).where("id IS NULL").count() == 1
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(60)] + [(100 + rng.randrange(80), 100 + rng.randrange(80)) for _ in range(60)] + [(500, 500)]

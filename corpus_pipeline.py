@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm import language_id, line_dedup, mixing, packing, similar_texts
-from leafmill.llm.common import Scratch, scratch_scope, shared_dir
+from leafmill.llm.common import scratch_scope, shared_dir
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,11 +45,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows with a null id name no group and all stay; texts that are null or without words are
     copies of one another; of repeated rows with the kept id all stay.
     """
-    scratch = Scratch(spark, "kept")
-    groups = similar_texts.similar_groups(docs)
-    kept = scratch.table(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct(), "ids")
-    # nearly as many ids as documents are kept, so they are never broadcast
-    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    return similar_texts.without_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

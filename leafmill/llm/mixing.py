@@ -185,7 +185,8 @@ def _pieces(sized: DataFrame, source_col: str, scratch: Scratch, block_words: in
     inside = placed.select("h1", "h2", "copy", "id", "k", "at", "size", "block", F.explode(F.sequence(first, last)).alias("no"))
     start = F.col("no") * b - F.col("at")
     inside = inside.select("h1", "h2", "copy", "id", F.col("k").alias("of_k"), "no", F.greatest(start, F.lit(0)).alias("lo"), F.least(start + b, F.col("size")).alias("hi"))
-    slots = plan.slots(spark)
+    # the slots grow with the words, though Spark takes them for as small as the runs that they are spelled out from: never broadcast
+    slots = plan.slots(spark).hint("merge")
     joined = inside.join(slots, (F.col("of_k") == F.col("k")) & (F.col("no") == F.col("block_no")))
     return joined.select("h1", "h2", "copy", "id", "lo", "hi", "shard", "position", "epoch"), sources
 

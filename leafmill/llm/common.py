@@ -42,6 +42,18 @@ def scratch_scope() -> Iterator[None]:
             s.remove(s.folder)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Removes the shuffle files of each statement inside as it ends, not when the driver's garbage is collected: for writes, whose result is read from then on."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Scratch:
     """Tables of one operator's run, in the shared folder.
 
@@ -59,7 +71,8 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.folder}/{len(self.made):03d}-{name}"
-        df.write.parquet(path)
+        with shuffles_removed(self.spark):
+            df.write.parquet(path)
         self.made.append(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._leafmill_path = path
@@ -178,19 +191,19 @@ def _running(df: DataFrame, keys: list[str], amount_col: str) -> DataFrame:
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) for every node of edges(a, b); component is the smallest node reachable.
 
-    Alternates large-star and small-star steps until the edges form stars, the number of
-    rounds growing with the logarithm of the longest path. Every step is a combining
+    Alternates large-star and small-star steps until the edges form stars, that is until no node
+    has two edges upwards, or edges both ways; the number of rounds grows with the logarithm of the longest path. Every step is a combining
     aggregation and an equi-join of two tables, which adaptive execution may split where one
     node has very many edges. Edges from a node to itself don't count.
     """
     e = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = scratch.table(e, "edges")
 
-    def mark(x: DataFrame) -> tuple:
-        return tuple(x.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+    def open_nodes(x: DataFrame) -> int:
+        ends = x.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(x.select("b", F.lit(0), F.lit(1)))
+        return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up > 0 AND down > 0").count()
 
-    seen = mark(e)
-    while seen[0]:
+    while open_nodes(e):
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = scratch.table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "large")
         wide = scratch.table(both.join(large, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "edges")
@@ -199,10 +212,6 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         moved = wide.join(small, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = scratch.table(moved.unionAll(small.select("a", F.col("m").alias("b"))).distinct(), "edges")
         scratch.drop(wide, small)
-        now = mark(e)
-        if now == seen:
-            break
-        seen = now
     found = e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
     out = scratch.table(found, "components")
     scratch.drop(e)

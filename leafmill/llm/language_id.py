@@ -27,7 +27,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from .common import arrow_map, text_or_empty
 
 #: Code points that are hashed at a time, to bound a worker's memory.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -138,27 +138,31 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", where: Co
     return LanguageModel(languages, log_prob.astype(np.float32), np.log(np.maximum(docs, 1)) - np.log(max(1, docs.sum())), sizes)
 
 
+def _scored(texts: list[str], m: LanguageModel) -> tuple[np.ndarray, np.ndarray]:
+    """The language and score of each text."""
+    total, seen = np.tile(m.log_prior.astype(np.float64), (len(texts), 1)), np.zeros(len(texts), dtype=np.int64)
+    for rows, buckets, n in counts_by_row(texts, m.sizes, len(m.log_prob)) if m.languages else ():
+        if not len(rows):
+            continue
+        first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])  # rows come in order
+        for k in range(len(m.languages)):
+            total[rows[first], k] += np.add.reduceat(n * m.log_prob[buckets, k].astype(np.float64), first)
+        seen[rows[first]] += np.add.reduceat(n, first)
+    told = seen > 0
+    langs, scores = np.full(len(texts), "und", dtype=object), np.zeros(len(texts))
+    if told.any():
+        best = total[told].max(1, keepdims=True)
+        scores[told] = 1 / np.exp(total[told] - best).sum(1)
+        langs[told] = np.array(m.languages, dtype=object)[total[told].argmax(1)]
+    return langs, scores
+
+
 def predict(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: id, lang_pred and score (the language's share of the posterior), and the columns in `carry`."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def score(batch: pa.RecordBatch) -> dict:
-        m = shared.value
-        texts = text_or_empty(batch.column(1))
-        total, seen = np.tile(m.log_prior.astype(np.float64), (len(texts), 1)), np.zeros(len(texts), dtype=np.int64)
-        for rows, buckets, n in counts_by_row(texts, m.sizes, len(m.log_prob)) if m.languages else ():
-            if not len(rows):
-                continue
-            first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])  # rows come in order
-            for k in range(len(m.languages)):
-                total[rows[first], k] += np.add.reduceat(n * m.log_prob[buckets, k].astype(np.float64), first)
-            seen[rows[first]] += np.add.reduceat(n, first)
-        told = seen > 0
-        langs, scores = np.full(len(texts), "und", dtype=object), np.zeros(len(texts))
-        if told.any():
-            best = total[told].max(1, keepdims=True)
-            scores[told] = 1 / np.exp(total[told] - best).sum(1)
-            langs[told] = np.array(m.languages, dtype=object)[total[told].argmax(1)]
+        langs, scores = _scored(text_or_empty(batch.column(1)), shared.value)
         return {id_col: batch.column(0), **{c: batch.column(2 + i) for i, c in enumerate(carry)}, "lang_pred": langs, "score": scores}
 
     fields = [df.schema[c] for c in (id_col, *carry)]
@@ -168,6 +172,13 @@ def predict(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
 
 def keep_known(df: DataFrame, model: LanguageModel, least: float, text_col: str = "text") -> DataFrame:
     """The rows of df, with all their columns, whose language is told with a score of at least `least`."""
-    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(text_col).alias("text"))
-    found = predict(packed, model, "row", "text")
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*[F.col("row")[c].alias(c) for c in df.columns])
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    at = df.columns.index(text_col)
+
+    def keep(batch: pa.RecordBatch) -> dict:
+        rows = batch.column(0)
+        langs, scores = _scored(text_or_empty(rows.field(at)), shared.value)
+        return {"row": rows.filter(pa.array((langs != "und") & (scores >= least), type=pa.bool_()))}
+
+    return arrow_map(packed, keep, packed.schema).select(*[F.col("row")[c].alias(c) for c in df.columns])

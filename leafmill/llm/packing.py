@@ -30,8 +30,8 @@ from pyspark.sql.types import LongType, StructType
 
 from .common import Scratch, arrow_map, prefix_sums
 
-#: Words that a worker keeps the ids of, twice: those of late and those before. About 75 MB at most.
-KEEP = 150_000
+#: Words that a worker keeps the ids of, twice: those of late and those before. About 50 MB at most.
+KEEP = 100_000
 #: Longer words are encoded each time.
 LONG = 200
 #: A run of Latin letters and the marks after it, which the tokenizer splits there and nowhere else.

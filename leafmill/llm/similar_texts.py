@@ -36,7 +36,7 @@ from .common import Scratch, arrow_map, connected_components, maybe_in, without
 from .simhash import fingerprint_of, near_pairs, shingle_hashes
 
 #: Shingles that a task counts at a time, keeps, and hands over; and how many common ones there are at most.
-SLICE, KEEP, HAND_OVER, MOST = 1 << 20, 1 << 20, 1 << 15, 1 << 18
+SLICE, KEEP, HAND_OVER, MOST = 1 << 18, 1 << 19, 1 << 15, 1 << 18
 #: Texts with a shingle from which on its bucket counts as hot.
 HOT = 256
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, mixing, packing, pii, simhash, token_counts, url_filter, vector_dedup, vector_search
+from . import alignment, language_id, line_dedup, mixing, packing, pii, simhash, token_counts, token_files, url_filter, vector_dedup, vector_search, whitening
 
 #: The rules (verdict, host, path) of the URL query.
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -63,8 +63,25 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(_table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_digests(_table(spark, sf_dir, "documents"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_file_documents(_table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_pii, op4_vector_dedup, op5_url_filter, op6_language_id, op7_packing, op8_simhash, op9_vector_search, op10_mixing)
+    f.__name__: f
+    for f in (
+        op1_token_counts, op2_line_dedup, op3_pii, op4_vector_dedup, op5_url_filter, op6_language_id, op7_packing, op8_simhash, op9_vector_search, op10_mixing,
+        op11_alignment, op12_token_files, op13_whitening,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import CORPUS, LEGACY_DOMAINS, SMALL_CHUNKS, Config
+from .config import CORPUS, LEGACY_DOMAINS, SMALL_CHUNKS, Config, from_text
 from .functions import text as T
 from .operators import chunking, extraction, facts, ledger, retrieval, tree, triage, units, validation
 from .plans import qa
@@ -32,6 +32,34 @@ def page_profiles(spark, d):
     return p.select("doc_id", "page_number", F.round("char_density", 9).alias("char_density"), "is_landscape", "detected_origin", "dominant_strategy", "reason")
 
 
+#: Rules as a file gives them: parentheses, chains, arithmetic, the `when` form, an error that decides and one that is never reached.
+RULES_FILE = """
+thresholds:
+  char_density: {min_digital: 0.0004}
+  rect_count: {table_high: 45}
+economic_guards: {vlm_budget_cap: 12.5}
+chunking_constitution:
+  max_chunk_size: 300
+domain_registry:
+  - {domain_hint: Banking/Security, domain_keywords: [Token, Licensed]}
+routing_rules:
+  - {name: seventh, priority: 7, condition: "char_density == 0.0", action: {strategy: C}, description: No text.}
+  - {name: first, priority: 1, condition: "(rects > TABLE_RECT_THRESHOLD) and not (width > height)", action: B, reason: Tables upright.}
+  - {name: second, priority: 2, when: {metric: rect_count, operator: lte, value: 5}, action: STRATEGY_A, reason: Few rectangles.}
+  - {name: third, priority: 3, condition: "0 < rects % 7 < 3 and char_density > MIN_DIGITAL_DENSITY", action: A, reason: Chained.}
+  - {name: fourth, priority: 4, condition: "1 / (rects - rects) > 1 or rects > 10", action: B, reason: Never.}
+  - {name: fifth, priority: 5, condition: "rects > 30 or 1 / (rects - rects) > 1", action: B, reason: Decided before the error.}
+  - {name: sixth, priority: 6, condition: "char_density * 1000 - rects / 10 >= -1.5", action: A}
+"""
+
+
+@query
+def ruled_pages(spark, d):
+    """Pages routed by a rules file."""
+    p = triage.page_profiles(S.doc_pages(spark, d), from_text(RULES_FILE, CORPUS))
+    return p.select("doc_id", "page_number", "detected_origin", "dominant_strategy", "reason")
+
+
 @query
 def doc_triage(spark, d):
     p = triage.doc_profiles(S.doc_pages(spark, d), CORPUS)

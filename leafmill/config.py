@@ -1,9 +1,14 @@
-"""Rules and thresholds as plain values; YAML-like mappings may override them."""
+"""Rules and thresholds as plain values; mappings of a rules file may override them."""
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
+from warnings import warn
+
+from pyspark.sql import Column
+
+from .functions import conditions
 
 #: The default thresholds, domain keywords, prices, markers and routing rules.
 DOMAINS = (
@@ -17,7 +22,7 @@ RULES = (
     (4, "char_density == 0.0", "STRATEGY_C", "No searchable text layer; use OCR/VLM pipeline."),
 )
 MARKERS = ("#", "Table of Contents", "Executive Summary", "Appendix")
-DEFAULT_REASON = "No routing rule matched."
+DEFAULT_REASON = "No explicit rule matched; defaulting to OCR/Vision routing."
 
 
 @dataclass(frozen=True)
@@ -55,12 +60,43 @@ class Config:
 
 #: The keywords by domain that older profiles used.
 LEGACY_DOMAINS = (("Banking/Security", ("bank", "cbe", "disclosure", "vulnerability")), ("Public_Sector", ("ministry", "fta", "woreda", "survey")))
-#: Names in a mapping of settings, by section, and what they set.
-_SETTINGS = {
-    "triage": {"min_digital_density": "min_digital", "table_rect_threshold": "table_high", "confidence_gate": "confidence_gate"},
-    "extraction": {"budget_cap_usd": "budget", "strategy_b_confidence": "b_confidence", "min_text_clarity": "min_clarity"},
-    "chunking": {"max_chunk_size": "max_chunk", "min_chunk_size": "min_chunk", "header_min_font_size": "min_font", "bold_weight_threshold": "bold_weight", "semantic_boundaries": "markers"},
+#: Names of settings by their path in a rules file, and the attribute that each sets.
+SETTINGS = {
+    "thresholds.char_density.min_digital": "min_digital",
+    "thresholds.rect_count.table_high": "table_high",
+    "thresholds.rect_count.medium_complexity": "medium_rects",
+    "thresholds.triage_confidence_gate": "confidence_gate",
+    "thresholds.strategy_b_escalation_confidence": "b_confidence",
+    "thresholds.ocr_min_text_clarity": "min_clarity",
+    "thresholds.mixed_mode_sample_size": "sample_pages",
+    "thresholds.contradictory_image_ratio_threshold": "contradiction",
+    "economic_guards.vlm_budget_cap": "budget",
+    "economic_guards.vlm_input_cost_per_1k_tokens": "price_in",
+    "economic_guards.vlm_image_cost_per_1k_tokens": "price_image",
+    "economic_guards.vlm_output_cost_per_1k_tokens": "price_out",
+    "economic_guards.vlm_image_tile_size": "tile",
+    "economic_guards.vlm_tokens_per_image_tile": "tile_tokens",
+    "economic_guards.vlm_chars_per_token": "chars_per_token",
+    "chunking_constitution.max_chunk_size": "max_chunk",
+    "chunking_constitution.min_chunk_size": "min_chunk",
+    "chunking_constitution.header_detection.min_font_size": "min_font",
+    "chunking_constitution.header_detection.bold_weight_threshold": "bold_weight",
+    "chunking_constitution.semantic_boundary_indicators": "markers",
+    "strategy_mapping.cost_tier_to_model": "models",
+    "domain_registry": "domains",
+    "routing_rules": "rules",
 }
+#: Older paths of the same settings.
+OLDER_SETTINGS = {
+    "triage.min_digital_density": "min_digital", "triage.table_rect_threshold": "table_high", "triage.confidence_gate": "confidence_gate",
+    "extraction.budget_cap_usd": "budget", "extraction.strategy_b_confidence": "b_confidence", "extraction.min_text_clarity": "min_clarity",
+    "chunking.max_chunk_size": "max_chunk", "chunking.min_chunk_size": "min_chunk", "chunking.header_min_font_size": "min_font",
+    "chunking.bold_weight_threshold": "bold_weight", "chunking.semantic_boundaries": "markers", "domains": "domains", "rules": "rules",
+}
+#: What a rules file holds besides, for readers or for tools that are plugged in.
+ELSEWHERE = ("version", "metadata", "ocr_policy", "economic_guards.default_dpi", "economic_guards.vlm_max_output_tokens", "economic_guards.per_page_timeout_seconds")
+#: Fixed value: the reason of a matched rule that names none.
+MATCHED = "Matched routing rule."
 
 
 def positive(value: object, default: float) -> float:
@@ -72,22 +108,86 @@ def positive(value: object, default: float) -> float:
     return found if found > 0 and found != float("inf") else default
 
 
-def from_mapping(settings: dict, base: Config = Config()) -> Config:
-    """Settings read from a mapping of sections, as a YAML file gives it; what it lacks, or isn't a positive number, stays as in `base`."""
+def _whole(value: object, default: int) -> int:
+    try:
+        return int(value)
+    except (TypeError, ValueError, OverflowError):
+        return default
+
+
+def read_rules(given: list) -> tuple:
+    """Rules as (priority, condition, action, reason); without a condition the `when` form counts, in it or as `if` and `then`."""
+    out = []
+    for i, r in enumerate(given, 1):
+        if isinstance(r, dict):
+            condition = r.get("condition") or r.get("if") or r.get("when") or "False"
+            action = r.get("action") or r.get("then") or "STRATEGY_C"
+            out.append((_whole(r.get("priority"), i), condition if isinstance(condition, (str, dict)) else "False", action, str(r.get("reason") or r.get("description") or MATCHED)))
+    return tuple(out)
+
+
+def _leaves(settings: dict, known: dict, path: str = "") -> Iterator[tuple[str, object]]:
+    for name, value in settings.items():
+        here = f"{path}.{name}" if path else str(name)
+        if isinstance(value, dict) and here not in known and here not in ELSEWHERE:
+            yield from _leaves(value, known, here)
+        else:
+            yield here, value
+
+
+def read_settings(settings: dict, base: Config = Config()) -> tuple[Config, list[str]]:
+    """The settings of a rules file over `base`, and what in it isn't known, isn't of its kind or can't be compiled; such entries change nothing."""
     changes: dict = {}
-    for section, names in _SETTINGS.items():
-        given = settings.get(section) or {}
-        for name, attribute in names.items():
-            if name in given:
-                old = getattr(base, attribute)
-                changes[attribute] = tuple(given[name]) if isinstance(old, tuple) else type(old)(positive(given[name], old))
-    rules = settings.get("rules") or ()
-    if rules:
-        changes["rules"] = tuple((int(r.get("priority", i)), r.get("condition", r.get("if", "")), r.get("action", r.get("then", "")), str(r.get("reason", DEFAULT_REASON))) for i, r in enumerate(rules, 1) if isinstance(r, dict))
-    domains = settings.get("domains") or ()
-    if domains:
-        changes["domains"] = tuple((str(d.get("domain_hint", "General")), tuple(map(str, d.get("domain_keywords", ())))) for d in domains if isinstance(d, dict))
-    return base.with_(**changes)
+    wrong: list[str] = []
+    lists: dict[str, Callable[[list], tuple]] = {
+        "rules": read_rules, "markers": lambda v: tuple(map(str, v)),
+        "domains": lambda v: tuple((str(d.get("domain_hint", "General")), tuple(map(str, d.get("domain_keywords") or ()))) for d in v if isinstance(d, dict)),
+    }
+    known = {**OLDER_SETTINGS, **SETTINGS}
+    for path, value in _leaves(settings, known):
+        attribute = known.get(path)
+        old = getattr(base, attribute) if attribute else None
+        if attribute is None:
+            if path not in ELSEWHERE:
+                wrong.append(f"unknown setting {path}")
+        elif attribute in lists:
+            if isinstance(value, (list, tuple)):
+                found = lists[attribute](list(value))
+                if found or attribute == "markers":
+                    changes[attribute] = found
+            elif value is not None:
+                wrong.append(f"{path} is no list")
+        elif isinstance(old, dict):
+            if isinstance(value, dict):
+                changes[attribute] = {str(k).upper(): str(v) for k, v in value.items()}
+            else:
+                wrong.append(f"{path} is no mapping")
+        elif (number := positive(value, 0.0)) and type(old)(number):
+            changes[attribute] = type(old)(number)
+        else:
+            wrong.append(f"{path} is no positive number")
+    out = base.with_(**changes)
+    for priority, condition, _, _ in out.rules:
+        wrong += [f"rule {priority}: {w}" for w in condition_column(condition, out)[1]]
+    return out, wrong
+
+
+def from_mapping(settings: dict, base: Config = Config()) -> Config:
+    """Settings of a mapping as a rules file gives it; a warning for each entry that changes nothing."""
+    out, wrong = read_settings(settings, base)
+    for w in wrong:
+        warn(w, stacklevel=2)
+    return out
+
+
+def from_text(text: str, base: Config = Config()) -> Config:
+    """Settings of a rules file's text; tabs count as two spaces. A mapping at the top is needed."""
+    import yaml
+
+    found = yaml.safe_load(text.replace("\t", "  ")) or {}
+    if not isinstance(found, dict):
+        raise ValueError("the rules have to be a mapping")
+    return from_mapping(found, base)
 
 
 #: Frequent words of the supplied documents, since the default keywords hardly occur there.
@@ -95,30 +195,14 @@ CORPUS = Config(domains=(("Banking/Security", ("bank", "licensed", "token")), ("
 #: Chunk sizes at which packing, splitting and merging all occur in the supplied documents.
 SMALL_CHUNKS = Config(max_chunk=60, min_chunk=12)
 
-_NAMES = {"char_density": "char_density", "rects": "rect_count", "rect_count": "rect_count", "width": "width", "height": "height"}
-_CLAUSE = re.compile(r"\s*(\w+)\s*(==|!=|>=|<=|>|<)\s*(\w+(?:\.\d+)?)\s*")
-_OPERATORS = {"eq": "==", "ne": "!=", "gt": ">", "gte": ">=", "lt": "<", "lte": "<="}
+#: Metrics that rules may name, and the columns that hold them.
+METRICS = {"char_density": "char_density", "rects": "rect_count", "rect_count": "rect_count", "width": "width", "height": "height"}
 
 
-def compile_condition(condition: str | dict, config: Config) -> str:
-    """SQL of a rule condition: comparisons of known metrics, thresholds and numbers, joined by and/or. Others are false."""
-    if isinstance(condition, dict):
-        if condition.get("metric") == "page_width_gt_height":
-            condition = "width > height"
-        else:
-            condition = f"{condition.get('metric', '')} {_OPERATORS.get(condition.get('operator', 'eq'), '==')} {condition.get('value', '')}"
+def condition_column(condition: str | dict, config: Config) -> tuple[Column, list[str]]:
+    """A rule's condition, as text or in the `when` form, as a boolean Column over a page's metrics; and what is wrong with it."""
     limits = {"MIN_DIGITAL_DENSITY": config.min_digital, "TABLE_RECT_THRESHOLD": config.table_high, "TRIAGE_CONFIDENCE_GATE": config.confidence_gate}
-    out = []
-    for i, part in enumerate(re.split(r"\s+(and|or)\s+", condition)):
-        if i % 2:
-            out.append(part.upper())
-            continue
-        m = _CLAUSE.fullmatch(part)
-        sides = [_NAMES.get(x) or (f"{limits[x]}D" if x in limits else f"{x}D" if re.fullmatch(r"\d+(\.\d+)?", x) else None) for x in (m[1], m[3])] if m else [None]
-        if None in sides:
-            return "false"
-        out.append(f"{sides[0]} {m[2]} {sides[1]}")
-    return f"coalesce({' '.join(out)}, false)"
+    return conditions.compile_text(conditions.when_text(condition) if isinstance(condition, dict) else condition, METRICS, limits)
 
 
 def strategy_of(action: object) -> str:

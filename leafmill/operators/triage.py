@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT_REASON, Config, compile_condition, strategy_of
+from ..config import DEFAULT_REASON, Config, condition_column, strategy_of
 from ..functions import text as T
 
 
@@ -15,7 +15,7 @@ def route(config: Config, value: str) -> Column:
     out = None
     for _, condition, action, reason in sorted(config.rules, key=lambda r: r[0]):
         then = F.lit(strategy_of(action) if value == "action" else reason)
-        test = F.expr(compile_condition(condition, config))
+        test, _ = condition_column(condition, config)
         out = F.when(test, then) if out is None else out.when(test, then)
     return F.lit(default) if out is None else out.otherwise(F.lit(default))
 

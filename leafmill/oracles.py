@@ -14,7 +14,7 @@ dense AS (SELECT *, length(text) / (width * height) AS char_density, width > hei
 profiles AS (SELECT *, CASE WHEN char_density > 0.0005 THEN 'born_digital' ELSE 'scanned' END AS detected_origin,
   CASE WHEN width > height OR rect_count > 50 THEN 'STRATEGY_B' WHEN char_density > 0.0005 THEN 'STRATEGY_A' ELSE 'STRATEGY_C' END AS dominant_strategy,
   CASE WHEN width > height THEN 'Landscape orientation detected; likely wide tables/layout structures.' WHEN rect_count > 50 THEN 'High rect count indicates table/layout-heavy content.'
-       WHEN char_density > 0.0005 THEN 'Sufficient text density for fast digital extraction.' WHEN char_density = 0 THEN 'No searchable text layer; use OCR/VLM pipeline.' ELSE 'No routing rule matched.' END AS reason FROM dense)"""
+       WHEN char_density > 0.0005 THEN 'Sufficient text density for fast digital extraction.' WHEN char_density = 0 THEN 'No searchable text layer; use OCR/VLM pipeline.' ELSE 'No explicit rule matched; defaulting to OCR/Vision routing.' END AS reason FROM dense)"""
 HINT = """CASE WHEN contains(lower({0}), 'bank') OR contains(lower({0}), 'licensed') OR contains(lower({0}), 'token') THEN 'Banking/Security'
   WHEN contains(lower({0}), 'rights') OR contains(lower({0}), 'und ') OR contains(lower({0}), 'les ') THEN 'Public_Sector' ELSE 'General' END"""
 DOCS = PROFILES + """,
@@ -114,6 +114,12 @@ DISTANCE = "list_sum(list_transform(range(1, len(e.embedding) + 1), lambda i: po
 
 ORACLE_SQL: dict[str, str] = {
     "page_profiles": f"WITH {PROFILES} SELECT doc_id, page_number, round(char_density, 9) AS char_density, is_landscape, detected_origin, dominant_strategy, reason FROM profiles",
+    "ruled_pages": f"""WITH {PAGES}, x AS (SELECT *, length(text) / (width * height) AS density FROM doc_pages),
+r AS (SELECT *, CASE WHEN rect_count > 45 AND width <= height THEN 1 WHEN rect_count <= 5 THEN 2 WHEN rect_count % 7 IN (1, 2) AND density > 0.0004 THEN 3
+  WHEN rect_count > 30 THEN 5 WHEN density * 1000 - rect_count / 10 >= -1.5 THEN 6 WHEN density = 0 THEN 7 ELSE 8 END AS rule FROM x)
+SELECT doc_id, page_number, CASE WHEN density > 0.0004 THEN 'born_digital' ELSE 'scanned' END AS detected_origin,
+  ['STRATEGY_B', 'STRATEGY_A', 'STRATEGY_A', '', 'STRATEGY_B', 'STRATEGY_A', 'STRATEGY_C', 'STRATEGY_C'][rule] AS dominant_strategy,
+  ['Tables upright.', 'Few rectangles.', 'Chained.', '', 'Decided before the error.', 'Matched routing rule.', 'No text.', 'No explicit rule matched; defaulting to OCR/Vision routing.'][rule] AS reason FROM r""",
     "doc_triage": f"WITH {DOCS} SELECT doc_id, total_pages, scanned_pages, overall_origin, origin_type, layout_complexity, mixed_mode, domain_hint, triage_confidence, cost_tier FROM docs",
     "triage_manifest_counts": f"WITH {DOCS} SELECT overall_origin, domain_hint, count(*) AS documents, sum(total_pages)::BIGINT AS pages FROM docs GROUP BY GROUPING SETS ((overall_origin), (domain_hint))",
     "legacy_triage": f"WITH {PROFILES}, l AS (SELECT doc_id, count(*) AS total_pages, count_if(detected_origin = 'scanned') AS s, avg(rect_count) AS r FROM profiles GROUP BY doc_id) SELECT doc_id, total_pages, CASE WHEN r > 50 THEN 'High' WHEN r > 10 THEN 'Medium' ELSE 'Low' END AS layout_complexity, round(greatest(0.5, least(0.99, 0.7 + 0.29 * abs(2 * s - total_pages) / total_pages))::DOUBLE, 6) AS triage_confidence FROM l",

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from leafmill.config import Config, compile_condition, from_mapping, strategy_of
+from leafmill.config import Config, from_mapping, strategy_of
 from leafmill.functions import text as T
 from leafmill.operators import chunking, extraction, facts, ledger, retrieval, tree, triage
 from leafmill.plans import qa, refine
@@ -42,11 +42,7 @@ def test_domain_hints(spark):
     assert [hint(t) for t in ("CBE internal security notice", "Bank disclosure update", "Ministry report for FY2025", "Woreda operational survey", "a poem")] == ["Banking/Security"] * 2 + ["Public_Sector"] * 2 + ["General"]
 
 
-def test_rules_compile_without_eval():
-    c = Config()
-    assert compile_condition("width > height", c) == "coalesce(width > height, false)"
-    assert compile_condition("__import__('os')", c) == "false"
-    assert compile_condition({"metric": "page_width_gt_height"}, c) == "coalesce(width > height, false)"
+def test_strategies_of_actions():
     assert [strategy_of(x) for x in ("A", "STRATEGY_B", {"strategy": "C"}, "other")] == ["STRATEGY_A", "STRATEGY_B", "STRATEGY_C", "STRATEGY_C"]
 
 

@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from .config import CORPUS, LEGACY_DOMAINS, SMALL_CHUNKS, Config, from_text
 from .functions import text as T
-from .operators import chunking, extraction, facts, ledger, retrieval, tree, triage, units, validation
+from .operators import attempts, chunking, extraction, facts, ledger, retrieval, tree, triage, units, validation
 from .plans import qa
 from .sources import tables as S
+from .sources.shared import new_folder
+from .streaming import attempts as attempt_stream
 from .streaming import ledger as stream
+from .streaming import sink
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -444,6 +447,48 @@ def page_judgements(spark, d):
     return j.select("doc_id", "page_number", "strategy", "n_units", F.round("confidence", 6).alias("confidence"), "required", "success")
 
 
+def _outcomes(spark, d):
+    """What attempts at pages would give: judged by units, with costs by rectangles and errors on some."""
+    pages = S.doc_pages(spark, d)
+    docs = triage.doc_profiles(pages, CORPUS).select("doc_id", "origin_type")
+    k = (F.col("doc_id") * 5 + F.col("page_number")) % 19
+    p = triage.page_profiles(pages, CORPUS).join(docs, "doc_id").select(
+        "doc_id", "page_number", "dominant_strategy", "origin_type", "char_density", (F.col("rect_count") % 2 == 0).alias("has_fonts"), F.when(F.col("image_count") == 1, (F.col("rect_count") % 10) / 10).alias("engine"),
+        (F.col("rect_count") / 1000).alias("cost"), (F.col("rect_count") * 10.0).alias("processing_time_ms"), F.when(k == 0, "Insufficient credits on the account.").when(k < 3, "timed out").alias("error"),
+    )
+    u = S.line_units(spark, d).withColumn("unit_type", F.when(F.length("content") % 7 == 3, "table").when(F.length("content") % 7 == 4, "figure").otherwise("text"))
+    return attempts.outcomes(attempts.possible(p, u, CORPUS)).select(F.col("doc_id").cast("string").alias("file_id"), "page_number", "attempt_no", "strategy", "status", "confidence", "cost", "processing_time_ms", "breaks")
+
+
+def _attempt_columns(made):
+    return made.select("file_id", "page_number", "attempt_no", "strategy", "status", F.round("confidence", 6).alias("confidence"), F.round("cost", 6).alias("cost"), F.round("spend_before", 6).alias("spend_before"), "skipped")
+
+
+@query
+def attempts_made(spark, d):
+    """Attempts by judged confidence, with spending and outages carried through a document's pages."""
+    return _attempt_columns(attempts.made(_outcomes(spark, d), 0.1))
+
+
+@query
+def attempts_streamed(spark, d):
+    """The same as a stream of outcomes into the exactly-once sink, two pages of every document a batch."""
+    folder = new_folder(spark, "attempts")
+    found = _outcomes(spark, d)
+    found.withColumn("_batch", F.least(F.ceil(F.col("page_number") / 2), F.lit(4)).cast("int")).write.partitionBy("_batch").parquet(f"{folder}/outcomes")
+    for batch in range(1, 5):  # files come in, and the stream goes on where it ended
+        spark.read.parquet(f"{folder}/outcomes").where(F.col("_batch") == batch).drop("_batch").write.mode("append").parquet(f"{folder}/incoming")
+        attempt_stream.run(spark.readStream.schema(found.schema).parquet(f"{folder}/incoming"), 0.1, f"{folder}/made", f"{folder}/checkpoint").awaitTermination()
+    return _attempt_columns(sink.read(spark, f"{folder}/made", attempt_stream.OUT))
+
+
+@query
+def attempts_pages(spark, d):
+    """Pages' results of these attempts."""
+    r = extraction.page_results(attempts.made(_outcomes(spark, d), 0.1))
+    return r.select("file_id", "page_number", "attempts", "final_strategy", "final_status", "total_cost", "escalation_path")
+
+
 @query
 def piece_rows(spark, d):
     """Pieces of documents' JSON, from their own fields or else from their pages."""

@@ -112,6 +112,25 @@ planned AS (SELECT doc_id, place, page_number FROM valid WHERE place < 3
 TOKENS = "list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]+'))"
 DISTANCE = "list_sum(list_transform(range(1, len(e.embedding) + 1), lambda i: pow(e.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE, 2)))"
 
+#: Judged pages, of `judging`: pages with a `strategy` each.
+JUDGED = f"""pl AS (SELECT doc_id, page_number, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM doc_pages), un AS (SELECT *, 'p' || page_number || '_' || n AS uid, CASE length(content) % 7 WHEN 3 THEN 'table' WHEN 4 THEN 'figure' ELSE 'text' END AS unit_type FROM pl WHERE trim(content, ' ') <> ''), ag AS (SELECT doc_id, page_number, count(*) AS n_units, count_if(unit_type = 'table') AS tables, count_if(unit_type = 'text') AS texts, coalesce(string_agg(content, chr(10) ORDER BY uid) FILTER (WHERE unit_type <> 'figure'), '') AS txt FROM un GROUP BY ALL), j AS (SELECT p.doc_id, p.page_number, strategy, attempt_no, origin_type, char_density, rect_count, image_count, coalesce(n_units, 0) AS n_units, coalesce(tables, 0) AS tables, coalesce(texts, 0) AS texts, coalesce(({CLARITY.format('txt')})::DOUBLE, 0) AS clarity FROM judging p JOIN docs d ON p.doc_id = d.doc_id LEFT JOIN ag ON ag.doc_id = p.doc_id AND ag.page_number = p.page_number), k AS (SELECT *, CASE WHEN tables > 0 THEN 1.0 WHEN texts > 0 THEN 0.65 ELSE 0.2 END AS t, least(1.0, char_density / 0.00075) AS dn FROM j), c AS (SELECT *, CASE strategy WHEN 'STRATEGY_A' THEN (0.75 * least(1.0, char_density / 0.002) + CASE WHEN rect_count % 2 = 0 THEN 0.25 ELSE 0.0875 END) * CASE WHEN char_density < 0.0005 THEN 0.35 ELSE 1 END WHEN 'STRATEGY_B' THEN CASE WHEN image_count = 1 THEN 0.5 * (rect_count % 10) / 10 + 0.3 * clarity + 0.15 * t + 0.05 * dn ELSE 0.6 * clarity + 0.25 * t + 0.15 * dn END * CASE WHEN n_units > 0 THEN 1 ELSE 0.5 END * CASE WHEN clarity < 0.35 THEN 0.7 ELSE 1 END ELSE CASE WHEN n_units = 0 THEN 0.7 ELSE 0.95 END END AS confidence, (CASE WHEN strategy = 'STRATEGY_C' THEN 0 WHEN strategy = 'STRATEGY_B' AND origin_type = 'scanned_image' THEN 0.75 ELSE 0.7 END)::DOUBLE AS required FROM k)"""
+OUTCOMES = DOCS + """,
+judging AS (SELECT p.*, unnest(chain) AS strategy, generate_subscripts(chain, 1) AS attempt_no FROM (SELECT p.*, CASE WHEN origin_type = 'hybrid' THEN ['STRATEGY_A', 'STRATEGY_B', 'STRATEGY_C']
+  WHEN origin_type = 'scanned_image' OR dominant_strategy = 'STRATEGY_B' THEN ['STRATEGY_B', 'STRATEGY_C'] WHEN dominant_strategy = 'STRATEGY_A' THEN ['STRATEGY_A', 'STRATEGY_B', 'STRATEGY_C'] ELSE ['STRATEGY_C'] END AS chain FROM profiles p JOIN docs USING (doc_id)) p),
+""" + JUDGED + """,
+oc AS (SELECT doc_id::VARCHAR AS file_id, page_number, attempt_no, strategy, CASE WHEN k < 3 THEN 0 ELSE confidence END::DOUBLE AS confidence, k >= 3 AND n_units > 0 AND confidence >= required AS good,
+  rect_count / 1000 AS cost, (rect_count / 1000)::DECIMAL(20,9) AS money, rect_count * 10.0 AS ms, strategy = 'STRATEGY_C' AND k = 0 AS breaks FROM (SELECT *, (doc_id * 5 + page_number) % 19 AS k FROM c)),
+q AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY page_number, attempt_no) AS rn FROM oc),
+walk AS (SELECT file_id, 0::BIGINT AS rn, 0::BIGINT AS page, false AS done, 0::DECIMAL(20,9) AS spend, false AS off, 0::DECIMAL(20,9) AS spend_before, NULL::VARCHAR AS why, false AS is_made, false AS ok FROM (SELECT DISTINCT file_id FROM q)
+  UNION ALL SELECT x.file_id, x.rn, x.page_number, CASE WHEN reached THEN won ELSE done END, CASE WHEN reached AND vision AND why IS NULL THEN (spend + money)::DECIMAL(20,9) ELSE spend END,
+    off OR (reached AND vision AND why IS NULL AND breaks), spend, why, reached, won
+  FROM (SELECT q.*, w.done, w.spend, w.off, q.strategy = 'STRATEGY_C' AS vision, NOT (w.page = q.page_number AND w.done) AS reached,
+      CASE WHEN q.strategy = 'STRATEGY_C' AND w.off THEN 'disabled' WHEN q.strategy = 'STRATEGY_C' AND w.spend >= 0.1 THEN 'budget' END AS why,
+      q.good AND NOT (q.strategy = 'STRATEGY_C' AND (w.off OR w.spend >= 0.1)) AS won FROM walk w JOIN q ON q.file_id = w.file_id AND q.rn = w.rn + 1) x),
+made AS (SELECT q.file_id, q.page_number, attempt_no, strategy, CASE WHEN ok THEN 'success' ELSE 'fail' END AS status, CASE WHEN why IS NULL THEN confidence ELSE 0 END AS confidence,
+  CASE WHEN why IS NULL THEN cost ELSE 0 END AS cost, CASE WHEN why IS NULL THEN ms ELSE 0 END AS processing_time_ms, spend_before::DOUBLE AS spend_before, why AS skipped FROM walk w JOIN q ON q.file_id = w.file_id AND q.rn = w.rn WHERE is_made)"""
+MADE_COLUMNS = "file_id, page_number, attempt_no, strategy, status, round(confidence, 6) AS confidence, round(cost, 6) AS cost, round(spend_before, 6) AS spend_before, skipped"
+
 ORACLE_SQL: dict[str, str] = {
     "page_profiles": f"WITH {PROFILES} SELECT doc_id, page_number, round(char_density, 9) AS char_density, is_landscape, detected_origin, dominant_strategy, reason FROM profiles",
     "ruled_pages": f"""WITH {PAGES}, x AS (SELECT *, length(text) / (width * height) AS density FROM doc_pages),
@@ -177,7 +196,10 @@ SELECT doc_id, page_number, CASE WHEN density > 0.0004 THEN 'born_digital' ELSE
     "styled_sections": f"WITH {UNITS.replace('FROM units),', 'FROM styled),').replace('marked AS (SELECT *,', 'styled AS (SELECT *, (doc_id + page_number + length(content)) % 9 AS look FROM units), marked AS (SELECT *, look < 3 OR')} SELECT doc_id, page_number, uid, section, is_boundary FROM placed",
     "page_plan": f"WITH {PLAN} SELECT doc_id, place, page_number FROM planned",
     "planned_strategies": f"WITH {DOCS}, {PLAN.replace(PAGES + ',', '')} SELECT p.doc_id, p.page_number, CASE WHEN f.doc_id IS NOT NULL THEN f.dominant_strategy WHEN origin_type = 'scanned_image' THEN 'STRATEGY_B' ELSE 'STRATEGY_A' END AS dominant_strategy, f.doc_id IS NULL AS synthesized FROM planned p JOIN docs d ON p.doc_id = d.doc_id LEFT JOIN (SELECT * FROM profiles WHERE page_number % 2 = 1) f ON f.doc_id = p.doc_id AND f.page_number = p.page_number",
-    "page_judgements": f"WITH {DOCS}, pl AS (SELECT doc_id, page_number, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM doc_pages), un AS (SELECT *, 'p' || page_number || '_' || n AS uid, CASE length(content) % 7 WHEN 3 THEN 'table' WHEN 4 THEN 'figure' ELSE 'text' END AS unit_type FROM pl WHERE trim(content, ' ') <> ''), ag AS (SELECT doc_id, page_number, count(*) AS n_units, count_if(unit_type = 'table') AS tables, count_if(unit_type = 'text') AS texts, coalesce(string_agg(content, chr(10) ORDER BY uid) FILTER (WHERE unit_type <> 'figure'), '') AS txt FROM un GROUP BY ALL), j AS (SELECT p.doc_id, p.page_number, dominant_strategy AS strategy, origin_type, char_density, rect_count, image_count, coalesce(n_units, 0) AS n_units, coalesce(tables, 0) AS tables, coalesce(texts, 0) AS texts, coalesce(({CLARITY.format('txt')})::DOUBLE, 0) AS clarity FROM profiles p JOIN docs d ON p.doc_id = d.doc_id LEFT JOIN ag ON ag.doc_id = p.doc_id AND ag.page_number = p.page_number), k AS (SELECT *, CASE WHEN tables > 0 THEN 1.0 WHEN texts > 0 THEN 0.65 ELSE 0.2 END AS t, least(1.0, char_density / 0.00075) AS dn FROM j), c AS (SELECT *, CASE strategy WHEN 'STRATEGY_A' THEN (0.75 * least(1.0, char_density / 0.002) + CASE WHEN rect_count % 2 = 0 THEN 0.25 ELSE 0.0875 END) * CASE WHEN char_density < 0.0005 THEN 0.35 ELSE 1 END WHEN 'STRATEGY_B' THEN CASE WHEN image_count = 1 THEN 0.5 * (rect_count % 10) / 10 + 0.3 * clarity + 0.15 * t + 0.05 * dn ELSE 0.6 * clarity + 0.25 * t + 0.15 * dn END * CASE WHEN n_units > 0 THEN 1 ELSE 0.5 END * CASE WHEN clarity < 0.35 THEN 0.7 ELSE 1 END ELSE CASE WHEN n_units = 0 THEN 0.7 ELSE 0.95 END END AS confidence, (CASE WHEN strategy = 'STRATEGY_C' THEN 0 WHEN strategy = 'STRATEGY_B' AND origin_type = 'scanned_image' THEN 0.75 ELSE 0.7 END)::DOUBLE AS required FROM k) SELECT doc_id, page_number, strategy, n_units, round(confidence::DOUBLE, 6) AS confidence, required, n_units > 0 AND confidence >= required AS success FROM c",
+    "page_judgements": "WITH " + DOCS + ", judging AS (SELECT *, dominant_strategy AS strategy, 1 AS attempt_no FROM profiles), " + JUDGED + " SELECT doc_id, page_number, strategy, n_units, round(confidence::DOUBLE, 6) AS confidence, required, n_units > 0 AND confidence >= required AS success FROM c",
+    "attempts_made": f"WITH RECURSIVE {OUTCOMES} SELECT {MADE_COLUMNS} FROM made",
+    "attempts_streamed": f"WITH RECURSIVE {OUTCOMES} SELECT {MADE_COLUMNS} FROM made",
+    "attempts_pages": f"WITH RECURSIVE {OUTCOMES} SELECT file_id, page_number, attempts, final_strategy, final_status, total_cost, escalation_path FROM (SELECT {RESULT_COLUMNS} FROM made GROUP BY file_id, page_number)",
     "piece_rows": f"WITH {HTML}, t AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY n % 2, n) - 1 AS k, n, content FROM html_units WHERE page_id % 5 <> 0) SELECT page_id, k AS n, 1 AS page_number, CASE n % 5 WHEN 0 THEN 'table' WHEN 1 THEN 'header' WHEN 4 THEN 'text' ELSE 'figure' END AS unit_type, content FROM t WHERE n % 3 <> 2",
     "search_rows": f"WITH {HTML}, u AS (SELECT 'page_' || page_id AS file_id, n, CASE n % 4 WHEN 0 THEN 'raw ' || content ELSE content END AS content, CASE WHEN n % 4 = 2 OR n <= 3 THEN 1 ELSE n - 3 END AS page_number, CASE WHEN n % 4 = 3 THEN 'text' ELSE unit_type END AS kind FROM html_units) SELECT file_id, content, page_number, file_id || ' > ' || kind AS section_context, len({WORDS.format('content')}) AS token_count, 1.0::DOUBLE AS x2 FROM u",
     "normalized_units": f"WITH {UNITS} SELECT doc_id, page_number, uid, CASE WHEN page_number % 2 = 0 THEN 0.5 ELSE 1.0 END::DOUBLE AS x2, 'STRATEGY_B' AS strategy_used, 'STRATEGY_A>STRATEGY_B' AS path FROM units",

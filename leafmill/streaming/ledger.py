@@ -24,3 +24,8 @@ def deduplicated(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
 def write(rows: DataFrame, path: str, checkpoint: str):
     """Appends a stream to a folder; the checkpoint makes restarts exact."""
     return rows.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def hourly_final(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """`hourly` of a stream, each hour once, when the watermark has passed it; events that come later still are dropped (sink.LateRows counts them)."""
+    return hourly(events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay))

@@ -31,6 +31,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -45,22 +46,19 @@ MAGIC = b"WMX1"
 BLOCK = 8192
 
 
-def _blocks(bits: np.ndarray) -> list[bytes]:
-    packed = np.packbits(bits).tobytes()
-    return [packed[i : i + BLOCK] for i in range(0, len(packed), BLOCK)]
-
-
 def build(ids: np.ndarray, planes: int, directory: pa.Table) -> bytes:
     """A file's bytes: ids, all under 2^planes, and a table of the documents that they belong to."""
-    x = ids.astype(np.uint16 if planes <= 16 else np.uint32)
+    x = pa.array(ids.astype(np.uint16 if planes <= 16 else np.uint32))
     press, zeros, before, blocks = zstandard.ZstdCompressor(3), [], [], []
+    bitmap = lambda packed: pa.Array.from_buffers(pa.bool_(), len(ids), [None, pa.py_buffer(packed)])
     for plane in reversed(range(planes)):
-        ones = (x >> plane) & 1 == 1
-        per_block = np.add.reduceat(ones, np.arange(0, len(ones), 8 * BLOCK), dtype=np.int64) if len(ones) else np.zeros(0, np.int64)
-        before.append(np.cumsum(per_block) - per_block)
-        blocks += [press.compress(b) for b in _blocks(ones)]
-        x = np.concatenate([x[~ones], x[ones]])
-        zeros.append(len(ones) - int(per_block.sum()))
+        packed = np.packbits((x.to_numpy() >> plane) & 1 == 1, bitorder="little")
+        ones = np.add.reduceat(np.bitwise_count(packed), np.arange(0, len(packed), BLOCK), dtype=np.int64) if len(packed) else np.zeros(0, np.int64)
+        before.append(np.cumsum(ones) - ones)
+        zeros.append(len(ids) - int(ones.sum()))
+        data = packed.tobytes()
+        blocks += [press.compress(data[i : i + BLOCK]) for i in range(0, len(data), BLOCK)]
+        x = pa.concat_arrays([x.filter(bitmap(~packed)), x.filter(bitmap(packed))])
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, directory.schema) as out:
         out.write_table(directory)
@@ -100,7 +98,7 @@ class WaveletMatrix:
         if (level, block) not in self.held:
             if len(self.held) >= 64:
                 self.held.pop(next(iter(self.held)))
-            bits = np.unpackbits(np.frombuffer(self._packed(level, block), np.uint8))
+            bits = np.unpackbits(np.frombuffer(self._packed(level, block), np.uint8), bitorder="little")
             self.held[level, block] = bits, np.concatenate([[0], np.cumsum(bits, dtype=np.int64)])
         return self.held[level, block]
 
@@ -162,7 +160,7 @@ class WaveletMatrix:
         x = np.zeros(self.n, np.uint16 if self.planes <= 16 else np.uint32)
         for level in reversed(range(self.planes)):
             raw = b"".join(self._packed(level, b) for b in range(self.before.shape[1]))
-            ones = np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n).view(bool)
+            ones = np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n, bitorder="little").view(bool)
             x[self.zeros[level] :] |= x.dtype.type(1 << (self.planes - 1 - level))
             up = np.empty_like(x)
             up[~ones], up[ones] = x[: self.zeros[level]], x[self.zeros[level] :]
@@ -174,7 +172,7 @@ class _Shards:
     """Cuts a stream of documents into shards."""
 
     def __init__(self, id_type: pa.DataType, planes: int, size: int):
-        self.schema = pa.schema([("id", id_type), ("start", pa.int64()), ("done", pa.int64()), ("length", pa.int64()), ("whole", pa.bool_())])
+        self.schema = pa.schema([("id", id_type), ("start", pa.int64()), ("done", pa.int64()), ("length", pa.int64())])
         self.planes, self.size, self.start, self.number = planes, size, 0, 0
         self._open()
 
@@ -193,7 +191,7 @@ class _Shards:
         n, done = len(ids) // 4, 0
         while done < n:
             own = min(n - done, self.size - self.n)
-            for column, v in zip(self.docs.values(), (key, self.start, done, own, own == n)):
+            for column, v in zip(self.docs.values(), (key, self.start, done, own)):
                 column.append(v)
             self.held.append(ids[4 * done : 4 * (done + own)])
             self.n, done = self.n + own, done + own
@@ -267,25 +265,21 @@ class TokenFiles:
             crc = [zlib.crc32(ids[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), docs["length"].to_pylist())]
             # a piece's document starts as many ids before it as earlier shards hold
             start = first + ends - docs["length"].to_numpy() - docs["done"].to_numpy()
-            return {"id": docs["id"].combine_chunks(), "start": pa.array(start), "done": docs["done"].combine_chunks(), "length": docs["length"].combine_chunks(), "crc": pa.array(crc, pa.int64()), "whole": docs["whole"].combine_chunks()}
+            return {"id": docs["id"].combine_chunks(), "start": pa.array(start), "done": docs["done"].combine_chunks(), "length": docs["length"].combine_chunks(), "crc": pa.array(crc, pa.int64())}
 
-        pieces = self._each(read, f"id {id_type}, start long, done long, length long, crc long, whole boolean")
+        pieces = self._each(read, f"id {id_type}, start long, done long, length long, crc long")
+        # as many rows as shards that the document reaches
+        found = pieces.groupBy("id", "start").agg(F.sum("length").alias("n_tokens"), F.min("crc").alias("one"), F.collect_list(F.struct("done", "length", "crc")).alias("pieces"))
 
         def joined(batch: pa.RecordBatch) -> dict:
-            rows = [sorted(p, key=lambda x: x["done"]) for p in batch.column(2).to_pylist()]
-            crc = []
-            for pieces in rows:
-                total = 0
-                for p in pieces:
-                    total = crc_of_both(total, p["crc"], 4 * p["length"])
-                crc.append(total)
-            return {"id": batch.column(0), "start": batch.column(1), "n_tokens": [sum(p["length"] for p in r) for r in rows], "ids_crc32": crc}
-
-        # a row per shard that a long document reaches
-        cut = pieces.where("NOT whole").groupBy("id", "start").agg(F.collect_list(F.struct("done", "length", "crc")).alias("pieces"))
-        cut = arrow_map(cut, joined, f"id {id_type}, start long, n_tokens long, ids_crc32 long")
-        whole = pieces.where("whole").select("id", "start", F.col("length").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
-        return whole.unionAll(cut).withColumnRenamed("id", id_name)
+            crc, pieces = batch.column(3).to_pylist(), batch.column(4)
+            for i in np.flatnonzero(pa.compute.list_value_length(pieces).to_numpy() > 1).tolist():
+                crc[i] = 0
+                for p in sorted(pieces[i].as_py(), key=lambda p: p["done"]):
+                    crc[i] = crc_of_both(crc[i], p["crc"], 4 * p["length"])
+            return {"id": batch.column(0), "start": batch.column(1), "n_tokens": batch.column(2), "ids_crc32": crc}
+
+        return arrow_map(found, joined, f"id {id_type}, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_name)
 
     def counts(self, tokens: list[int]) -> DataFrame:
         """(token, n): occurrences in all files, by rank."""

@@ -27,7 +27,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import chain, groupby
 from operator import add
 
 import numpy as np
@@ -41,10 +41,16 @@ from pyspark.sql.types import StructType
 from .common import Scratch, arrow_map, text_or_empty
 
 #: Units, and links of them, that a worker keeps; code points that it takes up at a time; units of a chunk.
-KEEP_UNITS, KEEP_LINKS, SLICE, CHUNK = 120_000, 1_500_000, 1 << 20, 1_000_000
+KEEP_UNITS, KEEP_LINKS, SLICE, CHUNK = 240_000, 3_000_000, 1 << 20, 2_000_000
+#: Fixed value: how the byte-level BPE splits a text into pieces.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Units of letters and marks that all engines class alike, for the faster of two encoders.
+_PLAIN = re.compile("[ \n][!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 #: Not white space for any engine: Python's class, and what some engines class differently.
 _SOLID = r"[^\s᠎​-‏⁠﻿]"
 _CUT = re.compile(rf"(?<={_SOLID})([ \n])(?={_SOLID})")
+#: White space but the space and the line end, for Python, and what some engines take for it.
+_OTHER_WHITE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 
 
 class Aligner:
@@ -66,88 +72,119 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.space = self.b.piece_to_id("▁")
-        # units are certain only if no piece runs across a space or line end, and the other splits words by itself
         with open(path, encoding="utf-8") as f:
-            splits = (json.load(f).get("pre_tokenizer") or {}).get("type") == "ByteLevel"
+            spec = json.load(f)
+        # units are certain only if no piece runs across a space or line end, and the other splits words by itself
+        splits = (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel"
         self.cuts = splits and not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces)
+        self.plain = self._plain_encoder(spec) if splits else None
+        self.size_a, self.size_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.bytes_a, self.bytes_b))
+        self.text_a, self.text_b = [*map(str, range(len(self.bytes_a)))], [*map(str, range(len(self.bytes_b)))]
         self.forget()
 
+    def _plain_encoder(self, spec: dict):
+        """The same vocabulary in an encoder that takes ids for the order of merges, if they are; it is several times faster on short units."""
+        import tiktoken
+
+        vocab, special = spec["model"]["vocab"], {t["content"] for t in spec.get("added_tokens") or ()}
+        order = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in spec["model"]["merges"]]
+        if any(x >= y for x, y in zip(order, order[1:])) or spec.get("normalizer"):
+            return None
+        ranks = {self.bytes_a[i]: i for token, i in vocab.items() if token not in special}
+        return tiktoken.Encoding("plain", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
     def forget(self) -> None:
         self.table: dict[str, int] = {}
         self.text: list[str] = []
-        self.keys: list[np.ndarray] = []
+        self.keys = array("q")  # pairs of all links, unit after unit
         self.n_a, self.n_b, self.n_groups, self.n_links = (array("q") for _ in range(4))
-        self.links = 0
 
     @property
     def full(self) -> bool:
-        return len(self.table) > KEEP_UNITS or self.links > KEEP_LINKS
+        return len(self.table) > KEEP_UNITS or len(self.keys) > KEEP_LINKS
 
     def units(self, text: str) -> list[str]:
         """Stretches of space+text that both tokenizers encode apart; each starts with its space or line end."""
         if not self.cuts:
             return [" " + text]
+        # where no white space stands beside other, or at an end, every space and line end is a certain cut
+        if not (text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _OTHER_WHITE.search(text)):
+            return [u if u[0] == "\n" else " " + u for u in text.replace("\n", " \n").split(" ")]
         parts = _CUT.split(" " + text)
         return [parts[0], *map(add, parts[1::2], parts[2::2])]
 
-    def encode(self, units: list[str]) -> Iterator[tuple[list[int], list[int]] | None]:
-        """Ids of both tokenizers for each unit; None where they don't give the unit's bytes back."""
-        found_a = self.a.encode_batch(units, add_special_tokens=False)
-        found_b = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
-        for unit, a, b in zip(units, found_a, found_b):
-            a = a.ids
-            if unit[0] != " ":  # the space that the second tokenizer adds stands before the line end
-                b = b[1:] if b[:1] == [self.space] else []
-            own = unit.encode()
-            same = b"".join(map(self.bytes_a.__getitem__, a)) == own == b"".join(map(self.bytes_b.__getitem__, b))
-            yield (a, b) if same else None
-
-    def slices(self, a: list[int], b: list[int]) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
-        """Groups as (from, to) in a and in b, and links as (index in a, index in b)."""
-        ends_a = dict(zip(accumulate(len(self.bytes_a[i]) for i in a), range(len(a))))
-        ends_b = dict(zip(accumulate(len(self.bytes_b[i]) for i in b), range(len(b))))
-        groups, links, i, j = [], [], 0, 0
-        for end in sorted(ends_a.keys() & ends_b.keys()):
-            to_i, to_j = ends_a[end] + 1, ends_b[end] + 1
-            groups.append((i, to_i, j, to_j))
-            if to_i - i == 1 or to_j - j == 1:
-                links += [(x, y) for x in range(i, to_i) for y in range(j, to_j)]
+    def _flat_a(self, units: list[str]) -> list[int]:
+        """The first tokenizer's ids, unit after unit: plain units that follow each other as one text, which is cut between them."""
+        out: list[int] = []
+        for plain, run in groupby(units, lambda u: bool(self.plain and _PLAIN.fullmatch(u))):
+            if plain:
+                out += self.plain("".join(run))
             else:
-                links += self._overlaps(a, b, i, to_i, j, to_j)
-            i, j = to_i, to_j
-        return groups, links
-
-    def _overlaps(self, a: list[int], b: list[int], i: int, to_i: int, j: int, to_j: int) -> list[tuple[int, int]]:
-        """Links of a slice with several tokens on both sides: one for each stretch between neighbouring ends."""
-        out, left_a, left_b = [], len(self.bytes_a[a[i]]), len(self.bytes_b[b[j]])
-        while True:
-            out.append((i, j))
-            step = min(left_a, left_b)
-            left_a, left_b = left_a - step, left_b - step
-            if not left_a:
-                i += 1
-                if i == to_i:
-                    return out
-                left_a = len(self.bytes_a[a[i]])
-            if not left_b:
-                j += 1
-                left_b = len(self.bytes_b[b[j]])
+                out += chain.from_iterable(e.ids for e in self.a.encode_batch([*run], add_special_tokens=False))
+        return out
+
+    def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of a, ids of b, bytes of each unit, which units count): ids of all units that both tokenizers give back byte by byte."""
+        found = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
+        for i, u in enumerate(units):
+            if u[0] != " ":  # the space that the second tokenizer adds stands before the line end
+                found[i] = found[i][1:] if found[i][:1] == [self.space] else []
+        b = np.fromiter(chain.from_iterable(found), np.int64)
+        raw = [u.encode() for u in units]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        ends = np.cumsum([len(f) for f in found])
+        total = np.concatenate([[0], np.cumsum(self.size_b[b])])[ends]
+        if b"".join(map(self.bytes_b.__getitem__, b.tolist())) == b"".join(raw) and (total == np.cumsum(sizes)).all():
+            return np.array(self._flat_a(units), np.int64), b, sizes, np.ones(len(units), bool)
+        good = np.array([b"".join(map(self.bytes_b.__getitem__, f)) == r for f, r in zip(found, raw)], bool)
+        kept = [u for u, ok in zip(units, good) if ok]
+        b = np.fromiter(chain.from_iterable(f for f, ok in zip(found, good) if ok), np.int64)
+        return np.array(self._flat_a(kept), np.int64), b, sizes[good], good
+
+    def align(self, a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int], list[int], np.ndarray, np.ndarray, np.ndarray]:
+        """Ends in bytes of the groups, where each ends in a and in b; and ends in bytes of the links, with their indexes in a and b."""
+        at_a, at_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        ends_a = dict(zip(at_a.tolist(), range(1, len(a) + 1)))
+        ends_b = dict(zip(at_b.tolist(), range(1, len(b) + 1)))
+        common = sorted(ends_a.keys() & ends_b.keys())
+        every = np.unique(np.concatenate([at_a, at_b]))  # every stretch between neighbouring ends is a link of its slice
+        return common, [*map(ends_a.__getitem__, common)], [*map(ends_b.__getitem__, common)], every, np.searchsorted(at_a, every), np.searchsorted(at_b, every)
 
     def learn(self, units: list[str]) -> None:
         """Adds units to the table."""
-        for unit, ids in zip(units, self.encode(units)):
-            a, b = ids or ((), ())
-            groups, links = self.slices(a, b) if ids else ((), ())
-            self.table[unit] = len(self.text)
-            self.text.append(";".join(f"{','.join(map(str, a[i:k]))}|{','.join(map(str, b[j:m]))}" for i, k, j, m in groups))
-            self.keys.append(np.array([a[x] << 32 | b[y] for x, y in links], dtype=np.int64))
-            self.links += len(links)
-            for column, n in zip((self.n_a, self.n_b, self.n_groups, self.n_links), (len(a), len(b), len(groups), len(links))):
-                column.append(n)
+        a, b, sizes, good = self.encode(units)
+        kept = [u for u, ok in zip(units, good) if ok]
+        common, to_a, to_b, every, link_a, link_b = self.align(a, b)
+        text_a, text_b = [*map(self.text_a.__getitem__, a.tolist())], [*map(self.text_b.__getitem__, b.tolist())]
+        groups = [
+            f"{text_a[i]}|{text_b[j]}" if k - i == 1 == m - j else f"{','.join(text_a[i:k])}|{','.join(text_b[j:m])}"
+            for i, k, j, m in zip([0, *to_a], to_a, [0, *to_b], to_b)
+        ]
+        ends = np.cumsum(sizes)
+        per_unit = lambda x: np.diff(np.searchsorted(x, ends, "right"), prepend=0)
+        counts = [per_unit(x) for x in (np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b]), np.array(common, np.int64), every)]
+        self.keys.frombytes((a[link_a] << 32 | b[link_b]).tobytes())
+        to = np.cumsum(counts[2]).tolist()
+        bad = [u for u, ok in zip(units, good) if not ok]
+        self.table.update(zip([*kept, *bad], range(len(self.text), len(self.text) + len(units))))
+        self.text += [";".join(groups[x:y]) for x, y in zip([0, *to], to)]
+        self.text += [""] * len(bad)
+        for column, n in zip((self.n_a, self.n_b, self.n_groups, self.n_links), counts):
+            column.frombytes(np.concatenate([n, np.zeros(len(bad), np.int64)]).astype(np.int64).tobytes())
+
+    def pairs_of(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of the units' links, unit after unit, and how many each has."""
+        n = np.array(self.n_links, dtype=np.int64)
+        first, sizes = (np.cumsum(n) - n)[units], n[units]
+        inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return np.array(self.keys, dtype=np.int64)[np.repeat(first, sizes) + inside], sizes
 
     def learn_all(self, units: set[str]) -> None:
+        """Adds those units that the table lacks, plain ones first, some at a time."""
+        missing = [u for u in units if u not in self.table]
+        missing.sort(key=lambda u: _PLAIN.fullmatch(u) is None)
         part, n = [], 0
-        for unit in sorted(units - self.table.keys()):
+        for unit in missing:
             part.append(unit)
             n += len(unit)
             if n > SLICE // 4:
@@ -188,9 +225,8 @@ class _Chunk:
         """The chunk's row: pairs and how many links hold them here, units as numbers of pairs, documents as numbers of units."""
         used, at = np.unique(np.concatenate([*self.units, np.zeros(0, np.int64)]), return_inverse=True)
         times = np.bincount(at, minlength=len(used)) if len(used) else np.zeros(0, np.int64)
-        keys = [known.keys[u] for u in used.tolist()]
-        sizes = np.array([len(k) for k in keys], dtype=np.int64)
-        pairs, spot = np.unique(np.concatenate([*keys, np.zeros(0, np.int64)]), return_inverse=True)
+        keys, sizes = known.pairs_of(used)
+        pairs, spot = np.unique(keys, return_inverse=True)
         counts = np.bincount(spot, weights=np.repeat(times, sizes), minlength=len(pairs)) if len(pairs) else np.zeros(0)
         blob = lambda x: x.astype("<i4").tobytes()
         return {"chunk": number, "id": pa.concat_arrays(self.ids), **self.columns, "units": blob(at), "unit_links": blob(sizes), "links": blob(spot), "pairs": pairs, "counts": counts.astype(np.int64)}
@@ -310,10 +346,12 @@ def alignments(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", a:
         known = aligner(a, b)
         out: dict[str, list] = {"a_ids": [], "b_ids": [], "groups": [], "links": []}
         for text in text_or_empty(batch.column(1)):
-            found = [*known.encode(known.units(text))] if text else []
-            ids = ([], []) if None in found else tuple([i for x in found for i in x[side]] for side in (0, 1))
-            groups, links = known.slices(*ids)
-            rows = (*ids, [dict(zip(("a_from", "a_to", "b_from", "b_to"), g)) for g in groups], [{"a": x, "b": y} for x, y in links])
+            x, y, _, good = known.encode(known.units(text)) if text else (np.zeros(0, np.int64),) * 4
+            if not good.all():
+                x = y = x[:0]
+            _, to_a, to_b, _, link_a, link_b = known.align(x, y)
+            groups = [dict(zip(("a_from", "a_to", "b_from", "b_to"), g)) for g in zip([0, *to_a], to_a, [0, *to_b], to_b)]
+            rows = (x.tolist(), y.tolist(), groups, [{"a": i, "b": j} for i, j in zip(link_a.tolist(), link_b.tolist())])
             for column, v in zip(out.values(), rows):
                 column.append(v)
         return {id_col: batch.column(0)} | out

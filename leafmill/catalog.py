@@ -11,6 +11,7 @@ from .config import CORPUS, LEGACY_DOMAINS, SMALL_CHUNKS, Config, from_text
 from .functions import text as T
 from .operators import attempts, chunking, extraction, facts, ledger, retrieval, tree, triage, units, validation
 from .plans import qa
+from .sources import parsing
 from .sources import tables as S
 from .sources.shared import new_folder
 from .streaming import attempts as attempt_stream
@@ -174,6 +175,37 @@ def html_units(spark, d):
     return S.html_units(spark, d)
 
 
+def _page_parser(path, content):
+    """A stand-in for a plugged-in parser: title and paragraphs of a page; a page cut off is an error."""
+    text = content.decode()
+    if "</html>" not in text:
+        raise ValueError("cut off")
+    title = text.partition("<title>")[2].partition("</title>")[0]
+    for n, part in enumerate(text.partition("<article>")[2].split("<p>")[1:]):
+        yield {"n": n, "title": title, "size": len(part)}
+
+
+@query
+def parsed_pages(spark, d):
+    """Pages as files through a parser: each once, with its rows or its error."""
+    files = S.table(spark, d, "pages").select(F.concat(F.lit("page_"), "page_id", F.lit(".html")).alias("path"), F.col("html").cast("binary").alias("content"))
+    return parsing.manifest(parsing.parse(files, _page_parser, "n int, title string, size int"))
+
+
+@query
+def refined_documents(spark, d):
+    """Units of refined documents, one JSON text per order; some lack parts, some are broken."""
+    o = S.table(spark, d, "orders").withColumn("k", F.col("o_orderkey") % 9)
+    box = F.when(F.col("k") != 2, F.struct(F.lit(0.25).alias("x1"), F.lit(0.5).alias("y2")))
+    head = F.struct(F.lit("a").alias("uid"), F.lit("header").alias("unit_type"), F.concat(F.lit(" Order "), "o_orderkey").alias("content_markdown"), F.lit("raw").alias("content_raw"), box.alias("bbox"), F.struct((F.col("k") - 1).alias("page_number")).alias("provenance"))
+    bare = F.struct(F.lit("b").alias("uid"), F.lit(None).cast("string").alias("unit_type"), F.lit("  ").alias("content_markdown"), F.when(F.col("k") != 3, F.col("o_orderstatus")).alias("content_raw"), F.lit(None).cast("struct<x1: double, y2: double>").alias("bbox"), F.lit(None).cast("struct<page_number: bigint>").alias("provenance"))
+    text = F.to_json(F.struct(F.when(F.col("k") != 4, F.concat(F.lit("doc"), "o_orderkey")).alias("file_id"), F.array(head, bare).alias("units")), {"pretty": "true"})
+    value = F.when(F.col("k") == 5, F.left(text, F.lit(40))).when(F.col("k") == 6, F.lit("[1]")).otherwise(text)
+    units, broken = parsing.refined_units(o.select(F.concat(F.lit("/in/o"), "o_orderkey", F.lit("_refined.json")).alias("path"), value.alias("value")))
+    found = units.select("file_id", "n", "page_number", "unit_type", "content", "x1", "y2", "section_context")
+    return found.unionByName(broken.select(F.col("path").alias("file_id"), F.col("error").alias("content")), allowMissingColumns=True)
+
+
 @query
 def layout_counters(spark, d):
     u = S.html_units(spark, d)

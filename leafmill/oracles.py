@@ -157,6 +157,13 @@ SELECT doc_id, page_number, CASE WHEN density > 0.0004 THEN 'born_digital' ELSE
     "chunk_defaults": rf"WITH {ORDER_UNITS} SELECT doc_id, 1 AS merged_no, sum(len({WORDS.format('content')}))::INT AS tokens, first(content ORDER BY ord) AS section, max((n + 1) * 0.125)::DOUBLE AS y2 FROM islands GROUP BY doc_id",
     "chunk_page_index": f"{MERGED} SELECT doc_id, page_number, count(*) AS chunks FROM (SELECT doc_id, unnest(pages) AS page_number FROM merged) GROUP BY ALL",
     "html_units": f"WITH {HTML} SELECT page_id, n, tag, unit_type, content FROM html_units",
+    "parsed_pages": r"""WITH p AS (SELECT 'page_' || page_id || '.html' AS path, html, contains(html, '</html>') AS whole FROM pages)
+SELECT path, CASE WHEN whole THEN 'done' ELSE 'failed' END AS status, CASE WHEN whole AND contains(html, '<article>') THEN len(string_split(substr(html, strpos(html, '<article>')), '<p>')) - 1 ELSE 0 END AS n_rows,
+  CASE WHEN NOT whole THEN 'ValueError: cut off' END AS error FROM p""",
+    "refined_documents": """WITH o AS (SELECT o_orderkey AS id, o_orderstatus AS s, o_orderkey % 9 AS k, CASE WHEN o_orderkey % 9 = 4 THEN 'o' || o_orderkey || '_refined' ELSE 'doc' || o_orderkey END AS file_id FROM orders)
+SELECT file_id, 0 AS n, CASE WHEN k > 1 THEN k - 1 ELSE 1 END AS page_number, 'header' AS unit_type, 'Order ' || id AS content, CASE WHEN k = 2 THEN 0 ELSE 0.25 END::DOUBLE AS x1, CASE WHEN k = 2 THEN 1 ELSE 0.5 END::DOUBLE AS y2, file_id || ' > header' AS section_context FROM o WHERE k NOT IN (5, 6)
+UNION ALL SELECT file_id, 1, 1, 'text', s, 0, 1, file_id || ' > text' FROM o WHERE k NOT IN (3, 5, 6)
+UNION ALL SELECT '/in/o' || id || '_refined.json', NULL, NULL, NULL, CASE WHEN k = 5 THEN 'no JSON' ELSE 'no JSON object' END, NULL, NULL, NULL FROM o WHERE k IN (5, 6)""",
     "layout_counters": f"WITH {HTML} SELECT page_id, count_if(unit_type = 'header') AS headers, count_if(unit_type = 'text') AS texts, count_if(tag = 'li') AS items, sum(len({WORDS.format('content')}))::BIGINT AS tokens FROM html_units GROUP BY page_id",
     "page_lines": f"WITH s AS (SELECT doc_id, {WORDS.format('text')} AS w FROM documents), w AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM s) SELECT doc_id, round_even(pos * 0.4, 0)::INT AS line_key, string_agg(word, ' ' ORDER BY pos) AS line FROM w GROUP BY ALL",
     "ocr_word_confidence": "SELECT user_id, round(greatest(0.0, least(1.0, avg(value) FILTER (WHERE value >= 0) / 100))::DOUBLE, 6) AS confidence FROM events GROUP BY user_id",

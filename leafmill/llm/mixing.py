@@ -12,7 +12,8 @@ of their own. Slots meet blocks by a join on source and block index: that gives
 Sources are the components of a mix, and a table with a row for each of them is handled on the
 driver: at most `max_sources`, more are an error. Shards are at most MAX_SHARDS (larger beyond).
 Documents get their place in their source by range-partitioned prefix sums over ids and sizes
-alone, which spread a source with a third of all rows; texts are shuffled once, to their plan.
+alone, which spread a source with a third of all rows; texts are stored with their number and shuffled once, to their
+plan. Rows of one id stand in the order of a hash of all their columns, so the order of the input changes nothing.
 
 Inputs with defined results: a null or empty text has size 0 and nothing taken; null is a
 source of its own, last in order; a source without words has target 0; repeated rows are mixed
@@ -26,9 +27,9 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, MapType, StructField, StructType, VariantType
 
 from .common import Scratch, arrow_map, prefix_sums
 
@@ -155,63 +156,49 @@ class _Plan:
         return arrow_map(runs, spell, "k int, block_no long, shard int, position long, epoch int")
 
 
-def _keys(id_col: str, text_col: str) -> list[Column]:
-    """128 bits of hashes that tell rows apart by id and text."""
-    return [F.xxhash64(F.lit(n), F.col(id_col), F.isnull(id_col), F.col(text_col)).alias(f"h{n}") for n in (1, 2)]
-
-
-def _numbered(df: DataFrame) -> DataFrame:
-    """Numbers the rows that are equal in id and text."""
-    return df.withColumn("copy", F.row_number().over(Window.partitionBy("h1", "h2").orderBy(F.lit(1))))
-
-
-def _same_row() -> Column:
-    """Rows of one number, without making the number a key: the rows are where their own numbering put them already."""
-    return (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & (F.col("copy") - F.col("c") == 0)
+def _numbered(df: DataFrame, id_col: str, text_col: str, source_col: str, kept: list[str] | None = None) -> DataFrame:
+    """(row, h, id, source, size): a number for every row, to be stored, as it is another one each time; and a hash of the whole row, by which rows of one id come in an order of their own; with the columns `kept` as `document`."""
+    whole = [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]
+    return df.select(F.monotonically_increasing_id().alias("row"), F.xxhash64(*whole).alias("h"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *([F.struct(*[F.col(f"`{c}`") for c in kept]).alias("document")] if kept else []))
 
 
 def _pieces(sized: DataFrame, source_col: str, scratch: Scratch, block_words: int, most: int, shards: int | None, max_sources: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """sized(h1, h2, copy, id, source, size) to the mix's pieces (h1, h2, copy, id, lo, hi, shard, position, epoch), and sources(k, name, ...)."""
+    """sized(row, h, id, source, size) to the mix's pieces (row, id, lo, hi, shard, position, epoch), and sources(k, name, ...)."""
     spark = sized.sparkSession
     sums = sized.groupBy("source").agg(F.sum("size").alias("n")).limit(max_sources + 1).collect()
     if len(sums) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
     plan = _Plan([(r[0], r["n"]) for r in sums], block_words, most, shards, seed)
     sources = plan.sources_table(spark)
-    placed = prefix_sums(sized.where("size > 0"), ["source"], ["id", "h1", "h2", "copy"], "size", "at", scratch)
+    placed = prefix_sums(sized.where("size > 0"), ["source"], ["id", "h", "row"], "size", "at", scratch)
     placed = placed.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("name")))  # at most max_sources rows
     b = F.col("block").cast("long")
     first, last = F.floor(F.col("at") / b), F.floor((F.col("at") + F.col("size") - 1) / b)
-    inside = placed.select("h1", "h2", "copy", "id", "k", "at", "size", "block", F.explode(F.sequence(first, last)).alias("no"))
+    inside = placed.select("row", "id", "k", "at", "size", "block", F.explode(F.sequence(first, last)).alias("no"))
     start = F.col("no") * b - F.col("at")
-    inside = inside.select("h1", "h2", "copy", "id", F.col("k").alias("of_k"), "no", F.greatest(start, F.lit(0)).alias("lo"), F.least(start + b, F.col("size")).alias("hi"))
+    inside = inside.select("row", "id", F.col("k").alias("of_k"), "no", F.greatest(start, F.lit(0)).alias("lo"), F.least(start + b, F.col("size")).alias("hi"))
     # the slots grow with the words, though Spark takes them for as small as the runs that they are spelled out from: never broadcast
     slots = plan.slots(spark).hint("merge")
     joined = inside.join(slots, (F.col("of_k") == F.col("k")) & (F.col("no") == F.col("block_no")))
-    return joined.select("h1", "h2", "copy", "id", "lo", "hi", "shard", "position", "epoch"), sources
-
-
-def _sized(df: DataFrame, id_col: str, text_col: str, source_col: str, scratch: Scratch) -> DataFrame:
-    slim = df.select(*_keys(id_col, text_col), F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    return scratch.table(_numbered(slim), "sizes")
+    return joined.select("row", "id", "lo", "hi", "shard", "position", "epoch"), sources
 
 
 def mix_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = 256, most: int = 3, shards: int | None = None, max_sources: int = 100_000, seed: int = 7) -> DataFrame:
     """The mix itself: (shard, position, id, lo, hi, epoch), the words lo to hi of a document that stand in a slot; a slot holds one block, so pieces of documents that follow each other."""
     scratch = Scratch(df.sparkSession, "mix")
-    found, _ = _pieces(_sized(df, id_col, text_col, source_col, scratch), source_col, scratch, block_words, most, shards, max_sources, seed)
+    sized = scratch.table(_numbered(df, id_col, text_col, source_col), "sizes")
+    found, _ = _pieces(sized, source_col, scratch, block_words, most, shards, max_sources, seed)
     return found.select("shard", "position", F.col("id").alias(id_col), "lo", "hi", "epoch")
 
 
 def mix_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = 256, most: int = 3, shards: int | None = None, max_sources: int = 100_000, seed: int = 7) -> DataFrame:
     """One row per input row: id, size, source_size, target (its source's), taken, the words that the mix takes, the slots that hold some of them, and the first of these by shard and position."""
     scratch = Scratch(df.sparkSession, "mix")
-    sized = _sized(df, id_col, text_col, source_col, scratch)
+    sized = scratch.table(_numbered(df, id_col, text_col, source_col), "sizes")
     found, sources = _pieces(sized, source_col, scratch, block_words, most, shards, max_sources, seed)
-    sums = found.groupBy("h1", "h2", "copy").agg(F.sum(F.col("hi") - F.col("lo")).alias("taken"), F.count("*").alias("n_slots"), F.min(F.struct("shard", "position")).alias("first"))
-    sums = sums.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("copy").alias("c"), "taken", "n_slots", "first")
+    sums = found.groupBy("row").agg(F.sum(F.col("hi") - F.col("lo")).alias("taken"), F.count("*").alias("n_slots"), F.min(F.struct("shard", "position")).alias("first"))
     out = sized.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("name")))  # at most max_sources rows
-    out = out.join(sums, _same_row(), "left")
+    out = out.join(sums, "row", "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", zero("taken"), zero("n_slots"), F.col("first.shard").alias("first_shard"), F.col("first.position").alias("first_position"))
 
@@ -234,14 +221,14 @@ def _taken_text(text: str, pieces: list[dict]) -> str:
 def mix_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = 256, most: int = 3, shards: int | None = None, max_sources: int = 100_000, seed: int = 7) -> DataFrame:
     """The documents of the mix: those with words taken, their text the taken words (repeats after one another), and `taken`."""
     scratch = Scratch(df.sparkSession, "mix")
-    found, _ = _pieces(_sized(df, id_col, text_col, source_col, scratch), source_col, scratch, block_words, most, shards, max_sources, seed)
-    # a document's own pieces: as many as it has blocks, times its epochs
-    plan = found.groupBy("h1", "h2", "copy").agg(F.array_sort(F.collect_list(F.struct("epoch", "lo", "hi"))).alias("pieces"), F.sum(F.col("hi") - F.col("lo")).alias("taken"))
-    plan = scratch.table(plan.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("copy").alias("c"), "pieces", "taken"), "plan")
-    scratch.keep_only(plan)
     names = [c for c in df.columns if c != "taken"]
-    rows = _numbered(df.select(*_keys(id_col, text_col), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")))
-    joined = rows.join(plan, _same_row())
+    stored = scratch.table(_numbered(df, id_col, text_col, source_col, names), "rows")
+    found, _ = _pieces(stored.drop("document"), source_col, scratch, block_words, most, shards, max_sources, seed)
+    # a document's own pieces: as many as it has blocks, times its epochs
+    plan = found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("epoch", "lo", "hi"))).alias("pieces"), F.sum(F.col("hi") - F.col("lo")).alias("taken"))
+    plan = scratch.table(plan, "plan")
+    scratch.keep_only(plan, stored)
+    joined = stored.join(plan, "row")
     schema = StructType([*df.select(*names).schema.fields, StructField("taken", LongType())])
     at = names.index(text_col)
 
@@ -250,4 +237,4 @@ def mix_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         out = {n: rows.field(i) for i, n in enumerate(names)}
         return out | {text_col: [_taken_text(t.as_py(), p.as_py()) for t, p in zip(rows.field(at), pieces)], "taken": batch.column(2)}
 
-    return arrow_map(joined.select("row", "pieces", "taken"), cut, schema)
+    return arrow_map(joined.select("document", "pieces", "taken"), cut, schema)

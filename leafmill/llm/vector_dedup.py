@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import Scratch, arrow_map, connected_components
 from .vectors import matrix, sample, valid_vectors
@@ -115,22 +115,25 @@ def _split_large(routed: DataFrame, leaf_rows: int, margin: float, seed: int, sc
         def route(rows: pa.Table, trees: pa.Table) -> pa.Table:
             kept = rows.select(["leaf", *names])
             if not rows.num_rows or not trees.num_rows:
-                return kept
+                return kept.add_column(1, "piece", pa.array(np.zeros(rows.num_rows, np.int64)))
             x = matrix(rows["vec"])
             found = pickle.loads(trees["tree"][0].as_py()).leaves(x / np.linalg.norm(x, axis=1, keepdims=True))
-            leaf, at = rows["leaf"][0].as_py(), np.concatenate([i for i, _ in found])
-            own = np.concatenate([np.full(len(i), ((leaf + 1) << 20) + n) for i, n in found])
-            return kept.take(pa.array(at)).set_column(0, "leaf", pa.array(own))
+            at = np.concatenate([i for i, _ in found])
+            return kept.take(pa.array(at)).add_column(1, "piece", pa.array(np.concatenate([np.full(len(i), n) for i, n in found]), pa.int64()))
 
         trees = drawn.groupBy("leaf").applyInArrow(grown, "leaf long, tree binary")
         parts = F.ceil(F.col("n") / PART)
         left = inside.withColumn("part", F.pmod(F.xxhash64("id"), parts)).select("leaf", "part", *names)
         right = trees.join(large, F.col("leaf") == F.col("big")).select("leaf", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "tree")
-        flat = StructType([schema["leaf"], *[schema[c] for c in names]])
-        split = left.groupBy("leaf", "part").cogroup(right.groupBy("leaf", "part")).applyInArrow(route, flat)
+        flat = StructType([schema["leaf"], StructField("piece", LongType()), *[schema[c] for c in names]])
+        split = scratch.table(left.groupBy("leaf", "part").cogroup(right.groupBy("leaf", "part")).applyInArrow(route, flat), "pieces")
+        # numbers of new leaves: one for each piece, negative, and apart from those of other levels
+        number = -1 - level - LEVELS * F.monotonically_increasing_id()
+        numbers = scratch.table(split.select(F.col("leaf").alias("of"), F.col("piece").alias("p")).distinct().withColumn("number", number), "numbers")
+        split = split.join(numbers, (F.col("leaf") == F.col("of")) & (F.col("piece") == F.col("p"))).select(F.col("number").alias("leaf"), *names)
         following = scratch.table(routed.join(large, F.col("leaf") == F.col("big"), "left_anti").select("leaf", *names).unionByName(split), "split")
         # one piece of a tree is the leaf that it was
-        uncut = following.groupBy("leaf").agg(F.count("*").alias("m")).join(large.select((F.shiftleft(F.col("big") + 1, 20)).alias("leaf"), "n"), "leaf").where("m = n").select(F.col("leaf").alias("uncut"))
+        uncut = numbers.groupBy("of").agg(F.count("*").alias("c"), F.min("number").alias("uncut")).where("c = 1").select("uncut")
         tried = scratch.table(uncut if tried is None else uncut.unionByName(tried), "uncut")
         lists = following.groupBy("id").agg(F.array_sort(F.collect_set("leaf")).alias("leaves"))
         routed = scratch.table(following.join(lists, "id").select(*schema.names), "routed")

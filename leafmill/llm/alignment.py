@@ -33,6 +33,7 @@ from operator import add
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -223,13 +224,29 @@ class _Chunk:
 
     def row(self, number: int, known: Aligner) -> dict:
         """The chunk's row: pairs and how many links hold them here, units as numbers of pairs, documents as numbers of units."""
-        used, at = np.unique(np.concatenate([*self.units, np.zeros(0, np.int64)]), return_inverse=True)
-        times = np.bincount(at, minlength=len(used)) if len(used) else np.zeros(0, np.int64)
+        used, at, times = _by_frequency(np.concatenate([*self.units, np.zeros(0, np.int64)]))
         keys, sizes = known.pairs_of(used)
-        pairs, spot = np.unique(keys, return_inverse=True)
+        pairs, spot, _ = _by_frequency(keys)
         counts = np.bincount(spot, weights=np.repeat(times, sizes), minlength=len(pairs)) if len(pairs) else np.zeros(0)
-        blob = lambda x: x.astype("<i4").tobytes()
-        return {"chunk": number, "id": pa.concat_arrays(self.ids), **self.columns, "units": blob(at), "unit_links": blob(sizes), "links": blob(spot), "pairs": pairs, "counts": counts.astype(np.int64)}
+        return {"chunk": number, "id": pa.concat_arrays(self.ids), **self.columns, "units": _packed(at), "unit_links": _packed(sizes), "links": _packed(spot), "pairs": pairs, "counts": counts.astype(np.int64)}
+
+
+def _by_frequency(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values, the most frequent first; the place of each value among them; how often each stands in x."""
+    values, at, times = np.unique(x, return_inverse=True, return_counts=True)
+    order = np.argsort(-times, kind="stable")
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    return values[order], place[at], times[order]
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Small numbers, compressed byte by byte of equal weight."""
+    return zstandard.ZstdCompressor(1).compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
 
 
 def _chunks(df: DataFrame, a: str, b: str, kind: str) -> DataFrame:
@@ -293,8 +310,7 @@ def _scored(chunk: pa.Table, found: pa.Table, names: list[str], schema: pa.Schem
     """Documents of a chunk with sums over their links, from the corpus-wide counts of the chunk's pairs."""
     if not chunk.num_rows:
         return schema.empty_table()
-    read = lambda c: np.frombuffer(chunk[c][0].as_py(), dtype="<i4")
-    at, sizes, links = read("units"), read("unit_links"), read("links")
+    at, sizes, links = (_unpacked(chunk[c][0].as_py()) for c in ("units", "unit_links", "links"))
     count, best = np.zeros(found.num_rows, np.int64), np.zeros(found.num_rows, np.int64)
     place = found["pos"].to_numpy()
     count[place], best[place] = found["n"].to_numpy(), found["best"].to_numpy()

@@ -44,9 +44,10 @@ class _WordIds(dict):
     Words in use stay, as those that are looked up move from the older to the newer half.
     """
 
-    def __init__(self, name: str):
+    def __init__(self, name: str, keep: int = KEEP):
         from tokenizers import Tokenizer
 
+        self.keep = keep
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.split = self.tokenizer.model.tokenize
         plain = [b for r in ((33, 127), (161, 173), (174, 256)) for b in range(*r)]
@@ -75,7 +76,7 @@ class _WordIds(dict):
         if found is None:
             found = self._encode(word)
         if len(word) <= LONG:
-            if len(self) >= KEEP:
+            if len(self) >= self.keep:
                 self.older = dict(self)
                 self.clear()
             self[word] = found

@@ -39,11 +39,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import Scratch, arrow_map, shuffles_removed
-from .packing import _word_ids, _WordIds
+from .packing import _WordIds
 
 MAGIC = b"WMX1"
-#: Bytes of a plane that are compressed together.
-BLOCK = 8192
+#: Bytes of a plane that are compressed together; words that a worker keeps the ids of, twice. The words take about 100 MB at most.
+BLOCK, KEEP = 8192, 250_000
 
 
 def build(ids: np.ndarray, planes: int, directory: pa.Table) -> bytes:
@@ -168,6 +168,9 @@ class WaveletMatrix:
         return x.astype("<u4")
 
 
+_words: dict[str, _WordIds] = {}
+
+
 class _Shards:
     """Cuts a stream of documents into shards."""
 
@@ -209,9 +212,9 @@ def write_tokens(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: s
     dealt = df.select(*keys, F.col(text_col).alias("text")).repartitionByRange(parts, "id", "h", "row").sortWithinPartitions("id", "h", "row").select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _word_ids:
-            _word_ids[tokenizer] = _WordIds(tokenizer)
-        words, shards = _word_ids[tokenizer], None
+        if tokenizer not in _words:
+            _words[tokenizer] = _WordIds(tokenizer, KEEP)
+        words, shards = _words[tokenizer], None
         planes = max(words.tokenizer.get_vocab_size() - 1, end_id).bit_length()
         end, part = np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
 

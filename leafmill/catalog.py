@@ -73,8 +73,8 @@ def doc_triage(spark, d):
 @query
 def triage_manifest_counts(spark, d):
     p = triage.doc_profiles(S.doc_pages(spark, d), CORPUS)
-    p.createOrReplaceTempView("_doc_profiles")
-    return spark.sql("SELECT overall_origin, domain_hint, count(*) AS documents, sum(total_pages) AS pages FROM _doc_profiles GROUP BY GROUPING SETS ((overall_origin), (domain_hint))")
+    sets = p.groupingSets([[F.col("overall_origin")], [F.col("domain_hint")]], "overall_origin", "domain_hint")
+    return sets.agg(F.count("*").alias("documents"), F.sum("total_pages").alias("pages"))
 
 
 @query
@@ -248,7 +248,31 @@ def tree_root(spark, d):
 
 @query
 def doc_outline(spark, d):
-    return tree.outline(tree.nodes(S.section_chunks(spark, d)))
+    return tree.outline(tree.nodes(S.section_chunks(spark, d))).withColumn("place", F.array_join(F.col("place").cast("array<string>"), "."))
+
+
+@query
+def tree_exported(spark, d):
+    """Trees of documents, one a market segment, as nested JSON and read back."""
+    by = ("c_mktsegment",)
+    chunks = S.section_chunks(spark, d).withColumn("c_mktsegment", F.split("section_context", " > ")[2])
+    rows = tree.read_nested(tree.nested(tree.nodes(chunks, by), by), by)
+    return rows.select(*by, "node_id", "parent_id", "depth", "title", "chunk_count", "pages_covered", F.array_join(F.col("place").cast("array<string>"), ".").alias("place"))
+
+
+@query
+def questions_search(spark, d):
+    """The best sections for every turn of the users."""
+    turns = S.table(spark, d, "conversations").where("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("question_id"), F.col("text").alias("question"))
+    found = tree.search_each(S.section_chunks(spark, d), turns.dropDuplicates(["question_id"]))
+    return found.select("question_id", "rank", "title", F.round("score", 6).alias("score"))
+
+
+@query
+def vectors_topk(spark, d):
+    """The nearest rows of every twentieth one."""
+    e = S.table(spark, d, "embeddings")
+    return retrieval.nearest_each(e, e.where("vec_id % 20 = 0"), 10).withColumn("distance", F.round("distance", 6))
 
 
 @query
@@ -364,8 +388,8 @@ def budget_page_results(spark, d):
 
 @query
 def circuit_breaker(spark, d):
-    """An error of a vision attempt with a high value stands for one that disables the strategy."""
-    a = extraction.circuit_breaker(S.attempts(spark, d), (F.col("status") == "fail") & (F.col("cost") > 0.1))
+    """An error of a vision attempt with a high value stands for one that disables the strategy, if the attempt is made."""
+    a = extraction.circuit_breaker(extraction.escalate(S.attempts(spark, d)), (F.col("status") == "fail") & (F.col("cost") > 0.1))
     return a.groupBy("strategy").agg(F.count("*").alias("n"), F.count_if("disabled").alias("disabled"))
 
 

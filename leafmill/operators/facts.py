@@ -61,10 +61,21 @@ def select_words(facts: DataFrame, question: str) -> DataFrame:
 
 #: Words that a statement may not hold.
 FORBIDDEN = ("drop", "delete", "update", "insert", "alter", "create", "replace", "truncate", "pragma")
+#: Kinds of plan nodes and of expressions that a statement may come to; any other is refused, whatever it is called in SQL.
+PLANS = {"Project", "Filter", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "SubqueryAlias", "Window", "Union", "Join", "WithCTE", "CTERelationDef", "CTERelationRef"}
+EXPRESSIONS = set(
+    """Alias AttributeReference OuterReference Literal Cast SortOrder NamedParameter PosParameter
+    And Or Not EqualTo EqualNullSafe LessThan LessThanOrEqual GreaterThan GreaterThanOrEqual In IsNull IsNotNull Between
+    Add Subtract Multiply Divide IntegralDivide Remainder UnaryMinus UnaryPositive Abs Round BRound Floor Ceil RoundFloor RoundCeil Greatest Least
+    With CommonExpressionDef CommonExpressionRef CaseWhen If Coalesce NullIf IfNull Nvl Lower Upper Length StringTrim StringTrimLeft StringTrimRight Substring Left Right Concat ConcatWs
+    Like ILike RLike Contains StartsWith EndsWith RegExpReplace RegExpExtract StringReplace StringInstr TryCast TryToNumber ToNumber
+    AggregateExpression Count Sum Average Min Max CountIf StddevSamp StddevPop VarianceSamp VariancePop Median Percentile First Last
+    WindowExpression WindowSpecDefinition SpecifiedWindowFrame RowNumber Rank DenseRank CurrentRow$ UnboundedPreceding$ UnboundedFollowing$""".split()
+)
 
 
 def check_select(sql: str) -> str:
-    """What is wrong with a statement, or nothing: one SELECT from document_facts and no word that changes data."""
+    """What is wrong with a statement's words, or nothing: one SELECT and no word that changes data. What it reads and calls is told by its plan (see run_select)."""
     plain = " ".join(sql.lower().split())
     if not plain.startswith("select"):
         return "A statement has to be a SELECT."
@@ -77,15 +88,48 @@ def check_select(sql: str) -> str:
     return ""
 
 
+def _each(items: object) -> list:
+    """A Scala sequence as a list."""
+    return [items.apply(i) for i in range(items.size())]
+
+
+def check_plan(analysed: object, relation: str) -> str:
+    """What is wrong with a statement's analysed plan, or nothing: only known kinds of nodes and expressions, and no other leaf than `relation`."""
+    read, todo = 0, [analysed]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "SubqueryAlias" and node.alias().lower() == relation:
+            read += 1  # what is below are the facts themselves
+            continue
+        if kind not in PLANS:
+            return f"The statement comes to {kind}, which isn't allowed."
+        todo += _each(node.children())
+        inside = _each(node.expressions())
+        while inside:
+            e = inside.pop()
+            kind = e.getClass().getSimpleName()
+            if kind not in EXPRESSIONS:
+                return f"The statement calls {kind}, which isn't allowed."
+            inside += _each(e.children())
+    return "" if read else f"The statement doesn't read {relation}."
+
+
 def run_select(spark: SparkSession, facts: DataFrame, sql: str, args: list | None = None) -> DataFrame:
-    """Runs a guarded statement over the facts, named document_facts."""
+    """Runs a guarded statement over the facts, named document_facts. Nothing runs before its analysed plan has passed check_plan."""
     if wrong := check_select(sql):
         raise ValueError(wrong)
     plain = sql.rstrip().rstrip(";")
     if others := relations(spark, plain) - {"document_facts"}:
         raise ValueError(f"The statement reads {', '.join(sorted(others))}.")
     facts.createOrReplaceTempView("document_facts")
-    return spark.sql(plain, args=args or [])
+    try:
+        found = spark.sql(plain, args=args or [])
+    finally:  # the plan has the facts by now
+        spark.catalog.dropTempView("document_facts")
+    if wrong := check_plan(found._jdf.queryExecution().analyzed(), "document_facts"):
+        raise ValueError(wrong)
+    return found
 
 
 def relations(spark: SparkSession, sql: str) -> set[str]:

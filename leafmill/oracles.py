@@ -77,6 +77,12 @@ levels AS (SELECT s1 AS node_id, 'root' AS parent_id, 0 AS depth, r_name AS titl
   UNION ALL SELECT s1 || '/' || s2, s1, 1, n_name, page_number FROM named UNION ALL SELECT s1 || '/' || s2 || '/' || s3, s1 || '/' || s2, 2, c_mktsegment, page_number FROM named),
 nodes AS (SELECT node_id, parent_id, depth, CASE WHEN depth = 0 THEN 'section' ELSE 'subsection' END AS node_type, min(title) AS title, min(page_number) AS min_page, max(page_number) AS max_page, count(*) AS chunk_count, count(DISTINCT page_number) AS pages_covered
   FROM levels GROUP BY node_id, parent_id, depth)"""
+#: Nodes with their numbers among siblings from the top; `by` tells trees apart.
+PLACES = NODES.split("nodes AS (SELECT")[0].replace("page_number FROM named", "page_number, c_mktsegment, (page_number, section_context, content_hash) AS first FROM named").replace("{", "{{").replace("}", "}}") + """
+tn AS (SELECT {doc}node_id, parent_id, depth, arg_min(title, first) AS title, min(first) AS first, count(*) AS chunk_count, count(DISTINCT page_number) AS pages_covered FROM levels GROUP BY {doc}node_id, parent_id, depth),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY {by}, parent_id ORDER BY first, node_id) AS k, {by} AS tree FROM tn),
+places AS (SELECT a.*, a.k::VARCHAR AS place FROM numbered a WHERE depth = 0 UNION ALL SELECT b.*, a.k || '.' || b.k FROM numbered b JOIN numbered a ON a.node_id = b.parent_id AND a.tree = b.tree WHERE b.depth = 1
+  UNION ALL SELECT c.*, a.k || '.' || b.k || '.' || c.k FROM numbered c JOIN numbered b ON b.node_id = c.parent_id AND b.tree = c.tree JOIN numbered a ON a.node_id = b.parent_id AND a.tree = b.tree WHERE c.depth = 2)"""
 FACTS = r"""fc AS (SELECT 'Flag ' || l_returnflag AS entity, l_linenumber AS page_number, 'Order ' || l_orderkey || ' shipped in ' || year(l_shipdate) || ' for $' || l_extendedprice::DECIMAL(14,2) || ' at ' || round(l_discount * 100)::INT || '% discount.' AS content FROM lineitem),
 fh AS (SELECT *, """ + HASH.format("content", "page_number") + r""" AS content_hash FROM fc),
 document_facts AS (SELECT 'currency_amount' AS fact_key, unnest(regexp_extract_all(content, '(?i)(?:\$|USD\s?)\d[\d,]*(?:\.\d+)?')) AS fact_value, entity, content_hash, page_number FROM fh
@@ -170,7 +176,14 @@ UNION ALL SELECT '/in/o' || id || '_refined.json', NULL, NULL, NULL, CASE WHEN k
     "metadata_codec": f"WITH {PAGES}, m AS (SELECT doc_id, list_sort(list(page_number)) AS pages, string_agg(page_number::VARCHAR, ',' ORDER BY page_number) AS t FROM doc_pages WHERE text <> '' GROUP BY doc_id), s AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN 'x, -2,' || t WHEN doc_id % 7 = 1 THEN '0,none' ELSE t END AS page_numbers FROM m), b AS (SELECT *, list_filter(list_transform(string_split(page_numbers, ','), lambda x: try_cast(trim(x) AS INT)), lambda x: x > 0) AS r FROM s), c AS (SELECT *, CASE WHEN len(r) > 0 THEN r ELSE [1] END AS k FROM b) SELECT doc_id, page_numbers, array_to_string(k, ';') AS read_back, k::BIGINT[] = pages::BIGINT[] AS same FROM c",
     "section_tree": f"WITH {NODES} SELECT node_id, parent_id, depth, node_type, title, min_page, max_page, chunk_count, pages_covered FROM nodes",
     "tree_root": f"WITH {SECTIONS} SELECT count(*) AS total_chunks, count(DISTINCT page_number) AS total_pages_covered, min(page_number) AS min_page, max(page_number) AS max_page FROM sc",
-    "doc_outline": f"WITH {NODES} SELECT node_id, depth, repeat('  ', depth) || '- ' || title AS line FROM nodes",
+    "doc_outline": f"""WITH {PLACES.format(by='1', doc='')} SELECT node_id, depth, repeat('  ', depth) || '- ' || title AS line, place FROM places""",
+    "tree_exported": f"""WITH {PLACES.format(by='c_mktsegment', doc='c_mktsegment, ')} SELECT c_mktsegment, node_id, parent_id, depth, title, chunk_count, pages_covered, place FROM places""",
+    "questions_search": f"""WITH {SECTIONS}, f AS (SELECT r_name AS title, first(content ORDER BY page_number, section_context, content_hash) AS summary, min((page_number, section_context, content_hash)) AS ord FROM sc GROUP BY r_name),
+w AS (SELECT title, ord, {TOKENS.format("title || ' ' || summary")} AS w FROM f), u AS (SELECT conv_id || '-' || turn AS question_id, {TOKENS.format("text")} AS q FROM conversations WHERE role = 'user'),
+s AS (SELECT question_id, title, ord, 0.6 * len(list_intersect(q, w)) / len(list_distinct(list_concat(q, w))) + 0.4 * len(list_intersect(q, w)) / len(q) AS score FROM u, w WHERE len(list_intersect(q, w)) > 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, ord) AS rank FROM s) SELECT question_id, rank, title, round(score::DOUBLE, 6) AS score FROM k WHERE rank <= 3""",
+    "vectors_topk": """WITH p AS (SELECT q.vec_id AS query_id, e.vec_id, list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) ** 2)) AS distance FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM p) SELECT query_id, rank, vec_id, round(distance, 6) AS distance FROM k WHERE rank <= 10""",
     "section_search": f"WITH {SECTIONS}, f AS (SELECT r_name AS title, first(content ORDER BY page_number, section_context, content_hash) AS summary, min((page_number, section_context, content_hash)) AS ord FROM sc GROUP BY r_name), t AS (SELECT *, {TOKENS.format("'asia and europe customer of'")} AS q, {TOKENS.format("title || ' ' || summary")} AS w FROM f), s AS (SELECT *, 0.6 * len(list_intersect(q, w)) / len(list_distinct(list_concat(q, w))) + 0.4 * len(list_intersect(q, w)) / len(q) AS score FROM t), b AS (SELECT title, score FROM s WHERE score > 0 ORDER BY score DESC, ord LIMIT 3), h AS (SELECT title, page_number, content_hash, round(score::DOUBLE, 6) AS score, row_number() OVER (PARTITION BY content_hash ORDER BY page_number, section_context) AS k FROM sc JOIN b ON r_name = title) SELECT title, page_number, content_hash, score FROM h WHERE k = 1",
     "fact_extract": f"WITH {FACTS} SELECT * FROM document_facts",
     "fact_distinct_counts": f"WITH {FACTS} SELECT fact_key, entity, page_number, count(*) AS n, count(DISTINCT fact_value) AS distinct_values FROM (SELECT DISTINCT * FROM document_facts) GROUP BY ALL",
@@ -199,7 +212,7 @@ UNION ALL SELECT '/in/o' || id || '_refined.json', NULL, NULL, NULL, CASE WHEN k
     "hash_validation": f"WITH {SECTIONS} SELECT page_number, count(*) AS chunks, count_if(no % 17 = 0) AS bad, count_if(no % 11 = 0) AS bad_provenance FROM (SELECT *, regexp_extract(content, '(\\d+)', 1)::BIGINT AS no FROM sc) GROUP BY page_number",
     "safe_names": f"SELECT c_custkey, regexp_replace(regexp_replace(c_name || ' / ' || c_mktsegment || '.', '[^A-Za-z0-9._-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g') AS name, {SLUG.format('c_name')} AS slug FROM customer",
     "budget_page_results": f"WITH {BUDGET}, results AS (SELECT {RESULT_COLUMNS} FROM made GROUP BY file_id, page_number) SELECT file_id, page_number, attempts, final_strategy, final_status, total_cost, escalation_path FROM results",
-    "circuit_breaker": f"WITH {ATTEMPTS.replace('abs(value) AS processing_time_ms', 'ts, event_id, abs(value) AS processing_time_ms')}, f AS (SELECT min((ts, event_id)) AS first FROM attempts WHERE strategy = 'STRATEGY_C' AND status = 'fail' AND cost > 0.1) SELECT strategy, count(*) AS n, count_if(strategy = 'STRATEGY_C' AND coalesce((ts, event_id) > first, false)) AS disabled FROM attempts, f GROUP BY strategy",
+    "circuit_breaker": f"WITH {TRIED.replace('abs(value) AS processing_time_ms', 'ts, event_id, abs(value) AS processing_time_ms')}, f AS (SELECT min((ts, event_id)) AS first FROM tried WHERE strategy = 'STRATEGY_C' AND status = 'fail' AND cost > 0.1) SELECT strategy, count(*) AS n, count_if(strategy = 'STRATEGY_C' AND coalesce((ts, event_id) > first, false)) AS disabled FROM tried, f GROUP BY strategy",
     "styled_sections": f"WITH {UNITS.replace('FROM units),', 'FROM styled),').replace('marked AS (SELECT *,', 'styled AS (SELECT *, (doc_id + page_number + length(content)) % 9 AS look FROM units), marked AS (SELECT *, look < 3 OR')} SELECT doc_id, page_number, uid, section, is_boundary FROM placed",
     "page_plan": f"WITH {PLAN} SELECT doc_id, place, page_number FROM planned",
     "planned_strategies": f"WITH {DOCS}, {PLAN.replace(PAGES + ',', '')} SELECT p.doc_id, p.page_number, CASE WHEN f.doc_id IS NOT NULL THEN f.dominant_strategy WHEN origin_type = 'scanned_image' THEN 'STRATEGY_B' ELSE 'STRATEGY_A' END AS dominant_strategy, f.doc_id IS NULL AS synthesized FROM planned p JOIN docs d ON p.doc_id = d.doc_id LEFT JOIN (SELECT * FROM profiles WHERE page_number % 2 = 1) f ON f.doc_id = p.doc_id AND f.page_number = p.page_number",

@@ -85,8 +85,10 @@ class Engine:
             tool = "document_outline" if not question.strip() else next_tool(question, used)
             used.append(tool)
             if tool == "document_outline":
-                lines = self.run_tool(tool, question).orderBy("node_id").limit(self.max_lines).collect()  # max_lines at most
-                return Answer("\n".join(r["line"] for r in lines), [], used)
+                lines = [r["line"] for r in self.run_tool(tool, question).orderBy("place").limit(self.max_lines + 1).collect()]  # a line more than is shown
+                if len(lines) > self.max_lines:
+                    lines[self.max_lines :] = [f"... (the first {self.max_lines} lines)"]
+                return Answer("\n".join(lines), [], used)
             rows = [r.asDict() for r in self.run_tool(tool, question).collect()]  # a top-k
         if not rows:
             return Answer(NOTHING, [], used)

@@ -170,6 +170,26 @@ def chunk_page_index(spark, d):
     return chunking.page_index(c).select("doc_id", "page_number", "chunks")
 
 
+def _boxed_lines(spark, d):
+    """Line units with boxes by their place on the page."""
+    n = F.split("uid", "_")[1].cast("int")
+    return S.line_units(spark, d).withColumns({"x1": (F.length("content") % 5) / 10, "y1": n / 8, "x2": 0.5 + (F.length("content") % 5) / 10, "y2": (n + 1) / 8})
+
+
+@query
+def chunk_boxes(spark, d):
+    """The box of each merged chunk on each of its pages."""
+    c = chunking.merge_orphans(chunking.pack(_boxed_lines(spark, d), SMALL_CHUNKS), SMALL_CHUNKS)
+    return chunking.chunk_boxes(c).select("doc_id", "merged_no", "page_number", *[F.round(k, 6).alias(k) for k in ("x1", "y1", "x2", "y2")])
+
+
+@query
+def node_boxes(spark, d):
+    """The box of each section on each page, from its chunks' boxes."""
+    c = _boxed_chunks(spark, d).withColumn("boxes", F.array(F.struct("page_number", "x1", "y1", "x2", "y2")))
+    return tree.node_boxes(c)
+
+
 @query
 def html_units(spark, d):
     return S.html_units(spark, d)
@@ -312,13 +332,15 @@ def fact_guarded_sql(spark, d):
 
 
 def _vector(spark, d):
-    """The query vector: that of one row."""
-    return S.table(spark, d, "embeddings").where("vec_id = 7").select("embedding").first()[0]
+    """The query vector: that of one row, or none."""
+    row = S.table(spark, d, "embeddings").where("vec_id = 7").select("embedding").first()
+    return row and row[0]
 
 
 @query
 def vector_topk(spark, d):
-    top = retrieval.nearest(S.table(spark, d, "embeddings"), _vector(spark, d), 20)
+    vector, rows = _vector(spark, d), S.table(spark, d, "embeddings")
+    top = retrieval.nearest(rows if vector else rows.limit(0), vector or [], 20)
     return top.select("vec_id", "label", F.round("distance", 6).alias("distance"))
 
 
@@ -326,7 +348,8 @@ def vector_topk(spark, d):
 def hybrid_search(spark, d):
     docs = S.table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
     rows = S.table(spark, d, "embeddings").join(docs, F.col("vec_id") == F.col("doc_id"))
-    top = retrieval.hybrid(rows, _vector(spark, d), "the thin and of stat", 20)
+    vector = _vector(spark, d)
+    top = retrieval.hybrid(rows if vector else rows.limit(0), vector or [], "the thin and of stat", 20)
     return top.select("vec_id", F.round("score", 6).alias("score"), F.round("distance", 6).alias("distance"))
 
 
@@ -643,8 +666,9 @@ def _boxed_chunks(spark, d):
 
 @query
 def section_rollup(spark, d):
-    r = tree.section_rollup(_boxed_chunks(spark, d))
-    return r.select("title", "x1", "y1", "x2", "y2", "chunk_count", "total_pages_covered", F.md5(F.array_join("chunk_hashes", ",").cast("binary")).alias("hashes_md5"), F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"))
+    """Sections of each document, one a market segment."""
+    r = tree.section_rollup(_boxed_chunks(spark, d).withColumn("c_mktsegment", F.split("section_context", " > ")[2]), ("c_mktsegment",))
+    return r.select("c_mktsegment", "title", "x1", "y1", "x2", "y2", "chunk_count", "total_pages_covered", F.md5(F.array_join("chunk_hashes", ",").cast("binary")).alias("hashes_md5"), F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"))
 
 
 @query
@@ -668,7 +692,7 @@ def evidence_lines(spark, d):
 def cited_hashes(spark, d):
     """Hashes that an answer names, in its text or in its list, and that stand among the valid ones."""
     docs = S.table(spark, d, "documents").select("doc_id", _md5("text").alias("h"))
-    answer = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("As "), "h", F.lit(" says."))).otherwise(F.concat(F.lit("USED_HASHES: ['"), "h", F.lit("', deadbeef]")))
+    answer = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("As "), "h", F.lit(" says."))).otherwise(F.concat(F.lit("USED_HASHES: ['"), "h", F.lit("', "), F.when(F.col("doc_id") % 3 == 0, F.md5(F.col("h").cast("binary"))).otherwise("deadbeef"), F.lit("]")))
     named = F.array_union(T.used_hashes(answer), F.regexp_extract_all(answer, F.lit("([0-9a-f]{32})"), 1))
     cited = docs.select("doc_id", F.explode(named).alias("content_hash"))
     return cited.join(docs.select(F.col("h").alias("content_hash")).distinct(), "content_hash", "left_semi").select("doc_id", "content_hash")

@@ -58,13 +58,25 @@ def sections(units: DataFrame, config: Config) -> DataFrame:
     return u.withColumn("is_boundary", F.col("_static") | (~is_table & text.startswith("#") & (text != before))).drop("_static")
 
 
+def merge_boxes(boxes: Column) -> Column:
+    """Boxes (page_number, x1, y1, x2, y2) as one box a page, by page."""
+    pages = F.array_sort(F.array_distinct(F.transform(boxes, lambda b: b["page_number"])))
+
+    def of_page(page: Column) -> Column:
+        own = F.filter(boxes, lambda b: b["page_number"].eqNullSafe(page))
+        side = lambda name, pick: pick(F.transform(own, lambda b: b[name])).alias(name)
+        return F.struct(page.alias("page_number"), side("x1", F.array_min), side("y1", F.array_min), side("x2", F.array_max), side("y2", F.array_max))
+
+    return F.transform(pages, of_page)
+
+
 def atomic_units(units: DataFrame, config: Config) -> DataFrame:
-    """One row per island: joined content, pages, box, section; blank ones go; long texts are split into `piece`s."""
-    u = sections(units, config)
+    """One row per island: joined content, pages, box, box of each page, section; blank ones go; long texts are split into `piece`s, each with the island's boxes."""
+    u = sections(units, config).withColumn("_box", F.struct("page_number", "x1", "y1", "x2", "y2"))
     a = u.groupBy("doc_id", "island").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "content"))), lambda x: F.trim(x["content"])), "\n\n").alias("content"),
         F.array_sort(F.collect_set("page_number")).alias("pages"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"),
-        F.min("section").alias("section"), F.max("is_boundary").alias("is_boundary"), F.max("unit_type").alias("unit_type"),
+        F.min("section").alias("section"), F.max("is_boundary").alias("is_boundary"), F.max("unit_type").alias("unit_type"), merge_boxes(F.collect_list("_box")).alias("boxes"),
     )
     a = a.where(F.trim("content") != "").withColumn("_words", T.words(F.col("content")))
     n = F.size("_words")
@@ -94,7 +106,7 @@ def pack(units: DataFrame, config: Config) -> DataFrame:
     a = atomic_units(units, config)
     doc = Window.partitionBy("doc_id").orderBy("island", "piece").rowsBetween(Window.unboundedPreceding, 0)
     a = a.withColumn("segment", F.sum(F.col("is_boundary").cast("int")).over(doc))
-    row = F.struct("island", "piece", "tokens", "text", "pages", "x1", "y1", "x2", "y2", "section")
+    row = F.struct("island", "piece", "tokens", "text", "pages", "x1", "y1", "x2", "y2", "section", "boxes")
     s = a.groupBy("doc_id", "segment").agg(F.array_sort(F.collect_list(row)).alias("rows"))
     s = s.withColumn("starts", _pack_starts(F.transform("rows", lambda r: r["tokens"]), config.max_chunk))
     s = s.select("doc_id", "segment", "rows", "starts", F.posexplode("starts").alias("pack", "start"))
@@ -105,6 +117,7 @@ def pack(units: DataFrame, config: Config) -> DataFrame:
         "doc_id", "segment", "pack", F.array_join(all_of("text"), "\n\n").alias("content"), F.array_sort(F.array_distinct(F.flatten(all_of("pages")))).alias("pages"),
         F.array_min(all_of("x1")).alias("x1"), F.array_min(all_of("y1")).alias("y1"), F.array_max(all_of("x2")).alias("x2"), F.array_max(all_of("y2")).alias("y2"),
         F.col("part")[0]["section"].alias("section"), F.aggregate(all_of("tokens"), F.lit(0), lambda x, y: x + y).alias("tokens"),
+        merge_boxes(F.flatten(all_of("boxes"))).alias("boxes"),
     )
     return c.withColumn("chunk_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("segment", "pack")))
 
@@ -128,12 +141,17 @@ def merge_orphans(chunks: DataFrame, config: Config) -> DataFrame:
     m = c.groupBy("doc_id", "merged_no").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "content"))), lambda x: x["content"]), "\n\n").alias("content"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("pages")))).alias("pages"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"),
-        F.min_by("section", "chunk_no").alias("section"), F.sum("tokens").cast("int").alias("tokens"), F.count("*").alias("parts"),
+        F.min_by("section", "chunk_no").alias("section"), F.sum("tokens").cast("int").alias("tokens"), F.count("*").alias("parts"), merge_boxes(F.flatten(F.collect_list("boxes"))).alias("boxes"),
     )
     return m.withColumn("content_hash", T.content_hash(F.col("content"), F.col("pages")[0], F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
 
 
+def chunk_boxes(chunks: DataFrame) -> DataFrame:
+    """A row for each chunk and page that it stands on, with its box there."""
+    return chunks.select("doc_id", "merged_no", F.explode("boxes").alias("b")).select("doc_id", "merged_no", "b.*")
+
+
 def page_index(chunks: DataFrame) -> DataFrame:
-    """Box of each chunk on each of its pages."""
-    p = chunks.select("doc_id", "merged_no", F.explode("pages").alias("page_number"), "x1", "y1", "x2", "y2")
+    """Chunks of each page, and the box around what they have there."""
+    p = chunk_boxes(chunks)
     return p.groupBy("doc_id", "page_number").agg(F.count("*").alias("chunks"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))

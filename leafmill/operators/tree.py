@@ -21,6 +21,14 @@ def nodes(chunks: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return n.withColumn("node_type", F.when(F.col("depth") == 0, "section").otherwise("subsection"))
 
 
+def node_boxes(chunks: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, node_id, page_number, x1, y1, x2, y2): the box of each node on each page, around those of all chunks (section_context, boxes) below it."""
+    c = chunks.select(*by, F.transform(T.section_path(F.col("section_context")), T.slug).alias("_slugs"), F.explode("boxes").alias("b"))
+    each = c.select(*by, F.explode(F.transform(F.sequence(F.lit(1), F.size("_slugs")), lambda k: F.array_join(F.slice("_slugs", F.lit(1), k), "/"))).alias("node_id"), "b.*")
+    sides = [(F.min, "x1"), (F.min, "y1"), (F.max, "x2"), (F.max, "y2")]
+    return each.groupBy(*by, "node_id", "page_number").agg(*[pick(c).alias(c) for pick, c in sides])
+
+
 def root(chunks: DataFrame) -> DataFrame:
     """Totals over all chunks."""
     return chunks.agg(F.count("*").alias("total_chunks"), F.count_distinct("page_number").alias("total_pages_covered"), F.min("page_number").alias("min_page"), F.max("page_number").alias("max_page"))
@@ -94,10 +102,10 @@ def section_summaries(chunks: DataFrame, summarize: Callable[[Column, Column], C
     return s.select("title", summarize(F.col("title"), F.col("content")).alias("summary"), "ord")
 
 
-def section_rollup(chunks: DataFrame) -> DataFrame:
-    """Top sections with their box, pages, chunk hashes in order, and counts, of chunks with boxes (x1 to y2)."""
+def section_rollup(chunks: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Top sections with their box, pages, chunk hashes in order, and counts, of chunks with boxes (x1 to y2); a row's hashes are those of one document, which `by` names, and of one section."""
     c = chunks.withColumn("title", T.section_path(F.col("section_context"))[0])
-    r = c.groupBy("title").agg(
+    r = c.groupBy(*by, "title").agg(
         F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.array_sort(F.collect_set("page_number")).alias("pages"), F.count("*").alias("chunk_count"),
         F.transform(F.array_sort(F.collect_list(F.struct("page_number", "section_context", "content_hash"))), lambda x: x["content_hash"]).alias("chunk_hashes"),
     )

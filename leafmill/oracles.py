@@ -209,7 +209,8 @@ k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_
     "router_classify": "SELECT conv_id, turn, regexp_matches(lower(text), 'total|sum|compare|list all|revenue|metric|amount|percentage') AS is_metric, CASE WHEN regexp_matches(lower(text), 'outline|structure|table of contents') THEN 'document_outline' WHEN regexp_matches(lower(text), 'section|chapter|summar|overview') THEN 'pageindex_navigate' ELSE 'semantic_search' END AS tool FROM conversations WHERE role = 'user'",
     "bbox_validation": "SELECT l_returnflag, l_linestatus, count(*) AS boxes, count_if(NOT (l_quantity / 50 >= l_discount AND l_tax * 2 - 0.02::DOUBLE >= l_tax AND least(l_discount, l_tax, l_quantity / 50, l_tax * 2 - 0.02::DOUBLE) >= 0)) AS bad_boxes FROM lineitem GROUP BY ALL",
     "attempt_validation": f"WITH {ATTEMPTS}, e AS (SELECT count(*) AS n, count_if(event_id % 20 = 0) AS b0, count_if(event_id % 20 IN (1, 2)) AS b1, count_if(event_id % 20 = 3) AS b3, count_if(event_id % 20 = 4) AS b4, count_if(event_id % 20 = 5) AS b5, count_if(event_id % 20 = 6) AS b6, count_if(event_id % 20 = 7) AS b7, count_if(event_id % 20 < 9) AS b9, count_if(event_id % 20 = 8) AS b8 FROM events) SELECT unnest(['page_number', 'confidence', 'cost', 'processing_time_ms', 'status', 'strategy', 'content', 'token_count', 'unit_type']) AS check_name, n AS row_count, unnest([b0, b1, b3, b4, b5, b6, b7, b9, b8]) AS bad_rows FROM e",
-    "hash_validation": f"WITH {SECTIONS} SELECT page_number, count(*) AS chunks, count_if(no % 17 = 0) AS bad, count_if(no % 11 = 0) AS bad_provenance FROM (SELECT *, regexp_extract(content, '(\\d+)', 1)::BIGINT AS no FROM sc) GROUP BY page_number",
+    "hash_validation": f"""WITH {SECTIONS}, n AS (SELECT *, regexp_extract(content, '(\\d+)', 1)::BIGINT AS no FROM sc), h AS (SELECT page_number, content_hash AS again, CASE WHEN no % 17 = 0 THEN reverse(content_hash) ELSE content_hash END AS stored,
+  sha256(section_context || '|' || page_number || '|' || CASE WHEN no % 11 = 0 THEN 'STRATEGY_C' ELSE 'STRATEGY_B' END || '|2024-01-01T00:00:00Z|STRATEGY_A,STRATEGY_B') AS made, sha256(section_context || '|' || page_number || '|' || 'STRATEGY_B' || '|2024-01-01T00:00:00Z|STRATEGY_A,STRATEGY_B') AS sound FROM n) SELECT page_number, count(*) AS chunks, count_if(again <> stored) AS bad, count_if(made <> sound) AS bad_provenance FROM h GROUP BY page_number""",
     "safe_names": f"SELECT c_custkey, regexp_replace(regexp_replace(c_name || ' / ' || c_mktsegment || '.', '[^A-Za-z0-9._-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g') AS name, {SLUG.format('c_name')} AS slug FROM customer",
     "budget_page_results": f"WITH {BUDGET}, results AS (SELECT {RESULT_COLUMNS} FROM made GROUP BY file_id, page_number) SELECT file_id, page_number, attempts, final_strategy, final_status, total_cost, escalation_path FROM results",
     "circuit_breaker": f"WITH {TRIED.replace('abs(value) AS processing_time_ms', 'ts, event_id, abs(value) AS processing_time_ms')}, f AS (SELECT min((ts, event_id)) AS first FROM tried WHERE strategy = 'STRATEGY_C' AND status = 'fail' AND cost > 0.1) SELECT strategy, count(*) AS n, count_if(strategy = 'STRATEGY_C' AND coalesce((ts, event_id) > first, false)) AS disabled FROM tried, f GROUP BY strategy",
@@ -231,9 +232,15 @@ k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_
     "display_names": "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN replace(c_name, '#', '_') || '.pdf' WHEN 1 THEN c_mktsegment ELSE 'Indexed Document' END AS name FROM customer",
     "ledger_progress": f"WITH {RESULTS} SELECT file_id::VARCHAR AS file_name, page_number, row_number() OVER (PARTITION BY file_id ORDER BY page_number) AS pages_processed FROM results",
     "page_lists": "WITH p AS (SELECT l_orderkey, (l_quantity % 5 - CASE WHEN l_orderkey % 3 = 0 THEN 1 ELSE -1 END)::INT AS n FROM lineitem) SELECT l_orderkey, CASE WHEN min(n) > 0 THEN string_agg(DISTINCT n::VARCHAR, ',' ORDER BY n::VARCHAR) END AS pages FROM p GROUP BY l_orderkey",
-    "section_rollup": f"WITH {SECTIONS}, b AS (SELECT *, regexp_extract(content, '([0-9]+)', 1)::BIGINT AS k FROM sc) SELECT r_name AS title, min(k % 8 / 16)::DOUBLE AS x1, min(k % 4 / 8)::DOUBLE AS y1, max(0.5 + k % 8 / 16)::DOUBLE AS x2, max(0.5 + k % 4 / 8)::DOUBLE AS y2, count(*) AS chunk_count, count(DISTINCT page_number) AS total_pages_covered, md5(string_agg(content_hash, ',' ORDER BY page_number, section_context, content_hash)) AS hashes_md5, array_to_string(list_sort(list_distinct(list(page_number))), ',') AS pages FROM b GROUP BY r_name",
+    "section_rollup": f"WITH {SECTIONS}, b AS (SELECT *, regexp_extract(content, '([0-9]+)', 1)::BIGINT AS k FROM sc) SELECT c_mktsegment, r_name AS title, min(k % 8 / 16)::DOUBLE AS x1, min(k % 4 / 8)::DOUBLE AS y1, max(0.5 + k % 8 / 16)::DOUBLE AS x2, max(0.5 + k % 4 / 8)::DOUBLE AS y2, count(*) AS chunk_count, count(DISTINCT page_number) AS total_pages_covered, md5(string_agg(content_hash, ',' ORDER BY page_number, section_context, content_hash)) AS hashes_md5, array_to_string(list_sort(list_distinct(list(page_number))), ',') AS pages FROM b GROUP BY c_mktsegment, r_name",
+    "node_boxes": f"""WITH {NODES.replace("page_number FROM named", "page_number, regexp_extract(content, '([0-9]+)', 1)::BIGINT AS k FROM named")}
+SELECT node_id, page_number, min(k % 8 / 16)::DOUBLE AS x1, min(k % 4 / 8)::DOUBLE AS y1, max(0.5 + k % 8 / 16)::DOUBLE AS x2, max(0.5 + k % 4 / 8)::DOUBLE AS y2 FROM levels GROUP BY node_id, page_number""",
+    "chunk_boxes": f"""{MERGED}, b AS (SELECT s.doc_id, t.merged_no, s.page_number, u.n, length(u.content) % 5 AS k FROM seq s JOIN walk w ON s.doc_id = w.doc_id AND s.segment = w.segment AND s.rn = w.rn
+  JOIN chunk c ON c.doc_id = s.doc_id AND c.segment = s.segment AND c.pack = w.pack JOIN takes t ON t.doc_id = c.doc_id AND t.chunk_no = c.chunk_no JOIN (SELECT *, split_part(uid, '_', 2)::INT AS n FROM units) u ON u.doc_id = s.doc_id AND u.ord = s.ord)
+SELECT doc_id, merged_no, page_number, round(min(k / 10), 6) AS x1, round(min(n / 8), 6) AS y1, round(max(0.5 + k / 10), 6) AS x2, round(max((n + 1) / 8), 6) AS y2 FROM b GROUP BY ALL""",
     "chunk_nodes": f"WITH {NODES} SELECT 'chunk/' || left(content_hash, 16) AS node_id, s1 || '/' || s2 || '/' || s3 AS parent_id, 'chunk' AS node_type, 'Chunk ' || left(content_hash, 8) AS title, page_number FROM named",
     "section_summaries": f"WITH {SECTIONS}, f AS (SELECT r_name AS title, first(content ORDER BY page_number, section_context, content_hash) AS summary FROM sc GROUP BY r_name) SELECT title, title || ': ' || summary AS line FROM f WHERE title IN (SELECT r_name FROM sc WHERE page_number = 7 AND contains(content, 'BUILDING'))",
     "evidence_lines": f"WITH {SECTIONS} SELECT content_hash, '[hash=' || content_hash || ' page=' || page_number || '] ' || content AS line FROM sc",
-    "cited_hashes": "SELECT doc_id, md5(text) AS content_hash FROM documents",
+    "cited_hashes": """WITH docs AS (SELECT doc_id, md5(text) AS h FROM documents), n AS (SELECT doc_id, unnest(CASE WHEN doc_id % 2 = 0 THEN [h] WHEN doc_id % 3 = 0 THEN [h, md5(h)] ELSE [h, 'deadbeef'] END) AS content_hash FROM docs)
+SELECT doc_id, content_hash FROM n WHERE content_hash IN (SELECT h FROM docs)""",
 }

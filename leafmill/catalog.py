@@ -240,6 +240,28 @@ def page_lines(spark, d):
     return lines
 
 
+@query
+def fast_text_units(spark, d):
+    """Lines of words by their height; pages without words by the blank lines of their text; of planned pages."""
+    k = F.col("doc_id") + F.col("page_number")
+    pages = S.doc_pages(spark, d).withColumn("text", F.regexp_replace("text", "\n", F.when(k % 3 == 0, "\n\n").otherwise("\n")))
+    words = pages.where(k % 3 != 0).select("doc_id", "page_number", F.posexplode(T.words(F.col("text"))).alias("pos", "word")).withColumn("top", F.col("pos") * 0.4)
+    return units.fast_text_units(words, pages, _plan(spark, d)[1]).select("doc_id", "page_number", "uid", "content")
+
+
+@query
+def document_texts(spark, d):
+    return triage.document_texts(S.doc_pages(spark, d)).select("doc_id", F.length("text").alias("n_chars"), _md5("text").alias("text_md5"))
+
+
+@query
+def ledger_validation(spark, d):
+    """Checks of ledger rows, some of which stand for a document as a whole; some are spoilt."""
+    e = ledger.entries(extraction.page_results(extraction.escalate(S.attempts(spark, d))))
+    e = e.withColumn("page_number", F.col("page_number") - F.when(F.col("file_name").cast("long") % 10 == 3, 2).otherwise(1)).withColumnRenamed("cost_estimate", "cost")
+    return validation.violations(e.select("page_number", "cost", "processing_time_ms"), validation.FROM_ZERO)
+
+
 @query
 def ocr_word_confidence(spark, d):
     v = F.col("value").try_cast("double")

@@ -108,6 +108,12 @@ def doc_profiles(pages: DataFrame, config: Config) -> DataFrame:
     return agg.withColumn("origin_type", origin).withColumnRenamed("_n", "total_pages").drop("_marks", "_domain")
 
 
+def document_texts(pages: DataFrame) -> DataFrame:
+    """(doc_id, text): the texts of a document's pages in their order, a line each; pages without one count as empty."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("page_number", F.coalesce("text", F.lit("")).alias("t")))), lambda x: x["t"])
+    return pages.groupBy("doc_id").agg(F.array_join(parts, "\n").alias("text"))
+
+
 def legacy_profiles(pages: DataFrame, config: Config) -> DataFrame:
     """The older profile: strict complexity and a confidence from the majority's size."""
     p = page_profiles(pages, config)

@@ -40,6 +40,24 @@ def page_list(pages: Column) -> Column:
     return F.when(ok, F.array_sort(F.array_distinct(pages)))
 
 
+def fast_text_units(words: DataFrame, pages: DataFrame, plan: DataFrame | None = None) -> DataFrame:
+    """Text units of pages(doc_id, page_number, text): words(doc_id, page_number, pos, top, word) of one rounded height are a line, lines come from the top; a page without words gives the stretches between blank lines of its text.
+
+    `plan` names the (doc_id, page_number) that are read; of those beyond the pages nothing comes.
+    """
+    wanted = (lambda df: df.join(plan.select("doc_id", "page_number").distinct(), ["doc_id", "page_number"], "left_semi")) if plan is not None else (lambda df: df)
+    key = F.bround("top").cast("long")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.trim("word").alias("w")))), lambda x: x["w"])
+    lines = wanted(words).groupBy("doc_id", "page_number", key.alias("_key")).agg(F.trim(F.array_join(ordered, " ")).alias("content"))
+    own = F.transform(F.array_sort(F.collect_list(F.struct("_key", "content"))), lambda x: x["content"])
+    by_page = lines.groupBy("doc_id", "page_number").agg(own.alias("_lines"))
+    blocks = F.transform(F.split(F.coalesce("text", F.lit("")), "\n\n"), lambda b: F.regexp_replace(b, r"^\s+|\s+$", ""))
+    found = wanted(pages).select("doc_id", "page_number", "text").join(by_page, ["doc_id", "page_number"], "left")
+    found = found.select("doc_id", "page_number", F.posexplode(F.filter(F.coalesce("_lines", blocks), lambda x: x != "")).alias("n", "content"))
+    box = [F.lit(v).alias(k) for k, v in (("x1", 0.0), ("y1", 0.0), ("x2", 1.0), ("y2", 1.0))]
+    return found.select("doc_id", "page_number", F.format_string("p%d_%06d", "page_number", "n").alias("uid"), F.lit("text").alias("unit_type"), "content", *box)
+
+
 def piece_type(raw: Column) -> Column:
     """table, header, figure or text, by what a parser calls a piece."""
     low = F.lower(F.coalesce(raw, F.lit("")))

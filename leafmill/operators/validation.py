@@ -26,10 +26,14 @@ CHECKS: dict[str, str] = {
 }
 
 
-def violations(df: DataFrame) -> DataFrame:
+#: Where rows may stand for a whole document, as in the ledger and the index, page 0 is one.
+FROM_ZERO: dict[str, str] = {**CHECKS, "page_number": "page_number >= 0"}
+
+
+def violations(df: DataFrame, checks: dict[str, str] = CHECKS) -> DataFrame:
     """Rows and violating rows for each check whose column the table has; null violates. One aggregation."""
-    names = [c for c in CHECKS if c in df.columns]
-    agg = df.agg(F.count("*").alias("_n"), *[F.count_if(~F.coalesce(F.expr(CHECKS[c]), F.lit(False))).alias(c) for c in names])
+    names = [c for c in checks if c in df.columns]
+    agg = df.agg(F.count("*").alias("_n"), *[F.count_if(~F.coalesce(F.expr(checks[c]), F.lit(False))).alias(c) for c in names])
     pairs = F.array(*[F.struct(F.lit(c).alias("check_name"), F.col("_n").alias("row_count"), F.col(c).alias("bad_rows")) for c in names])
     return agg.select(F.explode(pairs).alias("r")).select("r.*")
 

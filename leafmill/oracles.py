@@ -172,6 +172,15 @@ UNION ALL SELECT file_id, 1, 1, 'text', s, 0, 1, file_id || ' > text' FROM o WHE
 UNION ALL SELECT '/in/o' || id || '_refined.json', NULL, NULL, NULL, CASE WHEN k = 5 THEN 'no JSON' ELSE 'no JSON object' END, NULL, NULL, NULL FROM o WHERE k IN (5, 6)""",
     "layout_counters": f"WITH {HTML} SELECT page_id, count_if(unit_type = 'header') AS headers, count_if(unit_type = 'text') AS texts, count_if(tag = 'li') AS items, sum(len({WORDS.format('content')}))::BIGINT AS tokens FROM html_units GROUP BY page_id",
     "page_lines": f"WITH s AS (SELECT doc_id, {WORDS.format('text')} AS w FROM documents), w AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM s) SELECT doc_id, round_even(pos * 0.4, 0)::INT AS line_key, string_agg(word, ' ' ORDER BY pos) AS line FROM w GROUP BY ALL",
+    "fast_text_units": f"""WITH {PLAN}, pp AS (SELECT p.doc_id, p.page_number, CASE WHEN (p.doc_id + p.page_number) % 3 = 0 THEN replace(text, chr(10), chr(10) || chr(10)) ELSE text END AS text FROM doc_pages p SEMI JOIN planned USING (doc_id, page_number)),
+w AS (SELECT doc_id, page_number, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos FROM (SELECT *, {WORDS.format('text')} AS ws FROM pp WHERE (doc_id + page_number) % 3 <> 0)),
+wl AS (SELECT doc_id, page_number, round_even(pos * 0.4, 0)::BIGINT AS k, string_agg(word, ' ' ORDER BY pos) AS content FROM w GROUP BY ALL),
+bl AS (SELECT doc_id, page_number, unnest(bs) AS content, generate_subscripts(bs, 1) AS k FROM (SELECT *, string_split(text, chr(10) || chr(10)) AS bs FROM pp ANTI JOIN wl USING (doc_id, page_number))),
+al AS (SELECT doc_id, page_number, k, content FROM wl UNION ALL SELECT doc_id, page_number, k, regexp_replace(content, '^\\s+|\\s+$', '', 'g') FROM bl),
+nn AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY k) - 1 AS n FROM al WHERE content <> '') SELECT doc_id, page_number, 'p' || page_number || '_' || lpad(n::VARCHAR, 6, '0') AS uid, content FROM nn""",
+    "document_texts": f"WITH {PAGES} SELECT doc_id, length(string_agg(text, chr(10) ORDER BY page_number)) AS n_chars, md5(string_agg(text, chr(10) ORDER BY page_number)) AS text_md5 FROM doc_pages GROUP BY doc_id",
+    "ledger_validation": f"""WITH {RESULTS}, e AS (SELECT page_number - CASE WHEN file_id % 10 = 3 THEN 2 ELSE 1 END AS page_number FROM results)
+SELECT 'page_number' AS check_name, count(*) AS row_count, count_if(page_number < 0) AS bad_rows FROM e UNION ALL SELECT 'cost', count(*), 0 FROM e UNION ALL SELECT 'processing_time_ms', count(*), 0 FROM e""",
     "ocr_word_confidence": "SELECT user_id, round(greatest(0.0, least(1.0, avg(value) FILTER (WHERE value >= 0) / 100))::DOUBLE, 6) AS confidence FROM events GROUP BY user_id",
     "metadata_codec": f"WITH {PAGES}, m AS (SELECT doc_id, list_sort(list(page_number)) AS pages, string_agg(page_number::VARCHAR, ',' ORDER BY page_number) AS t FROM doc_pages WHERE text <> '' GROUP BY doc_id), s AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN 'x, -2,' || t WHEN doc_id % 7 = 1 THEN '0,none' ELSE t END AS page_numbers FROM m), b AS (SELECT *, list_filter(list_transform(string_split(page_numbers, ','), lambda x: try_cast(trim(x) AS INT)), lambda x: x > 0) AS r FROM s), c AS (SELECT *, CASE WHEN len(r) > 0 THEN r ELSE [1] END AS k FROM b) SELECT doc_id, page_numbers, array_to_string(k, ';') AS read_back, k::BIGINT[] = pages::BIGINT[] AS same FROM c",
     "section_tree": f"WITH {NODES} SELECT node_id, parent_id, depth, node_type, title, min_page, max_page, chunk_count, pages_covered FROM nodes",

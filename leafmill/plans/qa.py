@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import facts as facts_ops
 from ..operators import retrieval, tree
+from . import refine
 
 #: Words by which questions are told apart.
 METRIC_WORDS = ("total", "sum", "compare", "list all", "revenue", "metric", "amount", "percentage")
@@ -128,4 +129,10 @@ class Engine:
         return Answer(f"Status: UNVERIFIABLE\nReasoning: {reason}", rows[:2], tools, "UNVERIFIABLE")
 
 
-__all__ = ["Answer", "Engine", "is_metric", "next_tool", "retrieval", "tool_for"]
+def open_engine(spark: SparkSession, folder: str, **hooks) -> Engine:
+    """An engine over the chunks of a finished run; an error where tables of the run are missing."""
+    chunks = refine.finished(spark, folder)["chunks"]
+    return Engine(chunks.select(F.col("section").alias("section_context"), F.col("pages")[0].alias("page_number"), "content", "content_hash"), **hooks)
+
+
+__all__ = ["Answer", "Engine", "open_engine", "is_metric", "next_tool", "retrieval", "tool_for"]

@@ -14,8 +14,9 @@ corpus's own candidates count as not personal, but for those that a first fit on
 personal: these are left out of the second, as they may well be.
 
 Inputs with defined results: a null or empty text has no spans; a table without texts adds no
-spans; repeated rows give repeated rows; an empty table gives an empty table; other columns of
-the input are ignored.
+spans; repeated rows give repeated rows; an empty table gives an empty table; candidates are as long
+as what they stand for, however long that is; of overlapping candidates the best is taken, the
+first of equally good ones; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -43,10 +44,10 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 #: Generators of further candidates: runs with many digits, words around an at sign or its spellings, strings of letters and digits, and what follows a word for secrets.
-_MANY_DIGITS = re.compile(r"[+(]?[0-9](?:[\x20().\-/\n\[\]]{0,3}[0-9]){5,40}")
-_AROUND_AT = re.compile(r"[\w.+%-]{1,64}[\x20]?(?:@|[(\[]at[)\]]|(?<=\x20)at(?=\x20))[\x20]?[\w-]{1,63}(?:(?:\.|\x20\.\x20|\x20?[(\[]dot[)\]]\x20?|\x20dot\x20)[\w-]{1,63}){1,4}", re.I)
-_KEY = re.compile(r"[A-Za-z0-9_+/=-]{12,200}")
-_AFTER_CUE = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|credentials?)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"',;]{6,200})")
+_MANY_DIGITS = re.compile(r"[+(]?[0-9](?:[\x20().\-/\n\[\]]{0,3}[0-9]){5,}")
+_AROUND_AT = re.compile(r"(?<![\w.+%-])[\w.+%-]++[\x20]?(?:@|[(\[]at[)\]]|(?<=\x20)at(?=\x20))[\x20]?[\w-]+(?:(?:\.|\x20\.\x20|\x20?[(\[]dot[)\]]\x20?|\x20dot\x20)[\w-]+)+", re.I)
+_KEY = re.compile(r"[A-Za-z0-9_+/=-]{12,}")
+_AFTER_CUE = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|credentials?)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"',;]{6,})")
 _AT_SIGNS = re.compile(r"@|[(\[]at[)\]]| at ", re.I)
 #: Words that often stand before personal data.
 _CUES = re.compile(r"(?i)(phone|tel|call|mobile|fax|mail|contact|card|visa|account|host|server|addr|login|user|ssn|born)")
@@ -278,7 +279,7 @@ def fit_trees(x: np.ndarray, sort: np.ndarray, rounds: int = 80, rate: float = 0
     return BoostedTrees(model.start, model.trees, float(score[order][at]), float(right[at] / (at + 1)), float(right[at] / truth.sum()))
 
 
-def fit(df: DataFrame, text_col: str = "text", max_docs: int = 20_000, max_candidates: int = 40_000) -> BoostedTrees | None:
+def fit(df: DataFrame, text_col: str = "text", max_docs: int = 5_000, max_candidates: int = 40_000) -> BoostedTrees | None:
     """Fits on candidates of at most about `max_docs` texts, drawn by a hash of the text; `max_candidates` bounds what reaches the driver."""
     rows = df.where(F.length(text_col) > 0)
     n = rows.count()

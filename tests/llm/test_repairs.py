@@ -1,11 +1,12 @@
 """Cases that once went wrong: leaves split three times, rows that differ in their source alone."""
 
 import re
+import time
 
 import numpy as np
 import pytest
 
-from leafmill.llm import mixing, vector_dedup
+from leafmill.llm import mixing, pii, vector_dedup
 
 
 def test_leaves_are_split_on_every_level(spark, monkeypatch):
@@ -40,3 +41,16 @@ def test_one_text_in_several_sources(spark, order):
     assert got == [c for c in counts if c[3]]
     # by source and row, the same for either order of the input
     assert sorted((r["source"], r["doc_id"], r["row"], r["taken"]) for r in mixed) == sorted((r["source"], r["doc_id"], r["row"], r["taken"]) for r in mixing.mix_documents(spark.createDataFrame(ROWS, rows.schema)).collect())
+
+
+def test_long_values_are_one_candidate():
+    key = "aB3" * 170
+    text = f"token: {key} x, {'7-' * 60}7 and {'l' * 90}@{'d' * 80}.org"
+    found = {(text[s:e], k) for s, e, k in pii.candidates(text)}
+    assert {(key, "secret"), ("7-" * 60 + "7", "other"), ("l" * 90 + "@" + "d" * 80 + ".org", "other")} <= found
+
+
+def test_long_runs_take_linear_time():
+    start = time.process_time()
+    assert pii.candidates("a" * 1_000_000 + " b@ " + "x." * 300_000 + " @c.d") is not None
+    assert time.process_time() - start < 20

@@ -25,7 +25,9 @@ columns of the input are ignored.
 from __future__ import annotations
 
 import json
+import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,8 +44,12 @@ from .common import Scratch, arrow_map, shuffles_removed
 from .packing import _WordIds
 
 MAGIC = b"WMX1"
-#: Bytes of a plane that are compressed together; words that a worker keeps the ids of, twice. The words take about 100 MB at most.
-BLOCK, KEEP = 8192, 250_000
+#: Bytes of a plane that are compressed together; code points that are encoded in one go, about.
+BLOCK, LIMIT = 8192, 1 << 18
+#: Marks of plain text, runs of which the library takes as one. Else it has letters of Latin alphabets, spaces and line ends.
+_MARKS = re.escape("!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~")
+_RUN = re.compile(f"[{_MARKS}]+")
+_ODD = re.compile(rf"[^A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff{_MARKS} \n]")
 
 
 def build(ids: np.ndarray, planes: int, directory: pa.Table) -> bytes:
@@ -168,7 +174,58 @@ class WaveletMatrix:
         return x.astype("<u4")
 
 
-_words: dict[str, _WordIds] = {}
+class _Encoder:
+    """Ids of texts, in one go wherever the encoder for ranks tells words as the library does.
+
+    It takes the vocabulary with a mark of its own for the end of a word, a byte that no plain text holds: the
+    ids of a word's last byte with its end come before all merges, so that the mark is joined to it
+    first, as the library does from the start. Words with other characters go to the library, with a
+    bounded table of them.
+    """
+
+    MARK = "\x01"
+
+    def __init__(self, name: str):
+        import tiktoken
+
+        self.odd = _WordIds(name)
+        back = {chr(i): b for b, i in self.odd.letters.items()}
+        ranks: dict[bytes, int] = {}
+        for token, i in self.odd.tokenizer.get_vocab().items():
+            body, end = (token[:-4], self.MARK) if token.endswith("</w>") else (token, "")
+            if not token.startswith("<|"):
+                ranks[bytes(back.get(c, ord(c)) for c in body) + end.encode()] = i
+        self.together = tiktoken.Encoding("words", pat_str=f"[^{self.MARK}]*{self.MARK}", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def plain(self, text: str) -> bytes:
+        """Ids of a stretch of plain words: every run of letters or of marks ends with the sign for its end."""
+        mark = self.MARK
+        text = _RUN.sub(f"{mark}\\g<0>{mark}", text.lower())
+        text = text.replace(" ", mark).replace("\n", mark) + mark
+        while mark + mark in text:
+            text = text.replace(mark + mark, mark)
+        return array("I", self.together(text.lstrip(mark))).tobytes()
+
+    def stretches(self, text: str) -> Iterator[tuple[str, str]]:
+        """Plain stretches and the odd word after each."""
+        at = 0
+        for m in _ODD.finditer(text):
+            if m.start() < at:
+                continue
+            start = max(text.rfind(" ", at, m.start()), text.rfind("\n", at, m.start()), at - 1) + 1
+            end = min((e for e in (text.find(" ", m.end()), text.find("\n", m.end())) if e >= 0), default=len(text))
+            yield text[at:start], text[start:end]
+            at = end
+        while len(text) - at > LIMIT and (cut := text.find(" ", at + LIMIT)) >= 0:
+            yield text[at:cut], ""
+            at = cut
+        yield text[at:], ""
+
+    def of(self, text: str) -> bytes:
+        return b"".join(ids for plain, odd in self.stretches(text) for ids in (self.plain(plain), self.odd[odd]))
+
+
+_encoders: dict[str, _Encoder] = {}
 
 
 class _Shards:
@@ -212,10 +269,10 @@ def write_tokens(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: s
     dealt = df.select(*keys, F.col(text_col).alias("text")).repartitionByRange(parts, "id", "h", "row").sortWithinPartitions("id", "h", "row").select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _words:
-            _words[tokenizer] = _WordIds(tokenizer, KEEP)
-        words, shards = _words[tokenizer], None
-        planes = max(words.tokenizer.get_vocab_size() - 1, end_id).bit_length()
+        if tokenizer not in _encoders:
+            _encoders[tokenizer] = _Encoder(tokenizer)
+        encoder, shards = _encoders[tokenizer], None
+        planes = max(encoder.odd.tokenizer.get_vocab_size() - 1, end_id).bit_length()
         end, part = np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
 
         def rows(found: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +282,7 @@ def write_tokens(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: s
         for batch in batches:
             shards = shards or _Shards(batch.schema.field(0).type, planes, shard_tokens)
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                yield from rows(shards.add(key, words.of(text.as_py() or "") + end))
+                yield from rows(shards.add(key, encoder.of(text.as_py() or "") + end))
         if shards:
             yield from rows(shards.close())
 

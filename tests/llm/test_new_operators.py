@@ -27,6 +27,7 @@ def docs(spark, texts=ODD):
     return spark.createDataFrame(rows, "doc_id long, text string, source string, chunk string, id int")
 
 
+WORDS = Tokenizer.from_file(P.path("word_bpe_49k.json"))
 A = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
 A.encode_special_tokens = True
 B = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
@@ -263,3 +264,28 @@ def test_op13_on_the_supplied_embeddings(spark):
     assert len(rows) == 8 * n and {r["n"] for r in rows} == {n}
     want = {i: int(((n * r.astype(object) - s) ** 2).sum()) for i, r in zip(held["vec_id"], x)}
     assert all(want[r["vec_id"]] == r["deviation"] for r in rows) and rows[0]["identity_error"] < 1e-4
+
+
+words = st.lists(st.sampled_from(["don't", " ", "  ", "\n", "\t", "é", "漢", "12", "²", "!'s", "...", "|", "<|endoftext|>", "<|", "|>", "hello", "The", "ÑAß", "\x1c", "\x01", "​", "\x85", "🙂", "--", "a_b", "#$%", "unbelievableness"]), max_size=12).map("".join)
+
+
+@settings(max_examples=400, deadline=None)
+@given(words)
+def test_texts_are_encoded_as_by_the_library(text):
+    encoder = token_files._encoders.setdefault("word_bpe_49k.json", None) or token_files._Encoder("word_bpe_49k.json")
+    token_files._encoders["word_bpe_49k.json"] = encoder
+    assert np.frombuffer(encoder.of(text), "<u4").tolist() == WORDS.encode(text, add_special_tokens=False).ids
+
+
+def test_supplied_texts_are_encoded_as_by_the_library(spark):
+    encoder = token_files._Encoder("word_bpe_49k.json")
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():
+        assert encoder.of(r["text"] or "") == np.array(WORDS.encode(r["text"] or "", add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_long_texts_are_encoded_in_parts(monkeypatch):
+    encoder = token_files._Encoder("word_bpe_49k.json")
+    text = "some words, again and again! " * 300
+    whole = encoder.of(text)
+    monkeypatch.setattr(token_files, "LIMIT", 50)
+    assert encoder.of(text) == whole == np.array(WORDS.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

@@ -9,7 +9,8 @@ do no harm. Rules come as a list or as a table (verdict, host, path) of at most
 as the digests of all of them are kept on every executor's disk.
 
 Inputs with defined results: a null URL or one without "://" has empty host and path and meets
-no rule; an empty rule list gives the default verdict everywhere; repeated rows give repeated
+no rule; an empty rule list gives the default verdict everywhere; of rules with one host and path
+block counts; of fitting rules of one length that with the longer host; repeated rows give repeated
 rows; an empty table gives an empty table; other columns of the input are ignored.
 """
 
@@ -23,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import arrow_map
 
@@ -92,7 +94,7 @@ _open: dict[str, _Digests] = {}
 
 
 def _candidates(host: str, path: str, labels: list[int], lengths: list[int]) -> list[tuple[str, str]]:
-    """Host suffixes of the rules' numbers of labels with path prefixes of the rules' lengths, longest first."""
+    """Host suffixes of the rules' numbers of labels with path prefixes of the rules' lengths, longest first, of equally long ones the longer host."""
     hosts, at, n = [], len(host), 0
     for k in labels:
         while n < k and at >= 0:
@@ -103,14 +105,18 @@ def _candidates(host: str, path: str, labels: list[int], lengths: list[int]) ->
         if at < 0:
             break
     paths = [path[:n] for n in lengths if n <= len(path)]
-    return sorted(((h, p) for h in hosts for p in paths), key=lambda x: -len(x[0]) - len(x[1]))
+    return sorted(((h, p) for h in hosts for p in paths), key=lambda x: (-len(x[0]) - len(x[1]), -len(x[0])))
 
 
 def filter_urls(df: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", max_rules: int = 20_000_000) -> DataFrame:
     """One row per input row: id, host, path, rule (host and path of the longest rule that fits, else null) and verdict."""
     if isinstance(rules, DataFrame):
-        found = rules.select("verdict", "host", "path").distinct().limit(max_rules + 1).toArrow()
+        found = rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict")).limit(max_rules + 1).toArrow()
         rules = list(zip(*(found[c].to_pylist() for c in ("verdict", "host", "path"))))
+    settled: dict[tuple[str, str], str] = {}
+    for verdict, host, path in rules:
+        settled[host, path] = max(verdict, settled.get((host, path), verdict))  # block comes after allow
+    rules = [(verdict, host, path) for (host, path), verdict in settled.items()]
     if len(rules) > max_rules:
         raise ValueError(f"more than {max_rules} rules")
     name = write_digests(df.sparkSession, rules)

@@ -6,7 +6,7 @@ import time
 import numpy as np
 import pytest
 
-from leafmill.llm import mixing, pii, vector_dedup
+from leafmill.llm import mixing, pii, url_filter, vector_dedup
 
 
 def test_leaves_are_split_on_every_level(spark, monkeypatch):
@@ -54,3 +54,11 @@ def test_long_runs_take_linear_time():
     start = time.process_time()
     assert pii.candidates("a" * 1_000_000 + " b@ " + "x." * 300_000 + " @c.d") is not None
     assert time.process_time() - start < 20
+
+
+def test_rules_that_contradict_each_other(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/x"), (2, "http://a.org/y")], "page_id long, url string")
+    rules = [("block", "a.org", "/x"), ("allow", "a.org", "/x"), ("allow", "a.org", "/")]
+    for given in (rules, rules[::-1], spark.createDataFrame(rules, "verdict string, host string, path string"), spark.createDataFrame(rules[::-1], "verdict string, host string, path string")):
+        got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.filter_urls(pages, given).collect()}
+        assert got == {1: ("a.org/x", "block"), 2: ("a.org/", "allow")}

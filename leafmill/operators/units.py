@@ -121,11 +121,12 @@ def layout_inputs(units: DataFrame) -> DataFrame:
 
 
 def judged_pages(pages: DataFrame, units: DataFrame, config: Config) -> DataFrame:
-    """pages(doc_id, page_number, strategy, origin_type, char_density, has_fonts, engine) with confidence, what is required, and whether the attempt succeeds; pages without units have none of them."""
+    """pages(doc_id, page_number, strategy, origin_type, char_density, has_fonts, engine) with confidence, what is required, and whether the attempt succeeds; pages without units have none of them. A column `uncertain` says where vision itself wasn't sure."""
     p = pages.join(layout_inputs(units), ["doc_id", "page_number"], "left").fillna(0, ["n_units", "tables", "texts"])
     clarity = F.coalesce("clarity", F.lit(0.0))
     layout = extraction.layout_confidence(F.col("n_units") > 0, clarity, F.col("engine"), F.col("tables"), F.col("texts"), F.col("char_density"), config)
-    confidence = extraction.dispatch_confidence(F.col("strategy"), extraction.fast_confidence(F.col("char_density"), F.col("has_fonts"), config), layout, F.col("n_units") == 0)
+    unsure = (F.col("n_units") == 0) | (F.coalesce("uncertain", F.lit(False)) if "uncertain" in pages.columns else F.lit(False))
+    confidence = extraction.dispatch_confidence(F.col("strategy"), extraction.fast_confidence(F.col("char_density"), F.col("has_fonts"), config), layout, unsure)
     required = extraction.required_confidence(F.col("strategy"), F.col("origin_type"), config)
     return p.withColumn("confidence", confidence).withColumn("required", required).withColumn("success", extraction.succeeded(F.col("n_units"), F.col("confidence"), F.col("required")))
 

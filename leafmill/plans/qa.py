@@ -53,30 +53,41 @@ class Answer:
     provenance: list[dict]
     tools: list[str] = field(default_factory=list)
     status: str = ""
+    sections: list[str] = field(default_factory=list)
 
 
 class Engine:
     """Answers over chunks (section_context, page_number, content, content_hash) without a language model.
 
     `search(question, k)` may be plugged in for vectors; by default texts rank by the lexical
-    score. Evidence is a top-k, so what reaches the driver is bounded.
+    score. Evidence is a top-k, so what reaches the driver is bounded. `tools` adds tools by name, or
+    replaces those of TOOLS: functions of a question that give rows of chunks, or of lines with a place for an outline.
     """
 
-    def __init__(self, chunks: DataFrame, search: Callable[[str, int], DataFrame] | None = None, generate: Callable[[str, list[dict]], str] | None = None, top: int = 20, plan_sql: Callable[[str], dict] | None = None, max_lines: int = 1000):
+    def __init__(self, chunks: DataFrame, search: Callable[[str, int], DataFrame] | None = None, generate: Callable[[str, list[dict]], str] | None = None, top: int = 20, plan_sql: Callable[[str], dict] | None = None, max_lines: int = 1000, tools: dict[str, Callable[[str], DataFrame]] | None = None):
         self.chunks, self.top, self.generate, self.plan_sql, self.max_lines = chunks, top, generate, plan_sql, max_lines
         self.find = search or self._lexical
+        self.tools = {"semantic_search": self._search, "pageindex_navigate": self._navigate, "document_outline": lambda _: tree.outline(tree.nodes(self.chunks)), **(tools or {})}
 
     def _lexical(self, question: str, k: int) -> DataFrame:
         score = T.lexical_similarity(T.tokens(F.lit(question)), T.tokens(F.col("content")))
         return self.chunks.withColumn("score", score).where("score > 0").orderBy(F.desc("score"), "content_hash").limit(k).drop("score")
 
-    def run_tool(self, tool: str, question: str) -> DataFrame:
-        if tool == "pageindex_navigate":
-            return tree.search(self.chunks, question).select(*self.chunks.columns).orderBy("page_number", "content_hash").limit(self.top)
-        if tool == "document_outline":
-            return tree.outline(tree.nodes(self.chunks))
+    def _search(self, question: str) -> DataFrame:
         return self.find(question, self.top).select(*self.chunks.columns)
 
+    def _navigate(self, question: str) -> DataFrame:
+        return tree.search(self.chunks, question).select(*self.chunks.columns).orderBy("page_number", "content_hash").limit(self.top)
+
+    def run_tool(self, tool: str, question: str) -> DataFrame:
+        if tool not in self.tools:
+            raise ValueError(f"no tool {tool}; there are {', '.join(sorted(self.tools))}")
+        return self.tools[tool](question)
+
+    def section_lines(self, found: DataFrame) -> list[str]:
+        """Titles with summaries of the sections that found chunks, a top-k, stand in."""
+        return [r["line"] for r in tree.summaries_of(self.chunks, found).orderBy("title").collect()]
+
     def ask(self, question: str, max_calls: int = 2) -> Answer:
         if is_metric_question(question):
             return self.ask_facts(question)
@@ -90,11 +101,13 @@ class Engine:
                 if len(lines) > self.max_lines:
                     lines[self.max_lines :] = [f"... (the first {self.max_lines} lines)"]
                 return Answer("\n".join(lines), [], used)
-            rows = [r.asDict() for r in self.run_tool(tool, question).collect()]  # a top-k
+            found = self.run_tool(tool, question)
+            rows = [r.asDict() for r in found.collect()]  # a top-k
+        sections = self.section_lines(found) if rows and tool == "pageindex_navigate" else []
         if not rows:
             return Answer(NOTHING, [], used)
         text = self.generate(question, rows) if self.generate else "\n".join(f"- {r['content']} (content_hash={r['content_hash']}, page={r['page_number']})" for r in rows[:5])
-        return Answer(text, rows[:5], used)
+        return Answer(text, rows[:5], used, sections=sections)
 
     def ask_facts(self, question: str) -> Answer:
         """Questions of amounts: chunks are searched, their facts extracted, and the facts asked by a plan or by the question's words."""

@@ -190,3 +190,12 @@ def test_hours_once_and_late_events_counted(spark, tmp_path):
         spark.streams.removeListener(late)
     got = sink.read(spark, f"{tmp_path}/out", "hour_start timestamp, event_type string, n long, value double").orderBy("hour_start").collect()
     assert [(r["hour_start"].hour, r["n"], r["value"]) for r in got] == [(10, 2, 3.0), (13, 1, 5.0), (15, 1, 1.0)] and late.dropped[str(q.id)] == 1
+
+
+def test_vision_may_be_unsure_of_what_it_has_found(spark):
+    from leafmill.config import Config
+    from leafmill.operators import units
+
+    pages = spark.createDataFrame([(1, 1, "STRATEGY_C", "hybrid", 0.0, False, None, True), (1, 2, "STRATEGY_C", "hybrid", 0.0, False, None, False)], "doc_id long, page_number int, strategy string, origin_type string, char_density double, has_fonts boolean, engine double, uncertain boolean")
+    found = spark.createDataFrame([(1, 1, "u", "text", "x"), (1, 2, "u", "text", "x")], "doc_id long, page_number int, uid string, unit_type string, content string")
+    assert {r["page_number"]: r["confidence"] for r in units.judged_pages(pages, found, Config()).collect()} == {1: 0.7, 2: 0.95}

@@ -135,3 +135,13 @@ def test_the_view_is_gone_afterwards(spark, some_facts):
     facts.run_select(spark, some_facts, "SELECT count(*) AS n FROM document_facts")
     with pytest.raises(AnalysisException):
         spark.table("document_facts")
+
+
+def test_tools_are_told_by_name_and_navigation_tells_sections(spark):
+    c = chunks(spark, "Finance > Plan", "Cash flow", "Finance > Cash")
+    answer = qa.Engine(c).ask("Which section is about finance?")
+    assert answer.tools == ["pageindex_navigate"] and answer.sections == ["Finance: Text 0 of Finance > Plan."]
+    mine = qa.Engine(c, tools={"semantic_search": lambda q: c.where("page_number = 2")})
+    assert "Text 1" in mine.ask("anything").text and mine.ask("anything").sections == []
+    with pytest.raises(ValueError, match="no tool other"):
+        mine.run_tool("other", "x")

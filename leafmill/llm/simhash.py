@@ -83,7 +83,8 @@ def near_pairs(prints: DataFrame, radius: int = 3) -> DataFrame:
         F.explode(F.concat(F.transform(ball, lambda m: low.bitwiseXOR(m)), F.transform(ball, lambda m: high.bitwiseXOR(m).bitwiseOR(side)))).alias("variant"),
     )
     close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
-    return own.join(variants, (own["variant"] == variants["variant"]) & close).select("a", "b").distinct()
+    # Spark takes the variants for as small as the fingerprints that they are spelled out from: never broadcast
+    return own.hint("merge").join(variants.hint("merge"), (own["variant"] == variants["variant"]) & close).select("a", "b").distinct()
 
 
 def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:

@@ -6,7 +6,7 @@ import time
 import numpy as np
 import pytest
 
-from leafmill.llm import mixing, pii, url_filter, vector_dedup
+from leafmill.llm import mixing, pii, simhash, url_filter, vector_dedup
 
 
 def test_leaves_are_split_on_every_level(spark, monkeypatch):
@@ -62,3 +62,11 @@ def test_rules_that_contradict_each_other(spark):
     for given in (rules, rules[::-1], spark.createDataFrame(rules, "verdict string, host string, path string"), spark.createDataFrame(rules[::-1], "verdict string, host string, path string")):
         got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.filter_urls(pages, given).collect()}
         assert got == {1: ("a.org/x", "block"), 2: ("a.org/", "allow")}
+
+
+def test_variants_are_never_broadcast(spark):
+    # 66 variants a fingerprint, which Spark's estimate doesn't know of: the driver's memory would grow with them
+    prints = spark.createDataFrame([(i,) for i in (0, 1, 7, 31, 1 << 40)], "fp long")
+    found = simhash.near_pairs(prints)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in found.collect()} == {(0, 1), (0, 7), (1, 7), (7, 31), (0, 1 << 40), (1, 1 << 40)}

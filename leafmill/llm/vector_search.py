@@ -3,9 +3,10 @@
 Coarse centroids divide the rows into lists; what a row's centroid leaves over is stored as one
 byte per subspace. A query scores the rows of its nearest lists by asymmetric distance tables
 (its products with every codeword), and the best of them are reranked exactly on the original
-vectors, in double precision. Centroids, codewords and the number of lists to probe come from
-a bounded sample, the last such that the sample's own searches, quantisation and reranking
-included, meet a recall; every row is indexed.
+vectors, in double precision; so is every other row of these lists whose score and quantisation
+error leave it a chance, so that codes lose no neighbour, whatever the rows. Centroids, codewords
+and the number of lists to probe come from bounded samples of distinct vectors and of queries, the
+last such that these queries meet a recall on the sample; every row is indexed.
 
 The index is dealt to shards by list: neighbouring small lists share a shard, large ones have
 several, with a part of their rows each. A query goes only to shards with a list that it probes,
@@ -62,8 +63,8 @@ def _subspaces(x: np.ndarray, width: int) -> np.ndarray:
     return np.pad(x, ((0, 0), (0, short))).reshape(len(x), -1, width).transpose(1, 0, 2)
 
 
-def fit(points: np.ndarray, total: int, k: int, rerank: int = 100, recall: float = 0.97, width: int = 2, seed: int = 3) -> IvfPq:
-    """Fits on a sample that stands for `total` rows."""
+def fit(points: np.ndarray, total: int, k: int, recall: float = 0.97, width: int = 2, seed: int = 3, asked: np.ndarray | None = None) -> IvfPq:
+    """Fits on a sample that stands for `total` rows; `asked` are queries to calibrate on, the sample's own points without any."""
     rng = np.random.default_rng(seed)
     lists = int(np.clip(2 * np.sqrt(total), 1, min(1024, max(1, len(points) // 20))))
     coarse = _kmeans(points, lists, 8, rng)
@@ -72,21 +73,18 @@ def fit(points: np.ndarray, total: int, k: int, rerank: int = 100, recall: float
     for part in _subspaces(points - coarse[at], width):
         found = _kmeans(part, 256, 6, rng)
         words.append(np.pad(found, ((0, 256 - len(found)), (0, 0)), constant_values=1e30))
-    model = IvfPq(coarse, np.stack(words), len(coarse))
-    # the sample's own searches: in which of its nearest lists a query finds its neighbours, if it ranks them high enough
-    tried = rng.choice(len(points), min(200, len(points)), replace=False)
-    scores = points[tried] @ points.T
-    scores[np.arange(len(tried)), tried] = -np.inf
+    # searches of the sample: in which of its nearest lists a query finds its neighbours
+    asked = points if asked is None or not len(asked) else asked
+    q = asked[rng.choice(len(asked), min(200, len(asked)), replace=False)]
+    scores = q @ points.T
+    for i, v in enumerate(q):
+        scores[i, (points == v).all(1)] = -np.inf
     best = np.argsort(-scores, axis=1)[:, : min(k, max(1, len(points) - 1))]
-    to_coarse = points[tried] @ coarse.T
+    to_coarse = q @ coarse.T
     place = np.empty(to_coarse.shape, dtype=np.int64)
     np.put_along_axis(place, np.argsort(-to_coarse, axis=1), np.arange(len(coarse))[None, :], axis=1)
-    guessed = _guessed(model, points[tried], at, encode(model, points)[1])
-    guessed[np.arange(len(tried)), tried] = -np.inf
-    cut = -np.sort(-guessed, axis=1)[:, min(rerank, guessed.shape[1]) - 1]
-    high = np.take_along_axis(guessed, best, axis=1) >= cut[:, None]
-    needed = np.sort(np.where(high, np.take_along_axis(place, at[best], axis=1), len(coarse) - 1).ravel())
-    return IvfPq(coarse, model.words, int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1)
+    needed = np.sort(np.take_along_axis(place, at[best], axis=1).ravel())
+    return IvfPq(coarse, np.stack(words), int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1)
 
 
 def tables(model: IvfPq, q: np.ndarray) -> np.ndarray:
@@ -95,12 +93,10 @@ def tables(model: IvfPq, q: np.ndarray) -> np.ndarray:
     return np.stack([p @ w.T for p, w in zip(_subspaces(q, model.words.shape[2]), words)]).astype(np.float32)
 
 
-def _guessed(model: IvfPq, q: np.ndarray, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Asymmetric scores of all rows for all queries."""
-    out = (q @ model.coarse.T).astype(np.float32)[:, lists]
-    for j, t in enumerate(tables(model, q)):
-        out += t[:, codes[:, j]]
-    return out
+def _lost(model: IvfPq, x: np.ndarray, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """How far each row is from what its list and codes say of it."""
+    left = _subspaces(x - model.coarse[lists], model.words.shape[2])
+    return np.sqrt(sum(((p - w[codes[:, j]]) ** 2).sum(1) for j, (p, w) in enumerate(zip(left, model.words))))
 
 
 def encode(model: IvfPq, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +136,8 @@ def deal(coarse: np.ndarray, sizes: np.ndarray, shard_rows: int) -> tuple[np.nda
 def _search(model: IvfPq, queries: pa.Table, rows: pa.Table, k: int, rerank: int) -> pa.Table:
     """The k best rows of a shard for each query of a block: lists probed, tables added up, the best reranked exactly.
 
-    A row is a vector with the ids that it stands for. Rows that tie with the last one reranked are reranked too.
+    A row is a vector with the ids that it stands for. A score is off by at most the query's length times what the row's
+    code lost, so rows of probed lists that may still be among the k best by that are reranked too, however many they are.
     """
     q, ids = matrix(queries["vec"]), queries["id"].to_numpy()
     if not len(q) or not rows.num_rows:
@@ -152,6 +149,9 @@ def _search(model: IvfPq, queries: pa.Table, rows: pa.Table, k: int, rerank: int
     edges = np.searchsorted(lists, np.arange(len(model.coarse) + 1))
     to_coarse, probed = q @ model.coarse.T, probed_lists(model, q)
     by_word = tables(model, q)
+    # with room for the rounding of scores to single precision
+    lost = _lost(model, x, lists, codes) + 1e-5 * (np.sqrt((x**2).sum(1)) + np.sqrt((model.coarse**2).sum(1))[lists])
+    lengths = np.sqrt((q**2).sum(1))
     out = []
     step = max(1, (1 << 23) // len(x))
     for start in range(0, len(q), step):
@@ -169,6 +169,10 @@ def _search(model: IvfPq, queries: pa.Table, rows: pa.Table, k: int, rerank: int
         for i, low in enumerate(last):
             at = np.flatnonzero((scores[i] >= low) & (scores[i] > -np.inf))
             exact = x[at] @ q[start + i]
+            if len(at) > k:  # the query's own row may be one of k + 1
+                least = -np.partition(-exact, k)[k]
+                more = np.flatnonzero((scores[i] < low) & (scores[i] > -np.inf) & (scores[i] + lengths[start + i] * lost >= least))
+                at, exact = np.concatenate([at, more]), np.concatenate([exact, x[more] @ q[start + i]])
             kept = np.argsort(-exact, kind="stable")
             kept = kept[exact[kept] >= exact[kept[min(k, len(kept) - 1)]]] if len(kept) else kept
             each = [row_ids[j] for j in at[kept]]
@@ -193,10 +197,12 @@ def nearest(df: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str
     spark = df.sparkSession
     scratch = Scratch(spark, "search")
     rows = scratch.table(valid_vectors(df, id_col, vec_col), "vectors")
-    points, total = sample(rows, max_sample)
+    asking = rows.withColumnRenamed("id", id_col).where(queries).withColumnRenamed(id_col, "id").select("id", "vec")
+    distinct = scratch.table(_distinct(rows, k + 1), "distinct")
+    points, total = sample(distinct.select(F.col("ids")[0].alias("id"), "vec"), max_sample)
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    model = spark.sparkContext.broadcast(fit(points, total, k, rerank))
+    model = spark.sparkContext.broadcast(fit(points, total, k, asked=sample(asking, 1000)[0]))
 
     def index(batch: pa.RecordBatch) -> dict | None:
         if not batch.num_rows:
@@ -205,7 +211,8 @@ def nearest(df: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str
         return {"ids": batch.column(0), "vec": batch.column(1), "list": at, "codes": [c.tobytes() for c in codes]}
 
     kinds = dict(rows.dtypes)
-    indexed = scratch.table(arrow_map(_distinct(rows, k + 1), index, f"ids array<{kinds['id']}>, vec {kinds['vec']}, list int, codes binary"), "index")
+    indexed = scratch.table(arrow_map(distinct, index, f"ids array<{kinds['id']}>, vec {kinds['vec']}, list int, codes binary"), "index")
+    scratch.drop(distinct)
     sizes = np.zeros(len(model.value.coarse), dtype=np.int64)
     for r in indexed.groupBy("list").count().collect():  # a row for each list, at most 1,024
         sizes[r[0]] = r[1]
@@ -223,7 +230,6 @@ def nearest(df: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str
         taken = batch.take(pa.array(np.concatenate(at)))
         return {"id": taken.column(0), "vec": taken.column(1), "shard": np.concatenate(shard)}
 
-    asking = rows.withColumnRenamed("id", id_col).where(queries).withColumnRenamed(id_col, "id").select("id", "vec")
     asked = scratch.table(arrow_map(asking, route, f"id {kinds['id']}, vec {kinds['vec']}, shard long"), "asked")
     loads = asked.groupBy("shard").agg(F.ceil(F.count("*") / block_queries).alias("blocks")).select(F.col("shard").alias("of"), "blocks")
     loads = scratch.table(loads, "loads")

@@ -6,7 +6,9 @@ import time
 import numpy as np
 import pytest
 
-from leafmill.llm import mixing, pii, simhash, url_filter, vector_dedup
+from pyspark.sql import functions as F
+
+from leafmill.llm import mixing, pii, simhash, url_filter, vector_dedup, vector_search
 
 
 def test_leaves_are_split_on_every_level(spark, monkeypatch):
@@ -70,3 +72,16 @@ def test_variants_are_never_broadcast(spark):
     found = simhash.near_pairs(prints)
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert {tuple(r) for r in found.collect()} == {(0, 1), (0, 7), (1, 7), (7, 31), (0, 1 << 40), (1, 1 << 40)}
+
+
+def test_queries_unlike_the_other_rows(spark):
+    rng = np.random.default_rng(2)
+    n, d = 6000, 32
+    x = rng.standard_normal((12, d))[rng.integers(0, 12, n)] * 3 + 0.3 * rng.standard_normal((n, d))
+    x[::20] = 2 * rng.standard_normal((n // 20, d))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = vector_search.nearest(df, F.col("vec_id") % 20 == 0).collect()
+    scores = x[::20] @ x.T
+    scores[np.arange(n // 20), np.arange(0, n, 20)] = -np.inf
+    want = np.argsort(-scores, axis=1)[:, :20]
+    assert len({(r["query_id"], r["vec_id"]) for r in got} & {(20 * i, int(j)) for i, w in enumerate(want) for j in w}) >= 0.93 * want.size

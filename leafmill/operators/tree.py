@@ -8,16 +8,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import stored
 
 
 def nodes(chunks: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """One row per path prefix of chunks (section_context, page_number, content, content_hash), by one combining aggregation; `by` names the columns that tell documents, and so their trees, apart."""
-    c = chunks.withColumn("path", T.section_path(F.col("section_context")))
+    """One row per path prefix of chunks (section_context, page_number), by combining aggregations; `by` names the columns that tell documents, and so their trees, apart."""
+    # a section's chunks of a page are one row, counted in a hash table, before paths are spelled out: the least of texts needs all rows sorted
+    c = chunks.groupBy(*by, "section_context", "page_number").agg(F.count("*").alias("_chunks"))
+    c = c.withColumn("path", T.section_path(F.col("section_context")))
     c = c.select("*", F.posexplode("path").alias("depth", "title"))
     slugs = F.transform(F.slice("path", F.lit(1), F.col("depth") + 1), T.slug)
     c = c.withColumn("node_id", F.array_join(slugs, "/")).withColumn("parent_id", F.when(F.col("depth") == 0, "root").otherwise(F.array_join(F.slice(slugs, F.lit(1), F.col("depth")), "/")))
-    first = F.struct("page_number", "section_context", "content_hash")
-    n = c.groupBy(*by, "node_id", "parent_id", "depth").agg(F.min_by("title", first).alias("title"), F.min("page_number").alias("min_page"), F.max("page_number").alias("max_page"), F.count("*").alias("chunk_count"), F.count_distinct("page_number").alias("pages_covered"), F.min(first).alias("_first"))
+    first = F.struct("page_number", "section_context")  # tells siblings apart, as a section's path is its own
+    n = c.groupBy(*by, "node_id", "parent_id", "depth").agg(F.min_by("title", first).alias("title"), F.min("page_number").alias("min_page"), F.max("page_number").alias("max_page"), F.sum("_chunks").alias("chunk_count"), F.count_distinct("page_number").alias("pages_covered"), F.min(first).alias("_first"))
     return n.withColumn("node_type", F.when(F.col("depth") == 0, "section").otherwise("subsection"))
 
 
@@ -60,10 +63,10 @@ def nested(tree: DataFrame, by: tuple[str, ...], levels: int = 32) -> DataFrame:
 
     Built from the lowest level up: a level's texts become the children of the next. A row is one document's tree.
     """
-    t = placed(tree, by)
-    if t.where(F.col("depth") >= levels).limit(1).count():
-        raise ValueError(f"more than {levels} levels")
+    t = stored(placed(stored(tree, "nodes"), by), "placed")  # every level reads it
     deepest = t.agg(F.max("depth")).first()[0]
+    if deepest is not None and deepest >= levels:
+        raise ValueError(f"more than {levels} levels")
     own = F.to_json(F.struct(*FIELDS))
     children = None
     for depth in range(deepest if deepest is not None else -1, -1, -1):
@@ -75,7 +78,7 @@ def nested(tree: DataFrame, by: tuple[str, ...], levels: int = 32) -> DataFrame:
         children = each.groupBy(*by, "node_id").agg(joined.alias("_inside"))
     if children is None:
         return t.select(*by, F.lit("").alias("tree")).limit(0)
-    return children.select(*by, F.concat(F.lit('{"node_id":"root","children":['), "_inside", F.lit("]}")).alias("tree"))
+    return stored(children.select(*by, F.concat(F.lit('{"node_id":"root","children":['), "_inside", F.lit("]}")).alias("tree")), "nested")
 
 
 def read_nested(trees: DataFrame, by: tuple[str, ...], levels: int = 32) -> DataFrame:

@@ -29,3 +29,9 @@ def test_a_nested_tree_reads_its_chunks_once(spark):
     found = tree.read_nested(tree.nested(tree.nodes(rows, ("doc",)), ("doc",)), ("doc",)).collect()
     assert {(r["node_id"], r["chunk_count"]) for r in found} == {("a", 3), ("a/x", 2), ("a/y", 1), ("a/y/z", 1), ("b", 1)}
     assert seen.value == 2 * once
+
+
+def test_nodes_need_sections_and_pages_only(spark):
+    rows = spark.range(2000).selectExpr("concat('A > ', id % 3) AS section_context", "cast(id % 5 AS int) AS page_number")
+    found = {r["node_id"]: (r["chunk_count"], r["pages_covered"], r["min_page"], r["max_page"]) for r in tree.nodes(rows).collect()}
+    assert found == {"a": (2000, 5, 0, 4), "a/0": (667, 5, 0, 4), "a/1": (667, 5, 0, 4), "a/2": (666, 5, 0, 4)}

@@ -330,7 +330,7 @@ def fact_extract(spark, d):
 
 @query
 def fact_distinct_counts(spark, d):
-    return facts.distinct(facts.extract(S.fact_chunks(spark, d))).groupBy("fact_key", "entity", "page_number").agg(F.count("*").alias("n"), F.count_distinct("fact_value").alias("distinct_values"))
+    return facts.distinct_of(S.fact_chunks(spark, d)).groupBy("fact_key", "entity", "page_number").agg(F.count("*").alias("n"), F.count_distinct("fact_value").alias("distinct_values"))
 
 
 @query

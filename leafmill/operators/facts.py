@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import spread
 
 COLUMNS = ["fact_key", "fact_value", "entity", "content_hash", "page_number"]
 
@@ -23,6 +24,11 @@ def distinct(facts: DataFrame) -> DataFrame:
     return facts.dropDuplicates(COLUMNS)
 
 
+def distinct_of(chunks: DataFrame) -> DataFrame:
+    """distinct(extract(chunks)), with each chunk shuffled once in place of each of its facts, by its hash; equal facts have equal hashes, so the rest happens where they are."""
+    return distinct(extract(spread(chunks.select("section_context", "page_number", "content", "content_hash").where("content_hash <> ''"), "content_hash")))
+
+
 def append(facts: DataFrame, path: str) -> int:
     """Appends facts to a table's folder; returns how many were written, as observed while writing."""
     seen = Observation()

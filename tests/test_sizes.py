@@ -35,3 +35,14 @@ def test_nodes_need_sections_and_pages_only(spark):
     rows = spark.range(2000).selectExpr("concat('A > ', id % 3) AS section_context", "cast(id % 5 AS int) AS page_number")
     found = {r["node_id"]: (r["chunk_count"], r["pages_covered"], r["min_page"], r["max_page"]) for r in tree.nodes(rows).collect()}
     assert found == {"a": (2000, 5, 0, 4), "a/0": (667, 5, 0, 4), "a/1": (667, 5, 0, 4), "a/2": (666, 5, 0, 4)}
+
+
+def test_chunks_are_shuffled_before_their_facts_are_spelled_out(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(shared, "SPREAD_BYTES", 1000)
+    rows = [("s", 1, "In 1999 and 2001 for $5", "h1"), ("s", 1, "in 1999 FOR $5 usd 7", "h1"), ("t", 1, "In 1999", "h1"), ("s", 2, "5% of $5 or $5", "h2"), ("s", 2, "5%", ""), ("s", 2, "9%", None), (None, 2, "9%", "h3")]
+    spark.createDataFrame(rows, "section_context string, page_number int, content string, content_hash string").coalesce(1).write.parquet(f"{tmp_path}/chunks")
+    chunks = spark.read.parquet(f"{tmp_path}/chunks")
+    found = facts.distinct_of(chunks)
+    assert sorted(map(str, found.collect())) == sorted(map(str, facts.distinct(facts.extract(chunks)).collect()))
+    steps = plan(facts.distinct_of(chunks))
+    assert steps.count("Exchange") == 1 and steps.index("Generate") < steps.index("Exchange")

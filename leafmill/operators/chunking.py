@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import text as T
+from ..sources.shared import spread
 
 ROOT = "Document Root"
 
@@ -18,7 +19,8 @@ ROOT = "Document Root"
 def table_islands(units: DataFrame) -> DataFrame:
     """Adds `ord`, and `island`, one number for a run of tables and for every other unit."""
     doc = Window.partitionBy("doc_id").orderBy("page_number", "uid", "content")  # content only settles equal uids
-    u = units.withColumn("ord", F.row_number().over(doc))
+    # each sort and window of the steps that follow holds a partition of these
+    u = spread(units, "doc_id").withColumn("ord", F.row_number().over(doc))
     is_table = F.col("unit_type") == "table"
     joins = is_table & F.coalesce(F.lag("unit_type").over(doc) == "table", F.lit(False))
     return u.withColumn("_start", (~joins).cast("int")).withColumn("island", F.sum("_start").over(doc)).drop("_start")

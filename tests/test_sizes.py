@@ -46,3 +46,15 @@ def test_chunks_are_shuffled_before_their_facts_are_spelled_out(spark, monkeypat
     assert sorted(map(str, found.collect())) == sorted(map(str, facts.distinct(facts.extract(chunks)).collect()))
     steps = plan(facts.distinct_of(chunks))
     assert steps.count("Exchange") == 1 and steps.index("Generate") < steps.index("Exchange")
+
+
+def test_units_are_dealt_by_their_size(spark, monkeypatch, tmp_path):
+    rows = spark.createDataFrame([(d, p, f"u{p}", "text", "a b c") for d in range(40) for p in range(3)], "doc_id long, page_number int, uid string, unit_type string, content string")
+    assert shared.spread(rows, "doc_id") is rows or shared.spread(rows, "doc_id").rdd.getNumPartitions() < 9  # of unknown size
+    rows.coalesce(1).write.parquet(f"{tmp_path}/units")
+    rows = spark.read.parquet(f"{tmp_path}/units")
+    few = chunking.table_islands(rows)
+    monkeypatch.setattr(shared, "SPREAD_BYTES", 500)
+    many = chunking.table_islands(rows)
+    assert "REPARTITION_BY_NUM" in plan(many) and plan(many).count("Exchange") == 1
+    assert sorted(few.collect()) == sorted(many.collect())

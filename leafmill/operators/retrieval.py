@@ -24,19 +24,24 @@ def nearest(rows: DataFrame, query: list[float], k: int, vector: str = "embeddin
     return rows.withColumn("distance", cosine_distance2(F.col(vector), q)).orderBy("distance", id_col).limit(k)
 
 
-#: Queries and rows that one task compares.
-QUERY_BLOCK, ROW_BLOCK = 1000, 20_000
+#: Queries and rows that one task compares, and distances that it holds at a time.
+QUERY_BLOCK, ROW_BLOCK, HELD = 1000, 10_000, 1 << 20
 
 
 def _block_best(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
     """The k nearest rows of a block for each query of a block: candidates by products of matrices, distances of those one by one."""
     q, x = (np.array(t["vector"].combine_chunks().flatten(), dtype=np.float64).reshape(len(t), -1) for t in (queries, rows))
-    rough = (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * (q @ x.T)
+    sizes, n, step = (x * x).sum(1), min(k, len(x)), max(1, HELD // len(x))
     ids, out = rows["id"].to_numpy(), {"query_id": [], "id": [], "distance": []}
     for i, query_id in enumerate(queries["query_id"].to_numpy()):
-        n = min(k, len(x))
-        limit = np.partition(rough[i], n - 1)[n - 1]
-        near = np.flatnonzero(rough[i] <= limit + 1e-9 * (1 + abs(limit)))
+        if i % step == 0:
+            some = q[i : i + step]
+            rough = some @ x.T
+            rough *= -2
+            rough += (some * some).sum(1)[:, None]
+            rough += sizes
+        limit = np.partition(rough[i % step], n - 1)[n - 1]
+        near = np.flatnonzero(rough[i % step] <= limit + 1e-9 * (1 + abs(limit)))
         exact = ((x[near] - q[i]) ** 2).sum(1)
         best = np.lexsort((ids[near], exact))[:n]
         out["query_id"].append(np.full(n, query_id))

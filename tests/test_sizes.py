@@ -58,3 +58,16 @@ def test_units_are_dealt_by_their_size(spark, monkeypatch, tmp_path):
     many = chunking.table_islands(rows)
     assert "REPARTITION_BY_NUM" in plan(many) and plan(many).count("Exchange") == 1
     assert sorted(few.collect()) == sorted(many.collect())
+
+
+def test_distances_are_held_in_parts():
+    rng = np.random.default_rng(5)
+    q, x = rng.standard_normal((1000, 8)), rng.standard_normal((20_000, 8))
+    column = lambda m: pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), 8).cast(pa.list_(pa.float64()))
+    asked, found = pa.table({"query_id": np.arange(1000), "vector": column(q)}), pa.table({"id": np.arange(20_000), "vector": column(x)})
+    tracemalloc.start()
+    got = retrieval._block_best(asked, found, 3)
+    assert tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
+    want = [np.argsort(((x - v) ** 2).sum(1), kind="stable")[:3] for v in q[[0, 51, 52, 999]]]
+    assert got["id"].to_numpy().reshape(1000, 3)[[0, 51, 52, 999]].tolist() == np.array(want).tolist()

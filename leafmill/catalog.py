@@ -235,9 +235,8 @@ def layout_counters(spark, d):
 @query
 def page_lines(spark, d):
     """Words with a height become lines by rounded height."""
-    w = S.table(spark, d, "documents").select("doc_id", F.posexplode(T.words(F.col("text"))).alias("pos", "word"))
-    lines = w.groupBy("doc_id", F.bround(F.col("pos") * 0.4).cast("int").alias("line_key")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ").alias("line"))
-    return lines
+    w = S.table(spark, d, "documents").select("doc_id", T.words(F.col("text")).alias("words"))
+    return units.height_lines(w, F.lit(0.4)).select("doc_id", F.col("line_key").cast("int").alias("line_key"), "line")
 
 
 @query

@@ -71,3 +71,13 @@ def test_distances_are_held_in_parts():
     tracemalloc.stop()
     want = [np.argsort(((x - v) ** 2).sum(1), kind="stable")[:3] for v in q[[0, 51, 52, 999]]]
     assert got["id"].to_numpy().reshape(1000, 3)[[0, 51, 52, 999]].tolist() == np.array(want).tolist()
+
+
+def test_words_become_lines_inside_their_text(spark):
+    texts = spark.createDataFrame([(1, [f"w{i}" for i in range(40)]), (2, ["b"]), (2, ["a", "c", "d"]), (3, []), (4, None), (None, ["x"])], "doc_id long, words array<string>")
+    found = units.height_lines(texts, F.lit(0.4))
+    word = texts.select("doc_id", F.posexplode("words").alias("pos", "word"))
+    want = word.groupBy("doc_id", F.bround(F.col("pos") * 0.4).cast("long").alias("line_key")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda s: s["word"]), " ").alias("line"))
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+    steps = plan(found)
+    assert steps.index("Exchange") < steps.index("Generate")

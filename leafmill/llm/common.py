@@ -115,7 +115,7 @@ def maybe_in(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
 def without(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     """The rows of df whose id isn't in the one column of `ids`, a table; only rows whose id may be there are shuffled. Rows without an id stay."""
     rows = maybe_in(df.select(F.col(id_col).alias("id"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")), "id", ids)
-    checked = rows.where("maybe").join(ids.select(F.col(ids.columns[0]).alias("gone")), F.col("id") == F.col("gone"), "left_anti")
+    checked = rows.where("maybe").join(ids.select(F.col(ids.columns[0]).alias("gone")).hint("merge"), F.col("id") == F.col("gone"), "left_anti")
     return rows.where("NOT maybe").unionByName(checked).select(*[F.col("row")[c].alias(c) for c in df.columns])
 
 
@@ -193,8 +193,8 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
     Alternates large-star and small-star steps until the edges form stars, that is until no node
     has two edges upwards, or edges both ways; the number of rounds grows with the logarithm of the longest path. Every step is a combining
-    aggregation and an equi-join of two tables, which adaptive execution may split where one
-    node has very many edges. Edges from a node to itself don't count.
+    aggregation and a merge join of two tables, which adaptive execution may split where one
+    node has very many edges; neither is broadcast, as the driver would hold it whole. Edges from a node to itself don't count.
     """
     e = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = scratch.table(e, "edges")
@@ -206,10 +206,10 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     while open_nodes(e):
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = scratch.table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "large")
-        wide = scratch.table(both.join(large, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "edges")
+        wide = scratch.table(both.join(large.hint("merge"), "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "edges")
         scratch.drop(e, large)
         small = scratch.table(wide.groupBy("a").agg(F.min("b").alias("m")), "small")
-        moved = wide.join(small, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        moved = wide.join(small.hint("merge"), "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = scratch.table(moved.unionAll(small.select("a", F.col("m").alias("b"))).distinct(), "edges")
         scratch.drop(wide, small)
     found = e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -228,7 +228,8 @@ def mix_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     plan = found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("epoch", "lo", "hi"))).alias("pieces"), F.sum(F.col("hi") - F.col("lo")).alias("taken"))
     plan = scratch.table(plan, "plan")
     scratch.keep_only(plan, stored)
-    joined = stored.join(plan, "row")
+    # a row for each document, several times as large on the driver as in files: never broadcast
+    joined = stored.join(plan.hint("merge"), "row")
     schema = StructType([*df.select(*names).schema.fields, StructField("taken", LongType())])
     at = names.index(text_col)
 

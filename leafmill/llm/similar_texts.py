@@ -17,6 +17,10 @@ groups are small for that reason.
 Before any set is written, candidate pairs have to pass exact bounds: sets of that similarity
 differ in few shingles, so their sizes and the parities of their counts by hash value do too.
 
+Tables with a row for each text, pair or bucket are merged, never broadcast: Spark decides by the
+size of compressed files, and the driver would hold several times as much. Broadcast are bitmaps of fixed size and at most
+MOST common shingles with their centres.
+
 Inputs with defined results: a null text counts as empty, and texts without words are copies of
 one another; texts shorter than a shingle have one shingle, their words; repeated rows are copies;
 rows of one id are one node with several texts; rows with a null id have no component; an empty table gives an empty table; other columns of the
@@ -170,13 +174,13 @@ class _Search:
         """The texts of nodes in pairs. A bitmap of fixed size thins them out, so that few others are shuffled to the join."""
         nodes = self.scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
         thin = maybe_in(self.texts, "id", nodes).where("maybe")
-        return thin.join(nodes, F.col("id") == F.col("node"), "left_semi").select("id", "text")
+        return thin.join(nodes.hint("merge"), F.col("id") == F.col("node"), "left_semi").select("id", "text")
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of nodes whose shingle sets have the similarity."""
         scratch = self.scratch
         for side in "ab":
-            pairs = pairs.join(self.known.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("n", "o0", "o1", "o2", "o3", "sketch")]), side)
+            pairs = pairs.join(self.known.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("n", "o0", "o1", "o2", "o3", "sketch")]).hint("merge"), side)
         differ = F.aggregate(F.zip_with(_fold("a_sketch", "b_sketch"), _fold("b_sketch", "a_sketch"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         near = scratch.table(pairs.where(self.alike("a_", "b_")).where(self.within(differ, "a_", "b_")).select("a", "b"), "near")
 
@@ -188,7 +192,7 @@ class _Search:
         sets = scratch.table(arrow_map(self.wanted_texts(near), sets_of, f"node {self.kind}, shingles array<long>"), "sets")
         a, b = (sets.select(F.col("node").alias(side), F.col("shingles").alias(f"s{side}")) for side in "ab")
         shared = F.size(F.array_intersect("sa", "sb"))
-        found = near.join(a, "a").join(b, "b").where(shared / (F.size("sa") + F.size("sb") - shared) >= self.similarity)
+        found = near.join(a.hint("merge"), "a").join(b.hint("merge"), "b").where(shared / (F.size("sa") + F.size("sb") - shared) >= self.similarity)
         found = scratch.table(found.select("a", "b"), "links")
         scratch.drop(near, sets)
         return found
@@ -201,9 +205,10 @@ def _ordered(a: str, b: str) -> list[Column]:
 def _ball_pairs(nodes: DataFrame, scratch: Scratch, radius: int) -> DataFrame:
     """Pairs of nodes whose fingerprints are equal, or within the radius for the first nodes of each."""
     first = scratch.table(nodes.groupBy("fp").agg(F.min("node").alias("first")), "fingerprints")
-    same = nodes.select("fp", "node").join(first, "fp").where("node != first").select(*_ordered("node", "first"))
+    same = nodes.select("fp", "node").join(first.hint("merge"), "fp").where("node != first").select(*_ordered("node", "first"))
     met = scratch.table(near_pairs(first, radius).withColumnsRenamed({"a": "fa", "b": "fb"}), "met")
-    near = met.join(first.select(F.col("fp").alias("fa"), F.col("first").alias("x")), "fa").join(first.select(F.col("fp").alias("fb"), F.col("first").alias("y")), "fb")
+    x, y = (first.select(F.col("fp").alias(fp), F.col("first").alias(node)).hint("merge") for fp, node in (("fa", "x"), ("fb", "y")))
+    near = met.join(x, "fa").join(y, "fb")
     return same.unionAll(near.select(*_ordered("x", "y")))
 
 
@@ -224,21 +229,21 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pairs = buckets.where("node != centre").select(*_ordered("node", "centre")).unionAll(_ball_pairs(search.known, scratch, radius))
     links = search.linked(scratch.table(pairs.distinct(), "pairs"))
     part = connected_components(links, scratch)
-    placed = scratch.table(buckets.join(part, "node", "left").select("variant", "node", F.coalesce("component", "node").alias("component")), "placed")
+    placed = scratch.table(buckets.join(part.hint("merge"), "node", "left").select("variant", "node", F.coalesce("component", "node").alias("component")), "placed")
     scratch.drop(buckets, part)
     largest = placed.groupBy("variant", "component").agg(F.count("*").alias("k")).groupBy("variant").agg(F.max(F.struct("k", "component"))["component"].alias("main"), F.count("*").alias("parts"))
     mixed = scratch.table(largest.where("parts > 1").select("variant", "main"), "mixed")
-    members = placed.join(mixed, "variant").join(search.known.select("node", *marks[:-1]), "node")
+    members = placed.join(mixed.hint("merge"), "variant").join(search.known.select("node", *marks[:-1]).hint("merge"), "node")
     members = scratch.table(members, "members")
     scratch.drop(placed, mixed)
     a, b = (members.select(F.col("variant").alias(f"{side}_variant"), *[F.col(c).alias(f"{side}_{c}") for c in ("node", "component", "main", *marks[:-1])]) for side in "ab")
     a = a.where("a_component != a_main")
     apart = (F.col("a_variant") == F.col("b_variant")) & (F.col("a_component") != F.col("b_component")) & ((F.col("b_component") == F.col("b_main")) | (F.col("a_node") < F.col("b_node")))
-    rest = a.join(b, apart & search.alike("a_", "b_")).select(*_ordered("a_node", "b_node")).distinct()
+    rest = a.join(b.hint("merge"), apart & search.alike("a_", "b_")).select(*_ordered("a_node", "b_node")).distinct()
     links = links.unionByName(search.linked(scratch.table(rest, "rest")))
     part = connected_components(links, scratch)
-    named = search.known.join(part, "node", "left").select(F.col("words").alias("w"), F.col("check").alias("c"), F.coalesce("component", "node").alias("component_id"))
-    out = rows.join(named, (F.col("words") == F.col("w")) & (F.col("check") == F.col("c")), "left")
+    named = search.known.join(part.hint("merge"), "node", "left").select(F.col("words").alias("w"), F.col("check").alias("c"), F.coalesce("component", "node").alias("component_id"))
+    out = rows.join(named.hint("merge"), (F.col("words") == F.col("w")) & (F.col("check") == F.col("c")), "left")
     out = scratch.table(out.select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id")), "groups")
     scratch.keep_only(out)
     return out

@@ -8,7 +8,8 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from leafmill.llm import mixing, pii, simhash, url_filter, vector_dedup, vector_search
+from leafmill.llm import mixing, pii, similar_texts, simhash, url_filter, vector_dedup, vector_search
+from leafmill.llm.common import Scratch, connected_components
 
 
 def test_leaves_are_split_on_every_level(spark, monkeypatch):
@@ -74,6 +75,29 @@ def test_variants_are_never_broadcast(spark):
     assert {tuple(r) for r in found.collect()} == {(0, 1), (0, 7), (1, 7), (7, 31), (0, 1 << 40), (1, 1 << 40)}
 
 
+def test_tables_that_grow_are_never_broadcast(spark, monkeypatch):
+    # a table under Spark's limit in files is several times as large on the driver: bitmaps of fixed size and centres of common shingles alone go there
+    plans: list[tuple[str, str]] = []
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(Scratch, "table", lambda self, df, name, make=Scratch.table: (plans.append((name, plan(df))), make(self, df, name))[1])
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(words), " ".join([*words, "x"]), " ".join(words[::-1]), " ".join([*words[::-1], "y"]), "a b c", "a b c", None]
+    docs = spark.createDataFrame([(i, t, "ab"[i % 2]) for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    kept = similar_texts.without_copies(docs)
+    mixed = mixing.mix_documents(docs)
+    path = connected_components(spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "a long, b long"), Scratch(spark, "path"))
+    fixed = {"buckets": 1, "sets": 1}
+    assert {n for n, _ in plans} >= {"pairs", "near", "links", "placed", "members", "rest", "groups", "large", "small", "met"}
+    for name, found in plans:
+        if name not in ("ranges", "plan"):  # of sources and shuffle partitions
+            assert found.count("BroadcastExchange") == fixed.get(name, 0), name
+    assert "SortMergeJoin" in plan(kept) and "BroadcastHashJoin [id" not in plan(kept)
+    assert "BroadcastExchange" not in plan(mixed)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 4, 6]
+    assert mixed.count() == len([t for t in texts if t])
+    assert {tuple(r) for r in path.collect()} == {(i, 1) for i in range(1, 5)}
+
+
 def test_queries_unlike_the_other_rows(spark):
     rng = np.random.default_rng(2)
     n, d = 6000, 32

@@ -119,6 +119,21 @@ def without(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     return rows.where("NOT maybe").unionByName(checked).select(*[F.col("row")[c].alias(c) for c in df.columns])
 
 
+#: Bytes of an Arrow batch of texts, and the setting that bounds it.
+BATCH_BYTES, _BATCH = 1 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on the session hands Python batches of at most about BATCH_BYTES, or of one longer row.
+
+    Spark's own bound, 10,000 rows, is none for texts: a batch is held several times, by the
+    executor outside its heap and by the worker. The bound is read when a statement runs, so it
+    stays set for the results that callers write later; a smaller one of theirs is kept.
+    """
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH)) > BATCH_BYTES:
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: StructType | str) -> DataFrame:
     """Maps each Arrow batch to a dict of columns; all columns of `schema`, in any order. Arrow columns are passed on as they are."""
     schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema

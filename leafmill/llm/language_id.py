@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import arrow_map, text_or_empty
+from .common import arrow_map, bounded_batches, text_or_empty
 
 #: Code points that are hashed at a time, to bound a worker's memory.
 CHUNK = 1 << 18
@@ -103,6 +103,7 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", where: Co
     all: the bound of the classifier's sample. Its result, n_buckets counts for each language,
     is all that reaches the driver.
     """
+    bounded_batches(df.sparkSession)
     rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.lit(True) if where is None else where))
     total = rows.count()
     rate = min(1.0, max_docs / max(1, total))
@@ -159,6 +160,7 @@ def _scored(texts: list[str], m: LanguageModel) -> tuple[np.ndarray, np.ndarray]
 
 def predict(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: id, lang_pred and score (the language's share of the posterior), and the columns in `carry`."""
+    bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def score(batch: pa.RecordBatch) -> dict:
@@ -172,6 +174,7 @@ def predict(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
 
 def keep_known(df: DataFrame, model: LanguageModel, least: float, text_col: str = "text") -> DataFrame:
     """The rows of df, with all their columns, whose language is told with a score of at least `least`."""
+    bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
     at = df.columns.index(text_col)

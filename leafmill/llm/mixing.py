@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, MapType, StructField, StructType, VariantType
 
-from .common import Scratch, arrow_map, prefix_sums
+from .common import Scratch, arrow_map, bounded_batches, prefix_sums
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Slots of a shard where there are few shards, most shards, and slots that a row spells out at a time.
@@ -126,8 +126,10 @@ class _Plan:
         self.draws = draw_slots(self.quota, shards or min(MAX_SHARDS, max(1, -(-sum(self.quota) // SHARD_SLOTS))), seed)
 
     def sources_table(self, spark) -> DataFrame:
-        rows = [(i, s, n, a, b) for i, ((s, n), a, b) in enumerate(zip(self.sources, self.aims, self.blocks))]
-        return spark.createDataFrame(rows, "k int, name string, source_size long, target double, block int")
+        n = len(self.sources)
+        columns = {"k": (range(n), pa.int32()), "name": ([s for s, _ in self.sources], pa.string()), "source_size": ([x for _, x in self.sources], pa.int64()), "target": (self.aims, pa.float64()), "block": (self.blocks, pa.int32())}
+        # Arrow tables go to the JVM as they are; rows would start a second set of Python workers beside those of the maps
+        return spark.createDataFrame(pa.table({c: pa.array(x, type=kind) for c, (x, kind) in columns.items()}))
 
     def slots(self, spark) -> DataFrame:
         """(k, block_no, shard, position, epoch): every slot of the mix and the block that stands there."""
@@ -136,7 +138,7 @@ class _Plan:
         full = self.draws.sum(1)
         at = np.argwhere(self.draws)
         rows = pa.table({"shard": at[:, 0], "k": at[:, 1], "n": self.draws[tuple(at.T)], "first": before[tuple(at.T)], "place": inside[tuple(at.T)], "full": full[at[:, 0]]})
-        runs = spark.createDataFrame(rows.to_pandas()) if len(at) else spark.createDataFrame([], "shard long, k long, n long, first long, place long, full long")
+        runs = spark.createDataFrame(rows)
         runs = runs.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RUN).cast("long"))))
         blocks = {i: (-(-n // b), _key(self.seed, i)) for i, ((_, n), b) in enumerate(zip(self.sources, self.blocks))}
         seed = self.seed
@@ -220,6 +222,7 @@ def _taken_text(text: str, pieces: list[dict]) -> str:
 
 def mix_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = 256, most: int = 3, shards: int | None = None, max_sources: int = 100_000, seed: int = 7) -> DataFrame:
     """The documents of the mix: those with words taken, their text the taken words (repeats after one another), and `taken`."""
+    bounded_batches(df.sparkSession)
     scratch = Scratch(df.sparkSession, "mix")
     names = [c for c in df.columns if c != "taken"]
     stored = scratch.table(_numbered(df, id_col, text_col, source_col, names), "rows")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from .common import Scratch, arrow_map, prefix_sums
+from .common import Scratch, arrow_map, bounded_batches, prefix_sums
 
 #: Words that a worker keeps the ids of, twice: those of late and those before. About 50 MB at most.
 KEEP = 100_000
@@ -108,6 +108,7 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
                     out[k].append(v)
         return out
 
+    bounded_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     return arrow_map(df.select(id_col, text_col), cut, f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<long>" * keep_ids)
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, connected_components, maybe_in, without
+from .common import Scratch, arrow_map, bounded_batches, connected_components, maybe_in, without
 from .simhash import fingerprint_of, near_pairs, shingle_hashes
 
 #: Shingles that a task counts at a time, keeps, and hands over; and how many common ones there are at most.
@@ -215,6 +215,7 @@ def _ball_pairs(nodes: DataFrame, scratch: Scratch, radius: int) -> DataFrame:
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, words: int = 5, radius: int = 3) -> DataFrame:
     """One row per input row: id and component_id, the smallest id reachable by links between texts whose sets of
     `words`-word shingles have at least that Jaccard similarity. Texts of the same words are one node."""
+    bounded_batches(df.sparkSession)
     search = _Search(df, id_col, text_col, similarity, words)
     scratch = search.scratch
     prints = scratch.table(_prefixes(search.texts, "id", "text", similarity, words), "prefixes")
